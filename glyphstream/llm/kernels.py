@@ -110,9 +110,10 @@ def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
 
 SPACE = byte_set((0x20, 0x20), (0x09, 0x0D))
 LETTERS = ~SPACE
-ALNUM = ~byte_set((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
+#: ASCII letters of either case, digits and bytes of non-ASCII characters.
+ALNUM = ~byte_set((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))[LOWER]
 
 
 def words(chunk: Chunk, member: np.ndarray = LETTERS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
