@@ -61,7 +61,8 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     step = step.withColumns(
         {
-            "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
+            # The partition's number makes this column one that filters are not pushed below: they would repeat all of the above.
+            "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")) | (F.spark_partition_id() < 0),
             "symbol_share": share(F.col("n_symbols"), F.col("word_chars")),
             "duplicate_share": share(F.col("n_dup_lines"), F.size("_gs_lines")),
             "repeat_share": share(F.col("n_repeat_words"), F.col("n_words")),
