@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -13,9 +14,12 @@ from .decontamination import decontaminate
 from .line_dedup import line_dedup
 from .minhash import minhash_dedup
 from .packing import best_fit_pack
+from .quality_crf import classify_quality
 from .quality_rules import quality_rules
+from .shared import shared_dir
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_array_dedup
+from .warc import read_warc, write_warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +46,13 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    write_warc(table(spark, sf_dir, "pages"), path)
+    pages = read_warc(spark.read.format("binaryFile").load(path), with_payload=False)
+    return pages.drop("payload")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=4096, end_id=1)
 
@@ -50,6 +61,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), width=20, with_kept=False)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -71,8 +86,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (
     op1_suffix_array_dedup,
     op2_chat_formatting,
+    op3_warc,
     op4_best_fit_packing,
     op5_substring_dedup,
+    op6_quality_classifier,
     op7_quality_rules,
     op8_line_dedup,
     op9_benchmark_decontamination,
