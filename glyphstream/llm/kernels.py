@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 U64 = np.uint64
 
 
@@ -78,11 +78,12 @@ def string_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     """(data, offsets) of a string or binary column; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
-    column = column.cast(pa.large_binary() if binary else pa.large_string())
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     if column.null_count:
-        column = column.fill_null(b"" if binary else "")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
+    large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if large else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     raw = column.buffers()[2]
     return (np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)), offsets
 

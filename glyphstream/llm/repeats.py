@@ -33,13 +33,35 @@ from pyspark.sql import functions as F
 from .kernels import U64, ranges
 from .shared import materialize, n_shuffle
 
-#: A context as it is sent: anchor and context hash, place of its first window
-#: in its document, number of windows, its document's place in the packet.
-PACKED = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("lo", "<u4"), ("n", "u1"), ("doc", "<u2")])
+#: Bytes of each field of a context as it is sent: anchor hash (32 bits beside the
+#: part it is dealt to), context hash, place of its first window in its document,
+#: number of windows, its document's place in the packet.
+WIDTHS = {"anchor": 4, "context": 6, "lo": 4, "n": 1, "doc": 2}
+ANCHOR = U64((1 << 32) - 1)
+CONTEXT = U64((1 << 48) - 1)
 PLACED = np.dtype([("lo", "<u4"), ("n", "u1")])
 ASKED = np.dtype([("anchor", "<u8"), ("lo", "<u4"), ("n", "u1")])
 DOC = np.dtype([("doc_id", "<i8"), ("key", "<i8")])
-DONE = -1
+
+
+def to_planes(fields: dict[str, np.ndarray]) -> bytes:
+    """Fields byte by byte, each byte of all records together: high bytes then compress well."""
+    planes = []
+    for name, width in WIDTHS.items():
+        raw = np.ascontiguousarray(fields[name], "<u8").view(np.uint8).reshape(-1, 8)
+        planes.append(raw[:, :width].T)
+    return np.concatenate(planes).tobytes()
+
+
+def from_planes(body: bytes) -> dict[str, np.ndarray]:
+    planes = np.frombuffer(body, np.uint8).reshape(sum(WIDTHS.values()), -1)
+    out, at = {}, 0
+    for name, width in WIDTHS.items():
+        raw = np.zeros((planes.shape[1], 8), np.uint8)
+        raw[:, :width] = planes[at : at + width].T
+        out[name] = raw.view("<u8").ravel()
+        at += width
+    return out
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -80,13 +102,14 @@ def pack(docs: np.ndarray, found: dict[str, np.ndarray], own: bool, parts: int)
     group = np.cumsum(head) - 1
     ids = docs["doc_id"][f["doc"]]
     settled = _later(ids, f["lo"], first, group, own)
-    yield from _by_doc(docs[f["doc"][settled]], f["lo"][settled], f["n"][settled])
+    for row in _by_doc(docs[f["doc"][settled]], f["lo"][settled], f["n"][settled]):
+        yield row | {"part": (row["key"] ^ row["doc_id"]) % parts}
     keep = ~settled
     if not keep.any():
         return
     f = {k: v[keep] for k, v in f.items()}
-    part = (f["anchor"] >> U64(40)).astype(np.int64) % parts
-    order = np.argsort(part, kind="stable")
+    part = (f["anchor"] >> U64(32)).astype(np.int64) % parts
+    order = np.lexsort((f["lo"], f["doc"], part))
     part = part[order]
     at = _firsts(part)
     for a, b in zip(at, np.append(at[1:], len(part)), strict=True):
@@ -95,11 +118,8 @@ def pack(docs: np.ndarray, found: dict[str, np.ndarray], own: bool, parts: int)
         used, place = np.unique(f["doc"][pick], return_inverse=True)
         for c in range(0, len(used), 1 << 16):
             sub = (place >= c) & (place < c + (1 << 16))
-            packed = np.zeros(int(sub.sum()), PACKED)
-            for k in ("anchor", "context", "lo", "n"):
-                packed[k] = f[k][pick][sub]
-            packed["doc"] = place[sub] - c
-            yield {"part": int(part[a]), "doc_id": None, "key": None, "docs": docs[used[c : c + (1 << 16)]].tobytes(), "body": packed.tobytes()}
+            fields = {k: f[k][pick][sub] for k in ("anchor", "context", "lo", "n")} | {"doc": place[sub] - c}
+            yield {"part": int(part[a]), "doc_id": None, "key": None, "docs": docs[used[c : c + (1 << 16)]].tobytes(), "body": to_planes(fields)}
 
 
 def _by_doc(docs: np.ndarray, lo: np.ndarray, n: np.ndarray) -> Iterator[dict]:
@@ -111,7 +131,7 @@ def _by_doc(docs: np.ndarray, lo: np.ndarray, n: np.ndarray) -> Iterator[dict]:
     placed["lo"], placed["n"] = lo[order], n[order]
     at = _firsts(docs)
     for a, b in zip(at, np.append(at[1:], len(docs)), strict=True):
-        yield {"part": DONE, "doc_id": int(docs["doc_id"][a]), "key": int(docs["key"][a]), "docs": None, "body": placed[a:b].tobytes()}
+        yield {"part": 0, "doc_id": int(docs["doc_id"][a]), "key": int(docs["key"][a]), "docs": None, "body": placed[a:b].tobytes()}
 
 
 SENT = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("docs", pa.binary()), ("body", pa.binary())])
@@ -133,23 +153,28 @@ def batches(rows: Iterator[dict], schema: pa.Schema, at_once: int = 4 << 20) ->
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
-def unpack(bodies: list[bytes], tables: list[bytes], dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    """All packets of a task: their records, and for each its DOC record."""
-    body = [np.frombuffer(b, dtype) for b in bodies]
+def unpack(bodies: list[bytes], tables: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """All packets of a task: their fields, and for each context its DOC record."""
     table = [np.frombuffer(t, DOC) for t in tables]
-    if not body:
-        return np.zeros(0, dtype), np.zeros(0, DOC)
     base = np.cumsum([0] + [len(t) for t in table[:-1]])
-    where = np.concatenate([b["doc"].astype(np.int64) + s for b, s in zip(body, base, strict=True)])
-    return np.concatenate(body), np.concatenate(table)[where]
+    fields: dict[str, list[np.ndarray]] = {k: [] for k in WIDTHS}
+    for body, at in zip(bodies, base, strict=True):
+        packet = from_planes(body)
+        packet["doc"] += U64(at)
+        for k, v in packet.items():
+            fields[k].append(v.astype(np.uint32) if k in ("anchor", "lo", "doc") else v.astype(np.uint8) if k == "n" else v)
+    out = {}
+    for k in WIDTHS:
+        out[k] = np.concatenate(fields.pop(k))
+    return out, np.concatenate(table)[out.pop("doc")]
 
 
 def _settle(own: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Step 2, for one task's share of the anchors."""
 
-    def rows(found: np.ndarray, docs: np.ndarray) -> Iterator[dict]:
+    def rows(part: int, found: dict[str, np.ndarray], docs: np.ndarray) -> Iterator[dict]:
         order = np.lexsort((found["lo"], docs["doc_id"], found["context"], found["anchor"]))
-        found, docs = found[order], docs[order]
+        found, docs = {k: v[order] for k, v in found.items()}, docs[order]
         ids = docs["doc_id"]
         new_anchor = np.concatenate([[True], found["anchor"][1:] != found["anchor"][:-1]])
         head = new_anchor | np.concatenate([[True], found["context"][1:] != found["context"][:-1]])
@@ -165,25 +190,33 @@ def _settle(own: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             if not flag.any():
                 continue
             d = docs[flag]
-            f = found[flag]
             order = np.lexsort((d["key"], d["doc_id"]))
-            d, f = d[order], f[order]
+            d = d[order]
             out = np.zeros(len(d), PLACED if name == "done" else ASKED)
             for k in out.dtype.names:
-                out[k] = f[k]
+                out[k] = found[k][flag][order]
+            if name == "asked":
+                out["anchor"] |= U64(part << 32)
             at = _firsts(d)
             for a, b in zip(at, np.append(at[1:], len(d)), strict=True):
                 yield {"doc_id": int(d["doc_id"][a]), "key": int(d["key"][a]), "done": None, "asked": None} | {name: out[a:b].tobytes()}
 
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bodies, tables = [], []
+        part, bodies, tables = 0, [], []
         for batch in it:
-            bodies += batch.column(0).to_pylist()
-            tables += batch.column(1).to_pylist()
-        found, docs = unpack(bodies, tables, PACKED)
-        del bodies, tables
-        if len(found):
-            yield from batches(rows(found, docs), SETTLED)
+            passed = []
+            for p, doc_id, key, table, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if table is None:
+                    passed.append({"doc_id": doc_id, "key": key, "done": body, "asked": None})
+                else:
+                    part = p
+                    bodies.append(body)
+                    tables.append(table)
+            yield from batches(iter(passed), SETTLED)
+        if bodies:
+            found, docs = unpack(bodies, tables)
+            del bodies, tables
+            yield from batches(rows(part, found, docs), SETTLED)
 
     return task
 
@@ -201,17 +234,15 @@ def covered_windows(
     for :func:`pack`); units: the same batch and each row's ASKED records to
     SENT rows; resolve: a task's SENT rows to SETTLED ones.
     """
-    spark = texts.sparkSession
-    parts = n_shuffle(spark)
+    parts = n_parts(texts)
 
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches((row for batch in it for docs, found in contexts(batch) for row in pack(docs, found, own, parts)), SENT)
 
-    usable = texts.filter(F.col("doc_id").isNotNull()).select("doc_id", "key", "text")
-    sent = materialize(usable.mapInArrow(send, SENT_SQL), "contexts")
+    usable = _usable(texts)
     # A packet's part is its task: the number of parts follows the input.
-    dealt = sent.filter(F.col("part") != DONE).repartitionById(parts, F.col("part")).select("body", "docs")
-    settled = materialize(dealt.mapInArrow(_settle(own), SETTLED_SQL), "settled")
+    sent = usable.select("doc_id", "key", "text").mapInArrow(send, SENT_SQL)
+    settled = materialize(sent.repartitionById(parts, F.col("part")).mapInArrow(_settle(own), SETTLED_SQL), "settled")
     asked = settled.filter("asked is not null").groupBy("doc_id", "key").agg(F.collect_list("asked").alias("asked"))
 
     def fetch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,16 +253,25 @@ def covered_windows(
 
         yield from batches(rows(), SENT)
 
-    fetched = usable.join(asked, ["doc_id", "key"]).select("doc_id", "key", "text", "asked").mapInArrow(fetch, SENT_SQL)
+    # The same exchange of the texts serves this join and the last one.
+    fetched = usable.join(asked, ["doc_id", "key"], "left").filter("asked is not null").select("doc_id", "key", "text", "asked").mapInArrow(fetch, SENT_SQL)
     resolved = fetched.repartitionById(parts, F.col("part")).mapInArrow(resolve, SETTLED_SQL)
-    local = sent.filter(F.col("part") == DONE).select("doc_id", "key", F.col("body").alias("done"))
-    return local.unionByName(settled.filter("done is not null").select("doc_id", "key", "done")).unionByName(resolved.select("doc_id", "key", "done"))
+    return settled.filter("done is not null").select("doc_id", "key", "done").unionByName(resolved.select("doc_id", "key", "done"))
+
+
+def n_parts(texts: DataFrame) -> int:
+    return 2 * n_shuffle(texts.sparkSession)
+
+
+def _usable(texts: DataFrame) -> DataFrame:
+    return texts.filter(F.col("doc_id").isNotNull())
 
 
 def with_covered(texts: DataFrame, covered: DataFrame) -> DataFrame:
-    """Every row of texts with ``done``: the list of its PLACED records, or null."""
+    """doc_id, text and ``done``, the list of its PLACED records or null, of every row of texts."""
     by_doc = covered.groupBy("doc_id", "key").agg(F.collect_list("done").alias("done"))
-    return texts.select("doc_id", "key", "text").join(by_doc, ["doc_id", "key"], "left").select("doc_id", "text", "done")
+    joined = _usable(texts).join(by_doc, ["doc_id", "key"], "left").select("doc_id", "text", "done")
+    return joined.unionByName(texts.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<binary>").alias("done")))
 
 
 def placed(lists: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +282,6 @@ def placed(lists: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
     return all_["lo"].astype(np.int64), all_["n"].astype(np.int64)
 
 
-__all__ = ["ASKED", "DOC", "PACKED", "PLACED", "SENT", "SETTLED", "batches", "covered_windows", "keyed", "placed", "ranges", "unpack", "with_covered"]
 
 
 def doc_records(batch: pa.RecordBatch) -> np.ndarray:
@@ -257,11 +296,11 @@ def doc_records(batch: pa.RecordBatch) -> np.ndarray:
 FETCHED = np.dtype([("anchor", "<u8"), ("lo", "<u4"), ("n", "u1"), ("doc", "<u2")])
 
 
-def send_units(docs: np.ndarray, asked: np.ndarray, doc: np.ndarray, values: np.ndarray, first: np.ndarray, length: np.ndarray, parts: int) -> Iterator[dict]:
+def send_units(docs: np.ndarray, asked: np.ndarray, doc: np.ndarray, values: np.ndarray, first: np.ndarray, length: np.ndarray) -> Iterator[dict]:
     """SENT rows with the units values[first : first + length] of each asked context."""
     if not len(asked):
         return
-    part = (asked["anchor"] >> U64(40)).astype(np.int64) % parts
+    part = (asked["anchor"] >> U64(32)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     at = _firsts(part[order])
     for a, b in zip(at, np.append(at[1:], len(order)), strict=True):

@@ -15,9 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .kernels import U64, Chunk, chunks, prefix, ranges, run_mask, span_hash, string_bytes, word_codes, words
+from .kernels import Chunk, chunks, prefix, ranges, run_mask, span_hash, string_bytes, word_codes, words
 from .repeats import SETTLED, batches, covered_windows, doc_records, keyed, placed, receive_units, resolved_rows, send_units, with_covered
-from .shared import n_shuffle
 
 PERIOD = 13
 #: A perfect difference set modulo PERIOD (fixed values).
@@ -48,7 +47,7 @@ def _contexts(width: int):
     return of
 
 
-def _units(width: int, parts: int):
+def _units(width: int):
     def of(batch: pa.RecordBatch, asked: list[np.ndarray]) -> Iterator[dict]:
         docs = doc_records(batch)
         for chunk in chunks(batch.column(batch.schema.get_field_index("text"))):
@@ -57,7 +56,7 @@ def _units(width: int, parts: int):
             mine = [asked[i] for i in chunk.rows]
             all_ = np.concatenate(mine)
             doc = np.repeat(np.arange(len(mine)), [len(x) for x in mine])
-            yield from send_units(docs[chunk.rows], all_, doc, codes, bounds[doc] + all_["lo"], all_["n"].astype(np.int64) + width - 1, parts)
+            yield from send_units(docs[chunk.rows], all_, doc, codes, bounds[doc] + all_["lo"], all_["n"].astype(np.int64) + width - 1)
 
     return of
 
@@ -103,8 +102,7 @@ def substring_dedup(docs: DataFrame, width: int = 20, with_kept: bool = True) ->
     if width <= PERIOD:
         raise ValueError(f"width must be over {PERIOD}")
     texts = keyed(docs)
-    parts = n_shuffle(docs.sparkSession)
-    covered = covered_windows(texts, _contexts(width), _units(width, parts), _resolve(width), own=True)
+    covered = covered_windows(texts, _contexts(width), _units(width), _resolve(width), own=True)
 
     def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -131,4 +129,3 @@ def substring_dedup(docs: DataFrame, width: int = 20, with_kept: bool = True) ->
     return with_covered(texts, covered).mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_kept)
 
 
-__all__ = ["COVER", "PERIOD", "U64", "substring_dedup"]

@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame
 
 from .kernels import U64, chunks, mix, prefix, run_mask, span_hash, string_bytes
 from .repeats import SETTLED, batches, covered_windows, doc_records, keyed, placed, receive_units, resolved_rows, send_units, with_covered
-from .shared import n_shuffle
 
 GRAM = 16
 _PLACE = U64((1 << 31) - 1)
@@ -69,12 +68,12 @@ def _contexts(width: int):
     return of
 
 
-def _units(width: int, parts: int):
+def _units(width: int):
     def of(batch: pa.RecordBatch, asked: list[np.ndarray]) -> Iterator[dict]:
         data, offsets = string_bytes(batch.column(batch.schema.get_field_index("text")))
         all_ = np.concatenate(asked)
         doc = np.repeat(np.arange(len(asked)), [len(x) for x in asked])
-        yield from send_units(doc_records(batch), all_, doc, data, offsets[doc] + all_["lo"], all_["n"].astype(np.int64) + width - 1, parts)
+        yield from send_units(doc_records(batch), all_, doc, data, offsets[doc] + all_["lo"], all_["n"].astype(np.int64) + width - 1)
 
     return of
 
@@ -147,8 +146,7 @@ def suffix_array_dedup(docs: DataFrame, width: int = 50, with_kept: bool = True)
     if width < GRAM + 1:
         raise ValueError(f"width must be over {GRAM}")
     texts = keyed(docs)
-    parts = n_shuffle(docs.sparkSession)
-    covered = covered_windows(texts, _contexts(width), _units(width, parts), _resolve(width), own=False)
+    covered = covered_windows(texts, _contexts(width), _units(width), _resolve(width), own=False)
 
     def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
