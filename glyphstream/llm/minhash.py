@@ -8,7 +8,8 @@ below the expected K * threshold that a true link is lost with a probability
 of about 1e-6.  What is left is confirmed on the full shingle sets.
 
 Within a posting not all pairs are listed: each member meets the posting's most
-central member first, and after that only members of other components.
+central member first, and after that only members of other components, inside
+the tasks and in blocks.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import U64, _seeded, chunks, mix, prefix, span_hash, string_bytes, word_codes, words
-from .shared import materialize
+from .repeats import batches
+from .shared import materialize, n_shuffle
 
 N_COORDINATES = 48
 #: Agreements that a pair must have: five standard deviations below 0.8 * 48.
@@ -164,12 +166,8 @@ def minhash_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80) ->
     label = components(links)
     labelled = materialize(postings.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
     main = F.max_by("component", F.struct("weight", F.negative("node")))
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), main.alias("main")).filter("lo < hi").select("token", "main")
-    here = labelled.join(materialize(mixed, "mixed"), "token")
-    odd = here.filter("component <> main").select("token", F.col("node").alias("a"), F.col("component").alias("ca"))
-    rest = odd.join(here.select("token", F.col("node").alias("b"), F.col("component").alias("cb")), "token").filter("ca <> cb")
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _linked(materialize(_agreeing(rest, sets, percent).select("a", "b"), "rest"), texts, shingle_words, percent)
+    mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), main.alias("main"), F.count("*").alias("size")).filter("lo < hi").select("token", "main", "size")
+    more = _met(labelled.join(materialize(mixed, "mixed"), "token"), sets, texts, shingle_words, percent)
     label = components(links.unionByName(more))
     # From classes back to documents; a document with its own set's smallest id is that class.
     known = label.select(F.col("node"), "component")
@@ -180,9 +178,10 @@ def minhash_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80) ->
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
-    """token, node and weight: each node's rarest tokens, as far as an agreeing pair must share one of them.
+    """token, node, weight and rarer: each node's rarest tokens, as far as an agreeing pair must share one of them.
 
-    The weight counts how often the node's tokens are shared.
+    The weight counts how often the node's tokens are shared; bits of rarer
+    tell the coordinates of the node's tokens that come before this one.
 
     Tokens that one node alone has come first in the order and post nothing.
     """
@@ -200,8 +199,9 @@ def _prefixes(sets: DataFrame) -> DataFrame:
     shared = posted.join(counts, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("tokens"), F.sum("n").alias("weight"))
     # The places before the shared tokens are taken by N_COORDINATES - size(tokens) tokens of one node.
     take = F.lit(N_COORDINATES - MIN_AGREEMENTS + 1) - (F.lit(N_COORDINATES) - F.size("tokens"))
-    rarest = shared.filter(take > 0).select("node", "weight", F.explode(F.slice("tokens", F.lit(1), take)).alias("t"))
-    return materialize(rarest.select("t.token", "node", "weight"), "postings")
+    rarest = shared.filter(take > 0).select("node", "weight", F.slice("tokens", F.lit(1), take).alias("tokens")).select("node", "weight", "tokens", F.posexplode("tokens").alias("pos", "t"))
+    rarer = F.expr("aggregate(slice(tokens, 1, pos), 0L, (a, x) -> a | shiftleft(1L, cast(shiftright(x.token, 32) as int)))")
+    return materialize(rarest.select("t.token", "node", "weight", rarer.alias("rarer")), "postings")
 
 
 def _agreeing(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -210,6 +210,80 @@ def _agreeing(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_agree(percent / 100), "a long, b long, agree int")
 
 
+#: Members of a posting that meet at once; larger postings meet block by block.
+BLOCK = 1000
+
+
+def _met(here: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) within postings between members of different components.
+
+    here: token, node, component, main (the component of the posting's head),
+    size and rarer.  Pairs are made inside the tasks, in blocks of bounded
+    size, and no row is made for a pair that is not a link.  A pair meets at
+    its rarest common token only; what earlier links of the block connect is
+    skipped.
+    """
+    nodes = here.select("node").distinct()
+    full = texts.filter("doc_id is not null").toDF("node", "full").join(nodes, "node").mapInArrow(_attach_sets("full", width), "node long, full binary")
+    known = materialize(full.join(sets, "node"), "full")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    every = F.sequence(F.lit(0), blocks - 1)
+    columns = ("node", "component", "rarer")
+    members = here.select("token", F.explode(every).alias("i"), mine.alias("j"), *columns, F.lit(False).alias("odd"))
+    odd = here.filter("component <> main").select("token", mine.alias("i"), F.explode(every).alias("j"), *columns, F.lit(True).alias("odd"))
+    rows = odd.unionByName(members).join(known, "node").select("token", "i", "j", *columns, "odd", "n_shingles", "signature", "full")
+    dealt = rows.repartition(n_shuffle(here.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j", "odd")
+
+    def block(rows: list[dict]) -> Iterator[tuple[int, int]]:
+        x, y = [r for r in rows if r["odd"]], [r for r in rows if not r["odd"]]
+        if not x or not y:
+            return
+        sx, sy = (np.frombuffer(b"".join(r["signature"] for r in z), "<u4").reshape(-1, N_COORDINATES) for z in (x, y))
+        nx, ny = (np.array([r["n_shingles"] for r in z]) for z in (x, y))
+        cx, cy = (np.array([r["component"] for r in z]) for z in (x, y))
+        before = (np.array([r["rarer"] for r in x])[:, None] >> np.arange(N_COORDINATES)) & 1 > 0
+        found = []
+        for k in range(len(x)):
+            same = sy == sx[k]
+            agree = same.sum(axis=1)
+            ok = (agree >= MIN_AGREEMENTS) & (cy != cx[k]) & ~(same & before[k]).any(axis=1)
+            ok &= 100 * np.minimum(ny, nx[k]) >= percent * np.maximum(ny, nx[k])
+            found += [(-int(agree[m]), k, int(m)) for m in np.flatnonzero(ok)]
+        root: dict[int, int] = {}
+
+        def find(v: int) -> int:
+            while root.get(v, v) != v:
+                v = root[v]
+            return v
+
+        held: dict[int, np.ndarray] = {}
+        of = lambda r: held.setdefault(r["node"], np.frombuffer(r["full"], U64))
+        for _, k, m in sorted(found):
+            u, v = find(int(cx[k])), find(int(cy[m]))
+            if u != v:
+                a, b = of(x[k]), of(y[m])
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    root[max(u, v)] = min(u, v)
+                    yield x[k]["node"], y[m]["node"]
+
+    def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links() -> Iterator[dict]:
+            key, held = None, []
+            for batch in it:
+                for r in (r for at in range(0, batch.num_rows, 500) for r in batch.slice(at, 500).to_pylist()):
+                    if (own := (r["token"], r["i"], r["j"])) != key:
+                        yield from ({"a": a, "b": b} for a, b in block(held))
+                        key, held = own, []
+                    held.append(r)
+            yield from ({"a": a, "b": b} for a, b in block(held))
+
+        yield from batches(links(), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return materialize(dealt.mapInArrow(task, "a long, b long"), "met")
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     usable = texts.filter("doc_id is not null")
     with_b = pairs.join(usable.toDF("b", "tb"), "b").select("a", "b", "tb").mapInArrow(_attach_sets("tb", width), "a long, b long, tb binary")
