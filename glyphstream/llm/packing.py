@@ -21,38 +21,69 @@ from pyspark.sql import functions as F
 
 from .shared import materialize, n_shuffle
 
-MAX_CACHE = 300_000
+MAX_CACHE = 400_000
+#: Texts with these are encoded whole or by white space alone: rarer white space, then special tokens.
 _ODD_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+_SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
+#: Beyond Latin letters, or with apostrophes, words are left as they are.
+_RICH = re.compile("['\\u0130]|[^\\x00-\\u024f]")
+#: Letters, and what else is not white space: the tokenizer never joins the two.
+_PARTS = re.compile(r"[^\W\d_]+|(?:[^\s\w]|[\d_])+")
+#: Whether a text needs a look at the three above.
+_UNUSUAL = re.compile("['\\x1c-\\x1f\\x85\\xa0\\u0130]|<[|]|[^\\x00-\\u024f]")
 _TOKENIZERS: dict[str, tuple] = {}
 
 
 def word_tokens(path: str, texts: list[str]) -> list[bytes]:
     """Token ids, as little-endian 32-bit integers, of each text.
 
-    For tokenizers that drop white space and never let a token cross it: words
-    between white space are encoded once and remembered, up to MAX_CACHE.
-    Texts with rarer kinds of white space are encoded whole.
+    For tokenizers that lower case, drop white space, end words with </w> and
+    split letters from other characters: what lies between white space is
+    encoded once, by such parts, and remembered, up to MAX_CACHE.  Texts with
+    rarer white space or special tokens are encoded whole.
     """
     if path not in _TOKENIZERS:
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
-    tokenizer, cache = _TOKENIZERS[path]
-    encode = lambda xs: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(xs, add_special_tokens=False)]
-    if len(cache) > MAX_CACHE:
-        cache.clear()
-    odd = [i for i, t in enumerate(texts) if _ODD_SPACE.search(t)]
-    parts = [t.split() for t in texts]
-    for i in odd:
-        parts[i] = []
-    new = list({w for p in parts for w in p if w not in cache})
-    for at in range(0, len(new), 20_000):
-        some = new[at : at + 20_000]
-        cache.update(zip(some, encode(some), strict=True))
-    get = cache.__getitem__
-    out = [b"".join(map(get, p)) for p in parts]
-    for i, ids in zip(odd, encode([texts[i] for i in odd]) if odd else [], strict=True):
-        out[i] = ids
+        tokenizer = Tokenizer.from_file(path)
+        vocabulary = tokenizer.get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        _TOKENIZERS[path] = (tokenizer, {}, {}, ends)
+    tokenizer, cache, known, ends = _TOKENIZERS[path]
+    encode = lambda xs: [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(xs, add_special_tokens=False)]
+    for held in (cache, known):
+        if len(held) > MAX_CACHE:
+            held.clear()
+    unusual = [i for i, t in enumerate(texts) if _UNUSUAL.search(t)]
+    rich = {i for i in unusual if _RICH.search(texts[i])}
+    whole = {i for i in unusual if _ODD_SPACE.search(texts[i]) or _SPECIAL.search(texts[i])}
+    chunks = [[] if i in whole else t.split() if i in rich else t.lower().split() for i, t in enumerate(texts)]
+    seen: set[str] = set()
+    for c in chunks:
+        seen.update(c)
+    new = {c: [c] if rich and _RICH.search(c) else _PARTS.findall(c) for c in seen.difference(cache)}
+    missing = list({p for parts in new.values() for p in parts}.difference(known))
+    plain = [p for p in missing if p.isalpha()]
+    for at in range(0, len(plain), 1000):
+        # Words joined by spaces are encoded at once and told apart by their ends.
+        some = plain[at : at + 1000]
+        ids = encode([" ".join(some)])[0]
+        cut = np.flatnonzero(ends[ids]) + 1
+        if len(cut) == len(some):
+            raw, first = ids.tobytes(), 0
+            for p, last in zip(some, (cut * 4).tolist(), strict=True):
+                known[p] = raw[first:last]
+                first = last
+    missing = [p for p in missing if p not in known]
+    for at in range(0, len(missing), 20_000):
+        some = missing[at : at + 20_000]
+        known.update((p, ids.tobytes()) for p, ids in zip(some, encode(some), strict=True))
+    for c, parts in new.items():
+        cache[c] = b"".join(map(known.__getitem__, parts))
+    out = [b"".join(map(cache.__getitem__, c)) for c in chunks]
+    for i in whole:
+        out[i] = encode([texts[i]])[0].tobytes()
     return out
 
 

@@ -2,13 +2,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
 from glyphstream.llm.packing import best_fit_pack, fullest, plan, sequences, word_tokens
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-TEXTS = ["Hello, world's  end!\n ", "", None, "naïve café x y \x1d z é '́ ", "<|endoftext|> a<|startoftext|>b", "İstanbul ΣΑΣ ΑΣ. 123 4,5 　", "it's we'll I'D", "한국어 中文 😀😀 a​b"]
+TEXTS = ["Hello, world's  end!\n ", "", None, "naïve café x y \x1d z é '́ ", "<|endoftext|> a<|startoftext|>b", "İstanbul ΣΑΣ ΑΣ. 123 4,5 　", "it's we'll I'D", "한국어 中文 😀😀 a​b", "Ünïcode WORDS, (and)--more_ 12ab3² ½x __a#_b ÀÉ.ß ªº", "<|EndOfText|> <|x|> !!! a1b2", "e\u0301 \u0301 O'Neil's 'S"]
 
 
 def test_word_cache_equals_whole_texts():
@@ -17,6 +18,13 @@ def test_word_cache_equals_whole_texts():
         assert np.frombuffer(word_tokens(PATH, [t or ""])[0], "<u4").tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
+def test_word_cache_on_documents():
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()
+    tokenizer = Tokenizer.from_file(PATH)
+    expected = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert word_tokens(PATH, [t or "" for t in texts]) == expected
+
+
 def test_plan():
     assert fullest(10, {7: 1, 6: 1, 4: 2, 3: 1}) in ({7: 1, 3: 1}, {6: 1, 4: 1})
     assert fullest(5, {4: 1, 2: 3}) == {4: 1} or fullest(5, {4: 1, 2: 3}) == {2: 2}
