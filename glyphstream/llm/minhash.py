@@ -5,7 +5,7 @@ signatures that agree in at least t of K coordinates share one of the K - t + 1
 rarest pairs of either (prefix filter), so only those are posted, and pairs of
 sets with unequal sizes or fewer than t agreements are skipped.  t is so far
 below the expected K * threshold that a true link is lost with a probability
-of about 1e-6.  What is left is confirmed on the full shingle sets.
+of about 1e-5.  What is left is confirmed on the full shingle sets.
 
 Within a posting not all pairs are listed: each member meets the posting's most
 central member first, and after that only members of other components, inside
