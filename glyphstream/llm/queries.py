@@ -17,6 +17,7 @@ from .packing import best_fit_pack
 from .quality_crf import classify_quality
 from .quality_rules import quality_rules
 from .shared import shared_dir
+from .sql import SQL  # noqa: F401
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_array_dedup
 from .warc import read_warc, write_warc
@@ -96,4 +97,3 @@ _ALL = (
     op10_minhash_near_dedup,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-SQL: dict[str, str] = {}
