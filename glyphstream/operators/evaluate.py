@@ -114,3 +114,10 @@ def quality_violations(rows: DataFrame) -> DataFrame:
     """label, person, reason, n of rows that break the dataset's rules."""
     reason = F.when(F.coalesce(F.col("person"), F.lit("")) == "", "no person").when((F.col("person") == UNKNOWN) & (F.length("label") == 1), "letter of an unknown person")
     return rows.select("label", "person", reason.alias("reason")).filter("reason is not null").groupBy("label", "person", "reason").agg(F.count("*").alias("n"))
+
+
+def accuracy_by_take(preds: DataFrame) -> DataFrame:
+    """take, accuracy, n and share of all rows; the sum of accuracy * share is the accuracy of the mix."""
+    takes = preds.groupBy("take").agg(F.avg((F.col("true") == F.col("pred")).cast("int")).alias("accuracy"), F.count("*").alias("n"))
+    total = takes.agg(F.sum("n").alias("_total"))
+    return takes.crossJoin(F.broadcast(total)).select("take", "accuracy", "n", (F.col("n") / F.col("_total")).alias("share"))

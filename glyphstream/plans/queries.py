@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import debounce as db
+from ..operators import decision as dec
+from ..operators import dispersion as disp
 from ..operators import evaluate as ev
 from ..operators import geometry as geo
 from ..operators import sequence as seq
 from ..operators import text as tx
+from ..operators import train as tr
 from . import views
 from .views import with_views
 
@@ -385,3 +388,66 @@ def spell_candidates(spark, sf_dir):
     vocab = tx.vocabulary(views.table(spark, sf_dir, "documents").filter("lang = 'en'"), _boosts(spark)).filter("cnt >= 20")
     asked = views.table(spark, sf_dir, "benchmark").select(F.regexp_extract(F.lower("text"), "[a-z]+", 0).alias("term")).filter("term <> ''")
     return tx.spell_candidates(asked, vocab)
+
+
+# --- spread, gates, decisions, training ---
+
+
+def _features(spark, sf_dir):
+    points = [F.transform("landmarks", lambda p: p["x"]), F.transform("landmarks", lambda p: p["y"])]
+    return views.frames_emb(spark, sf_dir).withColumn("features", F.concat(*points))
+
+
+_LONG = "+ x as (select stream_id, label, person, frame_no, unnest(range(42)) as k, unnest(list_concat(xs, ys)) as v from frames_emb)"
+
+
+@query(_LONG + ", m as (select label, person, k, avg(v) as a, sum(v) as s, count(*) as n from x group by all), t as (select *, (sum(s) over (partition by label, k) - s) / nullif(sum(n) over (partition by label, k) - n, 0) as o from m), c as (select label, person, any_value(n) as n, sqrt(sum((a - o) ** 2)) as d from t group by all), r as (select x.label, x.person, frame_no, sqrt(sum((v - a) ** 2)) as l from x join m using (label, person, k) group by all), q as (select label, person, avg(l) as spread from r group by all) select label, person, n, round(d, 6) as centroid_distance, round(spread, 6) as spread from c join q using (label, person)", "frames_emb")
+def dispersion(spark, sf_dir):
+    return _rounded(disp.dispersion(_features(spark, sf_dir), 42), "centroid_distance", "spread")
+
+
+@query(_LONG + ", l as (select *, lag(v) over w as pv, lag(label) over w as pl from x window w as (partition by stream_id, k order by frame_no)), d as (select label, frame_no, sum((v - pv) ** 2) as d from l where pl = label group by all), n as (select label, count(*) as n_near, avg(d) as near from d group by label), f as (select label, sum(vs) as far from (select label, k, 2 * var_samp(v) as vs from x group by all) group by label) select f.label, coalesce(n_near, 0) as n_near, round(near, 6) as near, round(far, 6) as far from f left join n on f.label = n.label", "frames_emb")
+def leakage_ratio(spark, sf_dir):
+    return _rounded(disp.leakage_ratio(_features(spark, sf_dir), 42), "near", "far")
+
+
+@query("select t.transform, count(*) as n, true as invariant from frames_emb, (values ('shift'), ('scale'), ('rotation')) t(transform) group by all", "frames_emb")
+def invariance_audit(spark, sf_dir):
+    return disp.invariance_audit(views.frames_emb(spark, sf_dir))
+
+
+_PROBS = "+ p as (select vec_id as frame_no, [abs(e::double) for e in embedding[1:10]] as p from embeddings), q as (select frame_no, list_max(p) as best, list_position(p, list_max(p)) - 1 as i from p), g as (select frame_no, case when best > 0.25 then i::varchar else '' end as gated from q)"
+
+
+def _gated(spark, sf_dir):
+    p = F.transform(F.slice("embedding", 1, 10), lambda x: F.abs(x.cast("double")))
+    labels = F.array(*[F.lit(str(i)) for i in range(10)])
+    return views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_no"), dec.confidence_gate(p, labels, 0.25).alias("gated"))
+
+
+@query(_PROBS + " select frame_no, gated from g", "frames_emb")
+def confidence_gate(spark, sf_dir):
+    return _gated(spark, sf_dir)
+
+
+@query(_WINDOW + _PROBS.replace("+ p as", ", p as") + ", d as (select w.stream_id, w.frame_no, w.label not in ('2', '3', '5', '7') as hand, m >= 3 and pm > 0.08 as candidate, gated from w join g using (frame_no)), e as (select *, sum(hand::int) over (partition by stream_id order by frame_no) as part from d), f as (select *, count(*) filter (not hand) over (partition by stream_id, part order by frame_no) as missed from e) select stream_id, frame_no, case when not hand and missed >= 5 then '' when not hand then null when candidate then '' else gated end as fed, not hand and missed >= 5 as clear from f", "frames_emb")
+def frame_decision(spark, sf_dir):
+    marks = geo.motion_window(views.frames_emb(spark, sf_dir), LOOSE).select("stream_id", "frame_no", (~F.col("label").isin("2", "3", "5", "7")).alias("hand"), "candidate")
+    frames = marks.join(_gated(spark, sf_dir), "frame_no").withColumn("motion", F.lit(None).cast("string"))
+    return dec.frame_decision(frames).select("stream_id", "frame_no", "fed", "clear")
+
+
+@query()
+def motion_fires(spark, sf_dir):
+    return dec.motion_fires(views.frames_emb(spark, sf_dir), LOOSE)
+
+
+@query('select pos // 20 as take, round(avg(("true" = pred)::int), 6) as accuracy, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share from preds_ev group by 1', "preds_ev")
+def accuracy_by_take(spark, sf_dir):
+    takes = views.preds_ev(spark, sf_dir).withColumn("take", F.expr("pos div 20"))
+    return _rounded(ev.accuracy_by_take(takes), "accuracy", "share")
+
+
+@query()
+def train_and_score(spark, sf_dir):
+    return tr.leave_one_out(_features(spark, sf_dir).select("person", "label", "features"), 42, hidden=(32,), max_iter=20)
