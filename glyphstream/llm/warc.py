@@ -191,13 +191,15 @@ def read_warc(files: DataFrame, with_payload: bool = True) -> DataFrame:
             for batch in it:
                 for value in batch.column(0):
                     content = value.as_py()
-                    yield from parse(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content)
+                    for r in parse(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content):
+                        if r["no"] is None:
+                            # A whole record is a page at once; only segments carry their blocks on.
+                            page = _page(r, r["block"], with_payload)
+                            r |= {"n_bytes": page["payload_bytes"], "digest": page["payload_digest"], "block": page["payload"]}
+                        yield r
 
         yield from batches(rows(), SEGMENT)
 
-    def whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batches((_page(r, r["block"], with_payload) for batch in it for r in batch.to_pylist()), PAGE)
-
     def assemble(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[dict]:
             for batch in it:
@@ -212,7 +214,7 @@ def read_warc(files: DataFrame, with_payload: bool = True) -> DataFrame:
 
     segments = files.select("content").mapInArrow(split, SEGMENT_SQL)
     segments = materialize(segments, "segments")
-    single = segments.filter("no is null").mapInArrow(whole, PAGE_SQL)
+    single = segments.filter("no is null").selectExpr("page_id", "n_bytes payload_bytes", "digest payload_digest", "kind record_type", "refers_to", "block payload")
     several = segments.filter("no is not null").groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("no", "total", "origin", "page_id", "kind", "digest", "n_bytes", "refers_to", "block"))).alias("parts"))
     return single.unionByName(several.select("parts").mapInArrow(assemble, PAGE_SQL))
 
