@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .shared import materialize, n_shuffle
 
-MAX_CACHE = 400_000
+#: Words remembered before a generation of them ends; the one before it is kept for those still in use.
+MAX_CACHE = 500_000
 #: Texts with these are encoded whole or by white space alone: rarer white space, then special tokens.
 _ODD_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 _SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
@@ -29,18 +30,40 @@ _SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 _RICH = re.compile("['\\u0130]|[^\\x00-\\u024f]")
 #: Letters, and what else is not white space: the tokenizer never joins the two.
 _PARTS = re.compile(r"[^\W\d_]+|(?:[^\s\w]|[\d_])+")
-#: Whether a text needs a look at the three above.
-_UNUSUAL = re.compile("['\\x1c-\\x1f\\x85\\xa0\\u0130]|<[|]|[^\\x00-\\u024f]")
+#: Whether a text needs a look at the three above, as one class of characters, which is searched fastest.
+_UNUSUAL = re.compile("['<\\x1c-\\x1f\\x85\\xa0\\u0130\\u0250-\\U0010ffff]")
 _TOKENIZERS: dict[str, tuple] = {}
 
 
+class _Memory:
+    """Token ids by word, in two generations: what is still in use outlives a full one."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        if len(self.young) > MAX_CACHE:
+            self.young, self.old = {}, self.young
+
+    def unknown(self, words: set[str]) -> set[str]:
+        """The words that are not remembered; the others are in the young generation afterwards."""
+        young, old = self.young, self.old
+        words = words.difference(young)
+        if old:
+            young.update([(w, old[w]) for w in words if w in old])
+            words = words.difference(young)
+        return words
+
+
 def word_tokens(path: str, texts: list[str]) -> list[bytes]:
     """Token ids, as little-endian 32-bit integers, of each text.
 
     For tokenizers that lower case, drop white space, end words with </w> and
     split letters from other characters: what lies between white space is
-    encoded once, by such parts, and remembered, up to MAX_CACHE.  Texts with
-    rarer white space or special tokens are encoded whole.
+    encoded once, by such parts, and remembered, in generations of MAX_CACHE
+    and what one batch adds.  Texts with rarer white space or special tokens are
+    encoded whole.
     """
     if path not in _TOKENIZERS:
         from tokenizers import Tokenizer
@@ -49,12 +72,9 @@ def word_tokens(path: str, texts: list[str]) -> list[bytes]:
         vocabulary = tokenizer.get_vocab()
         ends = np.zeros(max(vocabulary.values()) + 1, bool)
         ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        _TOKENIZERS[path] = (tokenizer, {}, {}, ends)
-    tokenizer, cache, known, ends = _TOKENIZERS[path]
+        _TOKENIZERS[path] = (tokenizer, _Memory(), ends)
+    tokenizer, memory, ends = _TOKENIZERS[path]
     encode = lambda xs: [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(xs, add_special_tokens=False)]
-    for held in (cache, known):
-        if len(held) > MAX_CACHE:
-            held.clear()
     unusual = [i for i, t in enumerate(texts) if _UNUSUAL.search(t)]
     rich = {i for i in unusual if _RICH.search(texts[i])}
     whole = {i for i in unusual if _ODD_SPACE.search(texts[i]) or _SPECIAL.search(texts[i])}
@@ -62,8 +82,12 @@ def word_tokens(path: str, texts: list[str]) -> list[bytes]:
     seen: set[str] = set()
     for c in chunks:
         seen.update(c)
-    new = {c: [c] if rich and _RICH.search(c) else _PARTS.findall(c) for c in seen.difference(cache)}
-    missing = list({p for parts in new.values() for p in parts}.difference(known))
+    memory.turn()
+    known = memory.young
+    new = memory.unknown(seen)
+    # Words of letters alone are their own parts.
+    split = {c: _PARTS.findall(c) for c in new if not c.isalpha() and not (rich and _RICH.search(c))}
+    missing = list(new.difference(split) | memory.unknown({p for parts in split.values() for p in parts}))
     plain = [p for p in missing if p.isalpha()]
     for at in range(0, len(plain), 1000):
         # Words joined by spaces are encoded at once and told apart by their ends.
@@ -79,9 +103,9 @@ def word_tokens(path: str, texts: list[str]) -> list[bytes]:
     for at in range(0, len(missing), 20_000):
         some = missing[at : at + 20_000]
         known.update((p, ids.tobytes()) for p, ids in zip(some, encode(some), strict=True))
-    for c, parts in new.items():
-        cache[c] = b"".join(map(known.__getitem__, parts))
-    out = [b"".join(map(cache.__getitem__, c)) for c in chunks]
+    for c, parts in split.items():
+        known[c] = b"".join(map(known.__getitem__, parts))
+    out = [b"".join(map(known.__getitem__, c)) for c in chunks]
     for i in whole:
         out[i] = encode([texts[i]])[0].tobytes()
     return out
