@@ -6,6 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
+from glyphstream.llm import packing
 from glyphstream.llm.packing import best_fit_pack, fullest, plan, sequences, word_tokens
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -77,3 +78,14 @@ def test_empty(spark):
 def test_one_common_length(spark, n):
     packed = best_fit_pack(spark.range(n).selectExpr("id as doc_id", "'a' as text"), PATH, size=10).collect()
     assert len({(r.sequence_id, r.offset) for r in packed}) == n and len({r.sequence_id for r in packed}) == n / 5
+
+
+def test_forgotten_words_are_encoded_again(monkeypatch):
+    """Generations of a few words turn over at each batch; ids stay those of the tokenizer."""
+    monkeypatch.setattr(packing, "MAX_CACHE", 3)
+    monkeypatch.setattr(packing, "_TOKENIZERS", {})
+    whole = Tokenizer.from_file(PATH)
+    batches = [["The cat, the CAT. 12-3"], ["other words here now", "cat!"], ["don't <b> the cat"], ["The cat, été 12-3 words"], ["", "the <|endoftext|> other"]]
+    for texts in batches * 2:
+        expected = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert packing.word_tokens(PATH, texts) == expected
