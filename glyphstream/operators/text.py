@@ -35,7 +35,8 @@ def _deletes(terms: DataFrame, name: str) -> DataFrame:
     first = F.substring(F.col("term"), 1, PREFIX)
     one = terms.select("term", F.array_distinct(F.concat(F.array(first), cut(first))).alias("d"))
     two = one.select("term", F.array_distinct(F.concat("d", F.flatten(F.transform("d", cut)))).alias("d"))
-    return two.select(F.col("term").alias(name), F.explode("d").alias("d"))
+    # Never empty.  Of a plain explode the optimiser would test that, once for each word of the texts.
+    return two.select(F.col("term").alias(name), F.explode_outer("d").alias("d"))
 
 
 def spell_candidates(misspelt: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -385,8 +385,8 @@ def vocabulary(spark, sf_dir):
 
 @query()
 def spell_candidates(spark, sf_dir):
-    vocab = tx.vocabulary(views.table(spark, sf_dir, "documents").filter("lang = 'en'"), _boosts(spark)).filter("cnt >= 20")
-    asked = views.table(spark, sf_dir, "benchmark").select(F.regexp_extract(F.lower("text"), "[a-z]+", 0).alias("term")).filter("term <> ''")
+    vocab = tx.vocabulary(views.table(spark, sf_dir, "documents").filter("lang = 'en'"), _boosts(spark))
+    asked = views.table(spark, sf_dir, "benchmark").select(F.explode(F.expr("regexp_extract_all(lower(text), '[a-z]+', 0)")).alias("term"))
     return tx.spell_candidates(asked, vocab)
 
 
