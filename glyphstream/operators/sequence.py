@@ -40,11 +40,18 @@ def sessions(log: DataFrame) -> DataFrame:
 def attribute_person(log: DataFrame, names: DataFrame, n_letters: int) -> DataFrame:
     """stream_id, session, label, person, n: rows by session and label under the session's person.
 
-    names has session and person; labels of more than n_letters characters are of an unknown person.
+    names has session and person, one row for each session there is; else the
+    query fails.  Labels of more than n_letters characters are of an unknown person.
     """
     cut = sessions(log).withColumn("n", F.col("end") - F.col("start"))
-    person = F.when(F.length("label") > n_letters, "unknown").otherwise(F.coalesce("person", F.lit("unnamed")))
-    return cut.join(names, "session", "left").withColumn("person", person).groupBy("stream_id", "session", "label", "person").agg(F.sum("n").alias("n"))
+    told = names.groupBy("session").agg(F.count("*").alias("_names"), F.first("person").alias("person"))
+    asked = cut.groupBy("stream_id", "session", "label").agg(F.sum("n").alias("n"))
+    # A name without a session fails as a session without a name does.
+    both = asked.join(told, "session", "full")
+    wrong = F.col("_names").isNull() | (F.col("_names") != 1) | F.col("stream_id").isNull() | F.col("person").isNull()
+    refused = F.raise_error(F.concat(F.lit("sessions and names do not match at session "), F.coalesce(F.col("session").cast("string"), F.lit("null"))))
+    person = F.when(wrong, refused).when(F.length("label") > n_letters, "unknown").otherwise(F.col("person"))
+    return both.select("stream_id", "session", "label", person.alias("person"), "n")
 
 
 def run_commit(frames: DataFrame, length: int = 3) -> DataFrame:
