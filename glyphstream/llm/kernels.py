@@ -145,6 +145,17 @@ def word_codes(chunk: Chunk, starts: np.ndarray, ends: np.ndarray, lower: bool =
     return span_hash(prefix(BYTE_CODES[data]), starts, ends)
 
 
+def runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of rows that are equal in all columns."""
+    n = len(columns[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    first = np.flatnonzero(new)
+    return first, np.append(first[1:], n)[: len(first)]
+
+
 def run_mask(lo: np.ndarray, hi: np.ndarray, n: int) -> np.ndarray:
     """Which of n places lie in any of the spans [lo, hi)."""
     edge = np.zeros(n + 1, np.int64)

@@ -1,11 +1,11 @@
 """Line dedup: drop lines that an earlier document already has.
 
-Pass 1 sends a hash of every line, once per chunk of text, to the task that
-owns it.  The owner fills two Bloom filters, of hashes seen once and seen
-again; what the second one holds is suspect.  Pass 2 sends only suspect lines,
-as text, for exact confirmation and the choice of the first document.  The
-twice-seen filter reaches the tasks by broadcast while its hashes are few
-enough for a filter of bounded size, and else by a semi join on the hash.
+Pass 1 sends hashes of lines to the task that owns them, combined over some
+megabytes of text first.  The owner fills two Bloom filters, of hashes seen
+once and seen again, and tells each document which of its lines the second one
+holds.  Pass 2 sends only these suspected lines, as text, for exact
+confirmation and the choice of the first document.  Filters are as many as
+there are partitions, so none grows with the corpus, and nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -17,16 +17,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .kernels import BYTE_CODES, LOWER, SPACE, U64, Chunk, chunks, mix, prefix, span_hash, string_bytes
-from .repeats import batches
-from .shared import materialize, n_shuffle
+from .kernels import BYTE_CODES, LOWER, SPACE, U64, Chunk, chunks, mix, prefix, runs, span_hash, string_bytes
+from .repeats import DOC, batches, doc_records
+from .shared import by_place, materialize, n_shuffle, place_of
 
-#: The twice-seen filter is broadcast up to this size.
-MAX_FILTER_BYTES = 8 << 20
 BITS_PER_HASH = 12
 N_PROBES = 4
-_KEY = "_gs_key"
+#: Lines whose hashes a task combines before it sends them.
+COMBINED = 400_000
+#: Hashes that a task remembers to have sent as found in several documents.
+TOLD = 1_000_000
 
 
 def lines_of(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,9 +54,9 @@ def line_keys(chunk: Chunk, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
 class Bloom:
     """A Bloom filter over 64-bit hashes."""
 
-    def __init__(self, n: int, bits: np.ndarray | None = None) -> None:
+    def __init__(self, n: int) -> None:
         self.n_bits = max(64, n * BITS_PER_HASH)
-        self.bits = np.zeros(self.n_bits // 8 + 1, np.uint8) if bits is None else bits
+        self.bits = np.zeros(self.n_bits // 8 + 1, np.uint8)
 
     def _probes(self, hashes: np.ndarray) -> Iterator[np.ndarray]:
         step = mix(hashes) | U64(1)
@@ -72,29 +74,143 @@ class Bloom:
         return out
 
 
-PACKET = pa.schema([("part", pa.int32()), ("hashes", pa.binary())])
+#: To an owner: part, docs (DOC records) and body; or of a document: doc_id, key and body, hashes of suspected lines.
+SENT = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("docs", pa.binary()), ("body", pa.binary())])
+SENT_SQL = "part int, doc_id long, key long, docs binary, body binary"
+SUSPECT = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("body", pa.binary())])
+SUSPECT_SQL = "doc_id long, key long, body binary"
+
+
+def _by_doc(docs: np.ndarray, hashes: np.ndarray) -> Iterator[dict]:
+    """doc_id, key and hashes, one row for each of the DOC records."""
+    order = np.lexsort((docs["key"], docs["doc_id"]))
+    docs, hashes = docs[order], hashes[order]
+    for a, b in zip(*runs(docs), strict=True):
+        yield {"doc_id": int(docs["doc_id"][a]), "key": int(docs["key"][a]), "body": hashes[a:b].tobytes()}
+
+
+def _combined(docs: np.ndarray, doc: np.ndarray, h: np.ndarray, told: np.ndarray, parts: int) -> tuple[list[dict], np.ndarray]:
+    """SENT rows for lines (index into docs, hash), and the hashes found in several documents."""
+    order = np.lexsort((docs["key"][doc], docs["doc_id"][doc], h))
+    h, doc = h[order], doc[order]
+    ids = docs["doc_id"][doc]
+    first, last = runs(h)
+    several = ids[last - 1] > ids[first]
+    here = np.repeat(several | np.isin(h[first], told), last - first)
+    rows = [r | {"part": (r["key"] ^ r["doc_id"]) % parts, "docs": None} for r in _by_doc(docs[doc[here]], h[here])]
+    # Of the others, which one document alone has so far, every row of that document goes along.
+    alone, told_now = ~here, np.setdiff1d(h[first][several], told)
+    sent, of = np.concatenate([h[alone], told_now]), np.concatenate([doc[alone], np.full(len(told_now), -1)])
+    part = (sent >> U64(33)).astype(np.int64) % parts
+    order = np.lexsort((of, part))
+    part, sent, of = part[order], sent[order], of[order]
+    for a, b in zip(*runs(part), strict=True):
+        n_told = int(np.searchsorted(of[a:b], 0))
+        used, place = np.unique(of[a + n_told : b], return_inverse=True)
+        body = np.array([n_told], "<u4").tobytes() + sent[a:b].tobytes() + place.astype("<u4").tobytes()
+        rows.append({"part": int(part[a]), "doc_id": None, "key": None, "docs": docs[used].tobytes(), "body": body})
+    return rows, told_now
+
+
+def _send(place: int, min_chars: int, parts: int):
+    """Pass 1, where the text is the column of that place."""
 
+    def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[dict]:
+            told = np.zeros(0, U64)
+            docs, doc, h, n, base = [], [], [], 0, 0
+            for batch in it:
+                records = doc_records(batch)
+                for chunk in chunks(batch.column(place)):
+                    starts, ends, bounds = lines_of(chunk)
+                    _, _, points, hashes = line_keys(chunk, starts, ends)
+                    use = points >= min_chars
+                    docs.append(records[chunk.rows])
+                    doc.append(np.repeat(np.arange(len(chunk.rows)), np.diff(bounds))[use] + base)
+                    h.append(hashes[use] >> U64(1))
+                    base, n = base + len(chunk.rows), n + len(h[-1])
+                    if n >= COMBINED:
+                        out, new = _combined(np.concatenate(docs), np.concatenate(doc), np.concatenate(h), told, parts)
+                        yield from out
+                        # Forgotten hashes are sent once more, no more.
+                        told = np.sort(np.concatenate([told, new])) if len(told) + len(new) <= TOLD else np.sort(new)
+                        docs, doc, h, n, base = [], [], [], 0, 0
+            if n:
+                yield from _combined(np.concatenate(docs), np.concatenate(doc), np.concatenate(h), told, parts)[0]
 
-def _suspects(packets: DataFrame, parts: int) -> DataFrame:
-    """Hashes, packed, that a task's twice-seen filter holds.  The lowest bit of a sent hash says that its chunk has it in two documents."""
+        yield from batches(rows(), SENT)
 
-    def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.frombuffer(x, U64) for batch in it for x in batch.column(0).to_pylist()]
-        n = sum(map(len, held))
+    return task
+
+
+def _suspects(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of an owner's share, what its twice-seen filter holds, by document; what is suspect already passes."""
+
+    def rows() -> Iterator[dict]:
+        held = []
+        for batch in it:
+            for doc_id, key, docs, body in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                if docs is None:
+                    yield {"doc_id": doc_id, "key": key, "body": body}
+                else:
+                    held.append((docs, body))
+        n = sum((len(body) - 4) // 8 for _, body in held)
         once, twice = Bloom(n), Bloom(n)
-        for sent in held:  # a packet has a hash once
-            h = sent >> U64(1)
-            twice.add(h[once.has(h) | (sent & U64(1) > 0)])
-            once.add(h)
-        found = [np.unique(h[twice.has(h)]) for h in (x >> U64(1) for x in held)]
-        all_ = np.unique(np.concatenate(found)) if found else np.zeros(0, U64)
-        yield from batches(({"part": len(x), "hashes": x.tobytes()} for x in np.array_split(all_, len(all_) // 100_000 + 1) if len(x)), PACKET)
 
-    return packets.repartitionById(parts, F.col("part")).select("hashes").mapInArrow(task, "part int, hashes binary")
+        def opened() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for docs, body in held:
+                n_told = int(np.frombuffer(body, "<u4", 1)[0])
+                n_sent = (len(body) - 4 + 4 * n_told) // 12
+                sent = np.frombuffer(body, U64, n_sent, 4)
+                yield sent[:n_told], sent[n_told:], np.frombuffer(docs, DOC)[np.frombuffer(body, "<u4", offset=4 + 8 * n_sent)]
 
+        for told, sent, _ in opened():
+            twice.add(told)
+            own = np.unique(sent)  # two rows of one document are no second sight
+            twice.add(own[once.has(own)])
+            once.add(own)
+        for _, sent, docs in opened():
+            hit = twice.has(sent)
+            yield from _by_doc(docs[hit], sent[hit])
 
-LINE = pa.schema([("h", pa.int64()), ("line", pa.string()), ("doc_id", pa.int64()), ("key", pa.int64()), ("nos", pa.list_(pa.int32()))])
-LINE_SQL = "h long, line string, doc_id long, key long, nos array<int>"
+    yield from batches(rows(), SUSPECT)
+
+
+LINE_SQL = "h long, line string, docs array<struct<doc_id:long,key:long,nos:array<int>>>"
+LINE = pa.schema([("h", pa.int64()), ("line", pa.string()), ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("key", pa.int64()), ("nos", pa.list_(pa.int32()))])))])
+
+
+def _emit(place: int, min_chars: int):
+    """Pass 2: the suspected lines of documents, whose hashes are in the last column; equal ones of a chunk make one row."""
+
+    def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[dict]:
+            for batch in it:
+                records, suspected = doc_records(batch), batch.column(batch.num_columns - 1)
+                for chunk in chunks(batch.column(place)):
+                    starts, ends, bounds = lines_of(chunk)
+                    lo, hi, points, hashes = line_keys(chunk, starts, ends)
+                    hashes = hashes >> U64(1)
+                    data = LOWER[chunk.data].tobytes()
+                    held: dict[bytes, dict[int, list[int]]] = {}
+                    told: dict[bytes, int] = {}
+                    for d, row in enumerate(chunk.rows.tolist()):
+                        a, b = int(bounds[d]), int(bounds[d + 1])
+                        own = np.frombuffer(b"".join(suspected[row].as_py()), U64)
+                        for k in (np.flatnonzero(np.isin(hashes[a:b], own) & (points[a:b] >= min_chars)) + a).tolist():
+                            line = data[lo[k] : hi[k]]
+                            told[line] = int(hashes[k])
+                            held.setdefault(line, {}).setdefault(row, []).append(k - a)
+                    for line, by_row in held.items():
+                        docs = [{"doc_id": int(records["doc_id"][r]), "key": int(records["key"][r]), "nos": nos} for r, nos in by_row.items()]
+                        yield {"h": told[line], "line": line.decode("utf-8", "replace"), "docs": docs}
+
+        yield from batches(rows(), LINE)
+
+    return task
+
+
+RESULTS = (("n_lines", T.LongType()), ("n_dropped", T.LongType()), ("kept_sha256", T.StringType()))
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 10) -> DataFrame:
@@ -104,114 +220,56 @@ def line_dedup(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     A-Z lower-cased; keys of fewer than ``min_chars`` code points stay.
     Returns the columns of docs with ``text`` replaced by the lines that are
     left, joined by newlines, and n_lines, n_dropped and kept_sha256; columns
-    of docs with these names are replaced.
+    of docs with these names, in any case, are replaced, and all others stay.
 
     Null text counts as empty, and an empty text as one empty line.  A null
     doc_id: the document keeps all lines and is nobody's first document.  Rows
     that repeat a doc_id are one document.  A document whose lines all go stays,
-    with an empty text.
+    with an empty text.  A text, with a few arrays of its length, is held by
+    one task at once.
     """
-    spark = docs.sparkSession
-    parts = n_shuffle(spark)
-    results = ("n_lines", "n_dropped", "kept_sha256")
-    carried = [F.col(f"`{c}`") for c in docs.columns if c not in (*results, "text", "doc_id", _KEY)]
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *carried)
-    base = base.withColumn(_KEY, F.xxhash64("text"))
-    texts = base.filter(F.col("doc_id").isNotNull()).select("doc_id", F.col(_KEY).alias("key"), "text")
-
-    def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[dict]:
-            for batch in it:
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                for chunk in chunks(batch.column(2)):
-                    starts, ends, bounds = lines_of(chunk)
-                    _, _, points, hashes = line_keys(chunk, starts, ends)
-                    doc = np.repeat(ids[chunk.rows], np.diff(bounds))
-                    use = points >= min_chars
-                    h, doc = hashes[use] >> U64(1), doc[use]
-                    if not len(h):
-                        continue
-                    order = np.lexsort((doc, h))
-                    h, doc = h[order], doc[order]
-                    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-                    several = np.maximum.reduceat(doc, first) > np.minimum.reduceat(doc, first)
-                    sent = (h[first] << U64(1)) | several.astype(U64)
-                    part = (sent >> U64(33)).astype(np.int64) % parts
-                    order = np.argsort(part, kind="stable")
-                    at = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0]))
-                    for a, b in zip(at, np.append(at[1:], len(order)), strict=True):
-                        yield {"part": int(part[order[a]]), "hashes": sent[order[a:b]].tobytes()}
-
-        yield from batches(rows(), PACKET)
-
-    suspects = materialize(_suspects(texts.mapInArrow(send, "part int, hashes binary"), parts), "suspects")
-    n_suspects = suspects.agg(F.coalesce(F.sum("part"), F.lit(0))).first()[0]
-    bits = None
-    if n_suspects * BITS_PER_HASH <= 8 * MAX_FILTER_BYTES:
-        twice = Bloom(n_suspects)
-        for row in suspects.select("hashes").toLocalIterator():
-            twice.add(np.frombuffer(row.hashes, U64))
-        bits = spark.sparkContext.broadcast(twice.bits)
-
-    def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice = Bloom(n_suspects, bits.value) if bits is not None else None
-
-        def rows() -> Iterator[dict]:
-            for batch in it:
-                ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for chunk in chunks(batch.column(2)):
-                    starts, ends, bounds = lines_of(chunk)
-                    lo, hi, points, hashes = line_keys(chunk, starts, ends)
-                    use = np.flatnonzero(points >= min_chars)
-                    h = hashes[use] >> U64(1)
-                    if twice is not None:
-                        hit = twice.has(h)
-                        use, h = use[hit], h[hit]
-                    doc = np.searchsorted(bounds, use, side="right") - 1
-                    data = LOWER[chunk.data].tobytes()
-                    held: dict[tuple[int, bytes], list] = {}
-                    for k, v, d in zip(use.tolist(), h.tolist(), doc.tolist(), strict=True):
-                        held.setdefault((d, data[lo[k] : hi[k]]), [v]).append(k - int(bounds[d]))
-                    for (d, line), (v, *nos) in held.items():
-                        row = int(chunk.rows[d])
-                        yield {"h": v, "line": line.decode("utf-8", "replace"), "doc_id": ids[row], "key": keys[row], "nos": nos}
-
-        yield from batches(rows(), LINE)
-
-    found = texts.mapInArrow(emit, LINE_SQL)
-    if bits is None:
-        hex_bytes = "array_join(transform(sequence(0, 7), k -> hex(substring(hashes, i * 8 + 8 - k, 1))), '')"
-        hashes = suspects.select("hashes", F.explode(F.expr("sequence(0, length(hashes) div 8 - 1)")).alias("i"))
-        hashes = hashes.select(F.conv(F.expr(hex_bytes), 16, 10).cast("long").alias("h"))
-        found = found.join(hashes.distinct(), "h", "left_semi")
-    found = materialize(found, "lines")
+    parts = n_shuffle(docs.sparkSession)
+    names = [n for n, _ in RESULTS]
+    plain, back = by_place(docs, names)
+    at = place_of(docs, "text")
+    base = plain.withColumn(f"_{at}", F.coalesce(F.col(f"_{at}").cast("string"), F.lit("")))
+    base = base.withColumns({"doc_id": F.col(f"_{place_of(docs, 'doc_id')}").cast("long"), "key": F.xxhash64(f"_{at}")})
+    usable = base.filter(F.col("doc_id").isNotNull())
+
+    light = usable.select("doc_id", "key", F.col(f"_{at}").alias("text"))
+    sent = light.mapInArrow(_send(2, min_chars, parts), SENT_SQL)
+    suspects = materialize(sent.repartitionById(parts, F.col("part")).mapInArrow(_suspects, SUSPECT_SQL), "suspects")
+    suspected = suspects.groupBy("doc_id", "key").agg(F.collect_list("body").alias("bodies"))
+    # All columns go along: the last join then reuses this exchange of the texts.
+    asked = usable.join(suspected, ["doc_id", "key"], "left").filter("bodies is not null").select(*base.columns, "bodies")
+    found = materialize(asked.mapInArrow(_emit(at, min_chars), LINE_SQL), "lines")
     # Partial aggregation combines a common line within each task.
-    first = found.groupBy("h", "line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h", "line", "first")
+    ids = F.transform("docs", lambda d: d["doc_id"])
+    first = found.select("h", "line", F.array_min(ids).alias("lo"), F.array_max(ids).alias("hi")).groupBy("h", "line").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).filter("first < last").select("h", "line", "first")
     # Both sides are read from files and dealt for the join alone, so that AQE can split a very common line.
-    dropped = found.join(materialize(first, "firsts"), ["h", "line"]).filter("doc_id > first")
-    by_doc = dropped.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("nos")).alias("_gs_nos")).withColumnRenamed("key", _KEY)
-    joined = base.join(by_doc, ["doc_id", _KEY], "left").select(*[f"`{c}`" for c in base.columns if c != _KEY], "_gs_nos")
+    dropped = found.join(materialize(first, "firsts"), ["h", "line"]).select("first", F.explode("docs").alias("d")).filter("d.doc_id > first")
+    by_doc = dropped.groupBy("d.doc_id", "d.key").agg(F.flatten(F.collect_list("d.nos")).alias("nos"))
+    joined = usable.join(by_doc, ["doc_id", "key"], "left").select(*base.columns, "nos")
+    joined = joined.unionByName(base.filter(F.col("doc_id").isNull()).select(*base.columns, F.lit(None).cast("array<int>").alias("nos")))
 
     def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            at = batch.schema.get_field_index("text")
             data, offsets = string_bytes(batch.column(at))
-            texts_, n_lines, n_dropped, digest = [], [], [], []
+            texts, n_lines, n_dropped, digest = [], [], [], []
             for i, nos in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 raw = data[offsets[i] : offsets[i + 1]].tobytes()
                 n_lines.append(raw.count(b"\n") + 1)
                 gone = set(nos or ())
                 if gone:
                     raw = b"\n".join(x for k, x in enumerate(raw.split(b"\n")) if k not in gone)
-                texts_.append(raw)
+                texts.append(raw)
                 n_dropped.append(len(gone))
                 digest.append(hashlib.sha256(raw).hexdigest())
-            kept = pa.array(texts_, pa.binary()).cast(pa.string(), safe=False)
-            columns = [kept if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
+            columns = [pa.array(texts, pa.binary()).cast(pa.string(), safe=False) if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
             columns += [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(digest, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *results])
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *names])
 
-    schema = joined.drop("_gs_nos").schema
-    for name, kind in zip(results, ("long", "long", "string"), strict=True):
+    schema = joined.drop("nos").schema
+    for name, kind in RESULTS:
         schema = schema.add(name, kind)
-    return joined.mapInArrow(finish, schema)
+    return joined.mapInArrow(finish, schema).select(*back, *names)

@@ -1,61 +1,65 @@
 """Quality rules: a decision list learnt by sequential covering, applied as a Spark conditional.
 
-Everything on the path of the rows is Spark expressions.  Learning sees only a
-table of counts: labelled documents by the bin of each statistic, at most
-(edges + 1) ** statistics rows, whatever the corpus.
+Everything on the path of the rows is Spark expressions.  Learning sees only
+counts: labelled documents by the bin of each statistic, at most as many rows
+as there are labelled documents in the bounded sample, whatever the corpus.
+Thresholds are quantiles of the labelled documents' statistics.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import by_place, materialize, place_of
+
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Labelled rows that rules are learnt from, the ones with the smallest hashes of doc_id.
 MAX_LABELLED = 20_000
-#: Thresholds that a rule may use, by statistic.
-EDGES: dict[str, tuple[float, ...]] = {
-    "symbol_share": (0.005, 0.02, 0.05, 0.1, 0.2),
-    "duplicate_share": (0.05, 0.15, 0.3, 0.5, 0.7),
-    "repeat_share": (0.02, 0.05, 0.15, 0.3, 0.5),
-    "upper_share": (0.05, 0.1, 0.2, 0.4, 0.6),
-    "bang_share": (0.01, 0.05, 0.1, 0.3, 0.6),
-    "word_length": (3.0, 4.0, 5.0, 7.0, 10.0),
-}
+#: Statistics that a rule may test.
+STATISTICS = ("symbol_share", "duplicate_share", "repeat_share", "upper_share", "bang_share", "word_length")
+#: Quantiles of each label's documents that become thresholds.
+QUANTILES = [k / 20 for k in range(1, 20)]
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *STATISTICS)
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and the shares of EDGES."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    """docs with the columns of RESULTS; columns of docs with these names are replaced."""
+    step, back = by_place(docs, RESULTS)
+    text = F.coalesce(F.col(f"_{place_of(docs, 'text')}").cast("string"), F.lit(""))
     without = lambda c, chars: F.translate(c, chars, "")
     count = lambda chars: F.length(text) - F.length(without(text, chars))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(without(x, SPACES)) > 0)
-    step = docs.withColumns(
+    trimmed = F.btrim(text, F.lit(SPACES))
+    step = step.withColumns(
         {
-            "_gs_words": F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: x != ""),
-            "_gs_lines": lines,
+            "words": F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+")),
+            "lines": F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""),
             "word_chars": F.length(without(text, SPACES)).cast("long"),
             "n_symbols": count(SYMBOLS).cast("long"),
-            "_gs_upper": F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")),
-            "_gs_bangs": count("!"),
+            "uppers": F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")),
+            "bangs": count("!"),
         }
     )
-    step = step.withColumn("n_words", F.size("_gs_words").cast("long"))
-    # Hashes of the 3-word windows with their places, sorted: windows found twice are neighbours.
-    window = lambda i: F.struct(F.xxhash64(F.get("_gs_words", i), F.get("_gs_words", i + 1), F.get("_gs_words", i + 2)).alias("h"), i.alias("i"))
-    step = step.withColumn("_gs_windows", F.when(F.col("n_words") >= 4, F.sort_array(F.transform(F.sequence(F.lit(0), (F.col("n_words") - 3).cast("int")), window))).otherwise(F.array().cast("array<struct<h:long,i:int>>")))
-    at = lambda j: F.get("_gs_windows", j)["h"]
-    again = F.filter("_gs_windows", lambda w, j: F.coalesce(w["h"] == F.get("_gs_windows", j - 1)["h"], F.lit(False)) | F.coalesce(w["h"] == at(j + 1), F.lit(False)))
-    step = step.withColumn("_gs_again", F.sort_array(F.transform(again, lambda w: w["i"])))
+    # Hashes of the 3-word windows.  Most texts have none twice; only the others need the places.
+    window = lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))
+    none = F.array().cast("array<struct<h:long,i:int>>")
+    step = step.withColumn("n_words", F.size("words").cast("long"))
+    step = step.withColumn("hashes", F.when(F.col("n_words") >= 4, F.transform(F.sequence(F.lit(0), (F.col("n_words") - 3).cast("int")), window)).otherwise(F.array().cast("array<long>")))
+    step = step.withColumn("windows", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(none))
+    # Sorted, windows found twice are neighbours.
+    same = lambda w, j: F.coalesce(w["h"] == F.get("windows", j)["h"], F.lit(False))
+    again = F.filter("windows", lambda w, j: same(w, j - 1) | same(w, j + 1))
+    step = step.withColumn("again", F.sort_array(F.transform(again, lambda w: w["i"])))
     # A window adds the words that the one before it in the text doesn't cover.
-    gaps = F.transform("_gs_again", lambda x, j: F.when(j == 0, F.lit(3)).otherwise(F.least(F.lit(3), x - F.get("_gs_again", j - 1))))
+    gaps = F.transform("again", lambda x, j: F.when(j == 0, F.lit(3)).otherwise(F.least(F.lit(3), x - F.get("again", j - 1))))
     step = step.withColumns(
         {
             "n_repeat_words": F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x),
-            "n_dup_lines": (F.size("_gs_lines") - F.size(F.array_distinct("_gs_lines"))).cast("long"),
+            "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
         }
     )
     share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
@@ -64,63 +68,66 @@ def with_statistics(docs: DataFrame) -> DataFrame:
             # The partition's number makes this column one that filters are not pushed below: they would repeat all of the above.
             "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")) | (F.spark_partition_id() < 0),
             "symbol_share": share(F.col("n_symbols"), F.col("word_chars")),
-            "duplicate_share": share(F.col("n_dup_lines"), F.size("_gs_lines")),
+            "duplicate_share": share(F.col("n_dup_lines"), F.size("lines")),
             "repeat_share": share(F.col("n_repeat_words"), F.col("n_words")),
-            "upper_share": share(F.col("_gs_upper"), F.col("word_chars")),
-            "bang_share": share(F.col("_gs_bangs"), F.col("n_words")),
+            "upper_share": share(F.col("uppers"), F.col("word_chars")),
+            "bang_share": share(F.col("bangs"), F.col("n_words")),
             "word_length": share(F.col("word_chars"), F.col("n_words")),
         }
     )
-    return step.drop("_gs_words", "_gs_lines", "_gs_upper", "_gs_bangs", "_gs_windows", "_gs_again")
-
+    return step.select(*back, *RESULTS)
 
-#: A condition: statistic, whether it must be above the threshold, index of the threshold in EDGES.
-Condition = tuple[str, bool, int]
-Cell = tuple[tuple[int, ...], int, int, int]
 
+#: A condition: statistic, whether it must reach the threshold (else be below it), threshold.
+Condition = tuple[str, bool, float]
 
-def _holds(bins: tuple[int, ...], rule: list[Condition]) -> bool:
-    names = list(EDGES)
-    return all((bins[names.index(name)] > k) == above for name, above, k in rule)
 
+def _estimate(bad: float, good: float) -> float:
+    """The m-estimate of a rule's precision: few documents do not make a rule look sure."""
+    return (bad + 0.2) / (bad + good + 2.0)
 
-def _counts(cells: list[Cell], rule: list[Condition], fold: int | None = None) -> tuple[int, int]:
-    """Bad and good documents that a rule covers."""
-    bad = good = 0
-    for bins, part, b, g in cells:
-        if (fold is None or part == fold) and _holds(bins, rule):
-            bad, good = bad + b, good + g
-    return bad, good
 
-
-def learn(cells: list[Cell], min_precision: float, max_rules: int = 8, max_conditions: int = 3) -> list[list[Condition]]:
+def learn(values: np.ndarray, fold: np.ndarray, bad: np.ndarray, good: np.ndarray, options: list[Condition], min_precision: float, max_rules: int = 8, max_conditions: int = 3) -> list[list[Condition]]:
     """Rules that cover bad documents, in order.
 
-    cells: bins of the statistics, fold (0 grows, 1 prunes), bad and good
-    documents.  Each rule is grown by the condition with the best m-estimate
-    of precision, then cut back where the pruning fold prefers less, and kept
-    if it is precise enough on both folds; what it covers is set aside.
+    values: statistics of each cell, in the order of STATISTICS; fold: 0 grows
+    and 1 prunes; bad, good: the cell's documents.  Each rule is grown by the
+    condition with the best m-estimate of precision, then cut back to the
+    beginning that the pruning fold likes best, and kept if it is precise
+    enough on both folds together; what it covers is set aside.
     """
-    options = [(name, above, k) for name, edges in EDGES.items() for k in range(len(edges)) for above in (True, False)]
+    if not len(values) or not options:
+        return []
+    holds = np.stack([(values[:, STATISTICS.index(name)] >= t) == above for name, above, t in options])
+    live = np.ones(len(values), bool)
     rules: list[list[Condition]] = []
-    estimate = lambda bad, good: (bad + 0.2) / (bad + good + 2.0)
     while len(rules) < max_rules:
-        rule: list[Condition] = []
-        best = estimate(*_counts(cells, rule, 0))
-        while len(rule) < max_conditions:
-            scored = [(estimate(*c), c[0], o) for o in options if o not in rule and (c := _counts(cells, [*rule, o], 0))[0]]
-            top = max(scored, default=(0.0, 0, None))
-            if top[2] is None or top[0] <= best:
+        grow = live & (fold == 0)
+        covered, chosen = grow, []
+        best = _estimate(bad[grow].sum(), good[grow].sum())
+        while len(chosen) < max_conditions:
+            b, g = (holds & covered) @ bad, (holds & covered) @ good
+            score = np.where(b > 0, (b + 0.2) / (b + g + 2.0), 0.0)
+            top = int(np.lexsort((-np.arange(len(options)), b, score))[-1])
+            if score[top] <= best:
                 break
-            best = top[0]
-            rule.append(top[2])
-        cuts = [rule[:k] for k in range(1, len(rule) + 1)]
-        rule = max(cuts, key=lambda r: (estimate(*_counts(cells, r, 1)), -len(r)), default=[])
-        bad, good = _counts(cells, rule)
-        if not rule or bad < 5 or bad < min_precision * (bad + good):
+            best = score[top]
+            chosen.append(top)
+            covered = covered & holds[top]
+        if not chosen:
+            break
+        prune = live & (fold == 1)
+        told = []
+        for k in range(1, len(chosen) + 1):
+            within = prune & holds[chosen[:k]].all(axis=0)
+            told.append((_estimate(bad[within].sum(), good[within].sum()), -k))
+        chosen = chosen[: -max(told)[1]]
+        within = live & holds[chosen].all(axis=0)
+        n_bad, n_good = bad[within].sum(), good[within].sum()
+        if n_bad < 5 or n_bad < min_precision * (n_bad + n_good):
             break
-        rules.append(rule)
-        cells = [c for c in cells if not _holds(c[0], rule)]
+        rules.append([options[k] for k in chosen])
+        live &= ~within
     return rules
 
 
@@ -128,37 +135,46 @@ def verdict(rules: list[list[Condition]]) -> Column:
     """False for what a rule rejects, in order, else true."""
     out = None
     for rule in rules:
-        parts = [F.col(name) >= EDGES[name][k] if above else F.col(name) < EDGES[name][k] for name, above, k in rule]
-        condition = reduce(lambda a, b: a & b, parts)
+        condition = reduce(lambda a, b: a & b, [F.col(name) >= t if above else F.col(name) < t for name, above, t in rule])
         out = F.when(condition, F.lit(False)) if out is None else out.when(condition, F.lit(False))
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
-def learn_rules(docs: DataFrame, labels: DataFrame, min_precision: float = 0.95) -> list[list[Condition]]:
-    """Rules from the statistics of at most MAX_LABELLED labelled documents that pass the base rules."""
+def learn_rules(docs: DataFrame, labels: DataFrame, min_precision: float = 0.95, max_labelled: int = MAX_LABELLED) -> list[list[Condition]]:
+    """Rules from the statistics of at most ``max_labelled`` labelled documents that pass the base rules."""
     marked = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED).toDF("_gs_id", "_gs_quality")
-    known = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_gs_id"))
-    bins = [reduce(lambda a, b: a + b, [(F.col(name) >= e).cast("int") for e in edges]).alias(name) for name, edges in EDGES.items()]
+    sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).toDF("sampled", "marked")
+    known = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("sampled"))
     fold = (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0).cast("int").alias("fold")
-    rows = with_statistics(known).filter(~F.col("base_failed")).select(*bins, fold, "_gs_quality")
-    cube = rows.groupBy(*EDGES, "fold").agg(F.count_if(F.col("_gs_quality") == 0).alias("bad"), F.count_if(F.col("_gs_quality") != 0).alias("good"))
-    return learn([(tuple(r[: len(EDGES)]), r.fold, r.bad, r.good) for r in cube.collect()], min_precision)
+    rows = materialize(with_statistics(known).filter(~F.col("base_failed")).select(*[F.round(s, 4).alias(s) for s in STATISTICS], fold, (F.col("marked") == 0).alias("bad")), "labelled")
+    quantiles = rows.groupBy("bad").agg(*[F.percentile_approx(s, QUANTILES).alias(s) for s in STATISTICS]).collect()  # two rows
+    options = [(s, above, t) for s in STATISTICS for t in sorted({v for r in quantiles for v in r[s]}) for above in (True, False)]
+    # Cells: documents between the same thresholds are alike to every rule.
+    bin_of = lambda s: F.array_max(F.filter(F.array(F.lit(-1.0), *[F.lit(t) for n, above, t in options if n == s and above]), lambda t: t <= F.col(s))).alias(s)
+    cube = rows.select(*[bin_of(s) for s in STATISTICS], "fold", "bad").groupBy(*STATISTICS, "fold").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")).orderBy(*STATISTICS, "fold")
+    cells = np.array([tuple(r) for r in cube.collect()], float).reshape(-1, len(STATISTICS) + 3)
+    n = len(STATISTICS)
+    return learn(cells[:, :n], cells[:, n], cells[:, n + 1], cells[:, n + 2], options, min_precision)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, min_precision: float = 0.95) -> DataFrame:
-    """docs with their statistics, base_failed and kept.
+def quality_rules(docs: DataFrame, labels: DataFrame, min_precision: float = 0.95, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """docs with the columns of RESULTS (statistics and base_failed), and kept.
 
     Words are runs of characters other than ASCII white space.  base_failed:
     under 50 words, or over half of the words in 3-word windows found twice.
     kept: neither base_failed nor rejected by a learnt rule.  labels has doc_id
     and quality (0: bad); a repeated doc_id counts once, as bad if any row says
     so.  Without labels, or where no rule is precise enough, the base rules
-    decide alone.
+    decide alone.  Rules are learnt from at most ``max_labelled`` of the
+    labelled documents, the ones with the smallest hashes of doc_id.
 
     Null text counts as empty and fails the base rules.  Null doc_ids and
     repeated rows are judged like others.  Columns of docs with the names of
-    results are replaced.
+    results, in any case, are replaced; all others stay, whatever their names.
+    A text's words and windows are held by the task at once, some 100 bytes a
+    word.
     """
-    rules = learn_rules(docs, labels, min_precision)
-    return with_statistics(docs).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    rules = learn_rules(docs, labels, min_precision, max_labelled)
+    judged = with_statistics(docs)
+    keep = [F.col(f"`{c}`") for c in judged.columns if c.lower() != "kept"]
+    return judged.select(*keep, (~F.col("base_failed") & verdict(rules)).alias("kept"))

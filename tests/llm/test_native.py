@@ -66,3 +66,51 @@ def test_learning(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.lit(""), 256)).first()[0]
+
+
+def test_learnt_rules_hold_out(spark):
+    """Rules learnt without a fifth of the labelled documents reject bad ones of it, and few good ones."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    out = rules.quality_rules(docs, labels.filter(~held)).filter(held & ~F.col("base_failed")).join(labels.select("doc_id", "quality"), "doc_id").collect()
+    good, bad = [r for r in out if r.quality != 0], [r for r in out if r.quality == 0]
+    assert sum(r.kept for r in good) >= 0.97 * len(good)
+    print(len(good), len(bad), sum(r.kept for r in good), sum(r.kept for r in bad))
+
+
+def test_learner_by_hand():
+    import numpy as np
+
+    # One statistic separates: 30 bad cells reach 0.5, 70 good ones do not; a second is noise.
+    rng = np.random.default_rng(3)
+    values = np.zeros((100, len(rules.STATISTICS)))
+    values[:30, 0] = 0.5
+    values[:, 1] = rng.integers(0, 2, 100)
+    fold, bad = np.arange(100) % 3 == 0, (np.arange(100) < 30).astype(float)
+    options = [("symbol_share", True, 0.5), ("symbol_share", False, 0.5), ("duplicate_share", True, 1.0), ("duplicate_share", False, 1.0)]
+    assert rules.learn(values, fold.astype(float), bad, 1 - bad, options, 0.95) == [[("symbol_share", True, 0.5)]]
+    # Every single condition, by enumeration, is at most as precise as the first one grown.
+    mixed = np.where(np.arange(100) == 29, 0.0, bad)
+    grown = rules.learn(values, fold.astype(float), mixed, 1 - mixed, options, 0.9)
+    grow = ~fold
+    best = max(options, key=lambda o: rules._estimate(*[(x * grow * ((values[:, rules.STATISTICS.index(o[0])] >= o[2]) == o[1])).sum() for x in (mixed, 1 - mixed)]))
+    assert grown[0][0] == best
+    assert rules.learn(values, fold.astype(float), 0 * bad, bad, options, 0.95) == []
+
+
+def test_rules_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "w " * 60, 5, "a", 2), (None, None, 6, "b", 3)], "doc_id long, text string, N_WORDS int, words string, Kept int")
+    out = rules.quality_rules(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    assert out.columns[:3] == ["doc_id", "text", "words"] and out.columns[-1] == "kept"
+    assert sorted((r.words, r.n_words, r.kept) for r in out.collect()) == [("a", 60, False), ("b", 0, False)]
+
+
+def test_long_conversation(spark):
+    """A conversation of 100,000 turns, and one of 20,000 turns of one role, take linear time."""
+    turns = spark.range(100_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é<|x"), F.col("id")).alias("text"))
+    same = spark.range(20_000).select(F.lit(2).alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), F.lit("ok").alias("text"))
+    got = {r.conv_id: r for r in read_back(format_chats(turns.unionByName(same))).collect()}
+    assert len(got[1].turns) == 100_000 and got[1].turns[99_999] == ("assistant", "é<|x99999")
+    assert got[1].loss_text == "".join(f"é<|x{i}" for i in range(1, 100_000, 2))
+    assert got[2].formatted.count("<|start|>") == 1 and len(got[2].turns) == 20_000 and got[2].loss_text == "ok" * 20_000
