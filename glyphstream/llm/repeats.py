@@ -6,42 +6,87 @@ of which brings all occurrences of a string to one task as rows:
 
 1. every text is cut into *contexts*: runs of consecutive windows that share an
    anchor (a short string inside them).  Equal windows have equal anchors, at
-   the same place, so their contexts carry the same anchor hash.  A task packs
-   (anchor hash, context hash, place) of its contexts by destination, and a
-   context that is met again within the task is settled there (map-side
-   combine), so a passage that a third of the corpus shares is sent once per
-   few megabytes of text;
-2. tasks that own a part of the anchor hashes settle every context that equals
-   an earlier one, and ask for the text of the first of each of several
-   different contexts that share an anchor;
-3. these contexts' units are dealt by anchor hash again, and the operator's own
-   method (suffix order, or extension from the anchor) settles their windows;
-4. what is settled comes back to the documents by key.
-
-Hashes of contexts are of 64 bits beside a 64-bit anchor hash.
+   the same place, so they lie in contexts with the same anchor hash.  A task
+   settles contexts that an earlier one of the same piece of text equals, asks
+   for those whose anchor several contexts of the piece have, and sends
+   references to the others by anchor hash;
+2. owners of anchor hashes ask for the contexts whose anchor others have too,
+   and count the contexts of each anchor;
+3. the text of what is asked for is dealt by anchor hash, after equal contexts
+   of a task were combined once more.  Contexts of an anchor with very many of
+   them are dealt window by window, by the window's hash;
+4. the operator's own method settles contexts and then their windows, and what
+   is settled comes back to the documents by key.
+
+Hashes only bring strings together or keep them apart; whether two are equal is
+for the operator's method, which looks at their bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U64, ranges
+from .kernels import BYTE_CODES, U64, mix, prefix, ranges, runs, span_hash
 from .shared import materialize, n_shuffle
 
-#: Bytes of each field of a context as it is sent: anchor hash (32 bits beside the
-#: part it is dealt to), context hash, place of its first window in its document,
-#: number of windows, its document's place in the packet.
-WIDTHS = {"anchor": 4, "context": 6, "lo": 4, "n": 1, "doc": 2}
+#: Contexts of one anchor above which they are dealt window by window.
+HOT_CONTEXTS = 1000
+#: The anchors with most contexts of which that holds at most, 4 MB in each task; others are dealt whole.
+MAX_HOT = 500_000
+#: Windows that a task settles at once.
+AT_ONCE = 200_000
+#: Bytes of each field of a reference as it is sent: anchor hash (32 bits beside
+#: the part it is dealt to), place of its first window in its document, number of
+#: windows, its document's place in the packet.
+WIDTHS = {"anchor": 4, "lo": 4, "n": 2, "doc": 2}
 ANCHOR = U64((1 << 32) - 1)
-CONTEXT = U64((1 << 48) - 1)
-PLACED = np.dtype([("lo", "<u4"), ("n", "u1")])
-ASKED = np.dtype([("anchor", "<u8"), ("lo", "<u4"), ("n", "u1")])
+PLACED = np.dtype([("lo", "<u4"), ("n", "<u2")])
+ASKED = np.dtype([("anchor", "<u8"), ("lo", "<u4"), ("n", "<u2")])
+TOLD = np.dtype([("anchor", "<u8"), ("count", "<u4")])
 DOC = np.dtype([("doc_id", "<i8"), ("key", "<i8")])
+MAX_WINDOWS = (1 << 16) - 1
+
+
+@dataclass
+class Contexts:
+    """Contexts of a piece of text: anchor hashes, document (index into docs), first window and number of windows, bytes."""
+
+    docs: np.ndarray
+    text: np.ndarray
+    anchor: np.ndarray
+    doc: np.ndarray
+    lo: np.ndarray
+    n: np.ndarray
+    at: np.ndarray
+    size: np.ndarray
+
+    def take(self, which: np.ndarray) -> Contexts:
+        return Contexts(self.docs, self.text, *(x[which] for x in (self.anchor, self.doc, self.lo, self.n, self.at, self.size)))
+
+
+@dataclass
+class Method:
+    """What the two operators have of their own.
+
+    contexts: a batch of (doc_id, key, text) to Contexts; asked: the same batch
+    and each row's ASKED records to the Contexts asked for; windows: text, at,
+    size and n of contexts to their windows, as (which context, at, size);
+    earlier: text, at and size of strings and a rank of each to those that some
+    string of a smaller rank equals, by comparing bytes.  own: whether an
+    earlier place of the same document counts as earlier.
+    """
+
+    contexts: Callable[[pa.RecordBatch], Iterator[Contexts]]
+    asked: Callable[[pa.RecordBatch, list[np.ndarray]], Iterator[Contexts]]
+    windows: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+    earlier: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+    own: bool
 
 
 def to_planes(fields: dict[str, np.ndarray]) -> bytes:
@@ -70,74 +115,12 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("text"))
 
 
-def _firsts(a: np.ndarray) -> np.ndarray:
-    """Where runs of equal values begin in a sorted (structured or plain) array."""
-    return np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
-
-
-def _later(ids: np.ndarray, lo: np.ndarray, first: np.ndarray, group: np.ndarray, own: bool) -> np.ndarray:
-    """Which of the sorted contexts come after the first of their group.
-
-    A row that is there twice is at one place, so it is no later than itself.
-    """
-    if not len(first):
-        return np.zeros(0, bool)
-    later = ids > ids[first][group]
-    return later | ((ids == ids[first][group]) & (lo > lo[first][group])) if own else later
-
-
-def pack(docs: np.ndarray, found: dict[str, np.ndarray], own: bool, parts: int) -> Iterator[dict]:
-    """The rows that a chunk sends.
-
-    docs: DOC records, in any order; found: arrays anchor, context, lo, n and
-    doc (index into docs).  own: whether an earlier place in the same document
-    counts as earlier.  Contexts met earlier within the chunk are settled here.
-    """
-    if not len(found["lo"]):
-        return
-    order = np.lexsort((found["lo"], docs["doc_id"][found["doc"]], found["context"], found["anchor"]))
-    f = {k: v[order] for k, v in found.items()}
-    head = np.concatenate([[True], (f["anchor"][1:] != f["anchor"][:-1]) | (f["context"][1:] != f["context"][:-1])])
-    first = np.flatnonzero(head)
-    group = np.cumsum(head) - 1
-    ids = docs["doc_id"][f["doc"]]
-    settled = _later(ids, f["lo"], first, group, own)
-    for row in _by_doc(docs[f["doc"][settled]], f["lo"][settled], f["n"][settled]):
-        yield row | {"part": (row["key"] ^ row["doc_id"]) % parts}
-    keep = ~settled
-    if not keep.any():
-        return
-    f = {k: v[keep] for k, v in f.items()}
-    part = (f["anchor"] >> U64(32)).astype(np.int64) % parts
-    order = np.lexsort((f["lo"], f["doc"], part))
-    part = part[order]
-    at = _firsts(part)
-    for a, b in zip(at, np.append(at[1:], len(part)), strict=True):
-        pick = order[a:b]
-        # doc places are of 16 bits: a packet holds at most so many documents
-        used, place = np.unique(f["doc"][pick], return_inverse=True)
-        for c in range(0, len(used), 1 << 16):
-            sub = (place >= c) & (place < c + (1 << 16))
-            fields = {k: f[k][pick][sub] for k in ("anchor", "context", "lo", "n")} | {"doc": place[sub] - c}
-            yield {"part": int(part[a]), "doc_id": None, "key": None, "docs": docs[used[c : c + (1 << 16)]].tobytes(), "body": to_planes(fields)}
-
-
-def _by_doc(docs: np.ndarray, lo: np.ndarray, n: np.ndarray) -> Iterator[dict]:
-    """Settled contexts as one row for each document."""
-    if not len(docs):
-        return
-    order = np.lexsort((docs["key"], docs["doc_id"]))
-    docs, placed = docs[order], np.zeros(len(docs), PLACED)
-    placed["lo"], placed["n"] = lo[order], n[order]
-    at = _firsts(docs)
-    for a, b in zip(at, np.append(at[1:], len(docs)), strict=True):
-        yield {"part": 0, "doc_id": int(docs["doc_id"][a]), "key": int(docs["key"][a]), "docs": None, "body": placed[a:b].tobytes()}
-
-
-SENT = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("docs", pa.binary()), ("body", pa.binary())])
-SENT_SQL = "part int, doc_id long, key long, docs binary, body binary"
-SETTLED = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("done", pa.binary()), ("asked", pa.binary())])
-SETTLED_SQL = "doc_id long, key long, done binary, asked binary"
+def doc_records(batch: pa.RecordBatch) -> np.ndarray:
+    """The DOC records of a batch of (doc_id, key, ...)."""
+    out = np.zeros(batch.num_rows, DOC)
+    for name in DOC.names:
+        out[name] = batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+    return out
 
 
 def batches(rows: Iterator[dict], schema: pa.Schema, at_once: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -153,110 +136,281 @@ def batches(rows: Iterator[dict], schema: pa.Schema, at_once: int = 4 << 20) ->
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
-def unpack(bodies: list[bytes], tables: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """All packets of a task: their fields, and for each context its DOC record."""
-    table = [np.frombuffer(t, DOC) for t in tables]
-    base = np.cumsum([0] + [len(t) for t in table[:-1]])
-    fields: dict[str, list[np.ndarray]] = {k: [] for k in WIDTHS}
-    for body, at in zip(bodies, base, strict=True):
-        packet = from_planes(body)
-        packet["doc"] += U64(at)
-        for k, v in packet.items():
-            fields[k].append(v.astype(np.uint32) if k in ("anchor", "lo", "doc") else v.astype(np.uint8) if k == "n" else v)
-    out = {}
-    for k in WIDTHS:
-        out[k] = np.concatenate(fields.pop(k))
-    return out, np.concatenate(table)[out.pop("doc")]
+def _rank(docs: np.ndarray, lo: np.ndarray, own: bool) -> np.ndarray:
+    """What an earlier string has less of.  A row that is there twice is at one place, so it is no later than itself."""
+    if not own:
+        return docs["doc_id"]
+    order = np.lexsort((lo, docs["doc_id"]))
+    first, last = runs(docs["doc_id"][order], lo[order])
+    out = np.empty(len(lo), np.int64)
+    out[order] = np.repeat(np.arange(len(first)), last - first)
+    return out
+
+
+def _shared(anchor: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of the contexts have an anchor that one of another rank has."""
+    order = np.lexsort((rank, anchor))
+    first, last = runs(anchor[order])
+    several = rank[order][last - 1] > rank[order][first]
+    out = np.empty(len(anchor), bool)
+    out[order] = np.repeat(several, last - first)
+    return out
+
+
+def _by_doc(docs: np.ndarray, name: str, records: np.ndarray) -> Iterator[dict]:
+    """Records as one row for each document."""
+    order = np.lexsort((docs["key"], docs["doc_id"]))
+    docs, records = docs[order], records[order]
+    for a, b in zip(*runs(docs), strict=True):
+        yield {"part": 0, "doc_id": int(docs["doc_id"][a]), "key": int(docs["key"][a]), "done": None, "asked": None, "docs": None, "body": None} | {name: records[a:b].tobytes()}
+
+
+def _records(c: Contexts, kind: np.dtype) -> np.ndarray:
+    out = np.zeros(len(c.lo), kind)
+    for k in kind.names:
+        out[k] = getattr(c, k)
+    return out
+
+
+#: A document's settled and asked windows, or a packet for an owner: references (docs, body) or TOLD records (body alone).
+SENT = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("done", pa.binary()), ("asked", pa.binary()), ("docs", pa.binary()), ("body", pa.binary())])
+SENT_SQL = "part int, doc_id long, key long, done binary, asked binary, docs binary, body binary"
+#: With neither done nor asked: an anchor with many contexts, as doc_id, and their number, as key.
+SETTLED = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("done", pa.binary()), ("asked", pa.binary())])
+SETTLED_SQL = "doc_id long, key long, done binary, asked binary"
+
 
+def _sent(c: Contexts, method: Method, parts: int) -> Iterator[dict]:
+    """Step 1 for one piece of text."""
+    if not len(c.lo):
+        return
+    rank = _rank(c.docs[c.doc], c.lo, method.own)
+    near = np.flatnonzero(_shared(c.anchor, rank))
+    settled = np.zeros(len(c.lo), bool)
+    settled[near] = method.earlier(c.text, c.at[near], c.size[near], rank[near])
+    done = c.take(settled)
+    for row in _by_doc(c.docs[done.doc], "done", _records(done, PLACED)):
+        yield row | {"part": (row["key"] ^ row["doc_id"]) % parts}
+    c, rank = c.take(~settled), rank[~settled]
+    near = _shared(c.anchor, rank)
+    asked = c.take(near)
+    for row in _by_doc(c.docs[asked.doc], "asked", _records(asked, ASKED)):
+        yield row | {"part": (row["key"] ^ row["doc_id"]) % parts}
+    anchors, count = np.unique(asked.anchor, return_counts=True)
+    told = np.zeros(len(anchors), TOLD)
+    told["anchor"], told["count"] = anchors, count
+    none = {"doc_id": None, "key": None, "done": None, "asked": None}
+    part = (anchors >> U64(32)).astype(np.int64) % parts
+    order = np.argsort(part, kind="stable")
+    for a, b in zip(*runs(part[order]), strict=True):
+        yield none | {"part": int(part[order[a]]), "docs": None, "body": told[order[a:b]].tobytes()}
+    c = c.take(~near)
+    part = (c.anchor >> U64(32)).astype(np.int64) % parts
+    order = np.lexsort((c.lo, c.doc, part))
+    for a, b in zip(*runs(part[order]), strict=True):
+        pick = order[a:b]
+        # doc places are of 16 bits: a packet holds at most so many documents
+        used, place = np.unique(c.doc[pick], return_inverse=True)
+        for k in range(0, len(used), 1 << 16):
+            sub = (place >= k) & (place < k + (1 << 16))
+            fields = {"anchor": c.anchor[pick][sub], "lo": c.lo[pick][sub], "n": c.n[pick][sub], "doc": place[sub] - k}
+            yield none | {"part": int(part[pick[0]]), "docs": c.docs[used[k : k + (1 << 16)]].tobytes(), "body": to_planes(fields)}
 
-def _settle(own: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+
+def _owned(own: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Step 2, for one task's share of the anchors."""
 
-    def rows(part: int, found: dict[str, np.ndarray], docs: np.ndarray) -> Iterator[dict]:
-        order = np.lexsort((found["lo"], docs["doc_id"], found["context"], found["anchor"]))
-        found, docs = {k: v[order] for k, v in found.items()}, docs[order]
-        ids = docs["doc_id"]
-        new_anchor = np.concatenate([[True], found["anchor"][1:] != found["anchor"][:-1]])
-        head = new_anchor | np.concatenate([[True], found["context"][1:] != found["context"][:-1]])
-        first = np.flatnonzero(head)
-        group, anchor = np.cumsum(head) - 1, np.cumsum(new_anchor) - 1
-        settled = _later(ids, found["lo"], first, group, own)
-        at = np.flatnonzero(new_anchor)
-        several = np.add.reduceat(head.astype(np.int64), at) > 1
-        if not own:
-            several &= np.maximum.reduceat(ids, at) > np.minimum.reduceat(ids, at)
-        asked = ~settled & several[anchor]
-        for flag, name in ((settled, "done"), (asked, "asked")):
-            if not flag.any():
-                continue
-            d = docs[flag]
-            order = np.lexsort((d["key"], d["doc_id"]))
-            d = d[order]
-            out = np.zeros(len(d), PLACED if name == "done" else ASKED)
-            for k in out.dtype.names:
-                out[k] = found[k][flag][order]
-            if name == "asked":
-                out["anchor"] |= U64(part << 32)
-            at = _firsts(d)
-            for a, b in zip(at, np.append(at[1:], len(d)), strict=True):
-                yield {"doc_id": int(d["doc_id"][a]), "key": int(d["key"][a]), "done": None, "asked": None} | {name: out[a:b].tobytes()}
+    def rows(part: int, packets: list[tuple[bytes, bytes]], told: np.ndarray) -> Iterator[dict]:
+        fields = {k: [] for k in WIDTHS}
+        tables, base = [np.zeros(0, DOC)], 0
+        for docs, body in packets:
+            for k, v in from_planes(body).items():
+                fields[k].append((v + U64(base) if k == "doc" else v).astype(np.uint16 if k == "n" else np.uint32))
+            tables.append(np.frombuffer(docs, DOC))
+            base += len(tables[-1])
+        docs = np.concatenate(tables)
+        anchor, lo, n, doc = (np.concatenate([np.zeros(0, np.uint32), *fields[k]]) for k in ("anchor", "lo", "n", "doc"))
+        docs = docs[doc.astype(np.int64)]
+        asked = np.isin(anchor, (told["anchor"] & ANCHOR).astype(np.uint32))
+        asked |= _shared(anchor, _rank(docs, lo, own))
+        out = np.zeros(int(asked.sum()), ASKED)
+        out["anchor"], out["lo"], out["n"] = (anchor[asked].astype(U64) | U64(part << 32)), lo[asked], n[asked]
+        yield from ({"doc_id": r["doc_id"], "key": r["key"], "done": None, "asked": r["asked"]} for r in _by_doc(docs[asked], "asked", out))
+        # Anchors by their number of contexts.
+        all_ = np.concatenate([out["anchor"], told["anchor"]])
+        count = np.concatenate([np.ones(len(out), np.int64), told["count"].astype(np.int64)])
+        order = np.argsort(all_, kind="stable")
+        first, _ = runs(all_[order])
+        if len(first):
+            total = np.add.reduceat(count[order], first)
+            hot = total > HOT_CONTEXTS
+            for anchor_, n_ in zip(all_[order][first][hot].view(np.int64).tolist(), total[hot].tolist(), strict=True):
+                yield {"doc_id": anchor_, "key": n_, "done": None, "asked": None}
 
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, bodies, tables = 0, [], []
+        part, packets, told = 0, [], []
         for batch in it:
             passed = []
-            for p, doc_id, key, table, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if table is None:
-                    passed.append({"doc_id": doc_id, "key": key, "done": body, "asked": None})
+            for p, doc_id, key, done, asked, docs, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if body is None:
+                    passed.append({"doc_id": doc_id, "key": key, "done": done, "asked": asked})
+                    continue
+                part = p
+                if docs is None:
+                    told.append(np.frombuffer(body, TOLD))
                 else:
-                    part = p
-                    bodies.append(body)
-                    tables.append(table)
+                    packets.append((docs, body))
             yield from batches(iter(passed), SETTLED)
-        if bodies:
-            found, docs = unpack(bodies, tables)
-            del bodies, tables
-            yield from batches(rows(part, found, docs), SETTLED)
+        # The part's number stands for the anchors' upper bits in references: TOLD records get it as well.
+        all_ = np.concatenate([np.zeros(0, TOLD), *told])
+        all_["anchor"] = (all_["anchor"] & ANCHOR) | U64(part << 32)
+        yield from batches(rows(part, packets, all_), SETTLED)
 
     return task
 
 
-def covered_windows(
-    texts: DataFrame,
-    contexts: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, dict[str, np.ndarray]]]],
-    units: Callable[[pa.RecordBatch, list[np.ndarray]], Iterator[dict]],
-    resolve: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-    own: bool,
-) -> DataFrame:
-    """doc_id, key and ``done``: PLACED records of the windows that also start earlier.
+#: What is sent of a context beside its bytes.
+FETCHED = np.dtype([("anchor", "<u8"), ("lo", "<u4"), ("size", "<u4"), ("n", "<u2"), ("doc", "<u2")])
+BYTES = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("done", pa.binary()), ("docs", pa.binary()), ("body", pa.binary())])
+BYTES_SQL = "part int, doc_id long, key long, done binary, docs binary, body binary"
+
+
+def _fetched(c: Contexts, method: Method, hot: np.ndarray, parts: int) -> Iterator[dict]:
+    """Step 3 for one piece of text: what is still unsettled, with its bytes."""
+    for windows in (False, True):
+        here = c.take(np.isin(c.anchor, hot) == windows) if len(hot) else c if not windows else c.take(np.zeros(0, np.int64))
+        if not len(here.lo):
+            continue
+        if windows:
+            of, at, size = method.windows(here.text, here.at, here.size, here.n)
+            first = np.cumsum(here.n) - here.n
+            lo = here.lo[of] + np.arange(len(of)) - first[of]
+            # Dealt by their own hash: they take the place of the anchor.
+            own = mix(here.anchor[of] ^ span_hash(prefix(BYTE_CODES[here.text]), at, at + size))
+            here = Contexts(here.docs, here.text, own, here.doc[of], lo, np.ones(len(of), np.int64), at, size)
+        settled = method.earlier(here.text, here.at, here.size, _rank(here.docs[here.doc], here.lo, method.own))
+        done, here = here.take(settled), here.take(~settled)
+        for row in _by_doc(done.docs[done.doc], "done", _records(done, PLACED)):
+            yield {k: row[k] for k in BYTES.names} | {"part": (row["key"] ^ row["doc_id"]) % parts}
+        # Anchors of whole contexts have their part as upper bits, windows a hash.
+        part = (here.anchor >> U64(32)).astype(np.int64) % parts
+        order = np.lexsort((here.doc, part))
+        for a, b in zip(*runs(part[order]), strict=True):
+            pick = order[a:b]
+            used, place = np.unique(here.doc[pick], return_inverse=True)
+            for k in range(0, len(used), 1 << 16):
+                sub = pick[(place >= k) & (place < k + (1 << 16))]
+                part_of = here.take(sub)
+                part_of.doc = np.searchsorted(used, part_of.doc) - k
+                body = np.array([len(sub)], "<u4").tobytes() + _records(part_of, FETCHED).tobytes() + here.text[ranges(part_of.at, part_of.size)].tobytes()
+                yield {"part": int(part[pick[0]]), "doc_id": None, "key": None, "done": None, "docs": here.docs[used[k : k + (1 << 16)]].tobytes(), "body": body}
+
+
+def _received(packets: list[tuple[bytes, bytes]]) -> Contexts:
+    """All contexts of a task, their bytes laid end to end, in the order of their anchors."""
+    found, docs, text = [np.zeros(0, FETCHED)], [np.zeros(0, DOC)], [np.zeros(0, np.uint8)]
+    for table, body in packets:
+        n = int(np.frombuffer(body, "<u4", 1)[0])
+        found.append(np.frombuffer(body, FETCHED, n, 4))
+        docs.append(np.frombuffer(table, DOC)[found[-1]["doc"]])
+        text.append(np.frombuffer(body, np.uint8, offset=4 + n * FETCHED.itemsize))
+    f, text = np.concatenate(found), np.concatenate(text)
+    size = f["size"].astype(np.int64)
+    c = Contexts(np.concatenate(docs), text, f["anchor"], np.arange(len(f)), f["lo"].astype(np.int64), f["n"].astype(np.int64), np.cumsum(size) - size, size)
+    return c.take(np.argsort(c.anchor, kind="stable"))
+
+
+def _resolved(method: Method) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Step 4, for one task's share of the contexts."""
+
+    def block(c: Contexts) -> Iterator[dict]:
+        """Contexts of some anchors, all that the task has of them: whole ones first, then the windows of what is left."""
+        rank = _rank(c.docs[c.doc], c.lo, method.own)
+        near = np.flatnonzero(_shared(c.anchor, rank))
+        c, rank = c.take(near), rank[near]
+        if not len(near):
+            return
+        # Only the block's bytes, so that what is made for each byte stays small.
+        text, at = c.text[ranges(c.at, c.size)], np.cumsum(c.size) - c.size
+        settled = method.earlier(text, at, c.size, rank)
+        done = c.take(settled)
+        yield from _by_doc(c.docs[done.doc], "done", _records(done, PLACED))
+        left = np.flatnonzero(~settled)
+        left = left[_shared(c.anchor[left], rank[left])]
+        of, w_at, w_size = method.windows(text, at[left], c.size[left], c.n[left])
+        of, first = left[of], np.repeat(np.cumsum(c.n[left]) - c.n[left], c.n[left])
+        lo = c.lo[of] + np.arange(len(of)) - first
+        settled = np.flatnonzero(method.earlier(text, w_at, w_size, _rank(c.docs[c.doc[of]], lo, method.own)))
+        # Consecutive windows of a context make one record.
+        start, end = runs(of[settled], lo[settled] - np.arange(len(settled)))
+        out = np.zeros(len(start), PLACED)
+        out["lo"], out["n"] = lo[settled][start], end - start
+        yield from _by_doc(c.docs[c.doc[of[settled]]][start], "done", out)
 
-    contexts: a batch of (doc_id, key, text) to chunks of (DOC records, arrays
-    for :func:`pack`); units: the same batch and each row's ASKED records to
-    SENT rows; resolve: a task's SENT rows to SETTLED ones.
-    """
+    def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packets = []
+        for batch in it:
+            passed = []
+            for _, doc_id, key, done, docs, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if body is None:
+                    passed.append({"doc_id": doc_id, "key": key, "done": done})
+                else:
+                    packets.append((docs, body))
+            yield from batches(iter(passed), DONE)
+        c = _received(packets)
+        packets.clear()
+        first, last = runs(c.anchor)
+        total = np.concatenate([[0], np.cumsum(c.n)])
+
+        def rows() -> Iterator[dict]:
+            a = 0
+            while a < len(first):
+                b = int(np.searchsorted(total[last], total[first[a]] + AT_ONCE, side="right"))
+                b = max(b, a + 1)
+                yield from ({k: r[k] for k in DONE.names} for r in block(c.take(np.arange(first[a], last[b - 1]))))
+                a = b
+
+        yield from batches(rows(), DONE)
+
+    return task
+
+
+DONE = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("done", pa.binary())])
+DONE_SQL = "doc_id long, key long, done binary"
+
+
+def covered_windows(texts: DataFrame, method: Method) -> DataFrame:
+    """doc_id, key and ``done``: PLACED records of the windows that also start earlier."""
+    spark = texts.sparkSession
     parts = n_parts(texts)
 
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batches((row for batch in it for docs, found in contexts(batch) for row in pack(docs, found, own, parts)), SENT)
+        yield from batches((row for batch in it for c in method.contexts(batch) for row in _sent(c, method, parts)), SENT)
 
     usable = _usable(texts)
     # A packet's part is its task: the number of parts follows the input.
     sent = usable.select("doc_id", "key", "text").mapInArrow(send, SENT_SQL)
-    settled = materialize(sent.repartitionById(parts, F.col("part")).mapInArrow(_settle(own), SETTLED_SQL), "settled")
+    settled = materialize(sent.repartitionById(parts, F.col("part")).mapInArrow(_owned(method.own), SETTLED_SQL), "settled")
+    most = settled.filter("done is null and asked is null").orderBy(F.col("key").desc(), "doc_id").limit(MAX_HOT)
+    hot = np.unique(np.array([r.doc_id for r in most.select("doc_id").collect()], np.int64).view(U64))
+    sent_hot = spark.sparkContext.broadcast(hot)
     asked = settled.filter("asked is not null").groupBy("doc_id", "key").agg(F.collect_list("asked").alias("asked"))
 
     def fetch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[dict]:
             for batch in it:
                 lists = batch.column(batch.schema.get_field_index("asked")).to_pylist()
-                yield from units(batch, [np.concatenate([np.frombuffer(b, ASKED) for b in x]) if x else np.zeros(0, ASKED) for x in lists])
+                for c in method.asked(batch, [np.concatenate([np.zeros(0, ASKED), *(np.frombuffer(b, ASKED) for b in x or ())]) for x in lists]):
+                    # An anchor is known by its part and its lower bits.
+                    c.anchor = (c.anchor & ANCHOR) | ((c.anchor >> U64(32)) % U64(parts) << U64(32))
+                    yield from _fetched(c, method, sent_hot.value, parts)
 
-        yield from batches(rows(), SENT)
+        yield from batches(rows(), BYTES)
 
     # The same exchange of the texts serves this join and the last one.
-    fetched = usable.join(asked, ["doc_id", "key"], "left").filter("asked is not null").select("doc_id", "key", "text", "asked").mapInArrow(fetch, SENT_SQL)
-    resolved = fetched.repartitionById(parts, F.col("part")).mapInArrow(resolve, SETTLED_SQL)
-    return settled.filter("done is not null").select("doc_id", "key", "done").unionByName(resolved.select("doc_id", "key", "done"))
+    fetched = usable.join(asked, ["doc_id", "key"], "left").filter("asked is not null").select("doc_id", "key", "text", "asked").mapInArrow(fetch, BYTES_SQL)
+    resolved = fetched.repartitionById(parts, F.col("part")).mapInArrow(_resolved(method), DONE_SQL)
+    return settled.filter("done is not null").select("doc_id", "key", "done").unionByName(resolved)
 
 
 def n_parts(texts: DataFrame) -> int:
@@ -280,66 +434,3 @@ def placed(lists: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     all_ = np.frombuffer(b"".join(lists), PLACED)
     return all_["lo"].astype(np.int64), all_["n"].astype(np.int64)
-
-
-
-
-def doc_records(batch: pa.RecordBatch) -> np.ndarray:
-    """The DOC records of a batch of (doc_id, key, ...)."""
-    out = np.zeros(batch.num_rows, DOC)
-    for name in DOC.names:
-        out[name] = batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
-    return out
-
-
-#: What is sent of an asked context beside its units.
-FETCHED = np.dtype([("anchor", "<u8"), ("lo", "<u4"), ("n", "u1"), ("doc", "<u2")])
-
-
-def send_units(docs: np.ndarray, asked: np.ndarray, doc: np.ndarray, values: np.ndarray, first: np.ndarray, length: np.ndarray) -> Iterator[dict]:
-    """SENT rows with the units values[first : first + length] of each asked context."""
-    if not len(asked):
-        return
-    part = (asked["anchor"] >> U64(32)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    at = _firsts(part[order])
-    for a, b in zip(at, np.append(at[1:], len(order)), strict=True):
-        pick = order[a:b]
-        used, place = np.unique(doc[pick], return_inverse=True)
-        for c in range(0, len(used), 1 << 16):
-            sub = pick[(place >= c) & (place < c + (1 << 16))]
-            out = np.zeros(len(sub), FETCHED)
-            for k in ("anchor", "lo", "n"):
-                out[k] = asked[k][sub]
-            out["doc"] = np.searchsorted(used, doc[sub]) - c
-            body = np.array([len(sub)], "<u4").tobytes() + out.tobytes() + values[ranges(first[sub], length[sub])].tobytes()
-            yield {"part": int(part[pick[0]]), "doc_id": None, "key": None, "docs": docs[used[c : c + (1 << 16)]].tobytes(), "body": body}
-
-
-def receive_units(it: Iterator[pa.RecordBatch], dtype: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All FETCHED records of a task, their DOC records, and the units laid end to end."""
-    found, docs, values = [], [], []
-    for batch in it:
-        bodies, tables = (batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("body", "docs"))
-        for body, table in zip(bodies, tables, strict=True):
-            n = int(np.frombuffer(body, "<u4", 1)[0])
-            records = np.frombuffer(body, FETCHED, n, 4)
-            found.append(records)
-            docs.append(np.frombuffer(table, DOC)[records["doc"]])
-            values.append(np.frombuffer(body, dtype, offset=4 + n * FETCHED.itemsize))
-    if not found:
-        return np.zeros(0, FETCHED), np.zeros(0, DOC), np.zeros(0, dtype)
-    return np.concatenate(found), np.concatenate(docs), np.concatenate(values)
-
-
-def resolved_rows(found: np.ndarray, docs: np.ndarray, covered: np.ndarray) -> Iterator[dict]:
-    """SETTLED rows for the windows of found contexts, laid end to end, that covered holds for."""
-    of = np.repeat(np.arange(len(found)), found["n"])[covered]
-    at = (np.arange(len(covered)) - np.repeat(np.cumsum(found["n"].astype(np.int64)) - found["n"], found["n"]))[covered]
-    if not len(of):
-        return
-    new = np.concatenate([[True], (of[1:] != of[:-1]) | (at[1:] != at[:-1] + 1)])
-    first = np.flatnonzero(new)
-    n = np.diff(np.append(first, len(of)))
-    for row in _by_doc(docs[of[first]], found["lo"][of[first]] + at[first], n):
-        yield {"doc_id": row["doc_id"], "key": row["key"], "done": row["body"], "asked": None}

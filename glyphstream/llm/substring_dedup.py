@@ -2,8 +2,11 @@
 
 With D = {0, 1, 3, 9} modulo 13, any two places have a common shift below 13
 that brings both into D.  Hashing 8 words only at places in D therefore leaves
-every pair of equal 20-word windows an aligned pair of anchors, inside both;
-the windows around an anchor are its extensions to the left and right.
+every pair of equal 20-word windows an aligned pair of anchors, inside both.
+An anchor extends to the left and to the right as far as windows that hold it
+reach; contexts that extend alike, and then the windows in the others, are
+brought together by hash and compared byte by byte, on texts whose words are
+joined by one space.
 """
 
 from __future__ import annotations
@@ -15,73 +18,109 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .kernels import Chunk, chunks, prefix, ranges, run_mask, span_hash, string_bytes, word_codes, words
-from .repeats import SETTLED, batches, covered_windows, doc_records, keyed, placed, receive_units, resolved_rows, send_units, with_covered
+from .kernels import BYTE_CODES, U64, Chunk, chunks, prefix, ranges, run_mask, runs, span_hash, string_bytes, words
+from .repeats import MAX_WINDOWS, Contexts, Method, batches, covered_windows, doc_records, keyed, placed, with_covered
 
 PERIOD = 13
 #: A perfect difference set modulo PERIOD (fixed values).
 COVER = (0, 1, 3, 9)
+#: Bytes of text that are cut into contexts at once, but for a longer single text.
+PIECE_BYTES = 2 << 20
+
+
+def joined_words(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts with one space after each word, the words' starts and ends in it, and where each document's words begin and end in these."""
+    starts, ends, bounds = words(chunk)
+    size = ends - starts
+    to = np.cumsum(size + 1) - (size + 1)
+    text = np.full(int((size + 1).sum()), 32, np.uint8)
+    text[ranges(to, size)] = chunk.data[ranges(starts, size)]
+    return text, to, to + size, bounds
 
 
 def _contexts(width: int):
     length = width - PERIOD + 1
     in_cover = np.isin(np.arange(PERIOD), COVER)
 
-    def of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, dict[str, np.ndarray]]]:
+    def of(batch: pa.RecordBatch) -> Iterator[Contexts]:
         docs = doc_records(batch)
-        for chunk in chunks(batch.column(batch.schema.get_field_index("text"))):
-            starts, ends, bounds = words(chunk)
+        for chunk in chunks(batch.column(batch.schema.get_field_index("text")), PIECE_BYTES):
+            text, starts, ends, bounds = joined_words(chunk)
             if len(starts) < width:
                 continue
-            pre = prefix(word_codes(chunk, starts, ends))
             count = np.diff(bounds)
             doc = np.repeat(np.arange(len(count)), count)
             place = np.arange(len(starts)) - bounds[doc]
             use = np.flatnonzero(in_cover[place % PERIOD] & (place + length <= count[doc]) & (count[doc] >= width))
             doc, place = doc[use], place[use]
+            anchor = span_hash(prefix(BYTE_CODES[text]), starts[use], ends[use + length - 1])
             lo = np.maximum(place - (PERIOD - 1), 0)
-            hi = np.minimum(place, count[doc] - width)
-            base = bounds[doc]
-            yield docs[chunk.rows], {"anchor": span_hash(pre, use, use + length), "context": span_hash(pre, base + lo, base + hi + width), "lo": lo, "n": hi - lo + 1, "doc": doc}
+            n = np.minimum(place, count[doc] - width) - lo + 1
+            at = starts[bounds[doc] + lo]
+            yield Contexts(docs[chunk.rows], text, anchor, doc, lo, n, at, ends[bounds[doc] + lo + n + width - 2] - at)
 
     return of
 
 
-def _units(width: int):
-    def of(batch: pa.RecordBatch, asked: list[np.ndarray]) -> Iterator[dict]:
+def _asked(width: int):
+    def of(batch: pa.RecordBatch, asked: list[np.ndarray]) -> Iterator[Contexts]:
         docs = doc_records(batch)
-        for chunk in chunks(batch.column(batch.schema.get_field_index("text"))):
-            starts, ends, bounds = words(chunk)
-            codes = word_codes(chunk, starts, ends)
+        for chunk in chunks(batch.column(batch.schema.get_field_index("text")), PIECE_BYTES):
+            text, starts, ends, bounds = joined_words(chunk)
             mine = [asked[i] for i in chunk.rows]
             all_ = np.concatenate(mine)
             doc = np.repeat(np.arange(len(mine)), [len(x) for x in mine])
-            yield from send_units(docs[chunk.rows], all_, doc, codes, bounds[doc] + all_["lo"], all_["n"].astype(np.int64) + width - 1)
+            lo, n = all_["lo"].astype(np.int64), all_["n"].astype(np.int64)
+            at = starts[bounds[doc] + lo]
+            yield Contexts(docs[chunk.rows], text, all_["anchor"], doc, lo, n, at, ends[bounds[doc] + lo + n + width - 2] - at)
 
     return of
 
 
-def _resolve(width: int):
-    def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, docs, codes = receive_units(it, "<u8")
-        if not len(found):
-            return
-        n = found["n"].astype(np.int64)
-        base = np.cumsum(n + width - 1) - (n + width - 1)
-        of = np.repeat(np.arange(len(found)), n)
-        at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        # Every extension of an anchor to width words, compared with those of equal anchors.
-        window = span_hash(prefix(codes), base[of] + at, base[of] + at + width)
-        place = found["lo"][of] + at
-        ids = docs["doc_id"][of]
-        order = np.lexsort((place, ids, window))
-        head = np.concatenate([[True], window[order][1:] != window[order][:-1]])
-        first = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
-        covered = np.empty(len(of), bool)
-        covered[order] = (ids[order] > ids[first]) | ((ids[order] == ids[first]) & (place[order] > place[first]))
-        yield from batches(resolved_rows(found, docs, covered), SETTLED)
-
-    return task
+def _windows(width: int):
+    def of(text: np.ndarray, at: np.ndarray, size: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words end before spaces and where contexts end."""
+        spaces = np.flatnonzero(text == 32)
+        which = np.repeat(np.arange(len(n)), n)
+        k = ranges(np.zeros(len(n), np.int64), n)
+        first = np.searchsorted(spaces, at)  # the space after the context's first word
+        start = np.where(k == 0, at[which], spaces[np.minimum(first[which] + k - 1, len(spaces) - 1)] + 1)
+        end = np.where(k == n[which] - 1, (at + size)[which], spaces[np.minimum(first[which] + k + width - 1, len(spaces) - 1)])
+        return which, start, end - start
+
+    return of
+
+
+def _same_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the size bytes at a equal those at b, eight at a time."""
+    eight = np.ndarray((len(text) - 7,), "<u8", np.ascontiguousarray(text), strides=(1,)) if len(text) > 7 else np.zeros(0, U64)
+    out = np.ones(len(a), bool)
+    for some in np.array_split(np.arange(len(a)), max(1, int(size.sum()) // (16 << 20))):
+        n = -(-size[some] // 8)
+        # The last eight bytes overlap those before them.
+        step = np.minimum(8 * ranges(np.zeros(len(n), np.int64), n), np.repeat(size[some] - 8, n))
+        equal = eight[np.repeat(a[some], n) + step] == eight[np.repeat(b[some], n) + step]
+        if len(equal):
+            out[some] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+    return out
+
+
+def _earlier(text: np.ndarray, at: np.ndarray, size: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which strings, of at least 8 bytes, some one of a smaller rank equals: those of one hash are compared with the first of them."""
+    out = np.zeros(len(at), bool)
+    if len(at) < 2:
+        return out
+    hashes = span_hash(prefix(BYTE_CODES[text]), at, at + size)
+    order = np.lexsort((rank, hashes))
+    while len(order):
+        first, last = runs(hashes[order])
+        to = np.repeat(order[first], last - first)
+        equal = size[order] == size[to]
+        equal[equal] = _same_bytes(text, at[order[equal]], at[to[equal]], size[order[equal]])
+        out[order] = equal & (rank[order] > rank[to])
+        # Strings that only the hash of the first one equals are compared among themselves.
+        order = order[~equal]
+    return out
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
@@ -97,35 +136,28 @@ def substring_dedup(docs: DataFrame, width: int = 20, with_kept: bool = True) ->
 
     Null or empty text: no words.  A null doc_id: the text is returned whole
     and is nobody's earlier copy.  Rows that repeat a doc_id are one document:
-    equal rows get equal results.  Other columns of docs are left out.
+    equal rows get equal results.  Other columns of docs are left out.  One
+    task holds a text, with some 100 bytes for each of its words and bytes.
     """
-    if width <= PERIOD:
-        raise ValueError(f"width must be over {PERIOD}")
+    if not PERIOD < width < MAX_WINDOWS:
+        raise ValueError(f"width must be over {PERIOD} and below {MAX_WINDOWS}")
     texts = keyed(docs)
-    covered = covered_windows(texts, _contexts(width), _units(width), _resolve(width), own=True)
+    covered = covered_windows(texts, Method(_contexts(width), _asked(width), _windows(width), _earlier, own=True))
 
     def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            ids = batch.column(0).to_pylist()
-            data, offsets = string_bytes(batch.column(1))
-            rows = []
-            for i, lists in enumerate(batch.column(2).to_pylist()):
-                text = data[offsets[i] : offsets[i + 1]]
-                starts, ends, _ = words(Chunk(text, np.zeros(1, np.int64), np.array([len(text)]), np.zeros(1, np.int64)))
-                lo, n = placed(lists)
-                gone = run_mask(lo, lo + n + width - 1, len(starts)) if len(lo) else np.zeros(len(starts), bool)
-                # A word and one space after it, but for the last; the byte after a word is the one to overwrite.
-                a, b = starts[~gone], ends[~gone]
-                take = ranges(a, b - a + 1)[:-1]
-                out = text[np.minimum(take, max(len(text) - 1, 0))].copy() if len(a) else text[:0]
-                if len(a) > 1:
-                    out[np.cumsum(b - a + 1)[:-1] - 1] = 32
-                kept = out.tobytes()
-                rows.append({"doc_id": ids[i], "n_words": len(starts), "n_removed": int(gone.sum()), "kept_sha256": hashlib.sha256(kept).hexdigest()} | ({"kept": kept.decode("utf-8", "replace")} if with_kept else {}))
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema if not with_kept else RESULT)
-
-    schema = pa.schema(list(RESULT)[:-1])
-    return with_covered(texts, covered).mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_kept)
-
+        def rows() -> Iterator[dict]:
+            for batch in it:
+                ids = batch.column(0).to_pylist()
+                data, offsets = string_bytes(batch.column(1))
+                for i in range(batch.num_rows):
+                    raw = data[offsets[i] : offsets[i + 1]]
+                    text, starts, ends, _ = joined_words(Chunk(raw, np.zeros(1, np.int64), np.array([len(raw)]), np.zeros(1, np.int64)))
+                    lo, n = placed(batch.column(2)[i].as_py())
+                    gone = run_mask(lo, lo + n + width - 1, len(starts)) if len(lo) else np.zeros(len(starts), bool)
+                    # Each kept word with the space after it, but for the last one's.
+                    kept = text[ranges(starts[~gone], ends[~gone] - starts[~gone] + 1)[:-1]].tobytes()
+                    yield {"doc_id": ids[i], "n_words": len(starts), "n_removed": int(gone.sum()), "kept_sha256": hashlib.sha256(kept).hexdigest()} | ({"kept": kept.decode("utf-8", "replace")} if with_kept else {})
+
+        yield from batches(rows(), RESULT if with_kept else pa.schema(list(RESULT)[:-1]))
 
+    return with_covered(texts, covered).mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_kept)

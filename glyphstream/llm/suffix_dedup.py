@@ -2,11 +2,11 @@
 
 Suffixes are dealt to tasks by the minimum hash of the short strings that lie
 in their first ``width`` bytes, so equal ones always meet (see ``repeats``).
-Each task sorts its share of the suffixes as far as ``width`` bytes by prefix
-doubling.  In that order, ties by document, the longest previous factor of a
-suffix reaches ``width`` exactly if its previous smaller position, the nearest
-one before it that lies in an earlier document, is in the same run of equal
-prefixes; the next smaller position then lies outside the run.
+Each task puts its suffixes into suffix order, as far as the strings it asks
+about reach, works out the longest common prefixes of neighbours, and from the
+previous and next smaller positions (the nearest suffixes in that order which
+belong to an earlier document) each suffix's longest previous factor.  What is
+as long as the string asked about is a later copy.
 """
 
 from __future__ import annotations
@@ -18,10 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .kernels import U64, chunks, mix, prefix, run_mask, span_hash, string_bytes
-from .repeats import SETTLED, batches, covered_windows, doc_records, keyed, placed, receive_units, resolved_rows, send_units, with_covered
+from .kernels import BYTE_CODES, U64, chunks, mix, prefix, ranges, run_mask, runs, span_hash, string_bytes
+from .repeats import MAX_WINDOWS, Contexts, Method, batches, covered_windows, doc_records, keyed, placed, with_covered
 
 GRAM = 16
+#: Bytes of text that are cut into contexts at once, but for a longer single text.
+PIECE_BYTES = 2 << 20
+#: Bytes of suffixes that are put into order at once.
+ORDER_BYTES = 8 << 20
 _PLACE = U64((1 << 31) - 1)
 
 
@@ -48,9 +52,9 @@ def _window_minima(grams: np.ndarray, width: int) -> np.ndarray:
 def _contexts(width: int):
     per_window = width - GRAM + 1
 
-    def of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, dict[str, np.ndarray]]]:
+    def of(batch: pa.RecordBatch) -> Iterator[Contexts]:
         docs = doc_records(batch)
-        for chunk in chunks(batch.column(batch.schema.get_field_index("text"))):
+        for chunk in chunks(batch.column(batch.schema.get_field_index("text")), PIECE_BYTES):
             if len(chunk.data) < width:
                 continue
             grams = _grams(chunk.data)
@@ -59,73 +63,108 @@ def _contexts(width: int):
             if not len(valid):
                 continue
             at = at[valid]
-            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            lo, n = valid[first], np.diff(np.append(first, len(valid)))
+            first, last = runs(at)
+            lo = valid[first]
             doc = np.searchsorted(chunk.start, lo, side="right") - 1
-            context = span_hash(prefix(grams), lo, lo + n + per_window - 1)
-            yield docs[chunk.rows], {"anchor": grams[at[first]], "context": context, "lo": lo - chunk.start[doc], "n": n, "doc": doc}
+            yield Contexts(docs[chunk.rows], chunk.data, grams[at[first]], doc, lo - chunk.start[doc], last - first, lo, last - first + width - 1)
 
     return of
 
 
-def _units(width: int):
-    def of(batch: pa.RecordBatch, asked: list[np.ndarray]) -> Iterator[dict]:
-        data, offsets = string_bytes(batch.column(batch.schema.get_field_index("text")))
-        all_ = np.concatenate(asked)
-        doc = np.repeat(np.arange(len(asked)), [len(x) for x in asked])
-        yield from send_units(doc_records(batch), all_, doc, data, offsets[doc] + all_["lo"], all_["n"].astype(np.int64) + width - 1)
+def _asked(width: int):
+    def of(batch: pa.RecordBatch, asked: list[np.ndarray]) -> Iterator[Contexts]:
+        docs = doc_records(batch)
+        for chunk in chunks(batch.column(batch.schema.get_field_index("text")), PIECE_BYTES):
+            mine = [asked[i] for i in chunk.rows]
+            all_ = np.concatenate(mine)
+            doc = np.repeat(np.arange(len(mine)), [len(x) for x in mine])
+            lo, n = all_["lo"].astype(np.int64), all_["n"].astype(np.int64)
+            yield Contexts(docs[chunk.rows], chunk.data, all_["anchor"], doc, lo, n, chunk.start[doc] + lo, n + width - 1)
 
     return of
 
 
-def suffix_ranks(text: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    """Ranks of the suffixes at starts in the order of their first width bytes.
+def _windows(width: int):
+    def of(text: np.ndarray, at: np.ndarray, size: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        which = np.repeat(np.arange(len(n)), n)
+        return which, ranges(at, n), np.full(len(which), width)
 
-    Prefix doubling: ranks by 8 bytes, then 16, 32 and so on; two overlapping
-    halves give the last step.  Every start must have width bytes after it.
-    """
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    have = 8
-    rank = _dense(np.ndarray((len(text),), ">u8", padded, strides=(1,)).astype(U64))
-    while have * 2 < width:
-        far = np.concatenate([rank[have:], np.zeros(min(have, len(rank)), rank.dtype)])
-        rank = _dense((rank << U64(32)) | far)
-        have *= 2
-    return _dense((rank[starts] << U64(32)) | rank[starts + width - have])
+    return of
 
 
-def _dense(keys: np.ndarray) -> np.ndarray:
-    order = np.argsort(keys)
-    sorted_ = keys[order]
-    out = np.empty(len(keys), U64)
-    out[order] = np.cumsum(np.concatenate([[False], sorted_[1:] != sorted_[:-1]])).astype(U64) if len(keys) else 0
-    return out
+def suffix_order(text: np.ndarray, at: np.ndarray, size: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes at the given places in lexicographic order, each ending after size bytes, and the common prefix of each with the one before it.
 
+    Equal ones are ordered by rank.
+    """
+    n, reach = len(at), int(size.max(initial=0))
+    # A suffix's bytes, zeros beyond its end, and its size, which tells zeros of the text from those.
+    table = np.zeros((n, reach + 4), np.uint8)
+    table[np.repeat(np.arange(n), size), ranges(np.zeros(n, np.int64), size)] = text[ranges(at, size)]
+    table[:, reach:] = size.astype(">u4").view(np.uint8).reshape(-1, 4)
+    order = np.argsort(table.view(f"S{reach + 4}").ravel())
+    table = table[order]
+    differ = table[1:] != table[:-1]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), reach)
+    common = np.concatenate([[0], np.minimum(common, np.minimum(size[order][1:], size[order][:-1]))])
+    class_ = np.cumsum(np.concatenate([[True], differ.any(axis=1)]))
+    return order[np.lexsort((rank[order], class_))], common
+
+
+def _to_smaller(rank: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """For each place, the longest common prefix with the nearest place before it that has a smaller rank.
+
+    Places between two have no smaller rank than the later one, so pointers to
+    candidates can be followed from candidate to candidate, all at once.
+    common: with the place before.  Prefixes below least count as none, so
+    nothing needs to be followed beyond one.
+    """
+    to, low = np.arange(-1, len(rank) - 1), common.copy()
+    going = np.flatnonzero((to >= 0) & (rank[to] >= rank))
+    while len(going):
+        by = to[going]
+        low[going] = np.minimum(low[going], low[by])
+        to[going] = to[by]
+        going = going[(to[going] >= 0) & (low[going] >= least) & (rank[to[going]] >= rank[going])]
+    return np.where((to >= 0) & (rank[to] < rank) & (low >= least), low, 0)
 
-def previous_factor_reaches(ranks: np.ndarray, doc_ids: np.ndarray) -> np.ndarray:
-    """Where the longest previous factor, in documents with smaller ids, reaches the sorted width."""
-    order = np.lexsort((doc_ids, ranks))
-    ranks, ids = ranks[order], doc_ids[order]
-    head = np.concatenate([[True], ranks[1:] != ranks[:-1]])
-    first = np.flatnonzero(head)[np.cumsum(head) - 1]
-    out = np.empty(len(order), bool)
-    out[order] = ids > ids[first]
+
+def previous_factors(text: np.ndarray, at: np.ndarray, size: np.ndarray, rank: np.ndarray, least: int = 1) -> np.ndarray:
+    """The longest previous factor of each suffix: its longest prefix, of at most size bytes, that some suffix of a smaller rank begins with.
+
+    Factors below least bytes count as none.
+    """
+    order, common = suffix_order(text, at, size, rank)
+    ranks = rank[order]
+    before = _to_smaller(ranks, common, least)
+    after = _to_smaller(ranks[::-1], np.concatenate([[0], common[1:][::-1]]), least)[::-1]
+    out = np.empty(len(at), np.int64)
+    out[order] = np.maximum(before, after)
     return out
 
 
-def _resolve(width: int):
-    def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, docs, text = receive_units(it, "u1")
-        if not len(found):
-            return
-        n = found["n"].astype(np.int64)
-        base = np.cumsum(n + width - 1) - (n + width - 1)
-        of = np.repeat(np.arange(len(found)), n)
-        starts = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + base[of]
-        covered = previous_factor_reaches(suffix_ranks(text, starts, width), docs["doc_id"][of])
-        yield from batches(resolved_rows(found, docs, covered), SETTLED)
+def _earlier(text: np.ndarray, at: np.ndarray, size: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which strings some one of a smaller rank equals.
 
-    return task
+    A string whose hash no other has cannot be one; the others are taken some
+    megabytes at a time, equal hashes together.
+    """
+    out = np.zeros(len(at), bool)
+    if len(at) < 2:
+        return out
+    hashes = span_hash(prefix(BYTE_CODES[text]), at, at + size)
+    order = np.argsort(hashes, kind="stable")
+    first, last = runs(hashes[order])
+    twice = last - first > 1
+    first, last = first[twice], last[twice]
+    total = np.concatenate([[0], np.cumsum(size[order])])
+    a = 0
+    while a < len(first):
+        b = max(a + 1, int(np.searchsorted(total[last], total[first[a]] + ORDER_BYTES, side="right")))
+        pick = order[ranges(first[a:b], last[a:b] - first[a:b])]
+        out[pick] = previous_factors(text, at[pick], size[pick], rank[pick], int(size[pick].min())) >= size[pick]
+        a = b
+    return out
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
@@ -142,26 +181,26 @@ def suffix_array_dedup(docs: DataFrame, width: int = 50, with_kept: bool = True)
     is returned whole and is nobody's earlier copy.  Rows that repeat a doc_id
     do not remove each other's bytes and each gets its own result row.  Texts
     shorter than width keep all bytes.  Other columns of docs are left out.
+    One task holds a text, with some 100 bytes for each of its bytes.
     """
-    if width < GRAM + 1:
-        raise ValueError(f"width must be over {GRAM}")
+    if not GRAM < width < MAX_WINDOWS:
+        raise ValueError(f"width must be over {GRAM} and below {MAX_WINDOWS}")
     texts = keyed(docs)
-    covered = covered_windows(texts, _contexts(width), _units(width), _resolve(width), own=False)
+    covered = covered_windows(texts, Method(_contexts(width), _asked(width), _windows(width), _earlier, own=False))
 
     def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            ids = batch.column(0).to_pylist()
-            data, offsets = string_bytes(batch.column(1))
-            rows = []
-            for i, lists in enumerate(batch.column(2).to_pylist()):
-                text = data[offsets[i] : offsets[i + 1]]
-                lo, n = placed(lists)
-                gone = run_mask(lo, lo + n + width - 1, len(text)) if len(lo) else np.zeros(len(text), bool)
-                kept = text[~gone].tobytes()
-                spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (len(gone) > 0 and gone[0]))
-                rows.append({"doc_id": ids[i], "n_bytes": len(text), "n_removed": int(gone.sum()), "n_spans": spans, "kept_sha256": hashlib.sha256(kept).hexdigest()} | ({"kept": kept} if with_kept else {}))
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema if not with_kept else RESULT)
-
-    schema = pa.schema(list(RESULT)[:-1])
+        def rows() -> Iterator[dict]:
+            for batch in it:
+                ids = batch.column(0).to_pylist()
+                data, offsets = string_bytes(batch.column(1))
+                for i in range(batch.num_rows):
+                    text = data[offsets[i] : offsets[i + 1]]
+                    lo, n = placed(batch.column(2)[i].as_py())
+                    gone = run_mask(lo, lo + n + width - 1, len(text)) if len(lo) else np.zeros(len(text), bool)
+                    kept = text[~gone].tobytes()
+                    spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (len(gone) > 0 and gone[0]))
+                    yield {"doc_id": ids[i], "n_bytes": len(text), "n_removed": int(gone.sum()), "n_spans": spans, "kept_sha256": hashlib.sha256(kept).hexdigest()} | ({"kept": kept} if with_kept else {})
+
+        yield from batches(rows(), RESULT if with_kept else pa.schema(list(RESULT)[:-1]))
+
     return with_covered(texts, covered).mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)

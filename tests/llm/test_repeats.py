@@ -2,8 +2,10 @@ import hashlib
 import random
 import re
 
+import numpy as np
+from glyphstream.llm import repeats
 from glyphstream.llm.substring_dedup import substring_dedup
-from glyphstream.llm.suffix_dedup import suffix_array_dedup
+from glyphstream.llm.suffix_dedup import previous_factors, suffix_array_dedup
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -86,3 +88,66 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert got == [(0, 0, text), (1, 0, text), (1, 0, text), (2, 40, "")]
     assert suffix_array_dedup(frame(spark, [])).count() == 0
     assert substring_dedup(frame(spark, [])).count() == 0
+
+
+def test_longest_previous_factors():
+    """Every suffix of small texts, against all pairs."""
+    rng = np.random.default_rng(5)
+    for n, letters in ((1, 2), (2, 1), (60, 1), (300, 2), (300, 4)):
+        text = rng.integers(0, letters, n).astype(np.uint8)  # zeros as well
+        at = np.arange(n)
+        size = np.minimum(n - at, rng.integers(1, 40, n))
+        rank = rng.integers(0, n // 3 + 1, n)
+        raw = text.tobytes()
+        strings = [raw[a : a + k] for a, k in zip(at.tolist(), size.tolist())]
+
+        def common(a, b):
+            return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+        want = [max((common(s, t) for t, r in zip(strings, rank) if r < rank[i]), default=0) for i, s in enumerate(strings)]
+        assert previous_factors(text, at, size, rank).tolist() == want
+        assert previous_factors(text, at, size, rank, 7).tolist() == [x if x >= 7 else 0 for x in want]
+
+
+def test_wide_windows(spark):
+    rows = [(i, t and t * 3) for i, t in corpus(7, n=40)]
+    for width in (300, 400):
+        got = suffix_array_dedup(frame(spark, rows).repartition(3), width=width).drop("kept").collect()
+        assert sorted(map(tuple, got)) == brute_bytes(rows, width)
+    got = substring_dedup(frame(spark, rows).repartition(3), width=90).drop("kept").collect()
+    assert sorted(map(tuple, got)) == brute_words(rows, 90)
+
+
+def test_one_passage_in_different_surroundings(spark, monkeypatch):
+    """A hot anchor's contexts are dealt window by window."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(word() for _ in range(14))
+    longer = " ".join(word() for _ in range(25))
+    rows = [(i, " ".join([word(), word(), passage if i % 3 else longer, word(), word(), word(), word(), word(), word(), word()])) for i in range(300)]
+    monkeypatch.setattr(repeats, "HOT_CONTEXTS", 4)
+    assert sorted(map(tuple, suffix_array_dedup(frame(spark, rows).repartition(7)).drop("kept").collect())) == brute_bytes(rows)
+    assert sorted(map(tuple, substring_dedup(frame(spark, rows).repartition(7)).drop("kept").collect())) == brute_words(rows)
+
+
+def test_blocks(spark, monkeypatch):
+    from glyphstream.llm import substring_dedup as words_, suffix_dedup as bytes_
+
+    monkeypatch.setattr(repeats, "AT_ONCE", 50)
+    monkeypatch.setattr(bytes_, "ORDER_BYTES", 500)
+    monkeypatch.setattr(bytes_, "PIECE_BYTES", 300)
+    monkeypatch.setattr(words_, "PIECE_BYTES", 300)
+    rows = corpus(9)
+    assert sorted(map(tuple, suffix_array_dedup(frame(spark, rows).repartition(3)).drop("kept").collect())) == brute_bytes(rows)
+    assert sorted(map(tuple, substring_dedup(frame(spark, rows).repartition(3)).drop("kept").collect())) == brute_words(rows)
+
+
+def test_very_long_text(spark):
+    rng = random.Random(13)
+    text = " ".join(str(rng.randint(0, 10**6)) for _ in range(400_000))
+    rows = [(1, text), (2, text[1_000_000:1_200_000] + " x"), (3, "short")]
+    got = {r.doc_id: r for r in suffix_array_dedup(frame(spark, rows)).collect()}
+    assert (got[1].n_removed, got[2].n_removed, got[2].kept) == (0, 200_000, b" x")
+    n = len(rows[1][1].split())
+    got = {r.doc_id: r for r in substring_dedup(frame(spark, rows)).collect()}
+    assert got[1].n_removed == 0 and n - 3 <= got[2].n_removed <= n - 1
