@@ -9,7 +9,7 @@ of which brings all occurrences of a string to one task as rows:
    the same place, so they lie in contexts with the same anchor hash.  A task
    settles contexts that an earlier one of the same piece of text equals, asks
    for those whose anchor several contexts of the piece have, and sends
-   references to the others by anchor hash;
+   the anchor hashes of the others to their owners;
 2. owners of anchor hashes ask for the contexts whose anchor others have too,
    and count the contexts of each anchor;
 3. the text of what is asked for is dealt by anchor hash, after equal contexts
@@ -18,8 +18,9 @@ of which brings all occurrences of a string to one task as rows:
 4. the operator's own method settles contexts and then their windows, and what
    is settled comes back to the documents by key.
 
-Hashes only bring strings together or keep them apart; whether two are equal is
-for the operator's method, which looks at their bytes.
+Anchor hashes only bring strings together or keep them apart; whether two are
+equal is for the operator's method, which looks at their bytes.  Whole texts
+that an earlier document has as well (equal SHA-256) are settled before step 3.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import BYTE_CODES, U64, mix, prefix, ranges, runs, span_hash
+from .kernels import BYTE_CODES, U64, mix, prefix, ranges, run_mask, runs, span_hash
 from .shared import materialize, n_shuffle
 
 #: Contexts of one anchor above which they are dealt window by window.
@@ -41,13 +42,12 @@ HOT_CONTEXTS = 1000
 MAX_HOT = 500_000
 #: Windows that a task settles at once.
 AT_ONCE = 200_000
-#: Bytes of each field of a reference as it is sent: anchor hash (32 bits beside
-#: the part it is dealt to), place of its first window in its document, number of
-#: windows, its document's place in the packet.
-WIDTHS = {"anchor": 4, "lo": 4, "n": 2, "doc": 2}
+#: Bytes of each field of an anchor as it is sent: its hash (32 bits beside the
+#: part it is dealt to), its document's place in the packet.
+WIDTHS = {"anchor": 4, "doc": 2}
 ANCHOR = U64((1 << 32) - 1)
-PLACED = np.dtype([("lo", "<u4"), ("n", "<u2")])
-ASKED = np.dtype([("anchor", "<u8"), ("lo", "<u4"), ("n", "<u2")])
+PLACED = np.dtype([("lo", "<u4"), ("n", "<u4")])
+ASKED = np.dtype("<u4")
 TOLD = np.dtype([("anchor", "<u8"), ("count", "<u4")])
 DOC = np.dtype([("doc_id", "<i8"), ("key", "<i8")])
 MAX_WINDOWS = (1 << 16) - 1
@@ -74,16 +74,15 @@ class Contexts:
 class Method:
     """What the two operators have of their own.
 
-    contexts: a batch of (doc_id, key, text) to Contexts; asked: the same batch
-    and each row's ASKED records to the Contexts asked for; windows: text, at,
-    size and n of contexts to their windows, as (which context, at, size);
+    contexts: a batch of (doc_id, key, text) to Contexts and the rows of their
+    docs in it; windows: text, at, size and n of contexts to their windows, as
+    (which context, at, size);
     earlier: text, at and size of strings and a rank of each to those that some
     string of a smaller rank equals, by comparing bytes.  own: whether an
     earlier place of the same document counts as earlier.
     """
 
-    contexts: Callable[[pa.RecordBatch], Iterator[Contexts]]
-    asked: Callable[[pa.RecordBatch, list[np.ndarray]], Iterator[Contexts]]
+    contexts: Callable[[pa.RecordBatch], Iterator[tuple[Contexts, np.ndarray]]]
     windows: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
     earlier: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
     own: bool
@@ -110,7 +109,7 @@ def from_planes(body: bytes) -> dict[str, np.ndarray]:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a hash of the text: rows that repeat a doc_id with another text stay apart."""
+    """doc_id, text and key, a hash of the text: rows that repeat a doc_id with another text stay apart."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("text"))
 
@@ -172,7 +171,20 @@ def _records(c: Contexts, kind: np.dtype) -> np.ndarray:
     return out
 
 
-#: A document's settled and asked windows, or a packet for an owner: references (docs, body) or TOLD records (body alone).
+def _done(docs: np.ndarray, lo: np.ndarray, n: np.ndarray) -> Iterator[dict]:
+    """Settled windows as one row for each document; docs: a DOC record for each run of them."""
+    order = np.lexsort((lo, docs["key"], docs["doc_id"]))
+    docs, lo, n = docs[order], lo[order].astype(np.int64), n[order].astype(np.int64)
+    # Runs that touch make one record.
+    new = np.ones(len(lo), bool)
+    new[1:] = (docs[1:] != docs[:-1]) | (lo[1:] != lo[:-1] + n[:-1])
+    first = np.flatnonzero(new)
+    out = np.zeros(len(first), PLACED)
+    out["lo"], out["n"] = lo[first], np.add.reduceat(n, first) if len(first) else 0
+    yield from _by_doc(docs[first], "done", out)
+
+
+#: Of a document, done (PLACED records) or asked (ASKED anchors); or a packet for an owner: anchors (docs, body) or TOLD records (body alone).
 SENT = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("done", pa.binary()), ("asked", pa.binary()), ("docs", pa.binary()), ("body", pa.binary())])
 SENT_SQL = "part int, doc_id long, key long, done binary, asked binary, docs binary, body binary"
 #: With neither done nor asked: an anchor with many contexts, as doc_id, and their number, as key.
@@ -189,12 +201,12 @@ def _sent(c: Contexts, method: Method, parts: int) -> Iterator[dict]:
     settled = np.zeros(len(c.lo), bool)
     settled[near] = method.earlier(c.text, c.at[near], c.size[near], rank[near])
     done = c.take(settled)
-    for row in _by_doc(c.docs[done.doc], "done", _records(done, PLACED)):
+    for row in _done(c.docs[done.doc], done.lo, done.n):
         yield row | {"part": (row["key"] ^ row["doc_id"]) % parts}
     c, rank = c.take(~settled), rank[~settled]
     near = _shared(c.anchor, rank)
     asked = c.take(near)
-    for row in _by_doc(c.docs[asked.doc], "asked", _records(asked, ASKED)):
+    for row in _by_doc(c.docs[asked.doc], "asked", (asked.anchor & ANCHOR).astype(ASKED)):
         yield row | {"part": (row["key"] ^ row["doc_id"]) % parts}
     anchors, count = np.unique(asked.anchor, return_counts=True)
     told = np.zeros(len(anchors), TOLD)
@@ -206,14 +218,14 @@ def _sent(c: Contexts, method: Method, parts: int) -> Iterator[dict]:
         yield none | {"part": int(part[order[a]]), "docs": None, "body": told[order[a:b]].tobytes()}
     c = c.take(~near)
     part = (c.anchor >> U64(32)).astype(np.int64) % parts
-    order = np.lexsort((c.lo, c.doc, part))
+    order = np.lexsort((c.doc, part))
     for a, b in zip(*runs(part[order]), strict=True):
         pick = order[a:b]
         # doc places are of 16 bits: a packet holds at most so many documents
         used, place = np.unique(c.doc[pick], return_inverse=True)
         for k in range(0, len(used), 1 << 16):
             sub = (place >= k) & (place < k + (1 << 16))
-            fields = {"anchor": c.anchor[pick][sub], "lo": c.lo[pick][sub], "n": c.n[pick][sub], "doc": place[sub] - k}
+            fields = {"anchor": c.anchor[pick][sub], "doc": place[sub] - k}
             yield none | {"part": int(part[pick[0]]), "docs": c.docs[used[k : k + (1 << 16)]].tobytes(), "body": to_planes(fields)}
 
 
@@ -221,23 +233,21 @@ def _owned(own: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     """Step 2, for one task's share of the anchors."""
 
     def rows(part: int, packets: list[tuple[bytes, bytes]], told: np.ndarray) -> Iterator[dict]:
-        fields = {k: [] for k in WIDTHS}
-        tables, base = [np.zeros(0, DOC)], 0
+        anchors, places, tables, base = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)], [np.zeros(0, DOC)], 0
         for docs, body in packets:
-            for k, v in from_planes(body).items():
-                fields[k].append((v + U64(base) if k == "doc" else v).astype(np.uint16 if k == "n" else np.uint32))
+            fields = from_planes(body)
+            anchors.append(fields["anchor"].astype(np.uint32))
+            places.append((fields["doc"] + U64(base)).astype(np.uint32))
             tables.append(np.frombuffer(docs, DOC))
             base += len(tables[-1])
-        docs = np.concatenate(tables)
-        anchor, lo, n, doc = (np.concatenate([np.zeros(0, np.uint32), *fields[k]]) for k in ("anchor", "lo", "n", "doc"))
-        docs = docs[doc.astype(np.int64)]
+        anchor, docs = np.concatenate(anchors), np.concatenate(tables)[np.concatenate(places)]
         asked = np.isin(anchor, (told["anchor"] & ANCHOR).astype(np.uint32))
-        asked |= _shared(anchor, _rank(docs, lo, own))
-        out = np.zeros(int(asked.sum()), ASKED)
-        out["anchor"], out["lo"], out["n"] = (anchor[asked].astype(U64) | U64(part << 32)), lo[asked], n[asked]
-        yield from ({"doc_id": r["doc_id"], "key": r["key"], "done": None, "asked": r["asked"]} for r in _by_doc(docs[asked], "asked", out))
+        # Any two contexts may be two places of a document; elsewhere two documents are asked for.
+        asked |= _shared(anchor, np.arange(len(anchor)) if own else docs["doc_id"])
+        out = anchor[asked].astype(U64) | U64(part << 32)
+        yield from ({"doc_id": r["doc_id"], "key": r["key"], "done": None, "asked": r["asked"]} for r in _by_doc(docs[asked], "asked", anchor[asked].astype(ASKED)))
         # Anchors by their number of contexts.
-        all_ = np.concatenate([out["anchor"], told["anchor"]])
+        all_ = np.concatenate([out, told["anchor"]])
         count = np.concatenate([np.ones(len(out), np.int64), told["count"].astype(np.int64)])
         order = np.argsort(all_, kind="stable")
         first, _ = runs(all_[order])
@@ -261,7 +271,7 @@ def _owned(own: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
                 else:
                     packets.append((docs, body))
             yield from batches(iter(passed), SETTLED)
-        # The part's number stands for the anchors' upper bits in references: TOLD records get it as well.
+        # The part's number stands for the upper bits of anchors that are sent: TOLD records get it as well.
         all_ = np.concatenate([np.zeros(0, TOLD), *told])
         all_["anchor"] = (all_["anchor"] & ANCHOR) | U64(part << 32)
         yield from batches(rows(part, packets, all_), SETTLED)
@@ -290,7 +300,7 @@ def _fetched(c: Contexts, method: Method, hot: np.ndarray, parts: int) -> Iterat
             here = Contexts(here.docs, here.text, own, here.doc[of], lo, np.ones(len(of), np.int64), at, size)
         settled = method.earlier(here.text, here.at, here.size, _rank(here.docs[here.doc], here.lo, method.own))
         done, here = here.take(settled), here.take(~settled)
-        for row in _by_doc(done.docs[done.doc], "done", _records(done, PLACED)):
+        for row in _done(done.docs[done.doc], done.lo, done.n):
             yield {k: row[k] for k in BYTES.names} | {"part": (row["key"] ^ row["doc_id"]) % parts}
         # Anchors of whole contexts have their part as upper bits, windows a hash.
         part = (here.anchor >> U64(32)).astype(np.int64) % parts
@@ -302,7 +312,8 @@ def _fetched(c: Contexts, method: Method, hot: np.ndarray, parts: int) -> Iterat
                 sub = pick[(place >= k) & (place < k + (1 << 16))]
                 part_of = here.take(sub)
                 part_of.doc = np.searchsorted(used, part_of.doc) - k
-                body = np.array([len(sub)], "<u4").tobytes() + _records(part_of, FETCHED).tobytes() + here.text[ranges(part_of.at, part_of.size)].tobytes()
+                raw = here.text[ranges(part_of.at, part_of.size)].tobytes()
+                body = np.array([len(sub), len(raw)], "<u4").tobytes() + _records(part_of, FETCHED).tobytes() + pa.compress(raw, "zstd", asbytes=True)
                 yield {"part": int(part[pick[0]]), "doc_id": None, "key": None, "done": None, "docs": here.docs[used[k : k + (1 << 16)]].tobytes(), "body": body}
 
 
@@ -310,10 +321,10 @@ def _received(packets: list[tuple[bytes, bytes]]) -> Contexts:
     """All contexts of a task, their bytes laid end to end, in the order of their anchors."""
     found, docs, text = [np.zeros(0, FETCHED)], [np.zeros(0, DOC)], [np.zeros(0, np.uint8)]
     for table, body in packets:
-        n = int(np.frombuffer(body, "<u4", 1)[0])
-        found.append(np.frombuffer(body, FETCHED, n, 4))
+        n, n_bytes = np.frombuffer(body, "<u4", 2).tolist()
+        found.append(np.frombuffer(body, FETCHED, n, 8))
         docs.append(np.frombuffer(table, DOC)[found[-1]["doc"]])
-        text.append(np.frombuffer(body, np.uint8, offset=4 + n * FETCHED.itemsize))
+        text.append(np.frombuffer(pa.decompress(body[8 + n * FETCHED.itemsize :], n_bytes, "zstd"), np.uint8))
     f, text = np.concatenate(found), np.concatenate(text)
     size = f["size"].astype(np.int64)
     c = Contexts(np.concatenate(docs), text, f["anchor"], np.arange(len(f)), f["lo"].astype(np.int64), f["n"].astype(np.int64), np.cumsum(size) - size, size)
@@ -334,18 +345,14 @@ def _resolved(method: Method) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
         text, at = c.text[ranges(c.at, c.size)], np.cumsum(c.size) - c.size
         settled = method.earlier(text, at, c.size, rank)
         done = c.take(settled)
-        yield from _by_doc(c.docs[done.doc], "done", _records(done, PLACED))
+        yield from _done(c.docs[done.doc], done.lo, done.n)
         left = np.flatnonzero(~settled)
         left = left[_shared(c.anchor[left], rank[left])]
         of, w_at, w_size = method.windows(text, at[left], c.size[left], c.n[left])
         of, first = left[of], np.repeat(np.cumsum(c.n[left]) - c.n[left], c.n[left])
         lo = c.lo[of] + np.arange(len(of)) - first
         settled = np.flatnonzero(method.earlier(text, w_at, w_size, _rank(c.docs[c.doc[of]], lo, method.own)))
-        # Consecutive windows of a context make one record.
-        start, end = runs(of[settled], lo[settled] - np.arange(len(settled)))
-        out = np.zeros(len(start), PLACED)
-        out["lo"], out["n"] = lo[settled][start], end - start
-        yield from _by_doc(c.docs[c.doc[of[settled]]][start], "done", out)
+        yield from _done(c.docs[c.doc[of[settled]]], lo[settled], np.ones(len(settled), np.int64))
 
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packets = []
@@ -379,13 +386,21 @@ DONE = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("done", pa.binar
 DONE_SQL = "doc_id long, key long, done binary"
 
 
-def covered_windows(texts: DataFrame, method: Method) -> DataFrame:
-    """doc_id, key and ``done``: PLACED records of the windows that also start earlier."""
+def whole_copies(texts: DataFrame) -> DataFrame:
+    """doc_id and key of texts that a document with a smaller doc_id has as well."""
+    light = _usable(texts).select("doc_id", "key", F.unhex(F.sha2("text", 256)).alias("sha"))
+    # Copies are counted in each task first; the join is one that AQE can split.
+    firsts = light.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("sha", "first")
+    return materialize(light.join(firsts, "sha").filter("doc_id > first").select("doc_id", "key").distinct(), "copies")
+
+
+def covered_windows(texts: DataFrame, method: Method, copies: DataFrame) -> DataFrame:
+    """doc_id, key and ``done``: PLACED records of the windows that also start earlier; of copies, not all of them."""
     spark = texts.sparkSession
     parts = n_parts(texts)
 
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batches((row for batch in it for c in method.contexts(batch) for row in _sent(c, method, parts)), SENT)
+        yield from batches((row for batch in it for c, _ in method.contexts(batch) for row in _sent(c, method, parts)), SENT)
 
     usable = _usable(texts)
     # A packet's part is its task: the number of parts follows the input.
@@ -399,14 +414,19 @@ def covered_windows(texts: DataFrame, method: Method) -> DataFrame:
     def fetch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[dict]:
             for batch in it:
-                lists = batch.column(batch.schema.get_field_index("asked")).to_pylist()
-                for c in method.asked(batch, [np.concatenate([np.zeros(0, ASKED), *(np.frombuffer(b, ASKED) for b in x or ())]) for x in lists]):
-                    # An anchor is known by its part and its lower bits.
+                lists = batch.column(batch.schema.get_field_index("asked"))
+                for c, of in method.contexts(batch):
+                    mine = [np.frombuffer(b"".join(lists[i].as_py()), ASKED) for i in of.tolist()]
+                    wanted = np.repeat(np.arange(len(mine)), [len(x) for x in mine]).astype(U64) << U64(32) | np.concatenate(mine)
+                    c = c.take(np.isin((c.doc.astype(U64) << U64(32)) | (c.anchor & ANCHOR), wanted))
+                    # Owners know an anchor by its part and its lower bits.
                     c.anchor = (c.anchor & ANCHOR) | ((c.anchor >> U64(32)) % U64(parts) << U64(32))
                     yield from _fetched(c, method, sent_hot.value, parts)
 
         yield from batches(rows(), BYTES)
 
+    # Copies have no part in it: the document with the smallest doc_id speaks for their text.
+    asked = asked.join(copies, ["doc_id", "key"], "left_anti")
     # The same exchange of the texts serves this join and the last one.
     fetched = usable.join(asked, ["doc_id", "key"], "left").filter("asked is not null").select("doc_id", "key", "text", "asked").mapInArrow(fetch, BYTES_SQL)
     resolved = fetched.repartitionById(parts, F.col("part")).mapInArrow(_resolved(method), DONE_SQL)
@@ -421,16 +441,18 @@ def _usable(texts: DataFrame) -> DataFrame:
     return texts.filter(F.col("doc_id").isNotNull())
 
 
-def with_covered(texts: DataFrame, covered: DataFrame) -> DataFrame:
-    """doc_id, text and ``done``, the list of its PLACED records or null, of every row of texts."""
-    by_doc = covered.groupBy("doc_id", "key").agg(F.collect_list("done").alias("done"))
-    joined = _usable(texts).join(by_doc, ["doc_id", "key"], "left").select("doc_id", "text", "done")
-    return joined.unionByName(texts.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<binary>").alias("done")))
+def with_covered(texts: DataFrame, covered: DataFrame, copies: DataFrame) -> DataFrame:
+    """doc_id, text, done (the list of its PLACED records) and copy (whether all its windows are covered) of every row of texts."""
+    told = covered.select("doc_id", "key", "done", F.lit(False).alias("copy")).unionByName(copies.select("doc_id", "key", F.lit(None).cast("binary").alias("done"), F.lit(True).alias("copy")))
+    by_doc = told.groupBy("doc_id", "key").agg(F.collect_list("done").alias("done"), F.max("copy").alias("copy"))
+    joined = _usable(texts).join(by_doc, ["doc_id", "key"], "left").select("doc_id", "text", "done", "copy")
+    return joined.unionByName(texts.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<binary>").alias("done"), F.lit(None).cast("boolean").alias("copy")))
 
 
-def placed(lists: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
-    """First places and numbers of windows of a document's settled contexts."""
-    if not lists:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    all_ = np.frombuffer(b"".join(lists), PLACED)
-    return all_["lo"].astype(np.int64), all_["n"].astype(np.int64)
+def covered_units(lists: list[bytes] | None, copy: bool | None, n: int, width: int) -> np.ndarray:
+    """Which of a document's n bytes or words lie in covered windows."""
+    if copy:
+        return np.full(n, n >= width)
+    all_ = np.frombuffer(b"".join(lists or ()), PLACED)
+    lo = all_["lo"].astype(np.int64)
+    return run_mask(lo, lo + all_["n"] + width - 1, n) if len(lo) else np.zeros(n, bool)

@@ -18,8 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .kernels import BYTE_CODES, U64, Chunk, chunks, prefix, ranges, run_mask, runs, span_hash, string_bytes, words
-from .repeats import MAX_WINDOWS, Contexts, Method, batches, covered_windows, doc_records, keyed, placed, with_covered
+from .kernels import BYTE_CODES, U64, Chunk, chunks, prefix, ranges, runs, span_hash, string_bytes, words
+from .repeats import MAX_WINDOWS, Contexts, Method, batches, covered_units, covered_windows, doc_records, keyed, whole_copies, with_covered
 
 PERIOD = 13
 #: A perfect difference set modulo PERIOD (fixed values).
@@ -42,7 +42,7 @@ def _contexts(width: int):
     length = width - PERIOD + 1
     in_cover = np.isin(np.arange(PERIOD), COVER)
 
-    def of(batch: pa.RecordBatch) -> Iterator[Contexts]:
+    def of(batch: pa.RecordBatch) -> Iterator[tuple[Contexts, np.ndarray]]:
         docs = doc_records(batch)
         for chunk in chunks(batch.column(batch.schema.get_field_index("text")), PIECE_BYTES):
             text, starts, ends, bounds = joined_words(chunk)
@@ -57,22 +57,7 @@ def _contexts(width: int):
             lo = np.maximum(place - (PERIOD - 1), 0)
             n = np.minimum(place, count[doc] - width) - lo + 1
             at = starts[bounds[doc] + lo]
-            yield Contexts(docs[chunk.rows], text, anchor, doc, lo, n, at, ends[bounds[doc] + lo + n + width - 2] - at)
-
-    return of
-
-
-def _asked(width: int):
-    def of(batch: pa.RecordBatch, asked: list[np.ndarray]) -> Iterator[Contexts]:
-        docs = doc_records(batch)
-        for chunk in chunks(batch.column(batch.schema.get_field_index("text")), PIECE_BYTES):
-            text, starts, ends, bounds = joined_words(chunk)
-            mine = [asked[i] for i in chunk.rows]
-            all_ = np.concatenate(mine)
-            doc = np.repeat(np.arange(len(mine)), [len(x) for x in mine])
-            lo, n = all_["lo"].astype(np.int64), all_["n"].astype(np.int64)
-            at = starts[bounds[doc] + lo]
-            yield Contexts(docs[chunk.rows], text, all_["anchor"], doc, lo, n, at, ends[bounds[doc] + lo + n + width - 2] - at)
+            yield Contexts(docs[chunk.rows], text, anchor, doc, lo, n, at, ends[bounds[doc] + lo + n + width - 2] - at), chunk.rows
 
     return of
 
@@ -142,7 +127,8 @@ def substring_dedup(docs: DataFrame, width: int = 20, with_kept: bool = True) ->
     if not PERIOD < width < MAX_WINDOWS:
         raise ValueError(f"width must be over {PERIOD} and below {MAX_WINDOWS}")
     texts = keyed(docs)
-    covered = covered_windows(texts, Method(_contexts(width), _asked(width), _windows(width), _earlier, own=True))
+    copies = whole_copies(texts)
+    covered = covered_windows(texts, Method(_contexts(width), _windows(width), _earlier, own=True), copies)
 
     def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[dict]:
@@ -152,12 +138,11 @@ def substring_dedup(docs: DataFrame, width: int = 20, with_kept: bool = True) ->
                 for i in range(batch.num_rows):
                     raw = data[offsets[i] : offsets[i + 1]]
                     text, starts, ends, _ = joined_words(Chunk(raw, np.zeros(1, np.int64), np.array([len(raw)]), np.zeros(1, np.int64)))
-                    lo, n = placed(batch.column(2)[i].as_py())
-                    gone = run_mask(lo, lo + n + width - 1, len(starts)) if len(lo) else np.zeros(len(starts), bool)
+                    gone = covered_units(batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), len(starts), width)
                     # Each kept word with the space after it, but for the last one's.
                     kept = text[ranges(starts[~gone], ends[~gone] - starts[~gone] + 1)[:-1]].tobytes()
                     yield {"doc_id": ids[i], "n_words": len(starts), "n_removed": int(gone.sum()), "kept_sha256": hashlib.sha256(kept).hexdigest()} | ({"kept": kept.decode("utf-8", "replace")} if with_kept else {})
 
         yield from batches(rows(), RESULT if with_kept else pa.schema(list(RESULT)[:-1]))
 
-    return with_covered(texts, covered).mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_kept)
+    return with_covered(texts, covered, copies).mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_kept)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .kernels import BYTE_CODES, U64, chunks, mix, prefix, ranges, run_mask, runs, span_hash, string_bytes
-from .repeats import MAX_WINDOWS, Contexts, Method, batches, covered_windows, doc_records, keyed, placed, with_covered
+from .repeats import MAX_WINDOWS, Contexts, Method, batches, covered_units, covered_windows, doc_records, keyed, whole_copies, with_covered
 
 GRAM = 16
 #: Bytes of text that are cut into contexts at once, but for a longer single text.
@@ -52,7 +52,7 @@ def _window_minima(grams: np.ndarray, width: int) -> np.ndarray:
 def _contexts(width: int):
     per_window = width - GRAM + 1
 
-    def of(batch: pa.RecordBatch) -> Iterator[Contexts]:
+    def of(batch: pa.RecordBatch) -> Iterator[tuple[Contexts, np.ndarray]]:
         docs = doc_records(batch)
         for chunk in chunks(batch.column(batch.schema.get_field_index("text")), PIECE_BYTES):
             if len(chunk.data) < width:
@@ -66,20 +66,7 @@ def _contexts(width: int):
             first, last = runs(at)
             lo = valid[first]
             doc = np.searchsorted(chunk.start, lo, side="right") - 1
-            yield Contexts(docs[chunk.rows], chunk.data, grams[at[first]], doc, lo - chunk.start[doc], last - first, lo, last - first + width - 1)
-
-    return of
-
-
-def _asked(width: int):
-    def of(batch: pa.RecordBatch, asked: list[np.ndarray]) -> Iterator[Contexts]:
-        docs = doc_records(batch)
-        for chunk in chunks(batch.column(batch.schema.get_field_index("text")), PIECE_BYTES):
-            mine = [asked[i] for i in chunk.rows]
-            all_ = np.concatenate(mine)
-            doc = np.repeat(np.arange(len(mine)), [len(x) for x in mine])
-            lo, n = all_["lo"].astype(np.int64), all_["n"].astype(np.int64)
-            yield Contexts(docs[chunk.rows], chunk.data, all_["anchor"], doc, lo, n, chunk.start[doc] + lo, n + width - 1)
+            yield Contexts(docs[chunk.rows], chunk.data, grams[at[first]], doc, lo - chunk.start[doc], last - first, lo, last - first + width - 1), chunk.rows
 
     return of
 
@@ -186,7 +173,8 @@ def suffix_array_dedup(docs: DataFrame, width: int = 50, with_kept: bool = True)
     if not GRAM < width < MAX_WINDOWS:
         raise ValueError(f"width must be over {GRAM} and below {MAX_WINDOWS}")
     texts = keyed(docs)
-    covered = covered_windows(texts, Method(_contexts(width), _asked(width), _windows(width), _earlier, own=False))
+    copies = whole_copies(texts)
+    covered = covered_windows(texts, Method(_contexts(width), _windows(width), _earlier, own=False), copies)
 
     def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[dict]:
@@ -195,12 +183,11 @@ def suffix_array_dedup(docs: DataFrame, width: int = 50, with_kept: bool = True)
                 data, offsets = string_bytes(batch.column(1))
                 for i in range(batch.num_rows):
                     text = data[offsets[i] : offsets[i + 1]]
-                    lo, n = placed(batch.column(2)[i].as_py())
-                    gone = run_mask(lo, lo + n + width - 1, len(text)) if len(lo) else np.zeros(len(text), bool)
+                    gone = covered_units(batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), len(text), width)
                     kept = text[~gone].tobytes()
                     spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (len(gone) > 0 and gone[0]))
                     yield {"doc_id": ids[i], "n_bytes": len(text), "n_removed": int(gone.sum()), "n_spans": spans, "kept_sha256": hashlib.sha256(kept).hexdigest()} | ({"kept": kept} if with_kept else {})
 
         yield from batches(rows(), RESULT if with_kept else pa.schema(list(RESULT)[:-1]))
 
-    return with_covered(texts, covered).mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
+    return with_covered(texts, covered, copies).mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)

@@ -59,6 +59,9 @@ def test_against_brute_force(spark):
 def test_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(m, "BLOCK_BYTES", 150)
     check(spark, *case(4))
+    # And in several passes.
+    monkeypatch.setattr(m, "HELD_BYTES", 5000)
+    check(spark, *case(5))
 
 
 def test_cutting(spark):
@@ -69,3 +72,14 @@ def test_cutting(spark):
     assert got[2].cleaned == "" and got[2].dropped
     assert got[3].cleaned == "one two three" and not got[3].contaminated
     assert m.decontaminate(*frames(spark, [], [(7, item)])).count() == 0
+
+
+def test_clashing_columns_and_long_text(spark):
+    item = " ".join(f"w{i}" for i in range(12))
+    long = "w1 w2 w3 w4 " * 300_000 + item
+    docs = spark.createDataFrame([(1, long, [1], "s", 3, 4), (2, None, [2], "t", 5, 6)], "doc_id long, text string, items_ array<int>, spans string, N_WORDS int, _1 int")
+    out = m.decontaminate(docs, spark.createDataFrame([("a", item), ("b", "w9 w10"), ("c", item)], "item_id string, text string"))
+    assert out.columns[:5] == ["doc_id", "text", "items_", "spans", "_1"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert (got[1].n_words, got[1].n_hit, got[1]["items"], got[1].spans, got[1]["_1"]) == (1_200_012, 12, ["a", "b", "c"], "s", 4)
+    assert (got[2].n_words, got[2].cleaned, got[2].contaminated) == (0, None, False)
