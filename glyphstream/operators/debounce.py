@@ -2,20 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-@dataclass(frozen=True)
-class DebounceConfig:
-    min_hold_ms: int = 100
-    blank_ms: int = 250
-    switch_ms: int = 60
-    min_hold_frames: int = 3
-    min_blank_frames: int = 2
-
+from .holds import DebounceConfig, next_sql
 
 _STATE = """named_struct('cur', cast(null as string), 'start', cast(null as double), 'n', 0, 'done', false,
     'pk', cast(null as string), 'ps', cast(null as double), 'pn', 0, 'last', cast(null as string),
@@ -24,20 +14,9 @@ _STATE = """named_struct('cur', cast(null as string), 'start', cast(null as doub
 
 def _next(c: DebounceConfig) -> str:
     """One reading x after state s, in two steps: what is held, then whether it commits."""
-    same = "coalesce(s.pk = x.symbol, false)"
-    since, frames = f"if({same}, s.ps, x.t)", f"if({same}, s.pn + 1, 1)"
-    state = lambda cur, start, n, done, pk, ps, pn, saw: f"named_struct('cur', {cur}, 'start', {start}, 'n', {n}, 'done', {done}, 'pk', {pk}, 'ps', {ps}, 'pn', {pn}, 'saw', {saw})"
-    none = ("cast(null as string)", "cast(null as double)", "0")
-    held = f"""case
-        when x.symbol = '' and s.cur is null then {state("s.cur", "s.start", "s.n", "s.done", *none, "false")}
-        when x.symbol = '' then {state("s.cur", "s.start", "s.n", "s.done", "x.symbol", since, frames, "false")}
-        when x.symbol = s.cur then {state("s.cur", "s.start", "s.n + 1", "s.done", *none, "true")}
-        when s.cur is null then {state("x.symbol", "x.t", "1", "false", *none, "true")}
-        when x.t - {since} >= {c.switch_ms} then {state("x.symbol", since, frames, "false", *none, "true")}
-        else {state("s.cur", "s.start", "s.n", "s.done", "x.symbol", since, frames, "false")} end"""
     commits = f"h.saw and not h.done and x.t - h.start >= {c.min_hold_ms} and h.n >= {c.min_hold_frames}"
     news = "not coalesce(h.cur = s.last, false)"
-    return f"""transform(array({held}), h -> named_struct('cur', h.cur, 'start', h.start, 'n', h.n, 'done', h.done or ({commits}),
+    return f"""transform(array({next_sql(c)}), h -> named_struct('cur', h.cur, 'start', h.start, 'n', h.n, 'done', h.done or ({commits}),
         'pk', h.pk, 'ps', h.ps, 'pn', h.pn, 'last', if(({commits}) and {news}, h.cur, s.last),
         'out', if(({commits}) and {news}, array_append(s.out, named_struct('symbol', h.cur, 'frame_no', x.frame_no, 't_ms', x.t)), s.out)))[0]"""
 
@@ -63,6 +42,24 @@ def debounce(frames: DataFrame, config: DebounceConfig = DebounceConfig()) -> Da
     return folded.select("stream_id", "c.symbol", "c.frame_no", "c.t_ms")
 
 
+def debounce_parts(frames: DataFrame, config: DebounceConfig = DebounceConfig()) -> DataFrame:
+    """stream_id, part, symbol, frame_no, t_ms: the commits of streams that are cut, with how many cuts came before.
+
+    frames has a boolean ``cut`` besides: such a row is not read, and the
+    machine starts anew after it, as it does after a motion and after a reset.
+    """
+    order = Window.partitionBy("stream_id").orderBy("t_ms", "frame_no")
+    parted = frames.withColumn("part", F.count_if("cut").over(order)).filter(~F.col("cut"))
+    commits = debounce(parted.withColumn("stream_id", F.struct("stream_id", "part")), config)
+    return commits.select("stream_id.stream_id", "stream_id.part", "symbol", "frame_no", "t_ms")
+
+
+def after_reset(frames: DataFrame, config: DebounceConfig = DebounceConfig()) -> DataFrame:
+    """stream_id, symbol, frame_no, t_ms of the commits since each stream's last reset; a reset is a row whose cut is true."""
+    last = frames.groupBy("stream_id").agg(F.count_if("cut").alias("part"))
+    return debounce_parts(frames, config).join(last, ["stream_id", "part"], "left_semi").drop("part")
+
+
 def retract(commits: DataFrame, fires: DataFrame) -> DataFrame:
     """Commits without those that a motion took back, and the motions' own.
 

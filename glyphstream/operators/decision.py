@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .geometry import MotionConfig, samples
+from .motion import SAMPLE, MotionBuffer
 
 
 def confidence_gate(probabilities: Column, labels: Column, threshold: float = 0.85) -> Column:
@@ -35,46 +35,6 @@ def frame_decision(frames: DataFrame, tolerance: int = 5) -> DataFrame:
     return counted.withColumns({"fed": fed, "clear": lost}).drop("_part", "_missed")
 
 
-def _stroke_directions(path: list[float], c: MotionConfig) -> list[int]:
-    """+1 and -1 for the strokes of a path; turns within the deadband are jitter."""
-    out: list[int] = []
-    begin = far = path[0]
-    way = 0
-
-    def close() -> None:
-        if way and abs(far - begin) >= c.z_stroke:
-            out.append(way)
-
-    for x in path[1:]:
-        if way == 0:
-            if abs(x - begin) > c.deadband:
-                way, far = (1 if x > begin else -1), x
-        elif (x - far) * way > 0:
-            far = x
-        elif abs(x - far) > c.deadband:
-            close()
-            begin, far, way = far, x, -way
-    close()
-    return out
-
-
-def _fires(held: deque, c: MotionConfig) -> str | None:
-    if len(held) < c.min_samples:
-        return None
-    first, last = held[0], held[-1]
-    if sum(s.i_shape for s in held) >= c.shape_ratio * len(held) and last.pinky_y - first.pinky_y > c.j_drop:
-        third = [s for s in held if s.t_ms >= last.t_ms - (last.t_ms - first.t_ms) / 3]
-        if len(third) > 1 and abs(third[-1].pinky_x - third[0].pinky_x) > c.j_hook:
-            return "J"
-    if sum(s.point_shape for s in held) >= c.shape_ratio * len(held) and last.index_y - first.index_y > c.z_drop:
-        centres = [s.cx for s in held]
-        if max(centres) - min(centres) >= c.z_travel:
-            ways = _stroke_directions([s.index_x for s in held], c)[-3:]
-            if len(ways) == 3 and ways[0] == ways[2] != ways[1]:
-                return "Z"
-    return None
-
-
 def motion_fires(frames: DataFrame, c: MotionConfig = MotionConfig()) -> DataFrame:
     """stream_id, symbol, start_frame, frame_no of the motions of each stream; a motion empties the buffer.
 
@@ -82,25 +42,23 @@ def motion_fires(frames: DataFrame, c: MotionConfig = MotionConfig()) -> DataFra
     of one stream at a time, however long the stream is.  frames may have a
     boolean ``clear``; such rows only empty the buffer.
     """
-    marks = samples(frames) if "clear" not in frames.columns else samples(frames.filter(~F.col("clear"))).withColumn("clear", F.lit(False)).unionByName(frames.filter("clear").select("stream_id", "frame_no", "t_ms", "clear"), allowMissingColumns=True)
-    dealt = marks.withColumn("stream_id", F.col("stream_id").cast("string")).repartition("stream_id").sortWithinPartitions("stream_id", "t_ms", "frame_no")
+    marks = samples(frames)
+    if "clear" in frames.columns:
+        marks = samples(frames.filter(~F.col("clear"))).withColumn("clear", F.lit(False)).unionByName(frames.filter("clear").select("stream_id", "frame_no", "t_ms", "clear"), allowMissingColumns=True)
+    else:
+        marks = marks.withColumn("clear", F.lit(False))
+    dealt = marks.select(F.col("stream_id").cast("string").alias("stream_id"), "clear", *SAMPLE).repartition("stream_id").sortWithinPartitions("stream_id", "t_ms", "frame_no")
 
     def task(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stream, held = None, deque()
+        stream, buffer = None, MotionBuffer(c)
         for batch in it:
             out = []
-            for s in batch.itertuples(index=False):
-                if s.stream_id != stream or getattr(s, "clear", False):
-                    stream = s.stream_id
-                    held.clear()
-                    if getattr(s, "clear", False):
-                        continue
-                held.append(s)
-                while held[0].t_ms < s.t_ms - c.window_ms:
-                    held.popleft()
-                if (letter := _fires(held, c)) is not None:
-                    out.append((stream, letter, held[0].frame_no, s.frame_no))
-                    held.clear()
+            for key, clear, *sample in batch[["stream_id", "clear", *SAMPLE]].itertuples(index=False, name=None):
+                if key != stream or clear:
+                    stream = key
+                    buffer.clear()
+                if not clear and (fire := buffer.add(sample)) is not None:
+                    out.append((key, fire[0], fire[1], sample[1]))
             yield pd.DataFrame(out, columns=["stream_id", "symbol", "start_frame", "frame_no"])
 
     return dealt.mapInPandas(task, "stream_id string, symbol string, start_frame long, frame_no long")

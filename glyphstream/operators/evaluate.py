@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .geometry import N_POINTS
+
 UNKNOWN = "unknown"
 
 
@@ -111,8 +113,9 @@ def accuracy_by_label_class(preds: DataFrame) -> DataFrame:
 
 
 def quality_violations(rows: DataFrame) -> DataFrame:
-    """label, person, reason, n of rows that break the dataset's rules."""
-    reason = F.when(F.coalesce(F.col("person"), F.lit("")) == "", "no person").when((F.col("person") == UNKNOWN) & (F.length("label") == 1), "letter of an unknown person")
+    """label, person, reason, n of rows that break the dataset's rules; landmarks are 21 points, none of them null."""
+    whole = F.coalesce((F.size("landmarks") == N_POINTS) & ~F.exists("landmarks", lambda p: p["x"].isNull() | p["y"].isNull()), F.lit(False))
+    reason = F.when(~whole, "not 21 points").when(F.coalesce(F.col("person"), F.lit("")) == "", "no person").when((F.col("person") == UNKNOWN) & (F.length("label") == 1), "letter of an unknown person")
     return rows.select("label", "person", reason.alias("reason")).filter("reason is not null").groupBy("label", "person", "reason").agg(F.count("*").alias("n"))
 
 

@@ -51,8 +51,8 @@ def hand_frame(frames: DataFrame, w: float = 640.0, h: float = 480.0) -> DataFra
     return turned.withColumn("features", F.flatten(F.transform("_local", lambda p: F.array(p["x"] * F.col("_sign"), p["y"])))).drop("_size", "_ux", "_uy", "_local", "_sign")
 
 
-def samples(frames: DataFrame) -> DataFrame:
-    """stream_id, frame_no, t_ms, i_shape, point_shape, fingertips and centroid in hand widths."""
+def samples(frames: DataFrame, *more: str) -> DataFrame:
+    """stream_id, frame_no, t_ms, i_shape, point_shape, fingertips and centroid in hand widths, and more columns of frames."""
     sized = frames.withColumn("_size", _size())
     r = lambda i: (_point(i)["x"] - _point(WRIST)["x"]) * (_point(i)["x"] - _point(WRIST)["x"]) + (_point(i)["y"] - _point(WRIST)["y"]) * (_point(i)["y"] - _point(WRIST)["y"])
     out = {name: r(tip) > r(pip) for name, (tip, pip) in TIPS.items()}
@@ -67,6 +67,7 @@ def samples(frames: DataFrame) -> DataFrame:
         *[(_point(TIPS[n][0])[c] / F.col("_size")).alias(f"{n}_{c}") for n in ("pinky", "index") for c in ("x", "y")],
         mean("x").alias("cx"),
         mean("y").alias("cy"),
+        *more,
     )
 
 
@@ -95,6 +96,39 @@ def motion_window(frames: DataFrame, c: MotionConfig = MotionConfig()) -> DataFr
     )
 
 
+def motion_diagnostics(frames: DataFrame, c: MotionConfig = MotionConfig()) -> DataFrame:
+    """stream_id, frame_no and the live values of the rules over each frame's window.
+
+    status is 'n/min_samples samples' until the window has enough of them, and
+    the values are null then: span_ms, n_i, n_point, j_drop, j_hook, n_strokes,
+    z_drift and hand_travel, rounded to three places.
+    """
+    w = motion_window(frames, c).withColumn("_path", F.transform("buffer", lambda b: b["index_x"]))
+    third = F.filter("buffer", lambda b: b["t_ms"] >= F.col("t_ms") - (F.col("t_ms") - F.col("t0")) / 3)
+    hook = F.abs(F.element_at(third, -1)["pinky_x"] - third[0]["pinky_x"])
+    enough = F.col("n") >= c.min_samples
+    told = lambda x: F.when(enough, x)
+    values = {"j_drop": F.col("j_fall"), "j_hook": hook, "z_drift": F.col("z_fall"), "hand_travel": F.col("travel")}
+    return w.select(
+        "stream_id",
+        "frame_no",
+        F.when(~enough, F.concat(F.col("n").cast("string"), F.lit(f"/{c.min_samples} samples"))).alias("status"),
+        told(F.col("t_ms") - F.col("t0")).alias("span_ms"),
+        told(F.col("n_i")).alias("n_i"),
+        told(F.col("n_point")).alias("n_point"),
+        told(F.size(strokes("_path", c)).cast("long")).alias("n_strokes"),
+        *[told(F.round(v, 3) + F.lit(0.0)).alias(k) for k, v in values.items()],
+    )
+
+
+def hand_travel(frames: DataFrame, axis: str = "x", lookback_ms: int | None = None, c: MotionConfig = MotionConfig()) -> DataFrame:
+    """stream_id, frame_no, travel: how far the centroid moved along an axis in the window, or in its last lookback_ms."""
+    if axis not in ("x", "y"):
+        raise ValueError("axis must be x or y")
+    w = Window.partitionBy("stream_id").orderBy("t_ms").rangeBetween(-min(c.window_ms, c.window_ms if lookback_ms is None else lookback_ms), 0)
+    return samples(frames).select("stream_id", "frame_no", (F.max(f"c{axis}").over(w) - F.min(f"c{axis}").over(w)).alias("travel"))
+
+
 def strokes(path: str, c: MotionConfig = MotionConfig()) -> Column:
     """Directions (+1, -1) of the strokes of the path in a column, jitter within the deadband ignored."""
     kept = lambda s: f"if(abs({s}.e - {s}.s) >= {c.z_stroke}, array_append({s}.out, {s}.d), {s}.out)"

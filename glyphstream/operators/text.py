@@ -49,3 +49,32 @@ def spell_candidates(misspelt: DataFrame, vocab: DataFrame) -> DataFrame:
     near = pairs.withColumn("distance", F.levenshtein("term", "suggestion", DISTANCE)).filter("distance >= 0").join(vocab.withColumnRenamed("term", "suggestion"), "suggestion")
     best = near.groupBy("term").agg(F.min(F.struct("distance", F.negative("cnt").alias("c"), "suggestion")).alias("b"))
     return best.select("term", "b.suggestion", "b.distance")
+
+
+#: Thousandths of a decimal digit that a letter of an unknown word costs.
+LETTER = 1000
+
+
+def segment_runs(letters: DataFrame, vocab: DataFrame, longest: int = 20) -> DataFrame:
+    """run, text: each distinct run of letters as the likeliest words of the vocabulary (term, cnt), joined by spaces.
+
+    A word costs the digits of total / count, an unknown one those of total and
+    a digit for each letter after its first; the cheapest split wins, then the one with
+    fewer words, then the first in order.  Only the parts of distinct runs, up
+    to ``longest`` letters, meet the vocabulary, by an equi join.  Null and
+    empty runs give ''.
+    """
+    cost = lambda digits: F.round(digits * LETTER).cast("long")
+    total = vocab.agg(F.coalesce(F.sum("cnt"), F.lit(1)).alias("total"))
+    runs_ = letters.select(F.coalesce("run", F.lit("")).alias("run")).distinct()
+    start = runs_.filter("run <> ''").select("run", F.explode(F.sequence(F.lit(0), F.length("run") - 1)).alias("start"))
+    size = start.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("run") - F.col("start")))).alias("size"))
+    parts = size.select("run", (F.col("start") * (longest + 1) + F.col("size")).alias("part"), F.substring("run", F.col("start") + 1, F.col("size")).alias("term"))
+    priced = vocab.crossJoin(F.broadcast(total)).select("term", cost(F.log10(F.col("total")) - F.log10("cnt")).alias("cost"))  # total: one row
+    known = parts.join(priced, "term").groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("part", "cost"))).alias("known"))
+    ready = runs_.join(known, "run", "left").crossJoin(F.broadcast(total)).withColumn("unknown", cost(F.log10("total")))
+    way = f"""named_struct('c', a[e - n].c + coalesce(known[(e - n) * {longest + 1} + n], unknown + {LETTER} * (n - 1)),
+        'k', a[e - n].k + 1, 't', concat(a[e - n].t, if(e = n, '', ' '), substring(run, e - n + 1, n)))"""
+    fold = f"""aggregate(sequence(1, length(run)), array(named_struct('c', 0L, 'k', 0, 't', '')),
+        (a, e) -> array_append(a, array_min(transform(sequence(1, least(e, {longest})), n -> {way}))), a -> element_at(a, -1).t)"""
+    return ready.select("run", F.when(F.col("run") == "", "").otherwise(F.expr(fold)).alias("text"))

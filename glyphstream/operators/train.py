@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,20 +28,78 @@ def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return out.select(*rows.columns, F.get(names, F.col("prediction").cast("int")).alias("pred"), vector_to_array("probability").alias("probabilities"))
 
 
-def leave_one_out(rows: DataFrame, width: int, **options) -> DataFrame:
-    """fold, n, accuracy of each known person's rows by a model of all others; 'unknown' rows train in every fold.
+def save(model: PipelineModel, path: str) -> None:
+    """The model, and beside it its labels in the order of their indices."""
+    model.write().overwrite().save(f"{path}/model")
+    labels = list(enumerate(model.stages[0].labels))
+    SparkSession.active().createDataFrame(labels, "label_idx int, label string").coalesce(1).write.mode("overwrite").parquet(f"{path}/labels")
 
-    Labels that fewer than two known persons have are not scored.
-    """
+
+def load(spark: SparkSession, path: str) -> PipelineModel:
+    """A saved model; one whose labels are not those beside it is refused."""
+    model = PipelineModel.load(f"{path}/model")
+    labels = [r.label for r in spark.read.parquet(f"{path}/labels").orderBy("label_idx").collect()]  # as many as classes
+    if labels != model.stages[0].labels:
+        raise ValueError(f"labels beside {path} are not the model's")
+    return model
+
+
+def _folds(rows: DataFrame, width: int, **options) -> tuple[list[str], Callable[[str, DataFrame], DataFrame]]:
+    """The known persons, and the score of one person's rows by a model of other rows."""
     known = rows.filter("person <> 'unknown'")
     shared = known.groupBy("label").agg(F.count_distinct("person").alias("n")).filter("n > 1").select("label")
     people = [r.person for r in known.select("person").distinct().orderBy("person").collect()]
     if len(people) < 2:
         raise ValueError("two known persons are needed")
 
-    def fold(person: str) -> DataFrame:
-        model = train(rows.filter(F.col("person") != person), width, **options)
-        scored = score(model, rows.filter(F.col("person") == person).join(shared, "label", "left_semi"))
+    def fold(person: str, others: DataFrame) -> DataFrame:
+        scored = score(train(others, width, **options), rows.filter(F.col("person") == person).join(shared, "label", "left_semi"))
         return scored.agg(F.lit(person).alias("fold"), F.count("*").alias("n"), F.avg((F.col("pred") == F.col("label")).cast("int")).alias("accuracy"))
 
-    return reduce(DataFrame.unionByName, [fold(p) for p in people])
+    return people, fold
+
+
+def _united(frames: Iterable[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
+def leave_one_out(rows: DataFrame, width: int, **options) -> DataFrame:
+    """fold, n, accuracy of each known person's rows by a model of all others; 'unknown' rows train in every fold.
+
+    Labels that fewer than two known persons have are not scored.
+    """
+    people, fold = _folds(rows, width, **options)
+    return _united(fold(p, rows.filter(F.col("person") != p)) for p in people)
+
+
+def seed_sweep(rows: DataFrame, width: int, seeds: Iterable[int], **options) -> DataFrame:
+    """fold, n_seeds, mean, least, most and spread (standard deviation) of the accuracy over seeds."""
+    runs = _united(leave_one_out(rows, width, seed=s, **options) for s in seeds)
+    a = F.col("accuracy")
+    return runs.groupBy("fold").agg(F.count("*").alias("n_seeds"), F.avg(a).alias("mean"), F.min(a).alias("least"), F.max(a).alias("most"), F.coalesce(F.stddev(a), F.lit(0.0)).alias("spread"))
+
+
+def learning_curve(rows: DataFrame, width: int, shares: Iterable[float] = (1.0,), **options) -> DataFrame:
+    """n_people, share, n_folds, accuracy: means over folds of models of so many other persons (the first by name) and of a share of their rows.
+
+    The share is taken by a hash of the features, so smaller ones lie in larger ones.
+    """
+    people, fold = _folds(rows, width, **options)
+    place = F.pmod(F.xxhash64("features", "label"), F.lit(1000)) / 1000.0
+    runs = []
+    for share in shares:
+        for k in range(1, len(people)):
+            for p in people:
+                used = [q for q in people if q != p][:k]
+                scored = fold(p, rows.filter(F.col("person").isin(used) & (place < share)))
+                runs.append(scored.select(F.lit(k).alias("n_people"), F.lit(float(share)).alias("share"), "accuracy"))
+    return _united(runs).groupBy("n_people", "share").agg(F.count("*").alias("n_folds"), F.avg("accuracy").alias("accuracy"))
+
+
+def ablation(rows: DataFrame, width: int, group: str = "person", **options) -> DataFrame:
+    """dropped, fold, accuracy and loss (against the same fold with nothing dropped) when a group's rows are left out of training."""
+    people, fold = _folds(rows, width, **options)
+    whole = _united(fold(p, rows.filter(F.col("person") != p)) for p in people).select("fold", F.col("accuracy").alias("whole"))
+    groups = [r[0] for r in rows.select(group).distinct().orderBy(group).collect()]
+    runs = [fold(p, rows.filter((F.col("person") != p) & (F.col(group) != g))).withColumn("dropped", F.lit(g)) for g in groups for p in people if group != "person" or p != g]
+    return _united(runs).join(whole, "fold").select("dropped", "fold", "accuracy", (F.col("whole") - F.col("accuracy")).alias("loss"))

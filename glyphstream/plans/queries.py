@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import debounce as db
@@ -12,6 +12,7 @@ from ..operators import decision as dec
 from ..operators import dispersion as disp
 from ..operators import evaluate as ev
 from ..operators import geometry as geo
+from ..operators import recognise as rec
 from ..operators import sequence as seq
 from ..operators import text as tx
 from ..operators import train as tr
@@ -158,14 +159,24 @@ def debounce(spark, sf_dir):
     return db.debounce(views.frames_ev(spark, sf_dir), CONFIG)
 
 
+def _cut(every: int) -> str:
+    """_DEBOUNCE over streams that every so many frames cut: each part is a stream of its own."""
+    return _DEBOUNCE.replace("+ f as", f"+ parted as (select stream_id * 1000000 + count(*) filter (frame_no % {every} = 0) over (partition by stream_id order by t_ms, frame_no) as stream_id, frame_no, t_ms, symbol from frames_ev), f as").replace("from frames_ev)\n", "from frames_ev)").replace("as rn from frames_ev)", f"as rn from parted where frame_no % {every} <> 0)")
+
+
 _FIRES = "select stream_id, 'J' as symbol, frame_no - 3 as start_frame, frame_no from frames_ev where frame_no % 25 = 0"
 
 
-@query(_DEBOUNCE + f", fires as ({_FIRES}) select stream_id, symbol, frame_no from c where not exists (select 1 from fires where fires.stream_id = c.stream_id and c.frame_no between fires.start_frame and fires.frame_no) union all select stream_id, symbol, frame_no from fires", "frames_ev", recursive=True)
+@query(_cut(25) + f", fires as ({_FIRES}), whole as (select stream_id // 1000000 as stream_id, symbol, frame_no from c) select stream_id, symbol, frame_no from whole where not exists (select 1 from fires where fires.stream_id = whole.stream_id and whole.frame_no between fires.start_frame and fires.frame_no) union all select stream_id, symbol, frame_no from fires", "frames_ev", recursive=True)
 def commit_retraction(spark, sf_dir):
-    frames = views.frames_ev(spark, sf_dir)
-    fires = frames.filter("frame_no % 25 = 0").select("stream_id", F.lit("J").alias("symbol"), (F.col("frame_no") - 3).alias("start_frame"), "frame_no")
-    return db.retract(db.debounce(frames, CONFIG), fires)
+    frames = views.frames_ev(spark, sf_dir).withColumn("cut", F.col("frame_no") % 25 == 0)
+    fires = frames.filter("cut").select("stream_id", F.lit("J").alias("symbol"), (F.col("frame_no") - 3).alias("start_frame"), "frame_no")
+    return db.retract(db.debounce_parts(frames, CONFIG), fires)
+
+
+@query(_cut(40) + ", resets as (select stream_id, count(*) filter (frame_no % 40 = 0) as part from frames_ev group by stream_id) select c.stream_id // 1000000 as stream_id, symbol, frame_no, t_ms from c join resets on c.stream_id = resets.stream_id * 1000000 + part", "frames_ev", recursive=True)
+def debounce_reset(spark, sf_dir):
+    return db.after_reset(views.frames_ev(spark, sf_dir).withColumn("cut", F.col("frame_no") % 40 == 0), CONFIG)
 
 
 # Evaluation
@@ -310,7 +321,8 @@ def hand_frame(spark, sf_dir):
 
 
 _WINDOW = _SAMPLES + ", w as (select *, count(*) over w as n, min(t_ms) over w as t0, count(*) filter (i_shape) over w as n_i, count(*) filter (point_shape) over w as n_point, max(cx) over w - min(cx) over w as travel, max(cy) over w - min(cy) over w as rise, pinky_y - first(pinky_y) over w as j_fall, index_y - first(index_y) over w as z_fall, first(frame_no) over w as start_frame, list(t_ms) over w as ts, list(pinky_x) over w as px, list(index_x) over w as ix, count(*) over v as m, count(*) filter (i_shape) over v as m_i, count(*) filter (point_shape) over v as m_p, sqrt((pinky_x - first(pinky_x) over v)**2 + (pinky_y - first(pinky_y) over v)**2) as pm, sqrt((index_x - first(index_x) over v)**2 + (index_y - first(index_y) over v)**2) as im from s window w as (partition by stream_id order by t_ms range between 650 preceding and current row), v as (partition by stream_id order by t_ms range between 180 preceding and current row))"
-LOOSE = geo.MotionConfig(shape_ratio=0.0)
+#: The tables' hands hold a shape in an eighth of a window now and then, in most of one never; an eighth is exact in binary.
+EASY = geo.MotionConfig(shape_ratio=0.125)
 
 
 @query(_WINDOW + " select stream_id, frame_no, n, n_i, n_point, n_i >= 0.7 * n as i_held, n_point >= 0.7 * n as point_held from w", "frames_emb")
@@ -318,19 +330,23 @@ def motion_window(spark, sf_dir):
     return geo.motion_window(views.frames_emb(spark, sf_dir)).select("stream_id", "frame_no", "n", "n_i", "n_point", "i_held", "point_held")
 
 
-@query(_WINDOW + " select stream_id, frame_no, round(travel, 6) as travel, round(rise, 6) as rise from w", "frames_emb")
+@query(_WINDOW + ", a as (select *, max(cy) over v - min(cy) over v as tail from w window v as (partition by stream_id order by t_ms range between 150 preceding and current row)) select stream_id, frame_no, round(travel, 6) as travel, round(rise, 6) as rise, round(tail, 6) as tail from a", "frames_emb")
 def hand_travel(spark, sf_dir):
-    return _rounded(geo.motion_window(views.frames_emb(spark, sf_dir)).select("stream_id", "frame_no", "travel", "rise"), "travel", "rise")
+    frames = views.frames_emb(spark, sf_dir)
+    across, down, tail = geo.hand_travel(frames), geo.hand_travel(frames, "y"), geo.hand_travel(frames, "y", 150)
+    key = ["stream_id", "frame_no"]
+    joined = across.join(down.withColumnRenamed("travel", "rise"), key).join(tail.withColumnRenamed("travel", "tail"), key)
+    return _rounded(joined, "travel", "rise", "tail")
 
 
-@query(_WINDOW + " select stream_id, frame_no, m >= 3 and pm > 0.08 as candidate from w", "frames_emb")
+@query(_WINDOW + " select stream_id, frame_no, m >= 3 and (m_i >= m / 8 or m_p >= m / 8) and case when m_i >= m / 8 then pm else im end > 0.08 as candidate from w", "frames_emb")
 def motion_candidate(spark, sf_dir):
-    return geo.motion_window(views.frames_emb(spark, sf_dir), LOOSE).select("stream_id", "frame_no", "candidate")
+    return geo.motion_window(views.frames_emb(spark, sf_dir), EASY).select("stream_id", "frame_no", "candidate")
 
 
-@query(_WINDOW + ", h as (select *, list_filter(list_zip(ts, px), lambda q: q[1] >= t_ms - (t_ms - t0) / 3) as third from w) select stream_id, frame_no, start_frame, n >= 8 and j_fall > 0.5 and len(third) >= 2 and abs(third[-1][2] - third[1][2]) > 0.25 as is_j from h", "frames_emb")
+@query(_WINDOW + ", h as (select *, list_filter(list_zip(ts, px), lambda q: q[1] >= t_ms - (t_ms - t0) / 3) as third from w) select stream_id, frame_no, start_frame, n >= 8 and n_i >= n / 8 and j_fall > 0.5 and len(third) >= 2 and abs(third[-1][2] - third[1][2]) > 0.25 as is_j from h", "frames_emb")
 def motion_j_candidates(spark, sf_dir):
-    return geo.motion_rules(views.frames_emb(spark, sf_dir), LOOSE).select("stream_id", "frame_no", "start_frame", "is_j")
+    return geo.motion_rules(views.frames_emb(spark, sf_dir), EASY).select("stream_id", "frame_no", "start_frame", "is_j")
 
 
 _STROKES = _WINDOW + """, g(stream_id, frame_no, i, d, st, e, strokes) as (
@@ -342,21 +358,26 @@ _STROKES = _WINDOW + """, g(stream_id, frame_no, i, d, st, e, strokes) as (
     case when (d = 0 and abs(x - st) > 0.08) or (d <> 0 and ((x - e) * d > 0 or abs(x - e) > 0.08)) then x else e end,
     case when d <> 0 and (x - e) * d <= 0 and abs(x - e) > 0.08 and abs(e - st) >= 0.25 then list_append(strokes, d) else strokes end
   from (select g.*, w.ix[(i + 1)::int] as x from g join w using (stream_id, frame_no) where i < w.n)
-), k as (select g.stream_id, g.frame_no, start_frame, case when d <> 0 and abs(e - st) >= 0.25 then list_append(strokes, d) else strokes end as q, travel, z_fall from g join w on g.stream_id = w.stream_id and g.frame_no = w.frame_no and g.i = w.n)"""
+), k as (select g.stream_id, g.frame_no, start_frame, case when d <> 0 and abs(e - st) >= 0.25 then list_append(strokes, d) else strokes end as q, travel, z_fall, n_point, w.n from g join w on g.stream_id = w.stream_id and g.frame_no = w.frame_no and g.i = w.n)"""
 
 
 @query(_STROKES + " select stream_id, frame_no, len(q) as n_strokes from k", "frames_emb", recursive=True)
 def strokes(spark, sf_dir):
     frames = views.frames_emb(spark, sf_dir)
-    full = geo.motion_window(frames, LOOSE).filter("n >= 8").select("stream_id", "frame_no")
-    return geo.motion_rules(frames, LOOSE).join(full, ["stream_id", "frame_no"], "left_semi").select("stream_id", "frame_no", "n_strokes")
+    full = geo.motion_window(frames, EASY).filter("n >= 8").select("stream_id", "frame_no")
+    return geo.motion_rules(frames, EASY).join(full, ["stream_id", "frame_no"], "left_semi").select("stream_id", "frame_no", "n_strokes")
+
+
+@query(_STROKES + ", h as (select *, list_filter(list_zip(ts, px), lambda q: q[1] >= t_ms - (t_ms - t0) / 3) as third from w) select h.stream_id, h.frame_no, case when n < 8 then n || '/8 samples' end as status, case when n >= 8 then t_ms - t0 end as span_ms, case when n >= 8 then n_i end as n_i, case when n >= 8 then h.n_point end as n_point, len(q) as n_strokes, case when n >= 8 then round(j_fall, 3) + 0.0 end as j_drop, case when n >= 8 then round(abs(third[-1][2] - third[1][2]), 3) end as j_hook, case when n >= 8 then round(h.z_fall, 3) + 0.0 end as z_drift, case when n >= 8 then round(h.travel, 3) end as hand_travel from h left join (select stream_id, frame_no, q from k) k on k.stream_id = h.stream_id and k.frame_no = h.frame_no", "frames_emb", recursive=True)
+def motion_diagnostics(spark, sf_dir):
+    return geo.motion_diagnostics(views.frames_emb(spark, sf_dir))
 
 
-@query(_STROKES + " select stream_id, frame_no, start_frame, travel >= 0.3 and len(q) >= 3 and q[-3] = q[-1] and q[-2] <> q[-1] and z_fall > 0.3 as is_z from k", "frames_emb", recursive=True)
+@query(_STROKES + " select stream_id, frame_no, start_frame, n_point >= n / 8 and travel >= 0.3 and len(q) >= 3 and q[-3] = q[-1] and q[-2] <> q[-1] and z_fall > 0.3 as is_z from k", "frames_emb", recursive=True)
 def motion_z_candidates(spark, sf_dir):
     frames = views.frames_emb(spark, sf_dir)
-    full = geo.motion_window(frames, LOOSE).filter("n >= 8").select("stream_id", "frame_no")
-    return geo.motion_rules(frames, LOOSE).join(full, ["stream_id", "frame_no"], "left_semi").select("stream_id", "frame_no", "start_frame", "is_z")
+    full = geo.motion_window(frames, EASY).filter("n >= 8").select("stream_id", "frame_no")
+    return geo.motion_rules(frames, EASY).join(full, ["stream_id", "frame_no"], "left_semi").select("stream_id", "frame_no", "start_frame", "is_z")
 
 
 @query("select stream_id, frame_no, trunc(list_min(xs) * 640)::int - 20 as x0, trunc(list_min(ys) * 480)::int - 20 as y0, trunc(list_max(xs) * 640)::int + 20 as x1, trunc(list_max(ys) * 480)::int + 20 as y1 from frames_emb", "frames_emb")
@@ -384,13 +405,39 @@ def vocabulary(spark, sf_dir):
     return tx.vocabulary(views.table(spark, sf_dir, "documents").filter("lang = 'en'"), _boosts(spark))
 
 
-@query()
+@query("""with v as (select term, sum(cnt) as cnt from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as term, 1 as cnt from documents where lang = 'en' union all select unnest(['the', 'agenda']), 1000000000) group by term),
+a as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) as term from benchmark),
+p as (select a.term, v.term as suggestion, levenshtein(a.term, v.term) as distance, cnt from a join v on length(v.term) between length(a.term) - 2 and length(a.term) + 2 where levenshtein(a.term, v.term) <= 2)
+select term, suggestion, distance from (select *, row_number() over (partition by term order by distance, cnt desc, suggestion) as o from p) where o = 1""")
 def spell_candidates(spark, sf_dir):
     vocab = tx.vocabulary(views.table(spark, sf_dir, "documents").filter("lang = 'en'"), _boosts(spark))
     asked = views.table(spark, sf_dir, "benchmark").select(F.explode(F.expr("regexp_extract_all(lower(text), '[a-z]+', 0)")).alias("term"))
     return tx.spell_candidates(asked, vocab)
 
 
+_WORDS = "v as (select term, count(*) as cnt from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as term from documents) group by term), total as (select sum(cnt) as total from v)"
+
+
+@query("+ t0 as (select stream_id, pos, label, case when length(label) > 1 then 1 else 0 end as word from tokens_ev), t1 as (select *, sum(word) over (partition by stream_id order by pos) as piece from t0), letters as (select distinct string_agg(lower(label), '' order by pos) as run from t1 where word = 0 group by stream_id, piece), " + _WORDS + """,
+known as (select run, map(list(start * 21 + size), list(round((log10(total) - log10(cnt)) * 1000)::bigint)) as known from (select run, start, size, substr(run, (start + 1)::int, size::int) as term from (select run, start, unnest(range(1, least(20, length(run) - start) + 1)) as size from (select run, unnest(range(length(run))) as start from letters))) join v using (term), total group by run),
+b(run, e, a) as (
+  select run, 0::bigint, [{'c': 0::bigint, 'k': 0::bigint, 't': ''}] from letters
+  union all
+  select run, e + 1, list_append(a, list_sort(list_transform(range(1, least(e + 1, 20) + 1), lambda n: {
+    'c': a[e + 2 - n].c + coalesce(known[(e + 1 - n) * 21 + n], (round(log10(total) * 1000))::bigint + 1000 * (n - 1)),
+    'k': a[e + 2 - n].k + 1, 't': a[e + 2 - n].t || case when e + 1 = n then '' else ' ' end || substr(run, (e + 2 - n)::int, n::int)}))[1])
+  from b left join known using (run), total where e < length(run))
+select run, a[-1].t as text from b where e = length(run)""", "tokens_ev", recursive=True)
+def segment_runs(spark, sf_dir):
+    tokens = views.tokens_ev(spark, sf_dir)
+    w = Window.partitionBy("stream_id").orderBy("pos")
+    piece = F.sum((F.length("label") > 1).cast("int")).over(w)
+    spelt = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.lower("label").alias("s")))), lambda x: x["s"]), "")
+    letters = tokens.withColumn("piece", piece).filter("length(label) = 1").groupBy("stream_id", "piece").agg(spelt.alias("run"))
+    vocab = tx.vocabulary(views.table(spark, sf_dir, "documents"), _boosts(spark).filter("false"))
+    return tx.segment_runs(letters, vocab)
+
+
 # --- spread, gates, decisions, training ---
 
 
@@ -417,6 +464,7 @@ def invariance_audit(spark, sf_dir):
     return disp.invariance_audit(views.frames_emb(spark, sf_dir))
 
 
+_CANDIDATE = "m >= 3 and (m_i >= m / 8 or m_p >= m / 8) and case when m_i >= m / 8 then pm else im end > 0.08 as candidate"
 _PROBS = "+ p as (select vec_id as frame_no, [abs(e::double) for e in embedding[1:10]] as p from embeddings), q as (select frame_no, list_max(p) as best, list_position(p, list_max(p)) - 1 as i from p), g as (select frame_no, case when best > 0.25 then i::varchar else '' end as gated from q)"
 
 
@@ -431,16 +479,48 @@ def confidence_gate(spark, sf_dir):
     return _gated(spark, sf_dir)
 
 
-@query(_WINDOW + _PROBS.replace("+ p as", ", p as") + ", d as (select w.stream_id, w.frame_no, w.label not in ('2', '3', '5', '7') as hand, m >= 3 and pm > 0.08 as candidate, gated from w join g using (frame_no)), e as (select *, sum(hand::int) over (partition by stream_id order by frame_no) as part from d), f as (select *, count(*) filter (not hand) over (partition by stream_id, part order by frame_no) as missed from e) select stream_id, frame_no, case when not hand and missed >= 5 then '' when not hand then null when candidate then '' else gated end as fed, not hand and missed >= 5 as clear from f", "frames_emb")
+_FIRE = """, f0 as (select stream_id, frame_no, t_ms, i_shape, point_shape, pinky_x, pinky_y, index_x, index_y, cx, row_number() over (partition by stream_id order by t_ms, frame_no) as rn from s where {which}),
+f as (select *, list({'rn': rn, 't': t_ms, 'f': frame_no, 'i': i_shape, 'p': point_shape, 'px': pinky_x, 'py': pinky_y, 'x': index_x, 'y': index_y, 'c': cx}) over (partition by stream_id order by t_ms range between 650 preceding and current row) as buf from f0),
+fire(stream_id, rn, cleared, symbol, start_frame, frame_no) as (
+  select distinct stream_id, 0::bigint, 0::bigint, null::varchar, null::bigint, null::bigint from f
+  union all
+  select stream_id, rn, case when symbol is not null then rn else cleared end, symbol, b[1].f, frame_no from (
+    select *, case when len(b) < 8 then null
+      when 8 * len(list_filter(b, lambda q: q.i)) >= len(b) and b[-1].py - b[1].py > 0.5 and len(third) >= 2 and abs(third[-1].px - third[1].px) > 0.25 then 'J'
+      when 8 * len(list_filter(b, lambda q: q.p)) >= len(b) and list_max(list_transform(b, lambda q: q.c)) - list_min(list_transform(b, lambda q: q.c)) >= 0.3
+        and b[-1].y - b[1].y > 0.3 and len(ways) >= 3 and sign(ways[-1]) = sign(ways[-3]) and sign(ways[-1]) <> sign(ways[-2]) then 'Z' end as symbol
+    from (select *, list_filter(list_transform(range(1, len(turns)), lambda i: turns[i + 1] - turns[i]), lambda d: abs(d) >= 0.25) as ways from (
+      select *, list_filter(b, lambda q: q.t >= b[-1].t - (b[-1].t - b[1].t) / 3) as third,
+        list_reduce(list_concat([[b[1].x, b[1].x]], list_transform(b, lambda q: [q.x])), lambda a, x:
+          case when (x[1] - a[-1]) * (a[-1] - a[-2]) > 0 or (a[-1] = a[-2] and abs(x[1] - a[-1]) > 0.08) then list_append(a[:-2], x[1])
+            when a[-1] <> a[-2] and abs(x[1] - a[-1]) > 0.08 then list_append(a, x[1]) else a end) as turns
+      from (select f.*, fire.cleared, list_filter(f.buf, lambda q: q.rn > fire.cleared) as b from fire join f on f.stream_id = fire.stream_id and f.rn = fire.rn + 1)))))"""
+
+
+@query(_SAMPLES + _FIRE.replace("{which}", "true") + " select stream_id, symbol, start_frame, frame_no from fire where symbol is not null", "frames_emb", recursive=True)
+def motion_fires(spark, sf_dir):
+    return dec.motion_fires(views.frames_emb(spark, sf_dir), EASY)
+
+
+_NO_HAND = ("2", "3", "5", "7")
+
+
+def _handed(spark, sf_dir):
+    """Frames with hand and gated."""
+    return views.frames_emb(spark, sf_dir).withColumn("hand", ~F.col("label").isin(*_NO_HAND)).join(_gated(spark, sf_dir), "frame_no")
+
+
+@query(_WINDOW + _FIRE.replace("{which}", f"label not in {_NO_HAND}") + _PROBS.replace("+ p as", ", p as") + f", d as (select w.stream_id, w.frame_no, w.label not in {_NO_HAND} as hand, fire.symbol as motion, CANDIDATE, gated from w join g using (frame_no) left join fire on fire.frame_no = w.frame_no and fire.symbol is not null), e as (select *, sum(hand::int) over (partition by stream_id order by frame_no) as part from d), h as (select *, count(*) filter (not hand) over (partition by stream_id, part order by frame_no) as missed from e) select stream_id, frame_no, case when not hand and missed >= 5 then '' when not hand or motion is not null then null when candidate then '' else gated end as fed, not hand and missed >= 5 as clear from h".replace("CANDIDATE", _CANDIDATE), "frames_emb", recursive=True)
 def frame_decision(spark, sf_dir):
-    marks = geo.motion_window(views.frames_emb(spark, sf_dir), LOOSE).select("stream_id", "frame_no", (~F.col("label").isin("2", "3", "5", "7")).alias("hand"), "candidate")
-    frames = marks.join(_gated(spark, sf_dir), "frame_no").withColumn("motion", F.lit(None).cast("string"))
-    return dec.frame_decision(frames).select("stream_id", "frame_no", "fed", "clear")
+    frames = _handed(spark, sf_dir)
+    fires = dec.motion_fires(frames.filter("hand"), EASY).select("frame_no", F.col("symbol").alias("motion"))
+    marks = geo.motion_window(views.frames_emb(spark, sf_dir), EASY).select("frame_no", "candidate")
+    return dec.frame_decision(frames.join(marks, "frame_no").join(fires, "frame_no", "left")).select("stream_id", "frame_no", "fed", "clear")
 
 
 @query()
-def motion_fires(spark, sf_dir):
-    return dec.motion_fires(views.frames_emb(spark, sf_dir), LOOSE)
+def recognise(spark, sf_dir):
+    return rec.standing(rec.recognise(_handed(spark, sf_dir), CONFIG, EASY))
 
 
 @query('select pos // 20 as take, round(avg(("true" = pred)::int), 6) as accuracy, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share from preds_ev group by 1', "preds_ev")
@@ -452,3 +532,18 @@ def accuracy_by_take(spark, sf_dir):
 @query()
 def train_and_score(spark, sf_dir):
     return tr.leave_one_out(_features(spark, sf_dir).select("person", "label", "features"), 42, hidden=(32,), max_iter=20)
+
+
+@query()
+def seed_sweep(spark, sf_dir):
+    return tr.seed_sweep(_features(spark, sf_dir).select("person", "label", "features"), 42, (42, 43), hidden=(32,), max_iter=20)
+
+
+@query()
+def learning_curve(spark, sf_dir):
+    return tr.learning_curve(_features(spark, sf_dir).select("person", "label", "features"), 42, hidden=(32,), max_iter=20)
+
+
+@query()
+def ablation(spark, sf_dir):
+    return tr.ablation(_features(spark, sf_dir).select("person", "label", "features"), 42, hidden=(32,), max_iter=20)

@@ -63,10 +63,16 @@ def append(rows: DataFrame, path: str) -> None:
 
 
 def migrate(rows: DataFrame, folder: str, version: str, dry_run: bool = False) -> str:
-    """Write rows as a new version of a table and keep the older ones; does nothing if the version is there or on a dry run."""
+    """Write rows as a new version of a table and keep the older ones; does nothing if the version is there or on a dry run.
+
+    A version is there once its write was committed: what a broken write left is written again.
+    """
     path = f"{folder}/{version}"
-    if not dry_run:
-        rows.write.mode("ignore").parquet(path)
+    spark = rows.sparkSession
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    done = marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+    if not dry_run and not done:
+        rows.write.mode("overwrite").parquet(path)
     return path
 
 
@@ -76,6 +82,15 @@ def with_landmarks(rows: DataFrame) -> DataFrame:
     return rows.withColumn("landmarks", F.array(*points)).drop(*COORDINATES)
 
 
-def stream_frames(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Frames that land as JSON files, as a stream."""
-    return spark.readStream.schema(schema).json(path)
+def stream_frames(spark: SparkSession, source: str, schema: str, kind: str = "json", **options) -> DataFrame:
+    """Frames as a stream: files that land in a folder (json, parquet or csv), or the JSON values of a Kafka topic.
+
+    For Kafka, source is the topic and options hold kafka.bootstrap.servers;
+    the connector's package must be on the session's class path.
+    """
+    if kind == "kafka":
+        raw = spark.readStream.format("kafka").options(subscribe=source, **options).load()
+        return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("v")).select("v.*")
+    if kind not in ("json", "parquet", "csv"):
+        raise ValueError(f"unknown kind of source: {kind}")
+    return spark.readStream.schema(schema).format(kind).options(**options).load(source)

@@ -9,44 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.debounce import DebounceConfig
-
-_FRESH = {"cur": None, "start": 0.0, "n": 0, "done": False, "pk": None, "ps": 0.0, "pn": 0, "last": None, "seen": None}
-
-
-def advance(m: dict, t: float, symbol: str, c: DebounceConfig) -> str | None:
-    """Feed one reading to the machine m; the symbol that it commits, if any."""
-
-    def note() -> None:
-        m.update(ps=m["ps"], pn=m["pn"] + 1) if m["pk"] == symbol else m.update(pk=symbol, ps=t, pn=1)
-
-    if symbol:
-        m["seen"] = t
-        if symbol == m["cur"]:
-            m.update(n=m["n"] + 1, pk=None)
-        elif m["cur"] is None:
-            m.update(cur=symbol, start=t, n=1, done=False, pk=None)
-        else:
-            note()
-            if t - m["ps"] < c.switch_ms:
-                return None
-            m.update(cur=symbol, start=m["ps"], n=m["pn"], done=False, pk=None)
-    else:
-        if m["cur"] is None:
-            m["pk"] = None
-        else:
-            note()
-            if t - m["seen"] >= c.blank_ms and m["pn"] >= c.min_blank_frames:
-                m.update(_FRESH, seen=m["seen"])
-        return None
-    if m["done"] or t - m["start"] < c.min_hold_ms or m["n"] < c.min_hold_frames:
-        return None
-    m["done"] = True
-    if symbol == m["last"]:
-        return None
-    m["last"] = symbol
-    return symbol
+from ..operators.geometry import MotionConfig
+from ..operators.holds import DebounceConfig, Holds
+from ..operators.recognise import CHANGE, CHANGE_SQL, FRAME, Recogniser, frame_rows
 
 
 def stream_debounce(frames: DataFrame, config: DebounceConfig = DebounceConfig(), delay: str = "2 seconds", idle_ms: int = 60_000) -> DataFrame:
@@ -60,7 +27,8 @@ def stream_debounce(frames: DataFrame, config: DebounceConfig = DebounceConfig()
     timed = frames.filter("symbol is not null").select(F.col("stream_id").cast("string").alias("stream_id"), "frame_no", F.col("t_ms").cast("double").alias("t_ms"), "symbol", F.timestamp_millis(F.col("t_ms").cast("long")).alias("at"))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        machine, waiting = json.loads(state.get[0]) if state.exists else (dict(_FRESH), [])
+        held, waiting = json.loads(state.get[0]) if state.exists else (None, [])
+        machine = Holds(config, held)
         mark = state.getCurrentWatermarkMs()
         for b in batches:
             # What the watermark has passed was fed or is too late.
@@ -69,11 +37,11 @@ def stream_debounce(frames: DataFrame, config: DebounceConfig = DebounceConfig()
         waiting.sort(key=lambda r: (r[0], r[1]))
         ready = [r for r in waiting if r[0] < mark]
         waiting = waiting[len(ready) :]
-        out = [(key[0], s, int(n), t) for t, n, x in ready if (s := advance(machine, t, x, config))]
+        out = [(key[0], s, int(n), t) for t, n, x in ready if (s := machine.feed(x, t))]
         if state.hasTimedOut and not waiting and not ready:
             state.remove()
         else:
-            state.update((json.dumps([machine, waiting]),))
+            state.update((json.dumps([machine.state, waiting]),))
             state.setTimeoutTimestamp(max(mark + 1, int(waiting[0][0]) + 1) if waiting else mark + idle_ms)
         yield pd.DataFrame(out, columns=["stream_id", "symbol", "frame_no", "t_ms"])
 
@@ -81,6 +49,63 @@ def stream_debounce(frames: DataFrame, config: DebounceConfig = DebounceConfig()
     return keyed.applyInPandasWithState(step, "stream_id string, symbol string, frame_no long, t_ms double", "payload string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+class _RecogniseProcessor(StatefulProcessor):
+    """Frames wait in a list until the watermark has passed them, and are then read in order."""
+
+    def __init__(self, holds: DebounceConfig, motion: MotionConfig, tolerance: int, idle_ms: int) -> None:
+        self.options, self.idle_ms = (holds, motion, tolerance), idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "frame string")
+        self.machine = handle.getValueState("machine", "state string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        mark, came = timerValues.getCurrentWatermarkInMs(), []
+        for batch in rows:
+            came += [(json.dumps(x),) for x in batch[list(FRAME)].values.tolist() if x[0] >= mark]
+        if came:
+            self.waiting.appendList(came)
+        self.handle.registerTimer(max(mark, min((int(json.loads(x[0])[0]) for x in came), default=mark)) + 1)
+        yield pd.DataFrame([], columns=CHANGE)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        frames = sorted((json.loads(x[0]) for x in self.waiting.get()), key=lambda x: (x[0], x[1])) if self.waiting.exists() else []
+        ready = [x for x in frames if x[0] < mark]
+        late = frames[len(ready) :]
+        held = json.loads(self.machine.get()[0]) if self.machine.exists() else None
+        machine, out = Recogniser(*self.options, held), []
+        for x in ready:
+            out += [(key[0], *change) for change in machine.feed(*x)]
+        if not frames:
+            # Silent for idle_ms: nothing is left to say about this stream.
+            self.machine.clear()
+        elif ready:
+            self.machine.update((json.dumps(machine.state()),))
+            self.waiting.put([(json.dumps(x),) for x in late]) if late else self.waiting.clear()
+        if frames:
+            self.handle.registerTimer(int(late[0][0]) + 1 if late else mark + self.idle_ms)
+        yield pd.DataFrame(out, columns=CHANGE).astype({"at_frame": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_recognise(frames: DataFrame, holds: DebounceConfig = DebounceConfig(), motion: MotionConfig = MotionConfig(), tolerance: int = 5, delay: str = "2 seconds", idle_ms: int = 60_000) -> DataFrame:
+    """The change log of a stream of frames, as the batch operator gives it.
+
+    t_ms is the event time.  Frames wait for the watermark and are read in the
+    order of (t_ms, frame_no); later ones are dropped, and the query's progress
+    counts them (numRowsDroppedByWatermark).  State is a list of waiting frames
+    and one machine for each stream_id, given up after idle_ms of silence; it
+    needs the RocksDB state store.
+    """
+    rows = frame_rows(frames).fillna({"hand": False, "gated": ""})
+    timed = rows.withColumn("at", F.timestamp_millis(F.col("t_ms").cast("long"))).withWatermark("at", delay)
+    return timed.groupBy("stream_id").transformWithStateInPandas(_RecogniseProcessor(holds, motion, tolerance, idle_ms), CHANGE_SQL, "append", "eventTime")
+
+
 def running_accuracy(log: DataFrame) -> DataFrame:
     """person, condition, n and n_ok of an evaluation stream, for update mode."""
     ok = F.col("committed").contains(F.col("expected"))
