@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .kernels import U64, _seeded, chunks, mix, prefix, span_hash, string_bytes, word_codes, words
+from .kernels import U64, _seeded, chunks, mix, prefix, span_hash, word_codes, words
 from .repeats import batches
 from .shared import materialize, n_shuffle
 
@@ -95,6 +95,14 @@ def _agree(threshold: float):
     return task
 
 
+def _sets(column: pa.Array, width: int) -> list[np.ndarray]:
+    """The sorted shingle hashes of each text."""
+    out = [np.zeros(0, U64)] * len(column)
+    for row, s in shingle_sets(column, width):
+        out[row] = s
+    return out
+
+
 def _attach_sets(column: str, width: int):
     """Replace a text by its sorted shingle hashes."""
 
@@ -103,27 +111,26 @@ def _attach_sets(column: str, width: int):
             at = batch.schema.get_field_index(column)
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                sets = [b""] * part.num_rows
-                for row, s in shingle_sets(part.column(at), width):
-                    sets[row] = s.tobytes()
-                columns = [pa.array(sets, pa.binary()) if k == at else part.column(k) for k in range(part.num_columns)]
-                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+                sets = pa.array([s.tobytes() for s in _sets(part.column(at), width)], pa.binary())
+                yield pa.RecordBatch.from_arrays([sets if k == at else part.column(k) for k in range(part.num_columns)], names=part.schema.names)
 
     return task
 
 
-def _confirm(numerator: int, denominator: int):
-    """Pairs (a, b, set_a, set_b) whose full sets are similar enough."""
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _confirm(percent: int, width: int):
+    """Of pairs (a, b, set of b, text of a), those whose full sets are similar enough."""
 
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            (da, oa), (db, ob) = string_bytes(batch.column(2)), string_bytes(batch.column(3))
-            keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(d[o[i] : o[i + 1]].tobytes(), U64) for d, o in ((da, oa), (db, ob)))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = denominator * both >= numerator * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                keep = [_similar(np.frombuffer(b.as_py(), U64), a, percent) for b, a in zip(part.column(2), _sets(part.column(3), width), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return task
 
@@ -210,23 +217,29 @@ def _agreeing(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_agree(percent / 100), "a long, b long, agree int")
 
 
-#: Members of a posting that meet at once; larger postings meet block by block.
+#: Members of a posting that meet at once, and shingles of them; larger postings meet block by block.
 BLOCK = 1000
+BLOCK_SHINGLES = 1_000_000
 
 
 def _met(here: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) within postings between members of different components.
 
     here: token, node, component, main (the component of the posting's head),
-    size and rarer.  Pairs are made inside the tasks, in blocks of bounded
-    size, and no row is made for a pair that is not a link.  A pair meets at
-    its rarest common token only; what earlier links of the block connect is
-    skipped.
+    size and rarer.  Members meet inside the tasks, in blocks of bounded size:
+    the block's members are posted under their coordinates once more, and an
+    odd member's shortest lists are merged into its candidates (prefix), whose
+    collisions the longer lists then complete (skip).  No row is made for a
+    pair that is not a link.  A pair meets at its rarest common token only;
+    what earlier links of the block connect is skipped.
     """
     nodes = here.select("node").distinct()
     full = texts.filter("doc_id is not null").toDF("node", "full").join(nodes, "node").mapInArrow(_attach_sets("full", width), "node long, full binary")
     known = materialize(full.join(sets, "node"), "full")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    # Blocks are bounded by what their members weigh as well.
+    weight = here.select("token", "node").join(sets.select("node", "n_shingles"), "node").groupBy("token").agg(F.sum("n_shingles").alias("shingles"))
+    here = here.join(weight, "token")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
     every = F.sequence(F.lit(0), blocks - 1)
     columns = ("node", "component", "rarer")
@@ -243,13 +256,20 @@ def _met(here: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent
         nx, ny = (np.array([r["n_shingles"] for r in z]) for z in (x, y))
         cx, cy = (np.array([r["component"] for r in z]) for z in (x, y))
         before = (np.array([r["rarer"] for r in x])[:, None] >> np.arange(N_COORDINATES)) & 1 > 0
+        # Posting lists of the block: members by coordinate and value.
+        lists = np.argsort(sy, axis=0, kind="stable")
+        values = np.take_along_axis(sy, lists, axis=0)
+        first = np.stack([np.searchsorted(values[:, c], sx[:, c]) for c in range(N_COORDINATES)], axis=1)
+        last = np.stack([np.searchsorted(values[:, c], sx[:, c], side="right") for c in range(N_COORDINATES)], axis=1)
+        shortest = np.argsort(last - first, axis=1, kind="stable")[:, : N_COORDINATES - MIN_AGREEMENTS + 1]
         found = []
         for k in range(len(x)):
-            same = sy == sx[k]
+            merged = np.unique(np.concatenate([lists[first[k, c] : last[k, c], c] for c in shortest[k].tolist()]))
+            merged = merged[(cy[merged] != cx[k]) & (100 * np.minimum(ny[merged], nx[k]) >= percent * np.maximum(ny[merged], nx[k]))]
+            same = sy[merged] == sx[k]
             agree = same.sum(axis=1)
-            ok = (agree >= MIN_AGREEMENTS) & (cy != cx[k]) & ~(same & before[k]).any(axis=1)
-            ok &= 100 * np.minimum(ny, nx[k]) >= percent * np.maximum(ny, nx[k])
-            found += [(-int(agree[m]), k, int(m)) for m in np.flatnonzero(ok)]
+            ok = (agree >= MIN_AGREEMENTS) & ~(same & before[k]).any(axis=1)
+            found += [(-a, k, m) for a, m in zip(agree[ok].tolist(), merged[ok].tolist(), strict=True)]
         root: dict[int, int] = {}
 
         def find(v: int) -> int:
@@ -261,12 +281,9 @@ def _met(here: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent
         of = lambda r: held.setdefault(r["node"], np.frombuffer(r["full"], U64))
         for _, k, m in sorted(found):
             u, v = find(int(cx[k])), find(int(cy[m]))
-            if u != v:
-                a, b = of(x[k]), of(y[m])
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                if 100 * both >= percent * (len(a) + len(b) - both):
-                    root[max(u, v)] = min(u, v)
-                    yield x[k]["node"], y[m]["node"]
+            if u != v and _similar(of(x[k]), of(y[m]), percent):
+                root[max(u, v)] = min(u, v)
+                yield x[k]["node"], y[m]["node"]
 
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links() -> Iterator[dict]:
@@ -287,5 +304,5 @@ def _met(here: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent
 def _linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     usable = texts.filter("doc_id is not null")
     with_b = pairs.join(usable.toDF("b", "tb"), "b").select("a", "b", "tb").mapInArrow(_attach_sets("tb", width), "a long, b long, tb binary")
-    both = with_b.join(usable.toDF("a", "ta"), "a").select("a", "b", "tb", "ta").mapInArrow(_attach_sets("ta", width), "a long, b long, tb binary, ta binary")
-    return both.mapInArrow(_confirm(percent, 100), "a long, b long")
+    both = with_b.join(usable.toDF("a", "ta"), "a").select("a", "b", "tb", "ta")
+    return both.mapInArrow(_confirm(percent, width), "a long, b long")

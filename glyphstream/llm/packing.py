@@ -56,6 +56,16 @@ class _Memory:
         return words
 
 
+#: Texts on which a tokenizer must do as word_tokens assumes.
+_PROBES = ("One two,three 4four", "UPPER  lower\tx_y\nsecond-line", "a.b!c (d) #5%", "Straße über Éa")
+
+
+def _fits(tokenizer) -> bool:
+    """Whether a tokenizer lower-cases, drops white space and encodes letters apart from other characters."""
+    ids = lambda x: tokenizer.encode(x, add_special_tokens=False).ids
+    return all(ids(t) == [i for word in t.lower().split() for part in _PARTS.findall(word) for i in ids(part)] for t in _PROBES)
+
+
 def word_tokens(path: str, texts: list[str]) -> list[bytes]:
     """Token ids, as little-endian 32-bit integers, of each text.
 
@@ -63,12 +73,14 @@ def word_tokens(path: str, texts: list[str]) -> list[bytes]:
     split letters from other characters: what lies between white space is
     encoded once, by such parts, and remembered, in generations of MAX_CACHE
     and what one batch adds.  Texts with rarer white space or special tokens are
-    encoded whole.
+    encoded whole.  Other tokenizers are refused.
     """
     if path not in _TOKENIZERS:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        if not _fits(tokenizer):
+            raise ValueError(f"{path} is not a tokenizer of lower-cased words")
         vocabulary = tokenizer.get_vocab()
         ends = np.zeros(max(vocabulary.values()) + 1, bool)
         ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True

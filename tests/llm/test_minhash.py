@@ -64,3 +64,29 @@ def test_components(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(100, 90), (90, 95)], "a long, b long")
     got = {r.node: r.component for r in components(links).collect()}
     assert got == {k: 1 for k in range(2, 41)} | {95: 90, 100: 90}
+
+
+def test_recall_of_links(spark):
+    """Every exact link of the documents whose id is divisible by 20 joins two documents of one component."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    sets = {i: shingles(t, 4) for i, t in rows}
+    holders = {}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    links = set()
+    for i in (i for i in sets if i % 20 == 0):
+        common = {}
+        for x in sets[i]:
+            for j in holders[x]:
+                common[j] = common.get(j, 0) + 1
+        links |= {(i, j) for j, n in common.items() if j != i and 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n)}
+    got = {r.doc_id: r.component_id for r in minhash_dedup(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), 4).collect()}
+    assert links and sum(got[a] == got[b] for a, b in links) >= 0.9 * len(links)
+
+
+def test_very_long_text(spark):
+    words = [f"w{k * 7919 % 100003}" for k in range(300_000)]
+    rows = [(3, " ".join(words)), (2, " ".join(words[:290_000])), (1, "w1 w2 w3 w4 w5")]
+    got = sorted((r.doc_id, r.component_id) for r in minhash_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect())
+    assert got == [(1, 1), (2, 2), (3, 2)]
