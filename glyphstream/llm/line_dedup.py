@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernels import BYTE_CODES, LOWER, SPACE, U64, Chunk, chunks, mix, prefix, runs, span_hash, string_bytes
-from .repeats import DOC, batches, doc_records
+from .repeats import DOC, batches, doc_records, usable_texts, with_keys
 from .shared import by_place, materialize, n_shuffle, place_of
 
 BITS_PER_HASH = 12
@@ -233,15 +233,15 @@ def line_dedup(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     plain, back = by_place(docs, names)
     at = place_of(docs, "text")
     base = plain.withColumn(f"_{at}", F.coalesce(F.col(f"_{at}").cast("string"), F.lit("")))
-    base = base.withColumns({"doc_id": F.col(f"_{place_of(docs, 'doc_id')}").cast("long"), "key": F.xxhash64(f"_{at}")})
-    usable = base.filter(F.col("doc_id").isNotNull())
+    base = with_keys(base, f"_{place_of(docs, 'doc_id')}", f"_{at}")
+    usable = usable_texts(base)
 
     light = usable.select("doc_id", "key", F.col(f"_{at}").alias("text"))
     sent = light.mapInArrow(_send(2, min_chars, parts), SENT_SQL)
     suspects = materialize(sent.repartitionById(parts, F.col("part")).mapInArrow(_suspects, SUSPECT_SQL), "suspects")
     suspected = suspects.groupBy("doc_id", "key").agg(F.collect_list("body").alias("bodies"))
     # All columns go along: the last join then reuses this exchange of the texts.
-    asked = usable.join(suspected, ["doc_id", "key"], "left").filter("bodies is not null").select(*base.columns, "bodies")
+    asked = base.join(suspected, ["doc_id", "key"], "left").filter("bodies is not null").select(*base.columns, "bodies")
     found = materialize(asked.mapInArrow(_emit(at, min_chars), LINE_SQL), "lines")
     # Partial aggregation combines a common line within each task.
     ids = F.transform("docs", lambda d: d["doc_id"])
@@ -249,8 +249,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     # Both sides are read from files and dealt for the join alone, so that AQE can split a very common line.
     dropped = found.join(materialize(first, "firsts"), ["h", "line"]).select("first", F.explode("docs").alias("d")).filter("d.doc_id > first")
     by_doc = dropped.groupBy("d.doc_id", "d.key").agg(F.flatten(F.collect_list("d.nos")).alias("nos"))
-    joined = usable.join(by_doc, ["doc_id", "key"], "left").select(*base.columns, "nos")
-    joined = joined.unionByName(base.filter(F.col("doc_id").isNull()).select(*base.columns, F.lit(None).cast("array<int>").alias("nos")))
+    joined = base.join(by_doc, ["doc_id", "key"], "left").select(*base.columns, "nos")
 
     def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:

@@ -109,9 +109,19 @@ def from_planes(body: bytes) -> dict[str, np.ndarray]:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and key, a hash of the text: rows that repeat a doc_id with another text stay apart."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("text"))
+    """doc_id, key, text and no_id: what the documents are joined by is never null, so that all joins share one exchange of the texts.
+
+    key is a hash of the text: rows that repeat a doc_id with another text stay
+    apart.  A null doc_id counts as 0, with a key that no other row has.
+    """
+    return with_keys(docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "doc_id", "text")
+
+
+def with_keys(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """docs with doc_id, key and no_id, as in keyed."""
+    own = F.col(doc_id).cast("long")
+    hashed = F.xxhash64(text)
+    return docs.withColumns({"no_id": own.isNull(), "key": F.when(own.isNull(), F.bitwise_not(hashed)).otherwise(hashed), "doc_id": F.coalesce(own, F.lit(0).cast("long"))})
 
 
 def doc_records(batch: pa.RecordBatch) -> np.ndarray:
@@ -388,7 +398,7 @@ DONE_SQL = "doc_id long, key long, done binary"
 
 def whole_copies(texts: DataFrame) -> DataFrame:
     """doc_id and key of texts that a document with a smaller doc_id has as well."""
-    light = _usable(texts).select("doc_id", "key", F.unhex(F.sha2("text", 256)).alias("sha"))
+    light = usable_texts(texts).select("doc_id", "key", F.unhex(F.sha2("text", 256)).alias("sha"))
     # Copies are counted in each task first; the join is one that AQE can split.
     firsts = light.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("sha", "first")
     return materialize(light.join(firsts, "sha").filter("doc_id > first").select("doc_id", "key").distinct(), "copies")
@@ -402,7 +412,7 @@ def covered_windows(texts: DataFrame, method: Method, copies: DataFrame) -> Data
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches((row for batch in it for c, _ in method.contexts(batch) for row in _sent(c, method, parts)), SENT)
 
-    usable = _usable(texts)
+    usable = usable_texts(texts)
     # A packet's part is its task: the number of parts follows the input.
     sent = usable.select("doc_id", "key", "text").mapInArrow(send, SENT_SQL)
     settled = materialize(sent.repartitionById(parts, F.col("part")).mapInArrow(_owned(method.own), SETTLED_SQL), "settled")
@@ -428,7 +438,7 @@ def covered_windows(texts: DataFrame, method: Method, copies: DataFrame) -> Data
     # Copies have no part in it: the document with the smallest doc_id speaks for their text.
     asked = asked.join(copies, ["doc_id", "key"], "left_anti")
     # The same exchange of the texts serves this join and the last one.
-    fetched = usable.join(asked, ["doc_id", "key"], "left").filter("asked is not null").select("doc_id", "key", "text", "asked").mapInArrow(fetch, BYTES_SQL)
+    fetched = texts.join(asked, ["doc_id", "key"], "left").filter("asked is not null").select("doc_id", "key", "text", "no_id", "asked").mapInArrow(fetch, BYTES_SQL)
     resolved = fetched.repartitionById(parts, F.col("part")).mapInArrow(_resolved(method), DONE_SQL)
     return settled.filter("done is not null").select("doc_id", "key", "done").unionByName(resolved)
 
@@ -437,16 +447,15 @@ def n_parts(texts: DataFrame) -> int:
     return 2 * n_shuffle(texts.sparkSession)
 
 
-def _usable(texts: DataFrame) -> DataFrame:
-    return texts.filter(F.col("doc_id").isNotNull())
+def usable_texts(texts: DataFrame) -> DataFrame:
+    return texts.filter(~F.col("no_id"))
 
 
 def with_covered(texts: DataFrame, covered: DataFrame, copies: DataFrame) -> DataFrame:
-    """doc_id, text, done (the list of its PLACED records) and copy (whether all its windows are covered) of every row of texts."""
+    """doc_id (null again where no_id), text, done (the list of its PLACED records) and copy (whether all its windows are covered) of every row of texts."""
     told = covered.select("doc_id", "key", "done", F.lit(False).alias("copy")).unionByName(copies.select("doc_id", "key", F.lit(None).cast("binary").alias("done"), F.lit(True).alias("copy")))
     by_doc = told.groupBy("doc_id", "key").agg(F.collect_list("done").alias("done"), F.max("copy").alias("copy"))
-    joined = _usable(texts).join(by_doc, ["doc_id", "key"], "left").select("doc_id", "text", "done", "copy")
-    return joined.unionByName(texts.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<binary>").alias("done"), F.lit(None).cast("boolean").alias("copy")))
+    return texts.join(by_doc, ["doc_id", "key"], "left").select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "text", "done", "copy")
 
 
 def covered_units(lists: list[bytes] | None, copy: bool | None, n: int, width: int) -> np.ndarray:
