@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 
 from .kernels import BYTE_CODES, SPACE, Chunk, byte_set, chunks, prefix, span_hash, word_codes, words
 from .line_dedup import lines_of
+from .shared import materialize
 
-#: Labelled documents that the field is fitted on, the ones with the smallest hashes of doc_id.
+#: Labelled documents that the field is fitted on, the ones with the smallest hashes of doc_id, and lines of them.
 MAX_LABELLED = 3000
+MAX_LINES = 150_000
 #: Byte classes whose share of a line is a feature.
 CLASSES = [byte_set((65, 90)), byte_set((97, 122)), byte_set((48, 57)), byte_set((33, 33), (63, 63)), byte_set((35, 38), (42, 42)), byte_set((124, 124), (60, 60), (62, 62), (123, 126)), byte_set((44, 44), (46, 46)), byte_set((128, 255))]
 N_OWN = len(CLASSES) * 2 + 8
@@ -92,8 +94,8 @@ class Chain:
     def __init__(self) -> None:
         self.weights, self.moves, self.base_rate = np.zeros(N_FEATURES), np.zeros((2, 2)), 0.5
 
-    def marginals(self, score: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per line the probability of being good, and summed per document the expected transitions.
+    def marginals(self, score: np.ndarray, places: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Per line the probability of being good, and the expected transitions, those into the next line weighted by each line's weight.
 
         All documents advance together, the longest first, so that those still
         running are always a prefix.
@@ -125,20 +127,39 @@ class Chain:
         pair = forward[at][:, :, None] + self.moves + (both[at + 1] + backward[at + 1])[:, None, :] if len(at) else np.zeros((0, 2, 2))
         pair = np.exp(pair - pair.max(axis=(1, 2), keepdims=True)) if len(at) else pair
         pair /= pair.sum(axis=(1, 2), keepdims=True) if len(at) else 1
-        return good, pair.sum(axis=0)
+        return good, (pair if weight is None else pair * weight[at, None, None]).sum(axis=0)
+
+    def likelihood(self, features: np.ndarray, places: np.ndarray, label: np.ndarray, weight: np.ndarray) -> float:
+        """The weighted log-likelihood of lines that all bear their document's label."""
+        score, total = features @ self.weights, 0.0
+        for a, b, v in zip(places[:-1].tolist(), places[1:].tolist(), label.tolist(), strict=True):
+            if b > a:
+                ahead = np.array([0.0, score[a]])
+                for x in score[a + 1 : b]:
+                    ahead = np.logaddexp(ahead[0] + self.moves[0], ahead[1] + self.moves[1]) + np.array([0.0, x])
+                own = v * score[a:b].sum() + (b - a - 1) * self.moves[v, v]
+                total += weight[a] * (own - np.logaddexp(*ahead))
+        return total
+
+    def gradient(self, features: np.ndarray, places: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Of the likelihood, by weights and then moves; weight is the same for all lines of a document."""
+        size = np.diff(places)
+        good, pairs = self.marginals(features @ self.weights, places, weight)
+        lines = np.repeat(label, size).astype(float)
+        within = np.ones(len(lines), bool)
+        within[(places[1:] - 1)[size > 0]] = False  # from a document's last line nothing moves on
+        seen = np.diag([(weight * within * (lines == v)).sum() for v in (0, 1)])
+        return np.concatenate([features.T @ (weight * (lines - good)), (seen - pairs).ravel()])
 
     def fit(self, features: np.ndarray, places: np.ndarray, label: np.ndarray, steps: int = 120, rate: float = 0.15, shrink: float = 1e-3) -> None:
-        """Maximise the penalised likelihood of lines that all bear their document's label, by Adam."""
+        """Maximise the weighted likelihood of lines that all bear their document's label, less a penalty, by Adam."""
         self.base_rate = float(label.mean()) if len(label) else 0.5
         size = np.diff(places)
         line_label = np.repeat(label, size).astype(float)
         if not len(line_label):
             return
-        # A document counts as one whatever its length, and both labels as much as the rarer one allows.
+        # A document counts as one, whatever its length: its likelihood is weighted by 1 / lines.
         weight = np.repeat(1 / np.maximum(size, 1), size)
-        told = np.zeros((2, 2))
-        for v in (0, 1):
-            told[v, v] = (weight * (line_label == v) * 1.0).sum()
         n_docs = max(1.0, weight.sum())
         mean, spread = features[:, :-1].mean(axis=0), features[:, :-1].std(axis=0) + 1e-3
         scaled = np.concatenate([(features[:, :-1] - mean) / spread, features[:, -1:]], axis=1)
@@ -146,12 +167,7 @@ class Chain:
         m1 = m2 = np.zeros(N_FEATURES + 4)
         for t in range(1, steps + 1):
             self.weights, self.moves = w, moves
-            good, pairs = self.marginals(scaled @ w, places)
-            g = scaled.T @ (weight * (line_label - good)) / n_docs - shrink * w
-            # Transitions: observed pairs are those within documents of one label.
-            seen = np.diag([(np.maximum(size - 1, 0) * (label == v)).sum() for v in (0, 1)]).astype(float)
-            gm = (seen - pairs) / max(1.0, seen.sum()) - shrink * moves
-            grad = np.concatenate([g, gm.ravel()])
+            grad = self.gradient(scaled, places, label, weight) / n_docs - shrink * np.concatenate([w, moves.ravel()])
             m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
             step = rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
             w, moves = w + step[:-4], np.clip(moves + step[-4:].reshape(2, 2), -2, 2)
@@ -172,21 +188,33 @@ def is_held_out(doc_id) -> F.Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Chain:
-    """Fit on at most ``max_labelled`` labelled documents that are not held out."""
+def fit_chain(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_lines: int = MAX_LINES) -> Chain:
+    """Fit on at most ``max_labelled`` labelled documents that are not held out, and ``max_lines`` lines.
+
+    Documents are taken in the order of their hashes; one whose lines do not
+    fit any more is left out.  Of rows that repeat a doc_id one is taken.
+    """
     marked = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).filter(~is_held_out("doc_id"))
-    sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).toDF("_gs_id", "label")
-    known = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("_gs_id")).select("text", "label")
+    sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).toDF("sampled", "label")
+    texts = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    known = texts.join(F.broadcast(sample), F.col("id") == F.col("sampled")).groupBy("id").agg(F.max("text").alias("text"), F.first("label").alias("label")).select("id", "text", "label")
 
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            label = batch.column(1).to_numpy()
-            for chunk in chunks(batch.column(0)):
+            for chunk in chunks(batch.column(1)):
                 features, _, places = line_features(chunk)
                 body = [features[a:b].astype(np.float16).tobytes() for a, b in zip(places[:-1], places[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(body, pa.binary()), pa.array(label[chunk.rows].astype(np.int32))], names=["features", "label"])
-
-    rows = known.mapInArrow(task, "features binary, label int").collect()
+                columns = [batch.column(0).take(pa.array(chunk.rows)), batch.column(2).take(pa.array(chunk.rows)).cast(pa.int32()), pa.array(np.diff(places), pa.int64()), pa.array(body, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "n_lines", "features"])
+
+    id_type = known.schema["id"].dataType.simpleString()
+    lines = materialize(known.mapInArrow(task, f"id {id_type}, label int, n_lines long, features binary"), "lines")
+    taken, left = [], max_lines
+    for r in lines.select("id", "n_lines").orderBy(F.xxhash64("id"), "id").collect():  # at most max_labelled rows
+        if r.n_lines <= left:
+            taken.append(r.id)
+            left -= r.n_lines
+    rows = lines.filter(F.col("id").isin(taken)).select("features", "label").orderBy("id").collect() if taken else []
     chain = Chain()
     parts = [np.frombuffer(r.features, np.float16).reshape(-1, N_FEATURES).astype(np.float32) for r in rows]
     if parts:
@@ -194,22 +222,25 @@ def fit_chain(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELL
     return chain
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_labelled: int = MAX_LABELLED, max_lines: int = MAX_LINES) -> DataFrame:
     """doc_id, held_out, score (of the whole text, 0 to 1) and predicted (1 if score >= threshold).
 
     labels has doc_id and quality.  Rows whose crc32(doc_id as text) mod 5 is 0
     are held out of the fit.  Texts without words score the base rate of the
     fitted labels; without any labels every text scores from a flat chain, 0.5.
     A null doc_id is scored and not held out.  Repeated rows are scored alike.
-    Other columns of docs are left out.
+    Other columns of docs are left out.  The field is fitted on the driver, on
+    at most ``max_labelled`` documents and ``max_lines`` lines of them; scoring
+    holds a text, with its lines' features, in one task.
     """
-    chain = docs.sparkSession.sparkContext.broadcast(fit_chain(docs, labels, max_labelled))
+    chain = docs.sparkSession.sparkContext.broadcast(fit_chain(docs, labels, max_labelled, max_lines))
 
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             scores = np.zeros(batch.num_rows)
             for chunk in chunks(batch.column(2)):
-                scores[chunk.rows] = chain.value.document_scores(*line_features(chunk))
+                # Rounded, so that a text scores the same wherever it stands in a batch.
+                scores[chunk.rows] = chain.value.document_scores(*line_features(chunk)).round(9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(is_held_out("doc_id"), F.lit(False)).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
