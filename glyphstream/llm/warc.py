@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import batches
-from .shared import materialize
+from .shared import materialize, n_shuffle
 
 BREAK = b"\r\n"
 SEGMENT_BYTES = 16 << 10
@@ -98,7 +98,8 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     smaller payloads are all responses.  Null html is an empty payload, a null
     url has a placeholder.  A null page_id is always a response and never
     referred to.  Rows that repeat a page_id get records of their own.  Other
-    columns are left out.
+    columns are left out.  A file is one gzip member, so archives are read from
+    their start.  A payload is held by one task.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1("html"))
@@ -107,7 +108,9 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     firsts = light.groupBy("sha").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).filter("first < last").select("sha", "first")
     again = light.join(materialize(firsts, "firsts"), "sha").filter("page_id > first")
     refers = again.groupBy("page_id").agg(F.map_from_entries(F.collect_set(F.struct("sha", "first"))).alias("refers"))
-    full = rows.filter("page_id is not null").join(refers, "page_id", "left").select("page_id", "url", "html", F.col("refers")[F.col("sha")].alias("refers_to"))
+    # This exchange, which the join takes over, brings rows of one page_id to one task; the sort puts them side by side.
+    dealt = rows.filter("page_id is not null").repartition(n_shuffle(pages.sparkSession), "page_id")
+    full = dealt.join(refers, "page_id", "left").sortWithinPartitions("page_id").select("page_id", "url", "html", F.col("refers")[F.col("sha")].alias("refers_to"))
     full = full.unionByName(rows.filter("page_id is null").select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to")))
 
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
