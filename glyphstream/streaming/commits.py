@@ -61,31 +61,32 @@ class _RecogniseProcessor(StatefulProcessor):
         self.machine = handle.getValueState("machine", "state string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        mark, came = timerValues.getCurrentWatermarkInMs(), []
-        for batch in rows:
-            came += [(json.dumps(x),) for x in batch[list(FRAME)].values.tolist() if x[0] >= mark]
+        mark = timerValues.getCurrentWatermarkInMs()
+        came = [x for batch in rows for x in batch[list(FRAME)].values.tolist() if x[0] > mark]
         if came:
-            self.waiting.appendList(came)
-        self.handle.registerTimer(max(mark, min((int(json.loads(x[0])[0]) for x in came), default=mark)) + 1)
+            self.waiting.appendList([(json.dumps(x),) for x in came])
+            self.handle.registerTimer(max(mark + 1, int(min(x[0] for x in came))))
         yield pd.DataFrame([], columns=CHANGE)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
+        mark, out = timerValues.getCurrentWatermarkInMs(), []
         frames = sorted((json.loads(x[0]) for x in self.waiting.get()), key=lambda x: (x[0], x[1])) if self.waiting.exists() else []
-        ready = [x for x in frames if x[0] < mark]
-        late = frames[len(ready) :]
-        held = json.loads(self.machine.get()[0]) if self.machine.exists() else None
-        machine, out = Recogniser(*self.options, held), []
-        for x in ready:
-            out += [(key[0], *change) for change in machine.feed(*x)]
-        if not frames:
-            # Silent for idle_ms: nothing is left to say about this stream.
+        ready = [x for x in frames if x[0] <= mark]
+        rest = frames[len(ready) :]
+        held, read_at = json.loads(self.machine.get()[0]) if self.machine.exists() else (None, mark)
+        if ready:
+            machine = Recogniser(*self.options, held)
+            for x in ready:
+                out += [(key[0], *change) for change in machine.feed(*x)]
+            read_at = ready[-1][0]
+            self.machine.update((json.dumps([machine.state(), read_at]),))
+            self.waiting.put([(json.dumps(x),) for x in rest]) if rest else self.waiting.clear()
+        if rest:
+            self.handle.registerTimer(int(rest[0][0]) + 1)
+        elif mark < read_at + self.idle_ms:
+            self.handle.registerTimer(int(read_at) + self.idle_ms + 1)
+        else:
             self.machine.clear()
-        elif ready:
-            self.machine.update((json.dumps(machine.state()),))
-            self.waiting.put([(json.dumps(x),) for x in late]) if late else self.waiting.clear()
-        if frames:
-            self.handle.registerTimer(int(late[0][0]) + 1 if late else mark + self.idle_ms)
         yield pd.DataFrame(out, columns=CHANGE).astype({"at_frame": "Int64"})
 
     def close(self) -> None:
