@@ -107,18 +107,31 @@ def smoothed_symbol(frames: DataFrame, size: int = 6) -> DataFrame:
 
 
 def repeat_audit(commits: DataFrame, frames: DataFrame, blank_ms: int) -> DataFrame:
-    """stream_id, frame_no, longest_blank of commits that repeat the one before, and whether a blank of blank_ms lies between."""
-    again = commits.withColumn("p", F.lag("symbol").over(_in_order("frame_no"))).withColumn("since", F.lag("frame_no").over(_in_order("frame_no"))).filter("p = symbol")
-    blanks = runs(frames, "symbol", "frame_no").groupBy("stream_id", "run").agg(F.first("symbol").alias("s"), F.min("frame_no").alias("lo"), (F.max("t_ms") - F.min("t_ms")).alias("span")).filter("s = ''")
-    met = again.join(blanks.select("stream_id", "lo", "span"), "stream_id", "left").withColumn("span", F.when((F.col("lo") > F.col("since")) & (F.col("lo") < F.col("frame_no")), F.col("span")))
-    out = met.groupBy("stream_id", "frame_no").agg(F.coalesce(F.max("span"), F.lit(0)).alias("longest_blank"))
+    """stream_id, frame_no, longest_blank of commits that repeat the one before, and whether a blank of blank_ms lies between.
+
+    Commits and runs of blanks are put in one order, in which the number of
+    commits so far tells between which two a blank lies.
+    """
+    blanks = runs(frames, "symbol", "frame_no").groupBy("stream_id", "run").agg(F.first("symbol").alias("s"), F.min("frame_no").alias("frame_no"), (F.max("t_ms") - F.min("t_ms")).alias("span")).filter("s = ''")
+    nothing = lambda kind: F.lit(None).cast(kind)
+    events = commits.select("stream_id", "frame_no", "symbol", nothing("long").alias("span")).unionByName(blanks.select("stream_id", "frame_no", nothing("string").alias("symbol"), F.col("span").cast("long").alias("span")))
+    order = _in_order("frame_no")
+    n = events.withColumn("n", F.count("symbol").over(order))
+    between = n.filter("symbol is null").groupBy("stream_id", "n").agg(F.max("span").alias("span"))
+    again = n.filter("symbol is not null").withColumn("p", F.lag("symbol").over(order)).filter("p = symbol").select("stream_id", "frame_no", (F.col("n") - 1).alias("n"))
+    out = again.join(between, ["stream_id", "n"], "left").select("stream_id", "frame_no", F.coalesce("span", F.lit(0)).alias("longest_blank"))
     return out.withColumn("allowed", F.col("longest_blank") >= blank_ms)
 
 
 def capture_windows(frames: DataFrame, every: int, length: int) -> DataFrame:
-    """stream_id, marker, n, text: what is read within ``length`` after every ``every``-th frame."""
-    markers = frames.filter(F.col("frame_no") % every == 0).select("stream_id", F.col("frame_no").alias("marker"), F.col("t_ms").alias("t0"))
-    inside = markers.join(frames, "stream_id").filter((F.col("t_ms") >= F.col("t0")) & (F.col("t_ms") < F.col("t0") + length))
+    """stream_id, marker, n, text: what is read within ``length`` after every ``every``-th frame.
+
+    Time is cut into pieces of that length; a marker meets the frames of its
+    own piece and of the next one.
+    """
+    piece = F.floor(F.col("t_ms") / length)
+    markers = frames.filter(F.col("frame_no") % every == 0).select("stream_id", F.col("frame_no").alias("marker"), F.col("t_ms").alias("t0"), F.explode(F.array(piece, piece + 1)).alias("piece"))
+    inside = markers.join(frames.withColumn("piece", piece), ["stream_id", "piece"]).filter((F.col("t_ms") >= F.col("t0")) & (F.col("t_ms") < F.col("t0") + length))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("frame_no", "symbol"))), lambda x: x["symbol"]), "")
     return inside.groupBy("stream_id", "marker").agg(F.count("*").alias("n"), text.alias("text"))
 
