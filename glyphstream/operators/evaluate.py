@@ -102,9 +102,10 @@ def eval_misses(log: DataFrame) -> DataFrame:
 
 
 def coverage(rows: DataFrame, vocabulary: DataFrame, enough: int = 100) -> DataFrame:
-    """label, n, enough, missing for each label of the vocabulary."""
-    n = rows.groupBy("label").agg(F.count("*").alias("c"))
-    return vocabulary.join(n, "label", "left").select("label", F.coalesce("c", F.lit(0)).alias("n"), F.coalesce(F.col("c") >= enough, F.lit(False)).alias("enough"), F.col("c").isNull().alias("missing"))
+    """person, label, n, enough, missing for each person and each label of the vocabulary."""
+    n = rows.groupBy("person", "label").agg(F.count("*").alias("c"))
+    asked = n.select("person").distinct().crossJoin(F.broadcast(vocabulary.select("label").distinct()))  # labels are classes, a stated few
+    return asked.join(n, ["person", "label"], "left").select("person", "label", F.coalesce("c", F.lit(0)).alias("n"), F.coalesce(F.col("c") >= enough, F.lit(False)).alias("enough"), F.col("c").isNull().alias("missing"))
 
 
 def accuracy_by_label_class(preds: DataFrame) -> DataFrame:

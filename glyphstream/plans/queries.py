@@ -271,10 +271,11 @@ def eval_misses(spark, sf_dir):
     return ev.eval_misses(views.eval_ord(spark, sf_dir))
 
 
-@query("select v.label, coalesce(c, 0) as n, coalesce(c >= 100, false) as enough, c is null as missing from (select distinct label from frames_emb) v left join (select label, count(*) as c from frames_emb where person = 'p0' and label < '7' group by label) using (label)", "frames_emb")
+@query("+ v as (select distinct label from frames_emb union select 'W99'), p as (select distinct person from frames_emb), c as (select person, label, count(*) as c from frames_emb group by all) select p.person, v.label, coalesce(c, 0) as n, coalesce(c >= 20, false) as enough, c is null as missing from p cross join v left join c on c.person = p.person and c.label = v.label", "frames_emb")
 def coverage(spark, sf_dir):
     rows = views.frames_emb(spark, sf_dir)
-    return ev.coverage(rows.filter("person = 'p0' and label < '7'"), rows.select("label").distinct())
+    asked = rows.select("label").distinct().unionByName(spark.range(1).select(F.lit("W99").alias("label")))
+    return ev.coverage(rows, asked, enough=20)
 
 
 @query("select case when length(\"true\") = 1 then 'letter' else 'word' end as kind, round(avg((\"true\" = pred)::int), 6) as accuracy, count(*) as n from preds_ev group by 1", "preds_ev")
