@@ -117,3 +117,20 @@ def test_held_out_quality(spark):
 def test_held_out_is_by_checksum(spark):
     out = op6_quality_classifier(spark, SF).select("held_out", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("want"))
     assert out.filter("held_out <> want").isEmpty()
+
+
+def test_stages_at_the_edges(spark):
+    """Nulls in any column, repeated rows, empty tables and further columns."""
+    long = " ".join(f"word{k} of" for k in range(80))
+    rows = [(1, long, "en", "s", 5), (1, long, "en", "s", 5), (2, long.replace("word7 ", "other7 "), None, None, None), (None, "null id " + long, "en", None, 7), (3, None, "en", "s", 0), (4, "", "en", "s", 0), (None, None, None, None, None)]
+    docs = spark.createDataFrame([(*r, "x", 1, True) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, words string, n_words int, kept boolean")
+    for table in (docs, docs.filter("false")):
+        now, seen = table, []
+        for _, stage in pipeline.STAGES:
+            now = materialize(stage(spark, now, SF), "edge")
+            seen.append(now.count())
+        assert seen[0] == (4 if table is docs else 0) and seen[-1] == seen[-2]
+    kept = pipeline.keep_good(spark, docs, SF)
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    one = {r.doc_id for r in pipeline.keep_one_of_each(spark, kept, SF).collect()}
+    assert one == {1, None}
