@@ -89,3 +89,42 @@ def test_forgotten_words_are_encoded_again(monkeypatch):
     for texts in batches * 2:
         expected = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
         assert packing.word_tokens(PATH, texts) == expected
+
+
+def test_fullest_by_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        room = int(rng.integers(1, 25))
+        counts = {int(k): int(rng.integers(1, 4)) for k in sorted(rng.choice(np.arange(1, 20), 5, replace=False), reverse=True)}
+        best = max(s for n in itertools.product(*[range(v + 1) for v in counts.values()]) if (s := sum(k * m for k, m in zip(counts, n))) <= room)
+        used = fullest(room, counts)
+        assert sum(k * m for k, m in used.items()) == best and all(m <= counts[k] for k, m in used.items())
+
+
+def test_plan_keeps_every_piece_and_slack_low():
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        size = int(rng.integers(10, 200))
+        histogram = {int(k): int(n) for k, n in zip(*np.unique(rng.integers(1, size + 1, 300), return_counts=True))}
+        bins, used = plan(histogram, size), {}
+        for b, n in bins:
+            assert sum(k * m for k, m in b.items()) <= size and n > 0
+            for k, m in b.items():
+                used[k] = used.get(k, 0) + n * m
+        assert used == histogram
+        # No more bins than first fit decreasing takes, but for one.
+        room = []
+        for length in sorted((k for k, n in histogram.items() for _ in range(n)), reverse=True):
+            at = next((i for i, r in enumerate(room) if r >= length), None)
+            if at is None:
+                room.append(size - length)
+            else:
+                room[at] -= length
+        assert sum(n for _, n in bins) <= len(room) + 1
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError):
+        word_tokens(public_tokenizers.path("byte_bpe_50k.json"), ["some text"])
