@@ -40,22 +40,30 @@ from .shared import materialize, n_shuffle
 HOT_CONTEXTS = 1000
 #: The anchors with most contexts of which that holds at most, 4 MB in each task; others are dealt whole.
 MAX_HOT = 500_000
+#: Bytes of text within which equal contexts are combined before anything is sent.
+SCOPE_BYTES = 12 << 20
 #: Windows that a task settles at once.
 AT_ONCE = 200_000
 #: Bytes of each field of an anchor as it is sent: its hash (32 bits beside the
-#: part it is dealt to), its document's place in the packet.
-WIDTHS = {"anchor": 4, "doc": 2}
+#: part it is dealt to), its document's place in the packet (the step from the
+#: entry before), and bytes of hashes of what is left and right of it.
+WIDTHS = {"anchor": 4, "doc": 2, "left": 1, "right": 1}
 ANCHOR = U64((1 << 32) - 1)
 PLACED = np.dtype([("lo", "<u4"), ("n", "<u4")])
 ASKED = np.dtype("<u4")
-TOLD = np.dtype([("anchor", "<u8"), ("count", "<u4")])
+TOLD = np.dtype([("anchor", "<u8"), ("count", "<u4"), ("left", "u1"), ("right", "u1")])
 DOC = np.dtype([("doc_id", "<i8"), ("key", "<i8")])
 MAX_WINDOWS = (1 << 16) - 1
 
 
 @dataclass
 class Contexts:
-    """Contexts of a piece of text: anchor hashes, document (index into docs), first window and number of windows, bytes."""
+    """Contexts of a piece of text: anchor hashes, document (index into docs), first window and number of windows, bytes.
+
+    left and right hash what lies beside the anchor, so far that a window which
+    holds the anchor has one of them whole: contexts that share a window agree
+    in one.
+    """
 
     docs: np.ndarray
     text: np.ndarray
@@ -65,9 +73,45 @@ class Contexts:
     n: np.ndarray
     at: np.ndarray
     size: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
 
     def take(self, which: np.ndarray) -> Contexts:
-        return Contexts(self.docs, self.text, *(x[which] for x in (self.anchor, self.doc, self.lo, self.n, self.at, self.size)))
+        return Contexts(self.docs, self.text, *(x[which] for x in (self.anchor, self.doc, self.lo, self.n, self.at, self.size, self.left, self.right)))
+
+
+def gathered(pieces: Iterator[Contexts]) -> Iterator[Contexts]:
+    """Contexts of pieces of text, put together to those of SCOPE_BYTES."""
+    held: list[Contexts] = []
+    size = 0
+    for c in pieces:
+        held.append(c)
+        size += len(c.text)
+        if size >= SCOPE_BYTES:
+            yield _together(held)
+            held, size = [], 0
+    if held:
+        yield _together(held)
+
+
+def _together(held: list[Contexts]) -> Contexts:
+    docs = np.cumsum([0] + [len(c.docs) for c in held])
+    text = np.cumsum([0] + [len(c.text) for c in held])
+    moved = [(c.anchor, c.doc + d, c.lo, c.n, c.at + t, c.size, c.left, c.right) for c, d, t in zip(held, docs, text, strict=False)]
+    return Contexts(np.concatenate([c.docs for c in held]), np.concatenate([c.text for c in held]), *(np.concatenate(x) for x in zip(*moved, strict=True)))
+
+
+def span_hashes(text: np.ndarray, at: np.ndarray, size: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
+    """64-bit hashes of the strings at ascending places, over a megabyte of text at a time."""
+    out = np.empty(len(at), U64)
+    a = 0
+    while a < len(at):
+        b = max(a + 1, int(np.searchsorted(at, at[a] + piece, side="right")))
+        first = at[a]
+        end = at[a:b] + size[a:b]
+        out[a:b] = span_hash(prefix(BYTE_CODES[text[first : end.max()]]), at[a:b] - first, end - first)
+        a = b
+    return out
 
 
 @dataclass
@@ -77,8 +121,8 @@ class Method:
     contexts: a batch of (doc_id, key, text) to Contexts and the rows of their
     docs in it; windows: text, at, size and n of contexts to their windows, as
     (which context, at, size);
-    earlier: text, at and size of strings and a rank of each to those that some
-    string of a smaller rank equals, by comparing bytes.  own: whether an
+    earlier: text, at (ascending) and size of strings and a rank of each to those that
+    some string of a smaller rank equals, by comparing bytes.  own: whether an
     earlier place of the same document counts as earlier.
     """
 
@@ -108,11 +152,29 @@ def from_planes(body: bytes) -> dict[str, np.ndarray]:
     return out
 
 
+def pack_docs(docs: np.ndarray) -> bytes:
+    """DOC records, compressed: steps between doc_ids by planes of bytes, and keys."""
+    step = np.diff(docs["doc_id"], prepend=np.int64(0))
+    zigzag = ((step << 1) ^ (step >> 63)).view(np.uint8).reshape(-1, 8)
+    raw = zigzag.T.tobytes() + docs["key"].astype("<u4").tobytes()
+    return np.array([len(docs)], "<u4").tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack_docs(body: bytes) -> np.ndarray:
+    n = int(np.frombuffer(body, "<u4", 1)[0])
+    raw = pa.decompress(body[4:], 12 * n, "zstd", asbytes=True)
+    zigzag = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n).reshape(8, n).T).view("<u8").ravel()
+    out = np.zeros(n, DOC)
+    out["doc_id"] = np.cumsum((zigzag >> U64(1)).view(np.int64) ^ -(zigzag & U64(1)).view(np.int64))
+    out["key"] = np.frombuffer(raw, "<u4", offset=8 * n)
+    return out
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, key, text and no_id: what the documents are joined by is never null, so that all joins share one exchange of the texts.
 
-    key is a hash of the text: rows that repeat a doc_id with another text stay
-    apart.  A null doc_id counts as 0, with a key that no other row has.
+    key is a hash of the text, of 32 bits: rows that repeat a doc_id with another
+    text stay apart.  A null doc_id counts as 0, with a key that no other has.
     """
     return with_keys(docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "doc_id", "text")
 
@@ -120,7 +182,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 def with_keys(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """docs with doc_id, key and no_id, as in keyed."""
     own = F.col(doc_id).cast("long")
-    hashed = F.xxhash64(text)
+    hashed = F.xxhash64(text).bitwiseAND(F.lit((1 << 32) - 1))
     return docs.withColumns({"no_id": own.isNull(), "key": F.when(own.isNull(), F.bitwise_not(hashed)).otherwise(hashed), "doc_id": F.coalesce(own, F.lit(0).cast("long"))})
 
 
@@ -166,6 +228,15 @@ def _shared(anchor: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return out
 
 
+def _near(anchor: np.ndarray, left: np.ndarray, right: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of the contexts have an anchor, and what is left or right of it, that one of another rank has."""
+    out = np.zeros(len(anchor), bool)
+    some = np.flatnonzero(_shared(anchor, rank))
+    for side in (left, right):
+        out[some] |= _shared(mix(anchor[some].astype(U64) + (side[some].astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15)), rank[some])
+    return out
+
+
 def _by_doc(docs: np.ndarray, name: str, records: np.ndarray) -> Iterator[dict]:
     """Records as one row for each document."""
     order = np.lexsort((docs["key"], docs["doc_id"]))
@@ -207,20 +278,23 @@ def _sent(c: Contexts, method: Method, parts: int) -> Iterator[dict]:
     if not len(c.lo):
         return
     rank = _rank(c.docs[c.doc], c.lo, method.own)
-    near = np.flatnonzero(_shared(c.anchor, rank))
+    near = np.flatnonzero(_near(c.anchor, c.left, c.right, rank))
     settled = np.zeros(len(c.lo), bool)
     settled[near] = method.earlier(c.text, c.at[near], c.size[near], rank[near])
     done = c.take(settled)
     for row in _done(c.docs[done.doc], done.lo, done.n):
         yield row | {"part": (row["key"] ^ row["doc_id"]) % parts}
     c, rank = c.take(~settled), rank[~settled]
-    near = _shared(c.anchor, rank)
+    near = _near(c.anchor, c.left, c.right, rank)
     asked = c.take(near)
     for row in _by_doc(c.docs[asked.doc], "asked", (asked.anchor & ANCHOR).astype(ASKED)):
         yield row | {"part": (row["key"] ^ row["doc_id"]) % parts}
-    anchors, count = np.unique(asked.anchor, return_counts=True)
-    told = np.zeros(len(anchors), TOLD)
-    told["anchor"], told["count"] = anchors, count
+    order = np.lexsort((asked.right, asked.left, asked.anchor))
+    first, last = runs(asked.anchor[order], asked.left[order], asked.right[order])
+    told = np.zeros(len(first), TOLD)
+    told["anchor"], told["left"], told["right"], told["count"] = (x[order][first] for x in (asked.anchor, asked.left, asked.right, asked.n))
+    told["count"] = last - first
+    anchors = told["anchor"]
     none = {"doc_id": None, "key": None, "done": None, "asked": None}
     part = (anchors >> U64(32)).astype(np.int64) % parts
     order = np.argsort(part, kind="stable")
@@ -235,25 +309,30 @@ def _sent(c: Contexts, method: Method, parts: int) -> Iterator[dict]:
         used, place = np.unique(c.doc[pick], return_inverse=True)
         for k in range(0, len(used), 1 << 16):
             sub = (place >= k) & (place < k + (1 << 16))
-            fields = {"anchor": c.anchor[pick][sub], "doc": place[sub] - k}
-            yield none | {"part": int(part[pick[0]]), "docs": c.docs[used[k : k + (1 << 16)]].tobytes(), "body": to_planes(fields)}
+            fields = {"anchor": c.anchor[pick][sub], "doc": np.diff(place[sub] - k, prepend=0), "left": c.left[pick][sub], "right": c.right[pick][sub]}
+            yield none | {"part": int(part[pick[0]]), "docs": pack_docs(c.docs[used[k : k + (1 << 16)]]), "body": to_planes(fields)}
 
 
 def _owned(own: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Step 2, for one task's share of the anchors."""
 
     def rows(part: int, packets: list[tuple[bytes, bytes]], told: np.ndarray) -> Iterator[dict]:
-        anchors, places, tables, base = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)], [np.zeros(0, DOC)], 0
+        held = {k: [np.zeros(0, np.uint32)] for k in WIDTHS}
+        tables, base = [np.zeros(0, DOC)], 0
         for docs, body in packets:
             fields = from_planes(body)
-            anchors.append(fields["anchor"].astype(np.uint32))
-            places.append((fields["doc"] + U64(base)).astype(np.uint32))
-            tables.append(np.frombuffer(docs, DOC))
+            fields["doc"] = np.cumsum(fields["doc"]) + U64(base)
+            for k, v in fields.items():
+                held[k].append(v.astype(np.uint32))
+            tables.append(unpack_docs(docs))
             base += len(tables[-1])
-        anchor, docs = np.concatenate(anchors), np.concatenate(tables)[np.concatenate(places)]
-        asked = np.isin(anchor, (told["anchor"] & ANCHOR).astype(np.uint32))
-        # Any two contexts may be two places of a document; elsewhere two documents are asked for.
-        asked |= _shared(anchor, np.arange(len(anchor)) if own else docs["doc_id"])
+        anchor, doc, left, right = (np.concatenate(held[k]) for k in ("anchor", "doc", "left", "right"))
+        docs = np.concatenate(tables)[doc]
+        # What is told stands for several documents; and any two contexts may be two places of one.
+        rank = np.arange(len(anchor)) if own else docs["doc_id"]
+        others = np.arange(len(told)) + (rank.max(initial=0) + 1)
+        all_sides = [np.concatenate([a, told[k].astype(np.uint32)]) for a, k in ((left, "left"), (right, "right"))]
+        asked = _near(np.concatenate([anchor, (told["anchor"] & ANCHOR).astype(np.uint32)]), *all_sides, np.concatenate([rank, others]))[: len(anchor)]
         out = anchor[asked].astype(U64) | U64(part << 32)
         yield from ({"doc_id": r["doc_id"], "key": r["key"], "done": None, "asked": r["asked"]} for r in _by_doc(docs[asked], "asked", anchor[asked].astype(ASKED)))
         # Anchors by their number of contexts.
@@ -306,8 +385,8 @@ def _fetched(c: Contexts, method: Method, hot: np.ndarray, parts: int) -> Iterat
             first = np.cumsum(here.n) - here.n
             lo = here.lo[of] + np.arange(len(of)) - first[of]
             # Dealt by their own hash: they take the place of the anchor.
-            own = mix(here.anchor[of] ^ span_hash(prefix(BYTE_CODES[here.text]), at, at + size))
-            here = Contexts(here.docs, here.text, own, here.doc[of], lo, np.ones(len(of), np.int64), at, size)
+            own = mix(here.anchor[of] ^ span_hashes(here.text, at, size))
+            here = Contexts(here.docs, here.text, own, here.doc[of], lo, np.ones(len(of), np.int64), at, size, here.left[of], here.right[of])
         settled = method.earlier(here.text, here.at, here.size, _rank(here.docs[here.doc], here.lo, method.own))
         done, here = here.take(settled), here.take(~settled)
         for row in _done(done.docs[done.doc], done.lo, done.n):
@@ -322,9 +401,10 @@ def _fetched(c: Contexts, method: Method, hot: np.ndarray, parts: int) -> Iterat
                 sub = pick[(place >= k) & (place < k + (1 << 16))]
                 part_of = here.take(sub)
                 part_of.doc = np.searchsorted(used, part_of.doc) - k
-                raw = here.text[ranges(part_of.at, part_of.size)].tobytes()
-                body = np.array([len(sub), len(raw)], "<u4").tobytes() + _records(part_of, FETCHED).tobytes() + pa.compress(raw, "zstd", asbytes=True)
-                yield {"part": int(part[pick[0]]), "doc_id": None, "key": None, "done": None, "docs": here.docs[used[k : k + (1 << 16)]].tobytes(), "body": body}
+                planes = _records(part_of, FETCHED).view(np.uint8).reshape(len(sub), -1).T.tobytes()
+                raw = planes + here.text[ranges(part_of.at, part_of.size)].tobytes()
+                body = np.array([len(sub), len(raw)], "<u4").tobytes() + pa.compress(raw, "zstd", asbytes=True)
+                yield {"part": int(part[pick[0]]), "doc_id": None, "key": None, "done": None, "docs": pack_docs(here.docs[used[k : k + (1 << 16)]]), "body": body}
 
 
 def _received(packets: list[tuple[bytes, bytes]]) -> Contexts:
@@ -332,12 +412,15 @@ def _received(packets: list[tuple[bytes, bytes]]) -> Contexts:
     found, docs, text = [np.zeros(0, FETCHED)], [np.zeros(0, DOC)], [np.zeros(0, np.uint8)]
     for table, body in packets:
         n, n_bytes = np.frombuffer(body, "<u4", 2).tolist()
-        found.append(np.frombuffer(body, FETCHED, n, 8))
-        docs.append(np.frombuffer(table, DOC)[found[-1]["doc"]])
-        text.append(np.frombuffer(pa.decompress(body[8 + n * FETCHED.itemsize :], n_bytes, "zstd"), np.uint8))
+        raw = np.frombuffer(pa.decompress(body[8:], n_bytes, "zstd", asbytes=True), np.uint8)
+        wide = FETCHED.itemsize
+        found.append(np.ascontiguousarray(raw[: n * wide].reshape(wide, n).T).view(FETCHED).ravel())
+        docs.append(unpack_docs(table)[found[-1]["doc"]])
+        text.append(raw[n * wide :])
     f, text = np.concatenate(found), np.concatenate(text)
     size = f["size"].astype(np.int64)
-    c = Contexts(np.concatenate(docs), text, f["anchor"], np.arange(len(f)), f["lo"].astype(np.int64), f["n"].astype(np.int64), np.cumsum(size) - size, size)
+    none = np.zeros(len(f), np.uint8)  # what was beside anchors has done its part
+    c = Contexts(np.concatenate(docs), text, f["anchor"], np.arange(len(f)), f["lo"].astype(np.int64), f["n"].astype(np.int64), np.cumsum(size) - size, size, none, none)
     return c.take(np.argsort(c.anchor, kind="stable"))
 
 
@@ -410,7 +493,7 @@ def covered_windows(texts: DataFrame, method: Method, copies: DataFrame) -> Data
     parts = n_parts(texts)
 
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batches((row for batch in it for c, _ in method.contexts(batch) for row in _sent(c, method, parts)), SENT)
+        yield from batches((row for c in gathered(c for batch in it for c, _ in method.contexts(batch)) for row in _sent(c, method, parts)), SENT)
 
     usable = usable_texts(texts)
     # A packet's part is its task: the number of parts follows the input.
@@ -419,21 +502,21 @@ def covered_windows(texts: DataFrame, method: Method, copies: DataFrame) -> Data
     most = settled.filter("done is null and asked is null").orderBy(F.col("key").desc(), "doc_id").limit(MAX_HOT)
     hot = np.unique(np.array([r.doc_id for r in most.select("doc_id").collect()], np.int64).view(U64))
     sent_hot = spark.sparkContext.broadcast(hot)
-    asked = settled.filter("asked is not null").groupBy("doc_id", "key").agg(F.collect_list("asked").alias("asked"))
+    asked = settled.filter("asked is not null").select("doc_id", "key", "asked").groupBy("doc_id", "key").agg(F.collect_list("asked").alias("asked"))
 
     def fetch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[dict]:
+        def wanted() -> Iterator[Contexts]:
             for batch in it:
                 lists = batch.column(batch.schema.get_field_index("asked"))
                 for c, of in method.contexts(batch):
                     mine = [np.frombuffer(b"".join(lists[i].as_py()), ASKED) for i in of.tolist()]
-                    wanted = np.repeat(np.arange(len(mine)), [len(x) for x in mine]).astype(U64) << U64(32) | np.concatenate(mine)
-                    c = c.take(np.isin((c.doc.astype(U64) << U64(32)) | (c.anchor & ANCHOR), wanted))
+                    asked_ = np.repeat(np.arange(len(mine)), [len(x) for x in mine]).astype(U64) << U64(32) | np.concatenate(mine)
+                    c = c.take(np.isin((c.doc.astype(U64) << U64(32)) | (c.anchor & ANCHOR), asked_))
                     # Owners know an anchor by its part and its lower bits.
                     c.anchor = (c.anchor & ANCHOR) | ((c.anchor >> U64(32)) % U64(parts) << U64(32))
-                    yield from _fetched(c, method, sent_hot.value, parts)
+                    yield c
 
-        yield from batches(rows(), BYTES)
+        yield from batches((row for c in gathered(wanted()) for row in _fetched(c, method, sent_hot.value, parts)), BYTES)
 
     # Copies have no part in it: the document with the smallest doc_id speaks for their text.
     asked = asked.join(copies, ["doc_id", "key"], "left_anti")
@@ -444,7 +527,7 @@ def covered_windows(texts: DataFrame, method: Method, copies: DataFrame) -> Data
 
 
 def n_parts(texts: DataFrame) -> int:
-    return 2 * n_shuffle(texts.sparkSession)
+    return n_shuffle(texts.sparkSession)
 
 
 def usable_texts(texts: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .kernels import BYTE_CODES, U64, Chunk, chunks, prefix, ranges, runs, span_hash, string_bytes, words
-from .repeats import MAX_WINDOWS, Contexts, Method, batches, covered_units, covered_windows, doc_records, keyed, whole_copies, with_covered
+from .repeats import MAX_WINDOWS, Contexts, Method, batches, covered_units, covered_windows, doc_records, keyed, span_hashes, whole_copies, with_covered
 
 PERIOD = 13
 #: A perfect difference set modulo PERIOD (fixed values).
@@ -53,11 +53,19 @@ def _contexts(width: int):
             place = np.arange(len(starts)) - bounds[doc]
             use = np.flatnonzero(in_cover[place % PERIOD] & (place + length <= count[doc]) & (count[doc] >= width))
             doc, place = doc[use], place[use]
-            anchor = span_hash(prefix(BYTE_CODES[text]), starts[use], ends[use + length - 1])
+            pre = prefix(BYTE_CODES[text])
+            anchor = span_hash(pre, starts[use], ends[use + length - 1])
             lo = np.maximum(place - (PERIOD - 1), 0)
             n = np.minimum(place, count[doc] - width) - lo + 1
             at = starts[bounds[doc] + lo]
-            yield Contexts(docs[chunk.rows], text, anchor, doc, lo, n, at, ends[bounds[doc] + lo + n + width - 2] - at), chunk.rows
+            # Of a window's other words half are on one side of its anchor.
+            half, end = (PERIOD - 1) // 2, lo + n + width - 1
+            sides = []
+            for beside, inside in ((use - half, place - half >= lo), (use + length, place + length + half <= end)):
+                beside = np.where(inside, beside, 0)
+                told = span_hash(pre, starts[beside], ends[np.minimum(beside + half - 1, len(ends) - 1)])
+                sides.append(np.where(inside, told >> U64(56), U64(0)).astype(np.uint8))
+            yield Contexts(docs[chunk.rows], text, anchor, doc, lo, n, at, ends[bounds[doc] + end - 1] - at, *sides), chunk.rows
 
     return of
 
@@ -95,7 +103,7 @@ def _earlier(text: np.ndarray, at: np.ndarray, size: np.ndarray, rank: np.ndarra
     out = np.zeros(len(at), bool)
     if len(at) < 2:
         return out
-    hashes = span_hash(prefix(BYTE_CODES[text]), at, at + size)
+    hashes = span_hashes(text, at, size)
     order = np.lexsort((rank, hashes))
     while len(order):
         first, last = runs(hashes[order])

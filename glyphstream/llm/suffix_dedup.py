@@ -18,8 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .kernels import BYTE_CODES, U64, chunks, mix, prefix, ranges, run_mask, runs, span_hash, string_bytes
-from .repeats import MAX_WINDOWS, Contexts, Method, batches, covered_units, covered_windows, doc_records, keyed, whole_copies, with_covered
+from .kernels import U64, chunks, mix, ranges, run_mask, runs, string_bytes
+from .repeats import MAX_WINDOWS, Contexts, Method, batches, covered_units, covered_windows, doc_records, keyed, span_hashes, whole_copies, with_covered
 
 GRAM = 16
 #: Bytes of text that are cut into contexts at once, but for a longer single text.
@@ -64,9 +64,15 @@ def _contexts(width: int):
                 continue
             at = at[valid]
             first, last = runs(at)
-            lo = valid[first]
+            lo, n, at = valid[first], last - first, at[first]
             doc = np.searchsorted(chunk.start, lo, side="right") - 1
-            yield Contexts(docs[chunk.rows], chunk.data, grams[at[first]], doc, lo - chunk.start[doc], last - first, lo, last - first + width - 1), chunk.rows
+            size = n + width - 1
+            # Of a window's other bytes half at least are on one side of its anchor.
+            sides = []
+            for beside, inside in ((at - GRAM, at - GRAM >= lo), (at + GRAM, at + 2 * GRAM <= lo + size)):
+                told = inside & (width >= 3 * GRAM)
+                sides.append(np.where(told, grams[np.where(told, beside, 0)] >> U64(56), U64(0)).astype(np.uint8))
+            yield Contexts(docs[chunk.rows], chunk.data, grams[at], doc, lo - chunk.start[doc], n, lo, size, *sides), chunk.rows
 
     return of
 
@@ -139,7 +145,7 @@ def _earlier(text: np.ndarray, at: np.ndarray, size: np.ndarray, rank: np.ndarra
     out = np.zeros(len(at), bool)
     if len(at) < 2:
         return out
-    hashes = span_hash(prefix(BYTE_CODES[text]), at, at + size)
+    hashes = span_hashes(text, at, size)
     order = np.argsort(hashes, kind="stable")
     first, last = runs(hashes[order])
     twice = last - first > 1
