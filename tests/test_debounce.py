@@ -3,7 +3,9 @@ import random
 import pytest
 
 from glyphstream.operators.debounce import DebounceConfig, debounce
+from glyphstream.operators.decision import motion_fires
 from glyphstream.operators.geometry import MotionConfig, motion_rules
+from glyphstream.operators.holds import Holds
 from glyphstream.operators.sequence import bursts, run_commit, sessions
 
 
@@ -42,34 +44,19 @@ CASES = [
 
 
 def fold(frames, c):
-    """The machine, one reading after another, without cuts."""
-    cur = pending = last = read = None
-    start = n = 0
-    done, free, out = False, True, []
-    for _, no, t, x in frames:
-        saw = False
-        if x:
-            read = t
-        if x and x == cur:
-            pending, n, saw = None, n + 1, True
-        elif x and cur is None:
-            cur, start, n, done, pending, saw = x, t, 1, False, None, True
-        elif cur is not None:
-            pending = (x, pending[1], pending[2] + 1) if pending and pending[0] == x else (x, t, 1)
-            if x and t - pending[1] >= c.switch_ms:
-                cur, start, n, done, pending, saw = x, pending[1], pending[2], False, None, True
-            elif not x and t - read >= c.blank_ms and pending[2] >= c.min_blank_frames:
-                free, cur, n, done, pending = True, None, 0, False, None
-        else:
-            pending = None
-        if saw and not done and t - start >= c.min_hold_ms and n >= c.min_hold_frames:
-            done = True
-            if cur != last or free:
-                out.append((cur, no))
-                last, free = cur, False
+    """The table of holds, one reading after another, without cuts."""
+    machine, out = Holds(c), []
+    for _, frame_no, t, symbol in frames:
+        if (committed := machine.feed(symbol, t)) is not None:
+            out.append((committed, frame_no))
     return out
 
 
+@pytest.mark.parametrize("text,fps,expected", CASES)
+def test_goldens_of_the_table(text, fps, expected):
+    assert "".join(s for s, _ in fold(stream("s", parts(text), fps), DebounceConfig())) == expected
+
+
 def commits(spark, rows, config=DebounceConfig()):
     got = {}
     for r in debounce(spark.createDataFrame(rows, "stream_id string, frame_no long, t_ms double, symbol string"), config).collect():
@@ -133,3 +120,5 @@ def test_motion_fixtures(spark):
     assert {r.stream_id for r in got if r.is_z} == {"z"}
     assert {r.stream_id for r in got if r.is_j} == {"j"}
     assert {r.stream_id for r in got if r.candidate} >= {"z", "j"} and "still" not in {r.stream_id for r in got if r.candidate}
+    fires = motion_fires(frames, MotionConfig()).collect()
+    assert {(r.stream_id, r.symbol) for r in fires} == {("z", "Z"), ("j", "J")} and all(0 <= r.start_frame < r.frame_no for r in fires)
