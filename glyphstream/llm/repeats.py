@@ -519,7 +519,8 @@ def covered_windows(texts: DataFrame, method: Method, copies: DataFrame) -> Data
         yield from batches((row for c in gathered(wanted()) for row in _fetched(c, method, sent_hot.value, parts)), BYTES)
 
     # Copies have no part in it: the document with the smallest doc_id speaks for their text.
-    asked = asked.join(copies, ["doc_id", "key"], "left_anti")
+    # An anti join would be pushed below the aggregation, to many rows of a document.
+    asked = asked.join(copies.withColumn("copied", F.lit(True)), ["doc_id", "key"], "left").filter("copied is null").drop("copied")
     # The same exchange of the texts serves this join and the last one.
     fetched = texts.join(asked, ["doc_id", "key"], "left").filter("asked is not null").select("doc_id", "key", "text", "no_id", "asked").mapInArrow(fetch, BYTES_SQL)
     resolved = fetched.repartitionById(parts, F.col("part")).mapInArrow(_resolved(method), DONE_SQL)
