@@ -245,6 +245,35 @@ def _by_doc(docs: np.ndarray, name: str, records: np.ndarray) -> Iterator[dict]:
         yield {"part": 0, "doc_id": int(docs["doc_id"][a]), "key": int(docs["key"][a]), "done": None, "asked": None, "docs": None, "body": None} | {name: records[a:b].tobytes()}
 
 
+def _asked_rows(docs: np.ndarray, anchor: np.ndarray, parts: int) -> Iterator[dict]:
+    """Asked anchors as one row for each part that their documents are dealt to: documents, and the place of each anchor's."""
+    if not len(docs):
+        return
+    bucket = (docs["doc_id"] ^ docs["key"]) % parts
+    order = np.lexsort((docs["key"], docs["doc_id"], bucket))
+    docs, anchor, bucket = docs[order], (anchor[order].astype(U64) & ANCHOR).astype(ASKED), bucket[order]
+    for a, b in zip(*runs(bucket), strict=True):
+        first, last = runs(docs[a:b])
+        body = np.array([b - a], "<u4").tobytes() + (last - first).astype("<u4").tobytes() + anchor[a:b].tobytes()
+        yield {"part": int(bucket[a]), "doc_id": int(bucket[a]), "key": None, "done": None, "asked": body, "docs": pack_docs(docs[a:b][first]), "body": None}
+
+
+ASKED_OF_DOC = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("asked", pa.binary())])
+
+
+def _asked_of_docs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A part's rows of asked anchors as one row for each document."""
+    docs, anchors = [np.zeros(0, DOC)], [np.zeros(0, ASKED)]
+    for batch in it:
+        for body, table in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = unpack_docs(table)
+            count = np.frombuffer(body, "<u4", len(own), 4)
+            docs.append(np.repeat(own, count))
+            anchors.append(np.frombuffer(body, ASKED, offset=4 + 4 * len(own)))
+    rows = _by_doc(np.concatenate(docs), "asked", np.concatenate(anchors))
+    yield from batches(({k: r[k] for k in ASKED_OF_DOC.names} for r in rows), ASKED_OF_DOC)
+
+
 def _records(c: Contexts, kind: np.dtype) -> np.ndarray:
     out = np.zeros(len(c.lo), kind)
     for k in kind.names:
@@ -265,12 +294,12 @@ def _done(docs: np.ndarray, lo: np.ndarray, n: np.ndarray) -> Iterator[dict]:
     yield from _by_doc(docs[first], "done", out)
 
 
-#: Of a document, done (PLACED records) or asked (ASKED anchors); or a packet for an owner: anchors (docs, body) or TOLD records (body alone).
+#: Of a document, done (PLACED records); of a part (as doc_id), asked anchors and their docs; or a packet for an owner: anchors (docs, body) or TOLD records (body alone).
 SENT = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("done", pa.binary()), ("asked", pa.binary()), ("docs", pa.binary()), ("body", pa.binary())])
 SENT_SQL = "part int, doc_id long, key long, done binary, asked binary, docs binary, body binary"
 #: With neither done nor asked: an anchor with many contexts, as doc_id, and their number, as key.
-SETTLED = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("done", pa.binary()), ("asked", pa.binary())])
-SETTLED_SQL = "doc_id long, key long, done binary, asked binary"
+SETTLED = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("done", pa.binary()), ("asked", pa.binary()), ("docs", pa.binary())])
+SETTLED_SQL = "doc_id long, key long, done binary, asked binary, docs binary"
 
 
 def _sent(c: Contexts, method: Method, parts: int) -> Iterator[dict]:
@@ -287,8 +316,7 @@ def _sent(c: Contexts, method: Method, parts: int) -> Iterator[dict]:
     c, rank = c.take(~settled), rank[~settled]
     near = _near(c.anchor, c.left, c.right, rank)
     asked = c.take(near)
-    for row in _by_doc(c.docs[asked.doc], "asked", (asked.anchor & ANCHOR).astype(ASKED)):
-        yield row | {"part": (row["key"] ^ row["doc_id"]) % parts}
+    yield from _asked_rows(c.docs[asked.doc], asked.anchor, parts)
     order = np.lexsort((asked.right, asked.left, asked.anchor))
     first, last = runs(asked.anchor[order], asked.left[order], asked.right[order])
     told = np.zeros(len(first), TOLD)
@@ -313,7 +341,7 @@ def _sent(c: Contexts, method: Method, parts: int) -> Iterator[dict]:
             yield none | {"part": int(part[pick[0]]), "docs": pack_docs(c.docs[used[k : k + (1 << 16)]]), "body": to_planes(fields)}
 
 
-def _owned(own: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _owned(own: bool, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Step 2, for one task's share of the anchors."""
 
     def rows(part: int, packets: list[tuple[bytes, bytes]], told: np.ndarray) -> Iterator[dict]:
@@ -334,7 +362,7 @@ def _owned(own: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
         all_sides = [np.concatenate([a, told[k].astype(np.uint32)]) for a, k in ((left, "left"), (right, "right"))]
         asked = _near(np.concatenate([anchor, (told["anchor"] & ANCHOR).astype(np.uint32)]), *all_sides, np.concatenate([rank, others]))[: len(anchor)]
         out = anchor[asked].astype(U64) | U64(part << 32)
-        yield from ({"doc_id": r["doc_id"], "key": r["key"], "done": None, "asked": r["asked"]} for r in _by_doc(docs[asked], "asked", anchor[asked].astype(ASKED)))
+        yield from ({k: r[k] for k in SETTLED.names} for r in _asked_rows(docs[asked], anchor[asked], parts))
         # Anchors by their number of contexts.
         all_ = np.concatenate([out, told["anchor"]])
         count = np.concatenate([np.ones(len(out), np.int64), told["count"].astype(np.int64)])
@@ -344,7 +372,7 @@ def _owned(own: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
             total = np.add.reduceat(count[order], first)
             hot = total > HOT_CONTEXTS
             for anchor_, n_ in zip(all_[order][first][hot].view(np.int64).tolist(), total[hot].tolist(), strict=True):
-                yield {"doc_id": anchor_, "key": n_, "done": None, "asked": None}
+                yield {"doc_id": anchor_, "key": n_, "done": None, "asked": None, "docs": None}
 
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, packets, told = 0, [], []
@@ -352,7 +380,7 @@ def _owned(own: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
             passed = []
             for p, doc_id, key, done, asked, docs, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if body is None:
-                    passed.append({"doc_id": doc_id, "key": key, "done": done, "asked": asked})
+                    passed.append({"doc_id": doc_id, "key": key, "done": done, "asked": asked, "docs": docs})
                     continue
                 part = p
                 if docs is None:
@@ -498,18 +526,20 @@ def covered_windows(texts: DataFrame, method: Method, copies: DataFrame) -> Data
     usable = usable_texts(texts)
     # A packet's part is its task: the number of parts follows the input.
     sent = usable.select("doc_id", "key", "text").mapInArrow(send, SENT_SQL)
-    settled = materialize(sent.repartitionById(parts, F.col("part")).mapInArrow(_owned(method.own), SETTLED_SQL), "settled")
+    settled = materialize(sent.repartitionById(parts, F.col("part")).mapInArrow(_owned(method.own, parts), SETTLED_SQL), "settled")
     most = settled.filter("done is null and asked is null").orderBy(F.col("key").desc(), "doc_id").limit(MAX_HOT)
     hot = np.unique(np.array([r.doc_id for r in most.select("doc_id").collect()], np.int64).view(U64))
     sent_hot = spark.sparkContext.broadcast(hot)
-    asked = settled.filter("asked is not null").select("doc_id", "key", "asked").groupBy("doc_id", "key").agg(F.collect_list("asked").alias("asked"))
+    # Asked anchors travel by part, and become rows of documents where all of a document's are together.
+    packed = settled.filter("asked is not null").select("asked", "docs", F.col("doc_id").cast("int").alias("part")).repartitionById(parts, F.col("part"))
+    asked = packed.select("asked", "docs").mapInArrow(_asked_of_docs, "doc_id long, key long, asked binary")
 
     def fetch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def wanted() -> Iterator[Contexts]:
             for batch in it:
                 lists = batch.column(batch.schema.get_field_index("asked"))
                 for c, of in method.contexts(batch):
-                    mine = [np.frombuffer(b"".join(lists[i].as_py()), ASKED) for i in of.tolist()]
+                    mine = [np.frombuffer(lists[i].as_py(), ASKED) for i in of.tolist()]
                     asked_ = np.repeat(np.arange(len(mine)), [len(x) for x in mine]).astype(U64) << U64(32) | np.concatenate(mine)
                     c = c.take(np.isin((c.doc.astype(U64) << U64(32)) | (c.anchor & ANCHOR), asked_))
                     # Owners know an anchor by its part and its lower bits.
@@ -519,7 +549,6 @@ def covered_windows(texts: DataFrame, method: Method, copies: DataFrame) -> Data
         yield from batches((row for c in gathered(wanted()) for row in _fetched(c, method, sent_hot.value, parts)), BYTES)
 
     # Copies have no part in it: the document with the smallest doc_id speaks for their text.
-    # An anti join would be pushed below the aggregation, to many rows of a document.
     asked = asked.join(copies.withColumn("copied", F.lit(True)), ["doc_id", "key"], "left").filter("copied is null").drop("copied")
     # The same exchange of the texts serves this join and the last one.
     fetched = texts.join(asked, ["doc_id", "key"], "left").filter("asked is not null").select("doc_id", "key", "text", "no_id", "asked").mapInArrow(fetch, BYTES_SQL)
