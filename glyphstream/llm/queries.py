@@ -13,13 +13,16 @@ from .chat_format import format_chats, read_back
 from .decontamination import decontaminate
 from .line_dedup import line_dedup
 from .minhash import minhash_dedup
+from .mixing import mix_sources
 from .packing import best_fit_pack
 from .quality_crf import classify_quality
 from .quality_rules import quality_rules
 from .shared import shared_dir
+from .spelling import spelling_variants
 from .sql import SQL  # noqa: F401
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_array_dedup
+from .token_alignment import align_tokenizers
 from .warc import read_warc, write_warc
 
 
@@ -84,6 +87,18 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2).drop("copies")
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 _ALL = (
     op1_suffix_array_dedup,
     op2_chat_formatting,
@@ -95,5 +110,8 @@ _ALL = (
     op8_line_dedup,
     op9_benchmark_decontamination,
     op10_minhash_near_dedup,
+    op11_spelling_variants,
+    op12_source_mixing,
+    op13_tokenizer_alignment,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
