@@ -1,45 +1,97 @@
-"""The hold, switch and release machine that turns noisy readings into commits."""
+"""The hold, switch and release machine that turns noisy readings into commits, as windows.
+
+What the machine holds can be told without running it.  A run is a stretch of
+equal readings.  A symbol that is read for switch_ms is held from then on,
+whatever was held before, so what is held is the last such symbol, or the first
+one after a release; how long and how often it was read are sums.
+
+A stream is cut where its past no longer matters: after a release, and where a
+run has lasted so long that its symbol is held and committed in any case.
+Pieces of some minutes are searched for such places side by side; a table of one
+row for each of them tells where the first readings of a piece belong.  Streams
+of any length are therefore read by all cores.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .holds import DebounceConfig, next_sql
+from .holds import DebounceConfig
+
+#: Milliseconds of a stream that are searched for cuts at once.
+CHUNK_MS = 600_000
+#: Frame numbers that commits and motions meet by.
+FRAME_BUCKET = 256
+
+
+def _runs(rows: DataFrame, order: WindowSpec) -> DataFrame:
+    """rows with new (a run begins), run_t (when), k (its readings so far) and read_at (the last symbol's time)."""
+    last = lambda when, value: F.last(F.when(when, value), ignorenulls=True).over(order)
+    before = F.lag("symbol").over(order)
+    marked = rows.withColumns({"new": before.isNull() | (before != F.col("symbol")), "place": F.row_number().over(order)})
+    began = {"run_t": last(F.col("new"), F.col("t_ms")), "k": F.col("place") - last(F.col("new"), F.col("place")) + 1, "read_at": last(F.col("symbol") != "", F.col("t_ms"))}
+    return marked.withColumns(began).drop("place")
 
-_STATE = """named_struct('cur', cast(null as string), 'start', cast(null as double), 'n', 0, 'done', false,
-    'pk', cast(null as string), 'ps', cast(null as double), 'pn', 0, 'last', cast(null as string),
-    'out', cast(array() as array<struct<symbol:string,frame_no:bigint,t_ms:double>>))"""
 
+def _ends_absence(c: DebounceConfig, since: Column) -> Column:
+    return (F.col("symbol") == "") & (F.col("t_ms") - since >= c.blank_ms) & (F.col("k") >= c.min_blank_frames)
 
-def _next(c: DebounceConfig) -> str:
-    """One reading x after state s, in two steps: what is held, then whether it commits."""
-    commits = f"h.saw and not h.done and x.t - h.start >= {c.min_hold_ms} and h.n >= {c.min_hold_frames}"
-    news = "not coalesce(h.cur = s.last, false)"
-    return f"""transform(array({next_sql(c)}), h -> named_struct('cur', h.cur, 'start', h.start, 'n', h.n, 'done', h.done or ({commits}),
-        'pk', h.pk, 'ps', h.ps, 'pn', h.pn, 'last', if(({commits}) and {news}, h.cur, s.last),
-        'out', if(({commits}) and {news}, array_append(s.out, named_struct('symbol', h.cur, 'frame_no', x.frame_no, 't_ms', x.t)), s.out)))[0]"""
+
+def _pieces(fed: DataFrame, c: DebounceConfig) -> DataFrame:
+    """fed with piece, and entered: the reading only tells that its symbol is held and committed as the piece begins.
+
+    A reading that ends a piece so is in both.  In a chunk that begins within an
+    absence the last symbol's time is not known; where even its own blanks are
+    enough nothing can be held any more.
+    """
+    chunk = Window.partitionBy("stream_id", "chunk").orderBy("t_ms", "frame_no")
+    rows = _runs(fed.withColumn("chunk", F.floor(F.col("t_ms") / CHUNK_MS)), chunk)
+    sure = (F.col("symbol") != "") & (F.col("t_ms") - F.col("run_t") >= max(c.switch_ms, c.min_hold_ms)) & (F.col("k") >= c.min_hold_frames)
+    over = _ends_absence(c, F.coalesce("read_at", "run_t"))
+    told = rows.withColumn("sure", sure).withColumn("over", over)
+    first = lambda name: F.col(name) & ~(F.coalesce(F.lag(name).over(chunk), F.lit(False)) & ~F.col("new"))
+    cut = told.withColumns({"sure": first("sure"), "over": first("over")}).withColumn("cuts", F.count_if(F.col("sure") | F.col("over")).over(chunk))
+    ends = cut.groupBy("stream_id", "chunk").agg(F.max("cuts").alias("n"))
+    earlier = Window.partitionBy("stream_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    owner = ends.select("stream_id", "chunk", F.last(F.when(F.col("n") > 0, F.struct("chunk", F.col("n").alias("cuts"))), ignorenulls=True).over(earlier).alias("owner"))
+    here = F.struct("chunk", "cuts")
+    both = cut.join(owner, ["stream_id", "chunk"]).withColumn("before", F.col("cuts") - F.col("sure").cast("int"))
+    ending = F.when(F.col("before") > 0, F.struct("chunk", F.col("before").alias("cuts"))).otherwise(F.col("owner"))
+    piece = lambda of, entered: F.struct(of.alias("piece"), F.lit(entered).alias("entered"))
+    as_read = F.array(piece(F.when(F.col("cuts") > 0, here).otherwise(F.col("owner")), False))
+    dealt = both.withColumn("p", F.explode(F.when(F.col("sure"), F.array(piece(ending, False), piece(here, True))).otherwise(as_read)))
+    return dealt.select("stream_id", "p.piece", "p.entered", "frame_no", "t_ms", "symbol")
 
 
 def debounce(frames: DataFrame, config: DebounceConfig = DebounceConfig()) -> DataFrame:
     """stream_id, symbol, frame_no, t_ms of the commits of each stream of fed readings.
 
     frames has stream_id, frame_no, t_ms and symbol ('' is no reading); rows
-    with a null symbol are not fed.  A release brings the machine back to its
-    first state, and window functions find all releases: the first blank that
-    ends an absence of blank_ms.  Streams are cut there, so a fold sees one
-    segment only, however long the stream is.
+    with a null symbol, stream_id or t_ms are not fed.  Only a stream without a
+    single long run or absence is read as a whole.
     """
-    order = Window.partitionBy("stream_id").orderBy("t_ms", "frame_no")
-    fed = frames.filter("symbol is not null").select("stream_id", "frame_no", F.col("t_ms").cast("double").alias("t_ms"), "symbol")
-    reading = F.col("symbol") != ""
-    seen = fed.withColumn("run", F.sum(reading.cast("long")).over(order)).withColumn("read_at", F.last(F.when(reading, F.col("t_ms")), ignorenulls=True).over(order))
-    blank = F.row_number().over(Window.partitionBy("stream_id", "run").orderBy("t_ms", "frame_no")) - F.when(F.col("run") > 0, 1).otherwise(0)
-    marked = seen.withColumn("release", F.coalesce(~reading & (F.col("t_ms") - F.col("read_at") >= config.blank_ms) & (blank >= config.min_blank_frames), F.lit(False)))
-    parted = marked.withColumn("segment", F.coalesce(F.sum(F.col("release").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter(~F.col("release"))
-    grouped = parted.groupBy("stream_id", "segment").agg(F.array_sort(F.collect_list(F.struct(F.col("t_ms").alias("t"), "frame_no", "symbol"))).alias("readings"))
-    folded = grouped.select("stream_id", F.explode(F.expr(f"aggregate(readings, {_STATE}, (s, x) -> {_next(config)}, s -> s.out)")).alias("c"))
-    return folded.select("stream_id", "c.symbol", "c.frame_no", "c.t_ms")
+    c = config
+    fed = frames.filter("symbol is not null and stream_id is not null and t_ms is not null").select("stream_id", "frame_no", F.col("t_ms").cast("double").alias("t_ms"), "symbol")
+    in_piece = Window.partitionBy("stream_id", "piece").orderBy("t_ms", "frame_no")
+    rows = _runs(_pieces(fed, c), in_piece).withColumn("release", F.coalesce(_ends_absence(c, F.col("read_at")), F.lit(False)))
+    parted = rows.withColumn("segment", F.coalesce(F.count_if("release").over(in_piece.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # Absences have told what they can; short ones change nothing.
+    read = parted.filter("symbol <> ''")
+    now = Window.partitionBy("stream_id", "piece", "segment").orderBy("t_ms", "frame_no")
+    before = now.rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda when, value, over: F.last(F.when(when, F.col(value)), ignorenulls=True).over(over)
+    takes = F.lag("t_ms").over(now).isNull() | (F.col("t_ms") - F.col("run_t") >= c.switch_ms)
+    held = read.withColumn("takes", takes).withColumns({"cur": last(F.col("takes"), "symbol", now), "was": last(F.col("takes"), "symbol", before)})
+    begins = F.col("takes") & (F.col("was").isNull() | (F.col("was") != F.col("symbol")))
+    holds = held.filter(F.col("symbol") == F.col("cur")).withColumn("begins", begins).withColumns({"hold": F.count_if("begins").over(now), "seen": F.row_number().over(now)})
+    since = {"start": last(F.col("begins"), "run_t", now), "n": F.col("seen") + last(F.col("begins"), "k", now) - last(F.col("begins"), "seen", now)}
+    enough = F.col("entered") | ((F.col("t_ms") - F.col("start") >= c.min_hold_ms) & (F.col("n") >= c.min_hold_frames))
+    ready = holds.withColumns(since).filter(enough)
+    first = ready.withColumn("of", F.lag("hold").over(now)).filter("of is null or of <> hold")
+    # A symbol commits once until an absence, however often it is taken over in between.
+    news = first.withColumn("of", F.lag("symbol").over(now)).filter("not entered and (of is null or of <> symbol)")
+    return news.select("stream_id", "symbol", "frame_no", "t_ms")
 
 
 def debounce_parts(frames: DataFrame, config: DebounceConfig = DebounceConfig()) -> DataFrame:
@@ -66,5 +118,8 @@ def retract(commits: DataFrame, fires: DataFrame) -> DataFrame:
     fires has stream_id, symbol, start_frame and frame_no; it takes back the
     commits before frame_no from start_frame on.
     """
-    back = (commits["stream_id"] == fires["stream_id"]) & (commits["frame_no"] >= fires["start_frame"]) & (commits["frame_no"] <= fires["frame_no"])
-    return commits.join(fires, back, "left_anti").select("stream_id", "symbol", "frame_no").unionByName(fires.select("stream_id", "symbol", "frame_no"))
+    bucket = lambda c: F.floor(c / FRAME_BUCKET)
+    spans = fires.select("stream_id", "start_frame", F.col("frame_no").alias("end_frame"), F.explode(F.sequence(bucket(F.col("start_frame")), bucket(F.col("frame_no")))).alias("bucket"))
+    met = commits.withColumn("bucket", bucket(F.col("frame_no")))
+    back = (met["stream_id"] == spans["stream_id"]) & (met["bucket"] == spans["bucket"]) & met["frame_no"].between(spans["start_frame"], spans["end_frame"])
+    return met.join(spans, back, "left_anti").select("stream_id", "symbol", "frame_no").unionByName(fires.select("stream_id", "symbol", "frame_no"))

@@ -1,4 +1,4 @@
-"""The machine of holds as one table, for the batch fold and for streams."""
+"""The machine of holds as one table, for streams; debounce tells the same by windows."""
 
 from __future__ import annotations
 
@@ -31,24 +31,6 @@ TABLE: tuple[tuple[str, dict[str, str], bool], ...] = (
 )
 
 
-def next_sql(c: DebounceConfig) -> str:
-    """TABLE as a Spark expression: the struct after reading x (symbol, t) in state s; long absences are cut out before."""
-    same = "coalesce(s.pk = x.symbol, false)"
-    since, count = f"if({same}, s.ps, x.t)", f"if({same}, s.pn + 1, 1)"
-    value = {"nothing": "null", "zero": "0", "no": "false", "one": "1", "more": "s.n + 1", "symbol": "x.symbol", "now": "x.t", "since": since, "count": count}
-    kind = {"cur": "string", "start": "double", "n": "int", "done": "boolean", "pk": "string", "ps": "double", "pn": "int"}
-    when = {
-        "blank with nothing held": "x.symbol = '' and s.cur is null",
-        "blank": "x.symbol = ''",
-        "the held symbol": "x.symbol = s.cur",
-        "a symbol with nothing held": "s.cur is null",
-        "another symbol for long": f"x.t - {since} >= {c.switch_ms}",
-        "another symbol": "true",
-    }
-    after = lambda put, saw: ", ".join(f"'{f}', cast({value[put[f]] if f in put else 's.' + f} as {kind[f]})" for f in FIELDS) + f", 'saw', {str(saw).lower()}"
-    return "case " + " ".join(f"when {when[name]} then named_struct({after(put, saw)})" for name, put, saw in TABLE if name in when) + " end"
-
-
 class Holds:
     """TABLE for one stream, reading by reading."""
 

@@ -39,6 +39,7 @@ class Recogniser:
         if reset:
             self.recent, self.missed = [], 0
             self.holds.release()
+            self.buffer.clear()
             return [(frame_no, "reset", None, None)]
         if not hand:
             self.missed += 1

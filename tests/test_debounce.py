@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from glyphstream.operators import debounce as db
 from glyphstream.operators.debounce import DebounceConfig, debounce
 from glyphstream.operators.decision import motion_fires
 from glyphstream.operators.geometry import MotionConfig, motion_rules
@@ -81,6 +82,37 @@ def test_cut_folds_equal_the_uncut_fold(spark):
     assert {k: v for k, s in streams.items() if (v := fold(s, c))} == got
 
 
+@pytest.mark.parametrize("chunk_ms", [150, 900])
+def test_chunks_of_a_stream_equal_the_fold(spark, monkeypatch, chunk_ms):
+    monkeypatch.setattr(db, "CHUNK_MS", chunk_ms)
+    rng = random.Random(chunk_ms)
+    streams = {}
+    for k in range(200):
+        fps = rng.choice([30, 15, 5])
+        long = rng.choice([[1, 1, 2], [1, 2, 5, 9], [3, 20, 60]])
+        streams[str(k)] = stream(str(k), [(rng.choice(rng.choice(["AB", "AB_", "ABC__"])), rng.choice(long)) for _ in range(rng.randint(1, 60))], fps)
+    rows = [r for s in streams.values() for r in s]
+    for c in (DebounceConfig(), DebounceConfig(min_hold_ms=30, switch_ms=200, min_hold_frames=1), DebounceConfig(min_hold_ms=400, blank_ms=90, switch_ms=0, min_blank_frames=1)):
+        assert commits(spark, rows, c) == {k: v for k, s in streams.items() if (v := fold(s, c))}
+
+
+def test_an_unbroken_stream_is_read_by_many_tasks(spark):
+    """No release for two days of readings: no task has over a few of its chunks."""
+    n = 2 * 86_400 * 30
+    frames = spark.range(n).selectExpr("'s' as stream_id", "id as frame_no", "cast(id * 1000 / 30 as double) as t_ms", "case when id % 211 = 7 then '' else char(65 + (id div 40) % 3) end as symbol")
+    got = debounce(frames).selectExpr("count(*) as n", "count(distinct symbol) as m", "max(frame_no) as last").first()
+    assert (got.n, got.m) == (n // 40, 3) and n - got.last < 40
+    sizes = [r["count"] for r in db._pieces(frames, DebounceConfig()).groupBy("piece").count().collect()]
+    assert max(sizes) < 200 and sum(sizes) >= n
+
+
+def test_retractions_meet_by_frames(spark):
+    commits_ = spark.createDataFrame([("s", "A", k * 100) for k in range(30)] + [("u", "A", 250)], "stream_id string, symbol string, frame_no long")
+    fires = spark.createDataFrame([("s", "J", 250, 900), ("s", "Z", 2000, 2000)], "stream_id string, symbol string, start_frame long, frame_no long")
+    got = sorted((r.stream_id, r.frame_no, r.symbol) for r in db.retract(commits_, fires).collect())
+    assert got == sorted([("s", k * 100, "A") for k in range(30) if not (250 <= k * 100 <= 900 or k == 20)] + [("u", 250, "A"), ("s", 900, "J"), ("s", 2000, "Z")])
+
+
 @pytest.mark.parametrize("labels,expected", [("AABBBA", [("A", 0, 2), ("B", 2, 5), ("A", 5, 6)]), ("A", [("A", 0, 1)])])
 def test_bursts(spark, labels, expected):
     log = spark.createDataFrame([("s", i, x) for i, x in enumerate(labels)], "stream_id string, seq long, label string")

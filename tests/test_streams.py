@@ -1,6 +1,7 @@
 """Sources, motions, training and streaming."""
 
 import json
+import os
 import random
 
 import pytest
@@ -98,6 +99,7 @@ def test_stream_equals_batch(spark, tmp_path):
     rows.sort(key=lambda r: r["t_ms"] + rng.random() * 500)
     for k, part in enumerate([rows[:200], rows[200:], *end]):
         (folder / f"{k}.json").write_text("\n".join(map(json.dumps, part)))
+        os.utime(folder / f"{k}.json", (1_000_000 + k, 1_000_000 + k))  # files are read in the order of their times
     frames = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
     got = {(r.stream_id, r.symbol, r.frame_no) for r in drain(stream_debounce(frames), "append", "commits")}
     assert batch and got == batch
