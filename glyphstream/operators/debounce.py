@@ -112,14 +112,24 @@ def after_reset(frames: DataFrame, config: DebounceConfig = DebounceConfig()) ->
     return debounce_parts(frames, config).join(last, ["stream_id", "part"], "left_semi").drop("part")
 
 
-def retract(commits: DataFrame, fires: DataFrame) -> DataFrame:
-    """Commits without those that a motion took back, and the motions' own.
+def retracted(commits: DataFrame, fires: DataFrame, how: str = "inner") -> DataFrame:
+    """The commits (stream_id, symbol, frame_no) that a motion took back, with its end_frame; how: as a join, left_anti for the others.
 
-    fires has stream_id, symbol, start_frame and frame_no; it takes back the
-    commits before frame_no from start_frame on.
+    fires has stream_id, start_frame and frame_no; it takes back the commits
+    from start_frame to frame_no.  Both meet by buckets of frame numbers.
     """
     bucket = lambda c: F.floor(c / FRAME_BUCKET)
-    spans = fires.select("stream_id", "start_frame", F.col("frame_no").alias("end_frame"), F.explode(F.sequence(bucket(F.col("start_frame")), bucket(F.col("frame_no")))).alias("bucket"))
-    met = commits.withColumn("bucket", bucket(F.col("frame_no")))
-    back = (met["stream_id"] == spans["stream_id"]) & (met["bucket"] == spans["bucket"]) & met["frame_no"].between(spans["start_frame"], spans["end_frame"])
-    return met.join(spans, back, "left_anti").select("stream_id", "symbol", "frame_no").unionByName(fires.select("stream_id", "symbol", "frame_no"))
+    spans = fires.select(F.col("stream_id").alias("of"), "start_frame", F.col("frame_no").alias("end_frame"), F.explode(F.sequence(bucket(F.col("start_frame")), bucket(F.col("frame_no")))).alias("bucket"))
+    met = commits.select("stream_id", "symbol", "frame_no").withColumn("place", bucket(F.col("frame_no")))
+    back = (F.col("stream_id") == F.col("of")) & (F.col("place") == F.col("bucket")) & F.col("frame_no").between(F.col("start_frame"), F.col("end_frame"))
+    return met.join(spans, back, how).drop("place", "bucket", "of", "start_frame")
+
+
+def retract(commits: DataFrame, fires: DataFrame) -> DataFrame:
+    """Commits without those that a motion took back, and the motions' own (stream_id, symbol, start_frame, frame_no).
+
+    A motion's commit bears at_frame, the last frame fed before it, if fires
+    has that column, and frame_no otherwise.
+    """
+    at = "at_frame" if "at_frame" in fires.columns else "frame_no"
+    return retracted(commits, fires, "left_anti").unionByName(fires.select("stream_id", "symbol", F.col(at).alias("frame_no")))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,8 +15,41 @@ TIPS = {"index": (8, 6), "middle": (12, 10), "ring": (16, 14), "pinky": (20, 18)
 N_POINTS = 21
 
 
+@dataclass(frozen=True)
+class MotionRule:
+    """A motion sign as data: a hand shape that is held while a fingertip moves.
+
+    fingers: those that are stretched out, all others are not.  tip: the finger
+    whose tip is followed.  Each test that is not None must hold over the
+    window: the tip falls by more than ``drop`` from its first to its last
+    sample; in the last third of the window's time it moves sideways by more
+    than ``hook``; the hand's centre moves by ``travel`` at least along
+    travel_axis (in the last travel_ms, if given); and the last ``strokes``
+    strokes of the tip along stroke_axis, each of at least ``stroke``, alternate.
+    """
+
+    name: str
+    fingers: tuple[str, ...]
+    tip: str
+    drop: float | None = None
+    hook: float | None = None
+    travel: float | None = None
+    travel_axis: str = "x"
+    travel_ms: int | None = None
+    strokes: int = 0
+    stroke: float = 0.25
+    stroke_axis: str = "x"
+
+    @property
+    def shape(self) -> str:
+        """The name of the column that tells whether a sample has the hand shape."""
+        return {("pinky",): "i_shape", ("index",): "point_shape"}.get(self.fingers, "_".join((*self.fingers, "shape")))
+
+
 @dataclass(frozen=True)
 class MotionConfig:
+    """Thresholds of motions; rules: the signs in the order in which they are tested, J and Z by these thresholds if None."""
+
     window_ms: int = 650
     min_samples: int = 8
     shape_ratio: float = 0.7
@@ -25,6 +60,20 @@ class MotionConfig:
     z_travel: float = 0.3
     deadband: float = 0.08
     lookback_ms: int = 180
+    rules: tuple[MotionRule, ...] | None = None
+
+    @property
+    def signs(self) -> tuple[MotionRule, ...]:
+        if self.rules is not None:
+            return self.rules
+        return MotionRule("J", ("pinky",), "pinky", drop=self.j_drop, hook=self.j_hook), MotionRule("Z", ("index",), "index", drop=self.z_drop, travel=self.z_travel, strokes=3, stroke=self.z_stroke)
+
+    @property
+    def sample(self) -> tuple[str, ...]:
+        """What the signs need of a frame, by name: its time and number, the hand shapes, the tips and the centre."""
+        shapes = dict.fromkeys(r.shape for r in self.signs)
+        tips = dict.fromkeys(f"{r.tip}_{c}" for r in self.signs for c in ("x", "y"))
+        return ("t_ms", "frame_no", *shapes, *tips, "cx", "cy")
 
 
 def _point(i: int) -> Column:
@@ -51,20 +100,21 @@ def hand_frame(frames: DataFrame, w: float = 640.0, h: float = 480.0) -> DataFra
     return turned.withColumn("features", F.flatten(F.transform("_local", lambda p: F.array(p["x"] * F.col("_sign"), p["y"])))).drop("_size", "_ux", "_uy", "_local", "_sign")
 
 
-def samples(frames: DataFrame, *more: str) -> DataFrame:
-    """stream_id, frame_no, t_ms, i_shape, point_shape, fingertips and centroid in hand widths, and more columns of frames."""
+def samples(frames: DataFrame, *more: str, signs: tuple[MotionRule, ...] = ()) -> DataFrame:
+    """stream_id, frame_no, t_ms, i_shape, point_shape, fingertips and centroid in hand widths, what signs need besides, and more columns of frames."""
     sized = frames.withColumn("_size", _size())
     r = lambda i: (_point(i)["x"] - _point(WRIST)["x"]) * (_point(i)["x"] - _point(WRIST)["x"]) + (_point(i)["y"] - _point(WRIST)["y"]) * (_point(i)["y"] - _point(WRIST)["y"])
     out = {name: r(tip) > r(pip) for name, (tip, pip) in TIPS.items()}
     mean = lambda c: F.aggregate("landmarks", F.lit(0.0), lambda a, p: a + p[c]) / N_POINTS / F.col("_size")
+    signs = (*MotionConfig().signs, *signs)
+    only = lambda fingers: reduce(and_, [out[n] if n in fingers else ~out[n] for n in TIPS])
     return sized.select(
         "stream_id",
         "frame_no",
         "t_ms",
-        "label",
-        (out["pinky"] & ~out["index"] & ~out["middle"] & ~out["ring"]).alias("i_shape"),
-        (out["index"] & ~out["middle"] & ~out["ring"] & ~out["pinky"]).alias("point_shape"),
-        *[(_point(TIPS[n][0])[c] / F.col("_size")).alias(f"{n}_{c}") for n in ("pinky", "index") for c in ("x", "y")],
+        *[F.col(c) for c in ("label",) if c in frames.columns],
+        *[only(fingers).alias(shape) for shape, fingers in {r.shape: r.fingers for r in signs}.items()],
+        *[(_point(TIPS[n][0])[c] / F.col("_size")).alias(f"{n}_{c}") for n in dict.fromkeys(r.tip for r in signs) for c in ("x", "y")],
         mean("x").alias("cx"),
         mean("y").alias("cy"),
         *more,
@@ -129,42 +179,52 @@ def hand_travel(frames: DataFrame, axis: str = "x", lookback_ms: int | None = No
     return samples(frames).select("stream_id", "frame_no", (F.max(f"c{axis}").over(w) - F.min(f"c{axis}").over(w)).alias("travel"))
 
 
-def strokes(path: str, c: MotionConfig = MotionConfig()) -> Column:
-    """Directions (+1, -1) of the strokes of the path in a column, jitter within the deadband ignored."""
-    kept = lambda s: f"if(abs({s}.e - {s}.s) >= {c.z_stroke}, array_append({s}.out, {s}.d), {s}.out)"
-    start = "named_struct('d', 0, 's', p[0], 'e', p[0], 'out', cast(array() as array<int>))"
+def strokes(path: str, c: MotionConfig = MotionConfig(), least: float | None = None) -> Column:
+    """Directions (+1, -1) of the strokes of the path in a column: the ways between its turning points that are long enough.
+
+    A turning point is an extreme from which the path goes back by more than the deadband.
+    """
+    start = "named_struct('turn', p[0], 'tip', p[0], 'ways', cast(array() as array<double>))"
     step = f"""(a, x) -> case
-        when a.d = 0 and abs(x - a.s) > {c.deadband} then named_struct('d', if(x > a.s, 1, -1), 's', a.s, 'e', x, 'out', a.out)
-        when a.d = 0 then a
-        when (x - a.e) * a.d > 0 then named_struct('d', a.d, 's', a.s, 'e', x, 'out', a.out)
-        when abs(x - a.e) > {c.deadband} then named_struct('d', -a.d, 's', a.e, 'e', x, 'out', {kept("a")})
+        when (x - a.tip) * (a.tip - a.turn) > 0 or (a.tip = a.turn and abs(x - a.tip) > {c.deadband}) then named_struct('turn', a.turn, 'tip', x, 'ways', a.ways)
+        when a.tip <> a.turn and abs(x - a.tip) > {c.deadband} then named_struct('turn', a.tip, 'tip', x, 'ways', array_append(a.ways, a.tip - a.turn))
         else a end"""
-    end = f"a -> if(a.d <> 0, {kept('a')}, a.out)"
-    return F.expr(f"transform(array({path}), p -> aggregate(slice(p, 2, size(p)), {start}, {step}, {end}))[0]")
+    ways = f"transform(array({path}), p -> aggregate(p, {start}, {step}, a -> array_append(a.ways, a.tip - a.turn)))[0]"
+    return F.expr(f"transform(filter({ways}, w -> abs(w) >= {c.z_stroke if least is None else least}), w -> cast(sign(w) as int))")
+
+
+def plain_signs(frames: DataFrame, c: MotionConfig = MotionConfig()) -> DataFrame:
+    """stream_id, frame_no, start_frame, and for each sign a boolean is_<name>: its rule over the plain time window, as if nothing had fired."""
+    over = lambda ms: Window.partitionBy("stream_id").orderBy("t_ms").rangeBetween(-ms, 0)
+    w = over(c.window_ms)
+    n = F.count("*").over(w)
+    picked = lambda name: F.transform("_buffer", lambda b: b[name])
+    turns = lambda s: F.forall(F.sequence(F.lit(1), F.greatest(F.size(s) - 1, F.lit(1))), lambda i: F.coalesce(F.get(s, i - 1) != F.get(s, i), F.lit(True)))
+    held = samples(frames, signs=c.signs).withColumns({"_n": n, "_t0": F.min("t_ms").over(w), "_buffer": F.collect_list(F.struct(*c.sample)).over(w)})
+    tests = {}
+    for k, r in enumerate(c.signs):
+        held = held.withColumn(f"_path{k}", picked(f"{r.tip}_{r.stroke_axis}"))
+        third = F.filter("_buffer", lambda b: b["t_ms"] >= F.col("t_ms") - (F.col("t_ms") - F.col("_t0")) / 3)
+        away = over(min(c.window_ms, c.window_ms if r.travel_ms is None else r.travel_ms))
+        shaped = F.count_if(F.col(r.shape)).over(w) >= c.shape_ratio * n
+        cheap = [F.col("_n") >= c.min_samples, F.col(f"_shaped{k}")]
+        held = held.withColumns({f"_shaped{k}": shaped, f"_fall{k}": F.col(f"{r.tip}_y") - F.first(f"{r.tip}_y").over(w), f"_travel{k}": F.max(f"c{r.travel_axis}").over(away) - F.min(f"c{r.travel_axis}").over(away)})
+        cheap += [F.col(f"_fall{k}") > r.drop] * (r.drop is not None) + [F.col(f"_travel{k}") >= (r.travel or 0.0)] * (r.travel is not None)
+        costly = [F.abs(F.element_at(third, -1)[f"{r.tip}_x"] - third[0][f"{r.tip}_x"]) > r.hook] if r.hook is not None else []
+        if r.strokes:
+            last = F.slice(F.reverse(strokes(f"_path{k}", c, r.stroke)), 1, r.strokes)
+            costly.append((F.size(last) == r.strokes) & turns(last))
+        # The costly tests come after the cheap ones.
+        tests[f"is_{r.name.lower()}"] = F.when(reduce(and_, cheap), reduce(and_, costly, F.lit(True))).otherwise(False)
+    return held.select("stream_id", "frame_no", F.col("_buffer")[0]["frame_no"].alias("start_frame"), *[v.alias(k) for k, v in tests.items()])
 
 
 def motion_rules(frames: DataFrame, c: MotionConfig = MotionConfig()) -> DataFrame:
-    """stream_id, frame_no, start_frame, is_j, is_z, n_strokes, travel, candidate: the J and Z rules over the plain window."""
+    """stream_id, frame_no, start_frame, is_<name> of each sign, n_strokes (of the index finger), travel, candidate: over the plain window."""
     w = motion_window(frames, c).withColumn("_path", F.transform("buffer", lambda b: b["index_x"]))
-    cutoff = F.col("t_ms") - (F.col("t_ms") - F.col("t0")) / 3
-    third = F.filter("buffer", lambda b: b["t_ms"] >= cutoff)
-    hook = F.when(F.size(third) >= 2, F.abs(F.element_at(third, -1)["pinky_x"] - third[0]["pinky_x"])).otherwise(0.0)
-    enough = F.col("n") >= c.min_samples
-    # The costly fold comes after the cheap tests.
-    moves = F.when(enough, strokes("_path", c)).otherwise(F.array().cast("array<int>"))
-    told = w.withColumns({"_strokes": moves, "hook": hook})
-    s = F.col("_strokes")
-    zigzag = (F.size(s) >= 3) & (F.element_at(s, -3) == F.element_at(s, -1)) & (F.element_at(s, -2) != F.element_at(s, -1))
-    return told.select(
-        "stream_id",
-        "frame_no",
-        F.col("buffer")[0]["frame_no"].alias("start_frame"),
-        (enough & F.col("i_held") & (F.col("j_fall") > c.j_drop) & (F.col("hook") > c.j_hook)).alias("is_j"),
-        (enough & F.col("point_held") & (F.col("travel") >= c.z_travel) & F.when(F.size(s) >= 3, zigzag).otherwise(False) & (F.col("z_fall") > c.z_drop)).alias("is_z"),
-        F.size(s).cast("long").alias("n_strokes"),
-        F.round("travel", 6).alias("travel"),
-        "candidate",
-    )
+    moves = F.when(F.col("n") >= c.min_samples, F.size(strokes("_path", c))).otherwise(0).cast("long")
+    told = w.select("stream_id", "frame_no", moves.alias("n_strokes"), F.round("travel", 6).alias("travel"), "candidate")
+    return plain_signs(frames, c).join(told, ["stream_id", "frame_no"])
 
 
 def bounding_box(frames: DataFrame, w: int = 640, h: int = 480, margin: int = 20) -> DataFrame:

@@ -6,10 +6,10 @@ from collections import deque
 
 import numpy as np
 
-from .geometry import MotionConfig
+from .geometry import MotionConfig, MotionRule
 
-#: What is held of a sample, in this order.
-SAMPLE = ("t_ms", "frame_no", "i_shape", "point_shape", "pinky_x", "pinky_y", "index_x", "index_y", "cx", "cy")
+#: What is held of a sample for J and Z, in this order.
+SAMPLE = MotionConfig().sample
 
 
 def turning_points(path: np.ndarray, deadband: float) -> np.ndarray:
@@ -25,23 +25,30 @@ def turning_points(path: np.ndarray, deadband: float) -> np.ndarray:
     return np.array(points)
 
 
-def stroke_signs(path: np.ndarray, c: MotionConfig) -> np.ndarray:
+def stroke_signs(path: np.ndarray, c: MotionConfig, least: float | None = None) -> np.ndarray:
     """+1 and -1 for the ways between turning points that are long enough."""
     ways = np.diff(turning_points(path, c.deadband))
-    return np.sign(ways[np.abs(ways) >= c.z_stroke]).astype(int)
+    return np.sign(ways[np.abs(ways) >= (c.z_stroke if least is None else least)]).astype(int)
 
 
 class MotionBuffer:
-    """The samples of a stream's last window_ms."""
+    """The samples of a stream's last window_ms, as the config's ``sample`` names their values."""
 
     def __init__(self, config: MotionConfig, held: list | None = None) -> None:
         self.config, self.held = config, deque(map(tuple, held or ()))
+        self.place = {name: k for k, name in enumerate(config.sample)}
 
     def clear(self) -> None:
         self.held.clear()
 
     def column(self, name: str) -> np.ndarray:
-        return np.array([s[SAMPLE.index(name)] for s in self.held], float)
+        k = self.place[name]
+        return np.array([s[k] for s in self.held], float)
+
+    def moved(self, name: str) -> float:
+        """From the first sample to the last one."""
+        k = self.place[name]
+        return self.held[-1][k] - self.held[0][k]
 
     def travel(self, axis: str = "x", lookback_ms: float | None = None) -> float:
         """How far the centroid moved along an axis in the window or its last lookback_ms; 0 without samples."""
@@ -50,49 +57,46 @@ class MotionBuffer:
         t, way = self.column("t_ms"), self.column(f"c{axis}")
         return float(np.ptp(way if lookback_ms is None else way[t >= t[-1] - lookback_ms]))
 
-    def _shape(self, name: str, since: float) -> bool:
-        recent = self.column(name)[self.column("t_ms") >= since]
-        return recent.sum() >= self.config.shape_ratio * len(recent)
-
     def add(self, sample: tuple) -> tuple[str, int] | None:
-        """A motion that this sample completes, as its letter and first frame; the buffer is empty then."""
+        """A motion that this sample completes, as its name and first frame; the buffer is empty then."""
         self.held.append(tuple(sample))
         while self.held[0][0] < sample[0] - self.config.window_ms:
             self.held.popleft()
-        letter = self._letter()
-        if letter is None:
+        if len(self.held) < self.config.min_samples:
+            return None
+        name = next((r.name for r in self.config.signs if self._holds(r)), None)
+        if name is None:
             return None
         first = self.held[0][1]
         self.held.clear()
-        return letter, int(first)
+        return name, int(first)
 
-    def _letter(self) -> str | None:
-        c = self.config
-        if len(self.held) < c.min_samples:
-            return None
-        t, start = self.column("t_ms"), self.held[0][0]
-        pinky, index = self.column("pinky_y"), self.column("index_y")
-        # The costly tests come last.
-        if pinky[-1] - pinky[0] > c.j_drop and self._shape("i_shape", start):
-            hook = self.column("pinky_x")[t >= t[-1] - (t[-1] - t[0]) / 3]
-            if abs(hook[-1] - hook[0]) > c.j_hook:
-                return "J"
-        if index[-1] - index[0] > c.z_drop and self.travel() >= c.z_travel and self._shape("point_shape", start):
-            last = stroke_signs(self.column("index_x"), c)[-3:]
-            if len(last) == 3 and (np.diff(last) != 0).all():
-                return "Z"
-        return None
+    def _holds(self, r: MotionRule) -> bool:
+        """Whether a rule holds over the window.  The costly tests come last."""
+        c, k = self.config, self.place[r.shape]
+        if r.drop is not None and not self.moved(f"{r.tip}_y") > r.drop:
+            return False
+        if sum(s[k] for s in self.held) < c.shape_ratio * len(self.held):
+            return False
+        if r.travel is not None and self.travel(r.travel_axis, r.travel_ms) < r.travel:
+            return False
+        if r.hook is not None:
+            t, x = self.column("t_ms"), self.column(f"{r.tip}_x")
+            hook = x[t >= t[-1] - (t[-1] - t[0]) / 3]
+            if not abs(hook[-1] - hook[0]) > r.hook:
+                return False
+        last = stroke_signs(self.column(f"{r.tip}_{r.stroke_axis}"), c, r.stroke)[-r.strokes :] if r.strokes else ()
+        return len(last) == r.strokes and bool((np.diff(last) != 0).all())
 
     def candidate(self) -> bool:
-        """Whether a motion's hand shape is held and its finger moves."""
+        """Whether a sign's hand shape is held lately and its finger moves."""
         c = self.config
-        t = self.column("t_ms")
-        recent = t >= t[-1] - c.lookback_ms if len(t) else np.zeros(0, bool)
-        if recent.sum() < 3:
-            return False
-        since = t[recent][0]
-        finger = "pinky" if self._shape("i_shape", since) else "index" if self._shape("point_shape", since) else None
-        if finger is None:
+        recent = [s for s in self.held if s[0] >= self.held[-1][0] - c.lookback_ms]
+        if len(recent) < 3:
             return False
-        way = [self.column(f"{finger}_{a}")[recent] for a in ("x", "y")]
-        return bool(np.hypot(*[w[-1] - w[0] for w in way]) > c.deadband)
+        for r in c.signs:
+            k = self.place[r.shape]
+            if sum(s[k] for s in recent) >= c.shape_ratio * len(recent):
+                x, y = self.place[f"{r.tip}_x"], self.place[f"{r.tip}_y"]
+                return bool(np.hypot(recent[-1][x] - recent[0][x], recent[-1][y] - recent[0][y]) > c.deadband)
+        return False

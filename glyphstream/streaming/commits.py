@@ -13,7 +13,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..operators.geometry import MotionConfig
 from ..operators.holds import DebounceConfig, Holds
-from ..operators.recognise import CHANGE, CHANGE_SQL, FRAME, Recogniser, frame_rows
+from ..operators.recognise import CHANGE, CHANGE_SQL, Recogniser, frame_fields, frame_rows
 
 
 def stream_debounce(frames: DataFrame, config: DebounceConfig = DebounceConfig(), delay: str = "2 seconds", idle_ms: int = 60_000) -> DataFrame:
@@ -62,7 +62,7 @@ class _RecogniseProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        came = [x for batch in rows for x in batch[list(FRAME)].values.tolist() if x[0] > mark]
+        came = [x for batch in rows for x in batch[list(frame_fields(self.options[1]))].values.tolist() if x[0] > mark]
         if came:
             self.waiting.appendList([(json.dumps(x),) for x in came])
             self.handle.registerTimer(max(mark + 1, int(min(x[0] for x in came))))
@@ -102,7 +102,7 @@ def stream_recognise(frames: DataFrame, holds: DebounceConfig = DebounceConfig()
     and one machine for each stream_id, given up after idle_ms of silence; it
     needs the RocksDB state store.
     """
-    rows = frame_rows(frames).fillna({"hand": False, "gated": ""})
+    rows = frame_rows(frames, motion).fillna({"hand": False, "gated": ""})
     timed = rows.withColumn("at", F.timestamp_millis(F.col("t_ms").cast("long"))).withWatermark("at", delay)
     return timed.groupBy("stream_id").transformWithStateInPandas(_RecogniseProcessor(holds, motion, tolerance, idle_ms), CHANGE_SQL, "append", "eventTime")
 

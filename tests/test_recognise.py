@@ -2,13 +2,14 @@
 
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from glyphstream.operators import debounce as db
 from glyphstream.operators import decision, geometry, recognise, train
-from glyphstream.operators.geometry import MotionConfig
+from glyphstream.operators.geometry import MotionConfig, MotionRule
 from glyphstream.operators.holds import DebounceConfig
 from glyphstream.operators.motion import SAMPLE, MotionBuffer, stroke_signs
 from glyphstream.operators.text import segment_runs
@@ -78,7 +79,7 @@ def test_reset_and_state():
     m = machine({})
     changes = held(m, "A", 10)
     changes += m.feed(400.0, 10, True, "A", True, *[0.0] * 8)
-    assert text(changes) == "" and m.holds.state["cur"] is None
+    assert text(changes) == "" and m.holds.state["cur"] is None and not m.buffer.held
     # A machine goes on from its saved state.
     whole, first = machine({}), machine({})
     want = held(whole, "B", 2) + held(whole, "B", 4, 2)
@@ -88,6 +89,89 @@ def test_reset_and_state():
     assert got + held(again, "B", 4, 2) == want and text(want) == "B"
 
 
+def test_a_motions_commit_bears_the_last_frame_that_was_fed():
+    m = machine({0: ("Z", 0), 12: ("J", 11)})
+    changes = held(m, "A", 12) + held(m, "A", 1, 12)
+    assert [(op, s, at) for _, op, s, at in changes] == [("commit", "Z", 0), ("commit", "A", 4), ("commit", "J", 11)]
+
+
+def hands(rng, n, fingers):
+    """A stream of hands of size 1 whose shape, place and tip wander."""
+    frames, x, y, dx, dy, shape, t = [], 0.0, 0.0, 0.0, 0.0, "pinky", 0
+    for i in range(n):
+        if rng.random() < 0.06:
+            shape = rng.choice(fingers)
+        if rng.random() < 0.3:
+            dx, dy = rng.uniform(-0.4, 0.4), rng.uniform(-0.2, 0.4)
+        x, y = (x + dx) * 0.95, (y + dy) * 0.95
+        t += rng.choice([33, 33, 33, 40, 900 if rng.random() < 0.1 else 33])
+        points = [(x, y)] * 21
+        points[9] = (x, y - 1.0)
+        for name, (far, near) in geometry.TIPS.items():
+            points[near], points[far] = (x, y - 1.0), (x, y - (1.6 if name in shape.split() else 0.7))
+        frames.append((i, float(t), [(float(a), float(b)) for a, b in points], rng.random() > 0.03 and i % 97 > 8, rng.choice("AAAB") if i // 9 % 2 else rng.choice(["A", ""]), rng.random() < 0.01))
+    return frames
+
+
+SCHEMA = "stream_id string, frame_no long, t_ms double, landmarks array<struct<x:double,y:double>>, hand boolean, gated string, reset boolean"
+LOOSE = MotionConfig(shape_ratio=0.5, j_drop=0.2, j_hook=0.05, z_drop=0.1, z_travel=0.2, z_stroke=0.1)
+
+
+def one_by_one(spark, frames, config):
+    """The changes of the machine, and the fires of its buffer, frame by frame."""
+    changes, fires, last, m = [], [], None, None
+    fields = recognise.frame_fields(config)
+    for r in recognise.frame_rows(frames, config).orderBy("stream_id", "t_ms", "frame_no").collect():
+        if r.stream_id != last:
+            last, m = r.stream_id, recognise.Recogniser(DebounceConfig(), config)
+            add = m.buffer.add
+            m.buffer.add = lambda sample, add=add: fires.append((last, *fire, sample[1])) or fire if (fire := add(sample)) else None
+        changes += [(last, *c) for c in m.feed(*(r[f] for f in fields))]
+    return sorted(map(str, changes)), sorted(fires)
+
+
+@pytest.mark.parametrize("block_ms", [700, 60_000])
+def test_chained_operators_equal_the_machine(spark, monkeypatch, block_ms):
+    monkeypatch.setattr(decision, "BLOCK_MS", block_ms)
+    rng = random.Random(block_ms)
+    rows = [(f"s{k}", *f) for k in range(12) for f in hands(rng, 500, ["pinky", "index", "index middle"])]
+    frames = spark.createDataFrame(rows, SCHEMA)
+    want, fired = one_by_one(spark, frames, LOOSE)
+    got = recognise.recognise(frames, motion=LOOSE).select("stream_id", "frame_no", "op", "symbol", "at_frame").collect()
+    assert sorted(str(tuple(r)) for r in got) == want
+    assert {f[1] for f in fired} == {"J", "Z"} and len(fired) > 40 and sum("retract" in x for x in want) > 5
+    # Only what can fire is read one by one.
+    strict = MotionConfig(j_drop=2.5, z_drop=2.5)
+    chains = decision.motion_segments(frames.filter("hand"), strict)
+    assert chains.count() < len(rows) / 5
+    seen = sorted((r.stream_id, r.symbol, r.start_frame, r.frame_no) for r in decision.motion_fires(frames.filter("hand"), strict).collect())
+    buffer, plain, last = None, [], None
+    for r in recognise.frame_rows(frames.filter("hand"), strict).orderBy("stream_id", "t_ms", "frame_no").collect():
+        if r.stream_id != last:
+            last, buffer = r.stream_id, MotionBuffer(strict)
+        if fire := buffer.add(tuple(r[c] for c in strict.sample)):
+            plain.append((last, *fire, r.frame_no))
+    assert seen == sorted(plain)
+
+
+def test_a_third_sign_is_data(spark):
+    """A sign with another hand shape, followed by another finger, in batch and in the buffer."""
+    wave = MotionRule("N", ("index", "middle"), "middle", travel=0.3, strokes=2, stroke=0.1)
+    config = MotionConfig(shape_ratio=0.5, rules=(*LOOSE.signs, wave))
+    rng = random.Random(8)
+    frames = spark.createDataFrame([(f"s{k}", *f) for k in range(10) for f in hands(rng, 400, ["index middle", "pinky", "index"])], SCHEMA)
+    want, fired = one_by_one(spark, frames, config)
+    assert {"N"} < {f[1] for f in fired}
+    got = recognise.recognise(frames, motion=config).select("stream_id", "frame_no", "op", "symbol", "at_frame").collect()
+    assert sorted(str(tuple(r)) for r in got) == want
+    plain = {(r.stream_id, r.frame_no) for r in geometry.plain_signs(frames, config).filter("is_n").collect()}
+    first = {}
+    for s, n in sorted(plain):
+        first.setdefault(s, n)
+    rows = decision.motion_fires(frames, MotionConfig(shape_ratio=0.5, rules=(wave,))).groupBy("stream_id").agg(F.min("frame_no").alias("n")).collect()
+    assert plain and {r.stream_id: r.n for r in rows} == first
+
+
 def test_equals_the_batch_operators_without_motions(spark):
     never = MotionConfig(min_samples=10**6, shape_ratio=0.125)
     frames = views.frames_emb(spark, SF).withColumn("hand", F.lit(True)).join(queries._gated(spark, SF), "frame_no")
