@@ -116,18 +116,18 @@ def motion_fires(frames: DataFrame, c: MotionConfig = MotionConfig()) -> DataFra
 
 
 def motion_candidates(frames: DataFrame, fires: DataFrame, c: MotionConfig = MotionConfig()) -> DataFrame:
-    """stream_id (text), frame_no, candidate: whether a sign's hand shape is held lately and its tip moves, in a buffer that fires and clears empty.
+    """stream_id (text), frame_no, symbol and start_frame of the motion that fires, if any, and candidate.
 
-    frames has landmarks and ``clear``; rows with clear only empty the buffer.
-    fires has stream_id and frame_no.
+    candidate: whether a sign's hand shape is held lately and its tip moves, in
+    a buffer that fires and clears empty.  frames has landmarks and ``clear``;
+    rows with clear only empty the buffer.  fires: see motion_fires.
     """
     named = F.col("stream_id").cast("string").alias("stream_id")
     marks = samples(frames.filter(~F.col("clear")), signs=c.signs).select(named, *c.sample).withColumn("clear", F.lit(False))
     ends = frames.filter("clear").select(named, "t_ms", "frame_no", "clear")
-    fired = fires.select("stream_id", "frame_no", F.lit(True).alias("fired"))
     order = Window.partitionBy("stream_id").orderBy("t_ms", "frame_no")
-    told = marks.unionByName(ends, allowMissingColumns=True).join(fired, ["stream_id", "frame_no"], "left")
-    empties = F.col("clear") | F.coalesce("fired", F.lit(False))
+    told = marks.unionByName(ends, allowMissingColumns=True).join(fires, ["stream_id", "frame_no"], "left")
+    empties = F.col("clear") | F.col("symbol").isNotNull()
     parted = told.withColumn("part", F.count_if(empties).over(order) - empties.cast("int")).filter(~F.col("clear"))
     near = Window.partitionBy("stream_id", "part").orderBy("t_ms").rangeBetween(-c.lookback_ms, 0)
     n = F.count("*").over(near)
@@ -135,4 +135,4 @@ def motion_candidates(frames: DataFrame, fires: DataFrame, c: MotionConfig = Mot
     for r in reversed(c.signs):
         x, y = (F.col(f"{r.tip}_{a}") - F.first(f"{r.tip}_{a}").over(near) for a in ("x", "y"))
         verdict = F.when(F.count_if(F.col(r.shape)).over(near) >= c.shape_ratio * n, F.sqrt(x * x + y * y) > c.deadband).otherwise(verdict)
-    return parted.select("stream_id", "frame_no", ((n >= 3) & verdict & F.col("fired").isNull()).alias("candidate"))
+    return parted.select("stream_id", "frame_no", "symbol", "start_frame", ((n >= 3) & verdict & F.col("symbol").isNull()).alias("candidate"))

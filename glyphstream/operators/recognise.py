@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import cut_lineage
 from .debounce import debounce_parts, retracted
 from .decision import motion_candidates, motion_fires
 from .geometry import MotionConfig, samples
@@ -100,13 +101,13 @@ def recognise(frames: DataFrame, holds: DebounceConfig = DebounceConfig(), motio
     missed = F.count_if(~stays).over(Window.partitionBy("stream_id", "part").orderBy("t_ms", "frame_no"))
     marked = parted.withColumn("lost", ~stays & (missed >= tolerance)).drop("part")
     seen = marked.filter("hand or lost or reset").withColumn("clear", F.col("lost") | F.col("reset"))
-    fires = motion_fires(seen, motion)
-    judged = motion_candidates(seen, fires, motion).join(fires, ["stream_id", "frame_no"], "left").withColumnRenamed("symbol", "motion")
+    judged = motion_candidates(seen, motion_fires(seen, motion), motion).withColumnRenamed("symbol", "motion")
     decided = marked.drop("landmarks").join(judged, ["stream_id", "frame_no"], "left")
     fed = F.when(F.col("lost"), F.lit("")).when(~F.col("hand") | F.col("reset") | F.col("motion").isNotNull(), F.lit(None)).when(F.col("candidate"), F.lit("")).otherwise(F.col("gated"))
     read = decided.withColumn("symbol", fed)
     at = F.coalesce(F.last(F.when(F.col("symbol").isNotNull(), F.col("frame_no")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = read.withColumn("at_frame", at.cast("long")).withColumn("cut", F.col("reset") | F.col("motion").isNotNull())
+    # Commits, motions and resets all come from these.
+    placed = cut_lineage(read.select("stream_id", "frame_no", "t_ms", "symbol", "motion", "start_frame", "reset", at.cast("long").alias("at_frame"), (F.col("reset") | F.col("motion").isNotNull()).alias("cut")))
     commits = debounce_parts(placed.select("stream_id", "frame_no", "t_ms", "symbol", "cut"), holds).select("stream_id", "symbol", "frame_no")
     moved = placed.filter("motion is not null").select("stream_id", "start_frame", "frame_no", F.col("motion").alias("symbol"), "at_frame")
     change = lambda df, op, symbol, at: df.select("stream_id", "frame_no", F.lit(op).alias("op"), symbol.cast("string").alias("symbol"), at.cast("long").alias("at_frame"))
