@@ -170,3 +170,17 @@ def ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     total = int(n.sum())
     first = np.cumsum(n) - n
     return np.arange(total, dtype=np.int64) - np.repeat(first, n) + np.repeat(np.asarray(lo, np.int64), n)
+
+
+def same_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the size bytes at a equal those at b, eight at a time."""
+    eight = np.ndarray((len(text) - 7,), "<u8", np.ascontiguousarray(text), strides=(1,)) if len(text) > 7 else np.zeros(0, U64)
+    out = np.ones(len(a), bool)
+    for some in np.array_split(np.arange(len(a)), max(1, int(size.sum()) // (16 << 20))):
+        n = -(-size[some] // 8)
+        # The last eight bytes overlap those before them.
+        step = np.minimum(8 * ranges(np.zeros(len(n), np.int64), n), np.repeat(size[some] - 8, n))
+        equal = eight[np.repeat(a[some], n) + step] == eight[np.repeat(b[some], n) + step]
+        if len(equal):
+            out[some] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+    return out

@@ -402,19 +402,29 @@ BYTES = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int6
 BYTES_SQL = "part int, doc_id long, key long, done binary, docs binary, body binary"
 
 
+def _by_kind(c: Contexts, method: Method, hot: np.ndarray) -> Iterator[Contexts]:
+    """The contexts of other than hot anchors, and then, some at a time, the windows of the others, dealt by their own hash."""
+    many = np.isin(c.anchor, hot) if len(hot) else np.zeros(len(c.lo), bool)
+    if not many.all():
+        yield c.take(~many)
+    c = c.take(many)
+    total = np.cumsum(c.n)
+    a = 0
+    while a < len(total):
+        b = max(a + 1, int(np.searchsorted(total, total[a] - c.n[a] + AT_ONCE, side="right")))
+        here = c.take(np.arange(a, b))
+        of, at, size = method.windows(here.text, here.at, here.size, here.n)
+        lo = here.lo[of] + np.arange(len(of)) - (np.cumsum(here.n) - here.n)[of]
+        own = mix(here.anchor[of] ^ span_hashes(here.text, at, size))  # in the anchor's place
+        # Equal windows side by side are one with their number, where places of one document don't count.
+        first, last = runs(of, own) if not method.own else (np.arange(len(of)), np.arange(1, len(of) + 1))
+        yield Contexts(here.docs, here.text, own[first], here.doc[of[first]], lo[first], last - first, at[first], size[first], here.left[of[first]], here.right[of[first]])
+        a = b
+
+
 def _fetched(c: Contexts, method: Method, hot: np.ndarray, parts: int) -> Iterator[dict]:
     """Step 3 for one piece of text: what is still unsettled, with its bytes."""
-    for windows in (False, True):
-        here = c.take(np.isin(c.anchor, hot) == windows) if len(hot) else c if not windows else c.take(np.zeros(0, np.int64))
-        if not len(here.lo):
-            continue
-        if windows:
-            of, at, size = method.windows(here.text, here.at, here.size, here.n)
-            first = np.cumsum(here.n) - here.n
-            lo = here.lo[of] + np.arange(len(of)) - first[of]
-            # Dealt by their own hash: they take the place of the anchor.
-            own = mix(here.anchor[of] ^ span_hashes(here.text, at, size))
-            here = Contexts(here.docs, here.text, own, here.doc[of], lo, np.ones(len(of), np.int64), at, size, here.left[of], here.right[of])
+    for here in _by_kind(c, method, hot):
         settled = method.earlier(here.text, here.at, here.size, _rank(here.docs[here.doc], here.lo, method.own))
         done, here = here.take(settled), here.take(~settled)
         for row in _done(done.docs[done.doc], done.lo, done.n):

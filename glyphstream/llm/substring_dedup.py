@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .kernels import BYTE_CODES, U64, Chunk, chunks, prefix, ranges, runs, span_hash, string_bytes, words
+from .kernels import BYTE_CODES, U64, Chunk, chunks, prefix, ranges, runs, same_bytes, span_hash, string_bytes, words
 from .repeats import MAX_WINDOWS, Contexts, Method, batches, covered_units, covered_windows, doc_records, keyed, span_hashes, whole_copies, with_covered
 
 PERIOD = 13
@@ -84,20 +84,6 @@ def _windows(width: int):
     return of
 
 
-def _same_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether the size bytes at a equal those at b, eight at a time."""
-    eight = np.ndarray((len(text) - 7,), "<u8", np.ascontiguousarray(text), strides=(1,)) if len(text) > 7 else np.zeros(0, U64)
-    out = np.ones(len(a), bool)
-    for some in np.array_split(np.arange(len(a)), max(1, int(size.sum()) // (16 << 20))):
-        n = -(-size[some] // 8)
-        # The last eight bytes overlap those before them.
-        step = np.minimum(8 * ranges(np.zeros(len(n), np.int64), n), np.repeat(size[some] - 8, n))
-        equal = eight[np.repeat(a[some], n) + step] == eight[np.repeat(b[some], n) + step]
-        if len(equal):
-            out[some] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
-    return out
-
-
 def _earlier(text: np.ndarray, at: np.ndarray, size: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Which strings, of at least 8 bytes, some one of a smaller rank equals: those of one hash are compared with the first of them."""
     out = np.zeros(len(at), bool)
@@ -109,7 +95,7 @@ def _earlier(text: np.ndarray, at: np.ndarray, size: np.ndarray, rank: np.ndarra
         first, last = runs(hashes[order])
         to = np.repeat(order[first], last - first)
         equal = size[order] == size[to]
-        equal[equal] = _same_bytes(text, at[order[equal]], at[to[equal]], size[order[equal]])
+        equal[equal] = same_bytes(text, at[order[equal]], at[to[equal]], size[order[equal]])
         out[order] = equal & (rank[order] > rank[to])
         # Strings that only the hash of the first one equals are compared among themselves.
         order = order[~equal]

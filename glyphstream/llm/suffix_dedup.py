@@ -18,14 +18,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .kernels import U64, chunks, mix, ranges, run_mask, runs, string_bytes
+from .kernels import U64, chunks, mix, ranges, run_mask, runs, same_bytes, string_bytes
 from .repeats import MAX_WINDOWS, Contexts, Method, batches, covered_units, covered_windows, doc_records, keyed, span_hashes, whole_copies, with_covered
 
 GRAM = 16
-#: Bytes of text that are cut into contexts at once, but for a longer single text.
-PIECE_BYTES = 2 << 20
+#: Bytes of text that are cut into contexts at once; a longer text is cut piece by piece.
+PIECE_BYTES = 1 << 20
 #: Bytes of suffixes that are put into order at once.
-ORDER_BYTES = 8 << 20
+ORDER_BYTES = 4 << 20
+#: Windows of one context at most.
+CONTEXT_WINDOWS = 4096
 _PLACE = U64((1 << 31) - 1)
 
 
@@ -55,32 +57,45 @@ def _contexts(width: int):
     def of(batch: pa.RecordBatch) -> Iterator[tuple[Contexts, np.ndarray]]:
         docs = doc_records(batch)
         for chunk in chunks(batch.column(batch.schema.get_field_index("text")), PIECE_BYTES):
-            if len(chunk.data) < width:
-                continue
-            grams = _grams(chunk.data)
-            at = _window_minima(grams, per_window)
-            valid = np.flatnonzero(run_mask(chunk.start, np.maximum(chunk.end - width + 1, chunk.start), len(at)))
-            if not len(valid):
-                continue
-            at = at[valid]
-            first, last = runs(at)
-            lo, n, at = valid[first], last - first, at[first]
-            doc = np.searchsorted(chunk.start, lo, side="right") - 1
-            size = n + width - 1
-            # Of a window's other bytes half at least are on one side of its anchor.
-            sides = []
-            for beside, inside in ((at - GRAM, at - GRAM >= lo), (at + GRAM, at + 2 * GRAM <= lo + size)):
-                told = inside & (width >= 3 * GRAM)
-                sides.append(np.where(told, grams[np.where(told, beside, 0)] >> U64(56), U64(0)).astype(np.uint8))
-            yield Contexts(docs[chunk.rows], chunk.data, grams[at], doc, lo - chunk.start[doc], n, lo, size, *sides), chunk.rows
+            # Windows that begin in a piece, and the bytes of the last one.
+            for begin in range(0, max(1, len(chunk.data) - width + 1), PIECE_BYTES):
+                data = chunk.data[begin : begin + PIECE_BYTES + width - 1]
+                if len(data) >= width:
+                    yield from piece(docs[chunk.rows], data, chunk.start - begin, chunk.end - begin, chunk.rows)
+
+    def piece(docs: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, rows: np.ndarray) -> Iterator[tuple[Contexts, np.ndarray]]:
+        grams = _grams(data)
+        at = _window_minima(grams, per_window)
+        valid = np.flatnonzero(run_mask(np.clip(start, 0, len(at)), np.clip(end - width + 1, np.maximum(start, 0), len(at)), len(at)))
+        if not len(valid):
+            return
+        at = at[valid]
+        first, last = runs(at)
+        lo, n, at = valid[first], last - first, at[first]
+        doc = np.searchsorted(start, lo, side="right") - 1
+        size = n + width - 1
+        # Of a window's other bytes half at least are on one side of its anchor.
+        sides = []
+        for beside, inside in ((at - GRAM, at - GRAM >= lo), (at + GRAM, at + 2 * GRAM <= lo + size)):
+            told = inside & (width >= 3 * GRAM)
+            sides.append(np.where(told, grams[np.where(told, beside, 0)] >> U64(56), U64(0)).astype(np.uint8))
+        # In repeated bytes neighbours have one anchor hash and the same beside it: they are one context.
+        first, _ = runs(grams[at], doc, *sides, lo - np.append(0, np.cumsum(n)[:-1]))
+        within = lo - np.repeat(lo[first], np.diff(np.append(first, len(lo))))
+        new = within // CONTEXT_WINDOWS != np.append(-1, within[:-1] // CONTEXT_WINDOWS)
+        new[first] = True
+        first = np.flatnonzero(new)
+        lo, n, at, doc, sides = lo[first], np.add.reduceat(n, first), at[first], doc[first], [x[first] for x in sides]
+        yield Contexts(docs, data, grams[at], doc, lo - start[doc], n, lo, n + width - 1, *sides), rows
 
     return of
 
 
 def _windows(width: int):
     def of(text: np.ndarray, at: np.ndarray, size: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A context of one window's size is that window, n times beside itself."""
         which = np.repeat(np.arange(len(n)), n)
-        return which, ranges(at, n), np.full(len(which), width)
+        return which, at[which] + np.where(size[which] == width, 0, ranges(np.zeros(len(n), np.int64), n)), np.full(len(which), width)
 
     return of
 
@@ -139,14 +154,20 @@ def previous_factors(text: np.ndarray, at: np.ndarray, size: np.ndarray, rank: n
 def _earlier(text: np.ndarray, at: np.ndarray, size: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Which strings some one of a smaller rank equals.
 
-    A string whose hash no other has cannot be one; the others are taken some
-    megabytes at a time, equal hashes together.
+    Equal strings of one rank are the same case and enter the order once.  A
+    string whose hash no other has cannot be equal to one; the others are taken
+    some megabytes at a time, equal hashes together.
     """
     out = np.zeros(len(at), bool)
     if len(at) < 2:
         return out
     hashes = span_hashes(text, at, size)
-    order = np.argsort(hashes, kind="stable")
+    order = np.lexsort((rank, hashes))
+    first, last = runs(hashes[order], rank[order])
+    to = np.repeat(order[first], last - first)
+    alike = (order != to) & (size[order] == size[to])
+    alike[alike] = same_bytes(text, at[order[alike]], at[to[alike]], size[order[alike]])
+    same, to, order = order[alike], to[alike], order[~alike]
     first, last = runs(hashes[order])
     twice = last - first > 1
     first, last = first[twice], last[twice]
@@ -155,11 +176,28 @@ def _earlier(text: np.ndarray, at: np.ndarray, size: np.ndarray, rank: np.ndarra
     while a < len(first):
         b = max(a + 1, int(np.searchsorted(total[last], total[first[a]] + ORDER_BYTES, side="right")))
         pick = order[ranges(first[a:b], last[a:b] - first[a:b])]
-        out[pick] = previous_factors(text, at[pick], size[pick], rank[pick], int(size[pick].min())) >= size[pick]
+        for part in _parts(text, at, size, pick):
+            out[part] |= previous_factors(text, at[part], size[part], rank[part], int(size[part].min())) >= size[part]
         a = b
+    out[same] = out[to]
     return out
 
 
+def _parts(text: np.ndarray, at: np.ndarray, size: np.ndarray, pick: np.ndarray) -> Iterator[np.ndarray]:
+    """pick as it is, or, if its strings are too many for one order, in parts that all hold the first of those that it equals."""
+    while len(pick):
+        if int(size[pick].sum()) <= 2 * ORDER_BYTES:
+            yield pick
+            return
+        equal = size[pick] == size[pick[0]]
+        equal[equal] = same_bytes(text, at[pick[equal]], np.full(int(equal.sum()), at[pick[0]]), size[pick[equal]])
+        rest = pick[equal][1:]
+        step = max(1, ORDER_BYTES // int(size[pick[0]]))
+        for k in range(0, len(rest), step):
+            yield np.append(pick[0], rest[k : k + step])
+        pick = pick[~equal]
+
+
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
@@ -174,7 +212,9 @@ def suffix_array_dedup(docs: DataFrame, width: int = 50, with_kept: bool = True)
     is returned whole and is nobody's earlier copy.  Rows that repeat a doc_id
     do not remove each other's bytes and each gets its own result row.  Texts
     shorter than width keep all bytes.  Other columns of docs are left out.
-    One task holds a text, with some 100 bytes for each of its bytes.
+    One task holds a text; beside it, some 100 bytes for each byte of a
+    megabyte of text, and for each context of 12 MB of texts, which hold up to
+    CONTEXT_WINDOWS windows where bytes repeat.
     """
     if not GRAM < width < MAX_WINDOWS:
         raise ValueError(f"width must be over {GRAM} and below {MAX_WINDOWS}")

@@ -1,9 +1,13 @@
 import hashlib
 import random
 import re
+import time
+import tracemalloc
 
 import numpy as np
-from glyphstream.llm import repeats
+import pyarrow as pa
+
+from glyphstream.llm import repeats, suffix_dedup
 from glyphstream.llm.substring_dedup import substring_dedup
 from glyphstream.llm.suffix_dedup import previous_factors, suffix_array_dedup
 
@@ -151,3 +155,36 @@ def test_very_long_text(spark):
     n = len(rows[1][1].split())
     got = {r.doc_id: r for r in substring_dedup(frame(spark, rows)).collect()}
     assert got[1].n_removed == 0 and n - 3 <= got[2].n_removed <= n - 1
+
+
+def test_runs_of_one_byte_and_short_periods_against_brute_force(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = []
+    for i in range(40):
+        text = "".join(rng.choice(["a", "ab", "xyz", "0123456789", " ", "\x00"]) * rng.choice([1, 30, 130, 400]) + rng.choice(["", "q", f"end {rng.random()} of it"]) for _ in range(3))
+        rows.append((i * 7 % 40, text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lambda: sorted(tuple(r) for r in suffix_array_dedup(docs, with_kept=False).collect())
+    want = brute_bytes(rows)
+    assert got() == want
+    # The same in pieces of a text, in small contexts and orders, and dealt window by window.
+    for name, value in {"PIECE_BYTES": 70, "CONTEXT_WINDOWS": 9, "ORDER_BYTES": 300}.items():
+        monkeypatch.setattr(suffix_dedup, name, value)
+    monkeypatch.setattr(repeats, "HOT_CONTEXTS", 2)
+    monkeypatch.setattr(repeats, "AT_ONCE", 100)
+    assert got() == want
+
+
+def test_memory_of_runs_of_one_byte():
+    """Two texts of 3 MB of one letter: what a task holds for them, beside them, and how long it takes."""
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "key": [1, 2], "text": ["a" * 3_000_000, "a" * 2_900_000]})
+    tracemalloc.start()
+    began = time.time()
+    method = repeats.Method(suffix_dedup._contexts(50), suffix_dedup._windows(50), suffix_dedup._earlier, own=False)
+    found = [c for c in repeats.gathered(c for c, _ in method.contexts(batch))]
+    rows = [row for c in found for row in repeats._sent(c, method, 4)]
+    hot = np.unique(np.concatenate([c.anchor for c in found]))
+    dealt = [row for c in found for row in repeats._fetched(c, method, hot, 4)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows and dealt and peak < 500e6 and time.time() - began < 10 and sum(len(c.lo) for c in found) < 5000
