@@ -532,19 +532,19 @@ def accuracy_by_take(spark, sf_dir):
 
 @query()
 def train_and_score(spark, sf_dir):
-    return tr.leave_one_out(_features(spark, sf_dir).select("person", "label", "features"), 42, hidden=(32,), max_iter=20)
+    return tr.leave_one_out(_features(spark, sf_dir).select("person", "label", "features"), 42)
 
 
 @query()
 def seed_sweep(spark, sf_dir):
-    return tr.seed_sweep(_features(spark, sf_dir).select("person", "label", "features"), 42, (42, 43), hidden=(32,), max_iter=20)
+    return tr.seed_sweep(_features(spark, sf_dir).select("person", "label", "features"), 42, (42, 43))
 
 
 @query()
 def learning_curve(spark, sf_dir):
-    return tr.learning_curve(_features(spark, sf_dir).select("person", "label", "features"), 42, hidden=(32,), max_iter=20)
+    return tr.learning_curve(_features(spark, sf_dir).select("person", "label", "features"), 42)
 
 
 @query()
 def ablation(spark, sf_dir):
-    return tr.ablation(_features(spark, sf_dir).select("person", "label", "features"), 42, hidden=(32,), max_iter=20)
+    return tr.ablation(_features(spark, sf_dir).select("person", "label", "features"), 42)

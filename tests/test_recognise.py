@@ -4,6 +4,7 @@ import json
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,6 +239,41 @@ def test_segmentation(spark):
     assert got == {"helloworld": "hello world", "ahello": "a hello", "xyz": "xyz", "": ""}
 
 
+def test_a_fit_stops_early(spark):
+    """Labels that features cannot tell: the held-out loss soon stops falling.  Labels that they tell are learnt for longer."""
+    rng = random.Random(2)
+    noise = [(rng.choice("AB"), [rng.random(), rng.random()]) for _ in range(400)]
+    told = [(l, [float(l == "A") + rng.random() * 0.2, rng.random()]) for l in "AB" for _ in range(200)]
+    frames = [spark.createDataFrame(x, "label string, features array<double>") for x in (noise, told)]
+    (_, short), (model, long) = (train.train_history(f, 2, hidden=(8,), max_iter=150, patience=10) for f in frames)
+    assert len(short) < len(long) <= 15 and short[-1] >= min(short[:-1])
+    assert train.score(model, frames[1]).filter("pred = label").count() == 400
+    fewer = train.train_history(frames[1].limit(3), 2, hidden=(2,), max_iter=5, validation=0.0)
+    assert fewer[1] == []
+
+
+def test_network_gradients_and_waiting():
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(300, 3)), rng.integers(0, 2, 300)
+    low, scale, *weights = train.fit_network(x, y, 2, (4,), 500, 7, 0.1, 5)
+    assert [w.shape for w in weights] == [(3, 4), (4,), (4, 2), (2,)]
+    again = train.fit_network(x, y, 2, (4,), 500, 7, 0.1, 5)
+    assert all((a == b).all() for a, b in zip([low, scale, *weights], again))
+    clear = train.fit_network(x, (x[:, 0] > 0).astype(int), 2, (4,), 500, 7, 0.1, 15)
+    pred = train.forward(clear[2:], (x - clear[0]) / clear[1])[-1].argmax(axis=1)
+    assert (pred == (x[:, 0] > 0)).mean() > 0.97
+
+
+def test_fits_of_many_waves_are_one_grid(spark, monkeypatch):
+    rows = [(p, l, [float(l == "A") + 0.01 * i, float(l == "B")]) for p in ("p", "q", "unknown") for l in "AB" for i in range(6)]
+    frame = spark.createDataFrame(rows, "person string, label string, features array<double>")
+    want = sorted(map(tuple, train.leave_one_out(frame, 2, hidden=(4,)).collect()))
+    monkeypatch.setattr(train, "MAX_FITS", 1)
+    assert sorted(map(tuple, train.leave_one_out(frame, 2, hidden=(4,)).collect())) == want == [("p", 12, 1.0), ("q", 12, 1.0)]
+    plan = [(0, "p", 1, ["nobody"], 1.0, None), (1, "q", 1, None, 1.0, None)]
+    assert [r.fit for r in train.grid(frame, 2, plan, hidden=(4,)).collect()] == [1]
+
+
 def test_sweep_curve_ablation_and_saved_labels(spark, tmp_path):
     rows = [(p, l, [float(l == "A") + 0.01 * i, float(l == "B")]) for p in ("p", "q", "r") for l in "AB" for i in range(6)]
     frame = spark.createDataFrame(rows, "person string, label string, features array<double>")
