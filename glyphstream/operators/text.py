@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +56,55 @@ def spell_candidates(misspelt: DataFrame, vocab: DataFrame) -> DataFrame:
 
 #: Thousandths of a decimal digit that a letter of an unknown word costs.
 LETTER = 1000
+#: Letters of a run whose parts are cut out at once.
+PIECE = 256
+
+
+def cheapest_split(size: int, known: dict[int, int], unknown: int, longest: int) -> list[int]:
+    """Where the words of the cheapest split of a run of size letters end.
+
+    known: the costs of words of the vocabulary by start * (longest + 1) +
+    length.  Of equally cheap splits with as many words the one whose words
+    end earlier first comes before others.  Each place keeps where its last
+    word begins, and a jump some words further back; with these two places with
+    as many words find the word in which they differ in few steps.
+    """
+    cost, words, back, jump = [0] * (size + 1), [0] * (size + 1), [0] * (size + 1), [0] * (size + 1)
+
+    def before(a: int, b: int) -> bool:
+        while back[a] != back[b]:
+            a, b = (jump[a], jump[b]) if jump[a] != jump[b] else (back[a], back[b])
+        return a < b
+
+    for end in range(1, size + 1):
+        least = None
+        for n in range(1, min(end, longest) + 1):
+            start = end - n
+            price = known.get(start * (longest + 1) + n)
+            here = (cost[start] + (unknown + LETTER * (n - 1) if price is None else price), words[start] + 1)
+            if least is None or here < least or (here == least and before(start, back[end])):
+                least, back[end] = here, start
+        cost[end], words[end] = least
+        up = back[end]
+        jump[end] = jump[jump[up]] if words[up] - words[jump[up]] == words[jump[up]] - words[jump[jump[up]]] else up
+    ends = []
+    while size:
+        ends.append(size)
+        size = back[size]
+    return ends[::-1]
+
+
+def _split(longest: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def task(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in it:
+            texts = []
+            for run, places, costs, unknown in zip(batch["run"], batch["places"], batch["costs"], batch["unknown"], strict=True):
+                known = dict(zip(places.tolist(), costs.tolist(), strict=True)) if places is not None else {}
+                ends = cheapest_split(len(run), known, unknown, longest)
+                texts.append(" ".join(run[a:b] for a, b in zip([0, *ends], ends)))
+            yield pd.DataFrame({"run": batch["run"], "text": texts})
+
+    return task
 
 
 def segment_runs(letters: DataFrame, vocab: DataFrame, longest: int = 20) -> DataFrame:
@@ -61,20 +113,42 @@ def segment_runs(letters: DataFrame, vocab: DataFrame, longest: int = 20) -> Dat
     A word costs the digits of total / count, an unknown one those of total and
     a digit for each letter after its first; the cheapest split wins, then the one with
     fewer words, then the first in order.  Only the parts of distinct runs, up
-    to ``longest`` letters, meet the vocabulary, by an equi join.  Null and
-    empty runs give ''.
+    to ``longest`` letters, meet the vocabulary, by an equi join, and travel with a
+    digest of their run; the split takes time in proportion to a run's length.
+    Null and empty runs give ''.
     """
     cost = lambda digits: F.round(digits * LETTER).cast("long")
     total = vocab.agg(F.coalesce(F.sum("cnt"), F.lit(1)).alias("total"))
-    runs_ = letters.select(F.coalesce("run", F.lit("")).alias("run")).distinct()
-    start = runs_.filter("run <> ''").select("run", F.explode(F.sequence(F.lit(0), F.length("run") - 1)).alias("start"))
-    size = start.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("run") - F.col("start")))).alias("size"))
-    parts = size.select("run", (F.col("start") * (longest + 1) + F.col("size")).alias("part"), F.substring("run", F.col("start") + 1, F.col("size")).alias("term"))
+    distinct = letters.select(F.coalesce("run", F.lit("")).alias("run")).distinct()
+    runs_ = distinct.filter("run <> ''").withColumn("id", F.md5("run"))
+    piece = runs_.select("id", F.explode(F.expr(f"transform(sequence(0, length(run) - 1, {PIECE}), o -> struct(o as at, substring(run, o + 1, {PIECE + longest - 1}) as piece))")).alias("p")).select("id", "p.at", "p.piece")
+    start = piece.select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(PIECE), F.length("piece")) - 1)).alias("start"))
+    size = start.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("piece") - F.col("start")))).alias("size"))
+    place = (F.col("at") + F.col("start")).cast("long") * (longest + 1) + F.col("size")
+    parts = size.select("id", place.alias("place"), F.substring("piece", F.col("start") + 1, F.col("size")).alias("term"))
     priced = vocab.crossJoin(F.broadcast(total)).select("term", cost(F.log10(F.col("total")) - F.log10("cnt")).alias("cost"))  # total: one row
-    known = parts.join(priced, "term").groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("part", "cost"))).alias("known"))
-    ready = runs_.join(known, "run", "left").crossJoin(F.broadcast(total)).withColumn("unknown", cost(F.log10("total")))
-    way = f"""named_struct('c', a[e - n].c + coalesce(known[(e - n) * {longest + 1} + n], unknown + {LETTER} * (n - 1)),
-        'k', a[e - n].k + 1, 't', concat(a[e - n].t, if(e = n, '', ' '), substring(run, e - n + 1, n)))"""
-    fold = f"""aggregate(sequence(1, length(run)), array(named_struct('c', 0L, 'k', 0, 't', '')),
-        (a, e) -> array_append(a, array_min(transform(sequence(1, least(e, {longest})), n -> {way}))), a -> element_at(a, -1).t)"""
-    return ready.select("run", F.when(F.col("run") == "", "").otherwise(F.expr(fold)).alias("text"))
+    known = parts.join(priced, "term").groupBy("id").agg(F.collect_list(F.struct("place", "cost")).alias("known"))
+    ready = runs_.join(known, "id", "left").crossJoin(F.broadcast(total)).select("run", F.col("known.place").alias("places"), F.col("known.cost").alias("costs"), cost(F.log10("total")).alias("unknown"))
+    split = ready.mapInPandas(_split(longest), "run string, text string")
+    return split.unionByName(distinct.filter("run = ''").withColumn("text", F.lit("")))
+
+
+def correct_sequence(tokens: DataFrame, phrases: DataFrame, vocab: DataFrame, longest: int = 20) -> DataFrame:
+    """stream_id, text: runs of letters as words of the vocabulary, word signs by their phrases, joined by spaces.
+
+    tokens has stream_id, pos and label; a label of several characters is a
+    word sign and ends a run of letters.  Runs are lower-cased before they are
+    split.  Empty and null labels are left out; a phrase that is not known is
+    the label itself.  Each distinct run is split once, however often it occurs.
+    """
+    w = Window.partitionBy("stream_id").orderBy("pos")
+    word = F.length("label") > 1
+    new = word | F.coalesce(F.lag(word).over(w), F.lit(True))
+    placed = tokens.filter("label <> ''").withColumn("word", word).withColumn("piece", F.sum(new.cast("int")).over(w))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda x: x["label"]), "")
+    pieces = placed.groupBy("stream_id", "piece", "word").agg(joined.alias("label")).withColumn("run", F.when(~F.col("word"), F.lower("label")))
+    split = segment_runs(pieces.filter("run is not null").select("run"), vocab, longest)
+    named = pieces.join(split, "run", "left").join(phrases, "label", "left")
+    text = F.when(F.col("word"), F.coalesce("phrase", "label")).otherwise(F.col("text"))
+    told = named.select("stream_id", "piece", text.alias("s"))
+    return told.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "s"))), lambda x: x["s"]), " ").alias("text"))

@@ -419,7 +419,8 @@ def spell_candidates(spark, sf_dir):
 _WORDS = "v as (select term, count(*) as cnt from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as term from documents) group by term), total as (select sum(cnt) as total from v)"
 
 
-@query("+ t0 as (select stream_id, pos, label, case when length(label) > 1 then 1 else 0 end as word from tokens_ev), t1 as (select *, sum(word) over (partition by stream_id order by pos) as piece from t0), letters as (select distinct string_agg(lower(label), '' order by pos) as run from t1 where word = 0 group by stream_id, piece), " + _WORDS + """,
+_SPLIT = (
+    "+ t0 as (select stream_id, pos, label, case when length(label) > 1 then 1 else 0 end as word from tokens_ev), t1 as (select *, sum(word) over (partition by stream_id order by pos) as piece from t0), letters as (select distinct string_agg(lower(label), '' order by pos) as run from t1 where word = 0 group by stream_id, piece), " + _WORDS + """,
 known as (select run, map(list(start * 21 + size), list(round((log10(total) - log10(cnt)) * 1000)::bigint)) as known from (select run, start, size, substr(run, (start + 1)::int, size::int) as term from (select run, start, unnest(range(1, least(20, length(run) - start) + 1)) as size from (select run, unnest(range(length(run))) as start from letters))) join v using (term), total group by run),
 b(run, e, a) as (
   select run, 0::bigint, [{'c': 0::bigint, 'k': 0::bigint, 't': ''}] from letters
@@ -427,8 +428,11 @@ b(run, e, a) as (
   select run, e + 1, list_append(a, list_sort(list_transform(range(1, least(e + 1, 20) + 1), lambda n: {
     'c': a[e + 2 - n].c + coalesce(known[(e + 1 - n) * 21 + n], (round(log10(total) * 1000))::bigint + 1000 * (n - 1)),
     'k': a[e + 2 - n].k + 1, 't': a[e + 2 - n].t || case when e + 1 = n then '' else ' ' end || substr(run, (e + 2 - n)::int, n::int)}))[1])
-  from b left join known using (run), total where e < length(run))
-select run, a[-1].t as text from b where e = length(run)""", "tokens_ev", recursive=True)
+  from b left join known using (run), total where e < length(run))"""
+)
+
+
+@query(_SPLIT + " select run, a[-1].t as text from b where e = length(run)", "tokens_ev", recursive=True)
 def segment_runs(spark, sf_dir):
     tokens = views.tokens_ev(spark, sf_dir)
     w = Window.partitionBy("stream_id").orderBy("pos")
@@ -439,6 +443,16 @@ def segment_runs(spark, sf_dir):
     return tx.segment_runs(letters, vocab)
 
 
+_PHRASED = "case label " + " ".join(f"when '{k}' then '{v}'" for k, v in tx.PHRASES.items()) + " else label end"
+
+
+@query(_SPLIT + f", p as (select stream_id, min(pos) as place, string_agg(lower(label), '' order by pos) as run from t1 where word = 0 group by stream_id, piece), s as (select stream_id, place, a[-1].t as s from p join b on b.run = p.run and e = length(p.run) union all select stream_id, pos, {_PHRASED} from t1 where word = 1) select stream_id, string_agg(s, ' ' order by place) as text from s group by stream_id", "tokens_ev", recursive=True)
+def correct_sequence(spark, sf_dir):
+    phrases = spark.createDataFrame(list(tx.PHRASES.items()), "label string, phrase string")
+    vocab = tx.vocabulary(views.table(spark, sf_dir, "documents"), _boosts(spark).filter("false"))
+    return tx.correct_sequence(views.tokens_ev(spark, sf_dir), phrases, vocab)
+
+
 # --- spread, gates, decisions, training ---
 
 
