@@ -15,7 +15,7 @@ from glyphstream.operators.holds import DebounceConfig
 from glyphstream.operators.motion import SAMPLE, MotionBuffer, stroke_signs
 from glyphstream.operators.text import segment_runs
 from glyphstream.plans import queries, views
-from glyphstream.streaming.commits import stream_recognise
+from glyphstream.streaming.commits import settle, stream_recognise
 
 SF = "/root/testdata/sf0.01"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -131,6 +131,22 @@ def one_by_one(spark, frames, config):
     return sorted(map(str, changes)), sorted(fires)
 
 
+def test_settled_changes_are_the_commits_that_stand(spark):
+    rng = random.Random(9)
+    frames = spark.createDataFrame([("s", *f[:5], False) for f in hands(rng, 1500, ["pinky", "index"])], SCHEMA)
+    m, out, held, log = recognise.Recogniser(DebounceConfig(), LOOSE), [], [], []
+    fields = recognise.frame_fields(LOOSE)
+    for r in recognise.frame_rows(frames, LOOSE).orderBy("t_ms", "frame_no").collect():
+        changes = m.feed(*(r[f] for f in fields))
+        log += [("s", *c) for c in changes]
+        final, held = settle(changes, held, r.t_ms, LOOSE.window_ms)
+        out += final
+    out += [c for _, c in held]
+    want = recognise.standing(spark.createDataFrame(log, recognise.CHANGE_SQL)).collect()
+    assert {c[1] for c in out} == {"commit"} and sum(c[2] == "retract" for c in log) > 3
+    assert sorted((c[2], c[3]) for c in out) == sorted((r.symbol, r.frame_no) for r in want)
+
+
 @pytest.mark.parametrize("block_ms", [700, 60_000])
 def test_chained_operators_equal_the_machine(spark, monkeypatch, block_ms):
     monkeypatch.setattr(decision, "BLOCK_MS", block_ms)

@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from glyphstream.operators import debounce as db
 from glyphstream.operators import decision, geometry, train
 from glyphstream.plans import views
 from glyphstream.sources import landmarks
-from glyphstream.streaming.commits import running_accuracy, stream_debounce
+from glyphstream.streaming.commits import running_accuracy, settle, stream_debounce
 
 SF = "/root/testdata/sf0.01"
 
@@ -101,8 +102,54 @@ def test_stream_equals_batch(spark, tmp_path):
         (folder / f"{k}.json").write_text("\n".join(map(json.dumps, part)))
         os.utime(folder / f"{k}.json", (1_000_000 + k, 1_000_000 + k))  # files are read in the order of their times
     frames = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
-    got = {(r.stream_id, r.symbol, r.frame_no) for r in drain(stream_debounce(frames), "append", "commits")}
-    assert batch and got == batch
+    out = drain(stream_debounce(frames, idle_ms=None), "append", "commits")
+    got = {(r.stream_id, r.symbol, r.frame_no) for r in out}
+    assert batch and got == batch and {r.op for r in out} == {"commit"}
+
+
+def test_late_readings_are_given_out(spark, tmp_path):
+    """A stream's own mark decides, whatever other streams do; what is late is not fed."""
+    read = lambda s, first, last, x: [{"stream_id": s, "frame_no": i, "t_ms": i * 100.0, "symbol": x} for i in range(first, last)]
+    parts = [read("a", 0, 50, "A") + read("b", 0, 5, "B"), read("a", 20, 25, "Z") + read("a", 50, 60, "A") + read("b", 5, 10, "B"), read("a", 29, 31, "Y") + read("a", 39, 41, "Y") + read("b", 2000, 2001, ""), read("a", 2000, 2001, "")]
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k, part in enumerate(parts):
+        (folder / f"{k}.json").write_text("\n".join(map(json.dumps, part)))
+        os.utime(folder / f"{k}.json", (1_000_000 + k, 1_000_000 + k))
+    frames = spark.readStream.schema("stream_id string, frame_no long, t_ms double, symbol string").option("maxFilesPerTrigger", 1).json(str(folder))
+    out = drain(stream_debounce(frames, idle_ms=None), "append", "late")
+    late = sorted((r.stream_id, r.symbol, r.frame_no) for r in out if r.op == "late")
+    # After the first file the mark of a is at 2900, after the second at 3900.
+    assert late == sorted([("a", "Z", i) for i in range(20, 25)] + [("a", "Y", 29), ("a", "Y", 30)])
+    fed = [r for p in parts for r in p if (r["stream_id"], r["symbol"], r["frame_no"]) not in late and r["frame_no"] < 2000]
+    want = db.debounce(spark.createDataFrame(fed, "stream_id string, frame_no long, t_ms double, symbol string"))
+    assert sorted((r.stream_id, r.symbol, r.frame_no) for r in out if r.op == "commit") == sorted((r.stream_id, r.symbol, r.frame_no) for r in want.collect())
+
+
+def test_a_silent_stream_feeds_what_waits(spark, tmp_path):
+    rows = [{"stream_id": "a", "frame_no": i, "t_ms": i * 33.0, "symbol": "A"} for i in range(10)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.json").write_text("\n".join(map(json.dumps, rows)))
+    frames = spark.readStream.schema("stream_id string, frame_no long, t_ms double, symbol string").json(str(tmp_path / "in"))
+    query = stream_debounce(frames, idle_ms=1500).writeStream.format("memory").queryName("silent").outputMode("append").start()
+    try:
+        end = time.time() + 90
+        while time.time() < end and not spark.table("silent").count():
+            time.sleep(1)
+        assert [(r.op, r.symbol, r.frame_no) for r in spark.table("silent").collect()] == [("commit", "A", 4)]
+    finally:
+        query.stop()
+
+
+def test_settled_commits_are_those_that_stand():
+    log = [(1, 0.0, [("commit", "A", 1)]), (2, 300.0, [("commit", "I", 2)]), (3, 500.0, [("retract", "I", 2), ("commit", "J", 2)]), (4, 900.0, []), (5, 1000.0, [("commit", "J", 5)]), (6, 1100.0, [("reset", None, None)]), (7, 1800.0, [("commit", "B", 7)])]
+    out, held = [], []
+    for frame, t, changes in log:
+        final, held = settle([(frame, *c) for c in changes], held, t, 650)
+        out.append([tuple(f[1:]) for f in final])
+    # J of 500 ms is still held at the reset of 1100 ms, and goes with it.
+    assert out == [[], [], [], [("commit", "A", 1)], [], [("reset", None, None)], []]
+    assert [c[2] for _, c in held] == ["B"]
 
 
 def test_running_accuracy(spark, tmp_path):
