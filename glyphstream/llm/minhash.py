@@ -163,15 +163,17 @@ def minhash_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80) ->
     sets = materialize(filled.join(classes.withColumnRenamed("node", "doc_id"), [*same, "doc_id"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "n_shingles", "signature"), "sets")
     postings = _prefixes(sets)
     # Each member meets the most central member of each of its postings; the partner that agrees most is confirmed.
-    central = F.max_by("node", F.struct("weight", F.negative("node")))
-    heads = materialize(postings.groupBy("token").agg(central.alias("a"), F.count("*").alias("size")).filter("size > 1"), "heads")
-    stars = postings.join(heads, "token").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
+    central = F.max_by(F.struct("node", "n_shingles"), F.struct("weight", F.negative("node")))
+    heads = materialize(postings.groupBy("token").agg(central.alias("head"), F.count("*").alias("size")).filter("size > 1").select("token", F.col("head.node").alias("a"), F.col("head.n_shingles").alias("na")), "heads")
+    # Sets whose sizes are too far apart for a link need no signatures.
+    alike = F.lit(100) * F.least("na", "n_shingles") >= F.lit(percent) * F.greatest("na", "n_shingles")
+    stars = postings.join(heads, "token").filter((F.col("a") != F.col("node")) & alike).select("a", F.col("node").alias("b")).distinct()
     near = _agreeing(stars, sets, percent)
     best = materialize(near.groupBy("b").agg(F.max(F.struct("agree", F.negative("a").alias("a"))).alias("best")).select(F.negative("best.a").alias("a"), "b"), "best")
     links = materialize(_linked(best, texts, shingle_words, percent), "links")
     # Then members of other components than that of their posting's head meet all members of other components.
     label = components(links)
-    labelled = materialize(postings.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
+    labelled = materialize(postings.drop("n_shingles").join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
     main = F.max_by("component", F.struct("weight", F.negative("node")))
     mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), main.alias("main"), F.count("*").alias("size")).filter("lo < hi").select("token", "main", "size")
     more = _met(labelled.join(materialize(mixed, "mixed"), "token"), sets, texts, shingle_words, percent)
@@ -185,7 +187,7 @@ def minhash_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80) ->
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
-    """token, node, weight and rarer: each node's rarest tokens, as far as an agreeing pair must share one of them.
+    """token, node, weight, n_shingles and rarer: each node's rarest tokens, as far as an agreeing pair must share one of them.
 
     The weight counts how often the node's tokens are shared; bits of rarer
     tell the coordinates of the node's tokens that come before this one.
@@ -206,9 +208,10 @@ def _prefixes(sets: DataFrame) -> DataFrame:
     shared = posted.join(counts, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("tokens"), F.sum("n").alias("weight"))
     # The places before the shared tokens are taken by N_COORDINATES - size(tokens) tokens of one node.
     take = F.lit(N_COORDINATES - MIN_AGREEMENTS + 1) - (F.lit(N_COORDINATES) - F.size("tokens"))
-    rarest = shared.filter(take > 0).select("node", "weight", F.slice("tokens", F.lit(1), take).alias("tokens")).select("node", "weight", "tokens", F.posexplode("tokens").alias("pos", "t"))
+    sized = shared.filter(take > 0).join(sets.select("node", "n_shingles"), "node")
+    rarest = sized.select("node", "weight", "n_shingles", F.slice("tokens", F.lit(1), take).alias("tokens")).select("node", "weight", "n_shingles", "tokens", F.posexplode("tokens").alias("pos", "t"))
     rarer = F.expr("aggregate(slice(tokens, 1, pos), 0L, (a, x) -> a | shiftleft(1L, cast(shiftright(x.token, 32) as int)))")
-    return materialize(rarest.select("t.token", "node", "weight", rarer.alias("rarer")), "postings")
+    return materialize(rarest.select("t.token", "node", "weight", "n_shingles", rarer.alias("rarer")), "postings")
 
 
 def _agreeing(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
