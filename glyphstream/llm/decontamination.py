@@ -28,6 +28,8 @@ from .shared import by_place, materialize, place_of
 BLOCK_BYTES = 1 << 20
 #: Bytes of automata that tasks hold at once; with more, documents stream through several times.
 HELD_BYTES = 128 << 20
+#: Words of a run that are walked at once, besides the overlap with the piece before.
+RUN_TOKENS = 256
 SPAN = np.dtype([("lo", "<u4"), ("hi", "<u4")])
 
 
@@ -151,11 +153,19 @@ class Block:
         return token[ranges(first, size)], np.concatenate([[0], np.cumsum(size)]), maybe[first]
 
     def longest(self, token: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """At each token of the runs, the state of the longest match that ends there, and its length."""
+        """At each token of the runs, the state of a match that ends there, and its length.
+
+        It is the longest match, or in long runs at least as much of it as a window may have.
+        """
         states, lengths = np.zeros(len(token), np.int64), np.zeros(len(token), np.int64)
-        size = np.diff(start)
+        # Long runs are walked in pieces side by side; each begins early enough for any window that ends in it.
+        n_pieces = -(-np.diff(start) // RUN_TOKENS)
+        run = np.repeat(np.arange(len(n_pieces)), n_pieces)
+        own = start[run] + ranges(np.zeros(len(n_pieces), np.int64), n_pieces) * RUN_TOKENS
+        begin = np.maximum(start[run], own - (self.width - 1))
+        size = np.minimum(own + RUN_TOKENS, start[run + 1]) - begin
         order = np.argsort(-size, kind="stable")
-        begin, size = start[:-1][order], size[order]
+        begin, size, own = begin[order], size[order], own[order]
         state, length = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
         for k in range(int(size.max(initial=0))):
             n = int(np.searchsorted(-size, -k, side="left"))  # the longest runs come first
@@ -172,7 +182,9 @@ class Block:
                 going = lost[state[lost] > 0]
                 state[going] = self.link[state[going]]
                 length[going] = self.len[state[going]]
-            states[begin[:n] + k], lengths[begin[:n] + k] = state[:n], length[:n]
+            place = begin[:n] + k
+            mine = place >= own[:n]
+            states[place[mine]], lengths[place[mine]] = state[:n][mine], length[:n][mine]
         return states, lengths
 
     def windows(self, states: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -249,6 +261,17 @@ def _broadcast(docs: DataFrame, bodies: list[bytes]):
     return docs.sparkSession.sparkContext.broadcast(bodies)
 
 
+#: The automata that a worker has read from the last broadcast it used.
+_LOADED: dict[str, list] = {}
+
+
+def _loaded(bodies: list[bytes]) -> list[Block]:
+    """The automata of a broadcast, read once by each worker."""
+    if _LOADED.get("bodies") is not bodies:
+        _LOADED.update(bodies=bodies, blocks=[Block(body) for body in bodies])
+    return _LOADED["blocks"]
+
+
 def _pass(sent, place: int, last: tuple[int, float] | None):
     """Batches through the automata of a pass; the last two columns are the spans and items so far.
 
@@ -256,7 +279,7 @@ def _pass(sent, place: int, last: tuple[int, float] | None):
     """
 
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [Block(body) for body in sent.value]
+        blocks = _loaded(sent.value)
         for batch in it:
             spans, items = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
             n_words = np.zeros(batch.num_rows, np.int64)
@@ -314,7 +337,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, min_sp
     Null or empty texts have no words and are never hit; items without words
     or with a null id never match.  Repeated rows are judged one by one; items
     with one id count as one.  An empty benchmark leaves all documents clean.
-    A text, with some 20 bytes for each of its words, is held by one task.
+    A text, with some 20 bytes for each of its words, is held by one task; runs of
+    words that items know are walked in pieces of RUN_TOKENS.
     """
     plain, back = by_place(docs, [n for n, _ in RESULTS])
     place = place_of(docs, "text")

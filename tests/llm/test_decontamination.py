@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+import time
+
+import numpy as np
 
 import glyphstream.llm.decontamination as m
 
@@ -83,3 +86,24 @@ def test_clashing_columns_and_long_text(spark):
     got = {r.doc_id: r for r in out.collect()}
     assert (got[1].n_words, got[1].n_hit, got[1]["items"], got[1].spans, got[1]["_1"]) == (1_200_012, 12, ["a", "b", "c"], "s", 4)
     assert (got[2].n_words, got[2].cleaned, got[2].contaminated) == (0, None, False)
+
+
+def test_long_runs_are_cut(spark, monkeypatch):
+    """Pieces overlap by a window, so the results do not depend on where runs are cut."""
+    monkeypatch.setattr(m, "RUN_TOKENS", 4)
+    for seed in (7, 8):
+        check(spark, *case(seed))
+    rng = random.Random(9)
+    item = [rng.choice("abc") for _ in range(300)]
+    docs = [(1, " ".join(item)), (2, "a " * 500), (3, " ".join(item[40:90] + item[120:129] + item[200:260]))]
+    check(spark, docs, [(1, " ".join(item)), (2, "a " * 12), (3, "b c a"), (4, "a a")])
+
+
+def test_a_million_equal_words():
+    items = [(str(k), ("a " * (20 + k)).encode()) for k in range(3)]
+    block = m.Block(m.build_block(items, 10))
+    codes = m.word_codes(*next((c, *m.words(c, m.ALNUM)[:2]) for c in m.chunks(m.pa.array([b"a"], m.pa.large_binary()), 1 << 40)), lower=True)
+    started = time.perf_counter()
+    [(doc, spans, names)] = block.hits(np.repeat(codes, 1_000_000), np.array([0]))
+    assert time.perf_counter() - started < 10
+    assert (doc, names, spans["lo"].min(), spans["hi"].max(), len(spans)) == (0, {"0", "1", "2"}, 0, 1_000_000, 999_991)
