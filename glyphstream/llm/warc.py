@@ -1,7 +1,8 @@
 """WARC archives: writing records through Spark's text writer, and reading them back.
 
-A record's text ends where the writer puts its line separator, which is the
-two line breaks that end a WARC record, so every output file is an archive on
+Each record is a gzip member of its own, so that it can be read by its offset.
+A member ends in its unpacked length, whose highest byte is zero below 16 MB;
+that byte is the writer's line separator, so every output file is an archive on
 any store that Spark can write.  Payloads are sent in chunked transfer framing.
 Long records are split into segments; reading groups a record's segments by
 its identifier, orders them by number and verifies the total length.
@@ -12,8 +13,11 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
+import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +29,10 @@ from .shared import materialize, n_shuffle
 BREAK = b"\r\n"
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
+#: Unpacked bytes of a member, below which its last byte is zero.
+MEMBER_BYTES = 1 << 24
+#: Records of a file; a record has a header and a block of at most SEGMENT_BYTES.
+FILE_RECORDS = 4096
 DATE = b"1970-01-01T00:00:00Z"
 
 
@@ -90,6 +98,14 @@ def records(identifier: str, page_id: int | None, url: str | None, payload: byte
         yield _header(b"continuation", f"{identifier}:segment:{k}", target, len(part), more) + part
 
 
+def members(record: bytes) -> Iterator[bytes]:
+    """A record and its two line breaks as a gzip member; as several if its header alone is longer than MEMBER_BYTES."""
+    data = record + BREAK + BREAK
+    for at in range(0, len(data), MEMBER_BYTES - 1):
+        pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+        yield pack.compress(data[at : at + MEMBER_BYTES - 1]) + pack.flush()
+
+
 def write_warc(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """Write a record for each row of pages (page_id, url, html) to a folder of gzipped archives.
 
@@ -98,8 +114,9 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     smaller payloads are all responses.  Null html is an empty payload, a null
     url has a placeholder.  A null page_id is always a response and never
     referred to.  Rows that repeat a page_id get records of their own.  Other
-    columns are left out.  A file is one gzip member, so archives are read from
-    their start.  A payload is held by one task.
+    columns are left out.  A record is one gzip member; a file has at most
+    FILE_RECORDS of them, and as blocks are segments of SEGMENT_BYTES, at most
+    some 70 MB unpacked.  A payload is held by one task.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1("html"))
@@ -125,13 +142,14 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
                     last = page_id
                     identifier = f"urn:page:{page_id}" + f":{n}" * (n > 0) if page_id is not None else f"urn:page:none:{odd}"
                     for record in records(identifier, page_id, url, html.encode("utf-8", "surrogatepass"), refers_to):
-                        yield {"value": record}
+                        # The writer adds the last byte, a zero.
+                        yield from ({"value": member[:-1]} for member in members(record))
 
         for batch in batches(rows_(), schema):
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string(), safe=False)], names=["value"])
 
     numbered = full.withColumn("odd", F.monotonically_increasing_id())
-    numbered.mapInArrow(task, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", 4096).text(path)
+    numbered.mapInArrow(task, "value string").write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 FIELD = re.compile(rb"([^:\r\n]+): ?([^\r\n]*)\r\n")
@@ -141,17 +159,21 @@ PAGE = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payl
 PAGE_SQL = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
-def parse(data: bytes) -> Iterator[dict]:
-    """The records of an archive."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at) + 2
-        if not data.startswith(b"WARC/", at):
+def parse(archive: bytes | BinaryIO) -> Iterator[dict]:
+    """The records of an archive, one at a time."""
+    file = io.BytesIO(archive) if isinstance(archive, bytes) else archive
+    while first := file.readline():
+        if not first.startswith(b"WARC/"):
             raise ValueError("not a WARC record")
-        fields = {k.decode().lower(): v.decode() for k, v in FIELD.findall(data, data.index(BREAK, at) + 2, end)}
+        lines = []
+        while (line := file.readline()) != BREAK:
+            if not line:
+                raise ValueError("a record is cut off")
+            lines.append(line)
+        fields = {k.decode().lower(): v.decode() for k, v in FIELD.findall(b"".join(lines))}
         n = int(fields["content-length"])
-        block = data[end + 2 : end + 2 + n]
-        if len(block) != n:
+        block = file.read(n)
+        if len(block) != n or file.read(4) != BREAK + BREAK:
             raise ValueError("a record is cut off")
         number = lambda k: int(fields[k]) if fields.get(k) else None
         refers = fields.get("warc-refers-to")
@@ -166,7 +188,6 @@ def parse(data: bytes) -> Iterator[dict]:
             "refers_to": int(refers.strip("<>").split(":")[2]) if refers else None,
             "block": block,
         }
-        at = end + 2 + n + 4
 
 
 def _page(r: dict, block: bytes, with_payload: bool) -> dict:
@@ -187,6 +208,7 @@ def read_warc(files: DataFrame, with_payload: bool = True) -> DataFrame:
     Returns page_id, payload_bytes, payload_digest (base32 SHA-1), record_type,
     refers_to and payload (null for revisits).  A record that is cut off, has
     a missing segment or another total length or digest than stated is an error.
+    A task holds an archive as it is stored and unpacks one record at a time.
     """
 
     def split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +216,7 @@ def read_warc(files: DataFrame, with_payload: bool = True) -> DataFrame:
             for batch in it:
                 for value in batch.column(0):
                     content = value.as_py()
-                    for r in parse(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content):
+                    for r in parse(gzip.GzipFile(fileobj=io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else content):
                         if r["no"] is None:
                             # A whole record is a page at once; only segments carry their blocks on.
                             page = _page(r, r["block"], with_payload)

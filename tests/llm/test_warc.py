@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import zlib
 
 import pytest
 from glyphstream.llm import warc
@@ -50,6 +51,33 @@ def test_small_payloads_and_empty_tables(spark, tmp_path):
     assert read_warc(written(spark, tmp_path / "none", [])).count() == 0
 
 
+def test_a_record_is_a_member_and_files_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_RECORDS", 20)
+    large = "".join(f"<p>{i} é" for i in range(400_000))
+    rows = [(i, "u", f"page {i} " * 50) for i in range(100)] + [(100, "u", large)]
+    files = written(spark, tmp_path, rows)
+    assert {r.page_id: bytes(r.payload).decode() for r in read_warc(files).collect()} == {p: h for p, _, h in rows}
+    contents = [f.content for f in files.collect()]
+    held = [list(parse(gzip.decompress(c))) for c in contents]
+    assert len(large.encode()) > 3 << 20 and max(map(len, held)) == 20 and sum(map(len, held)) > 250
+    for content, records_ in zip(contents, held):
+        # Members one by one are the records one by one.
+        at, found = 0, []
+        while at < len(content):
+            unpack = zlib.decompressobj(31)
+            found += list(parse(unpack.decompress(content[at:])))
+            at = len(content) - len(unpack.unused_data)
+        assert found == records_
+
+
+def test_headers_longer_than_a_member(monkeypatch):
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 100)
+    for record in records("urn:page:1", 1, "u" * 1000, LONG.encode(), None):
+        packed = list(warc.members(record))
+        assert len(packed) > 1 and {m[-1] for m in packed} == {0}
+        assert gzip.decompress(b"".join(packed)) == record + b"\r\n\r\n"
+
+
 def archive(*some):
     return b"".join(r + b"\r\n\r\n" for r in some)
 
