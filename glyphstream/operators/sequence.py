@@ -123,17 +123,32 @@ def repeat_audit(commits: DataFrame, frames: DataFrame, blank_ms: int) -> DataFr
     return out.withColumn("allowed", F.col("longest_blank") >= blank_ms)
 
 
-def capture_windows(frames: DataFrame, every: int, length: int) -> DataFrame:
-    """stream_id, marker, n, text: what is read within ``length`` after every ``every``-th frame.
+def captures(markers: DataFrame, frames: DataFrame, length: int) -> DataFrame:
+    """stream_id, marker, n, text: the symbols read within ``length`` from each marker on, '' if there are none.
 
-    Time is cut into pieces of that length; a marker meets the frames of its
-    own piece and of the next one.
+    markers has stream_id, marker (its name, one row each) and t0; frames has
+    stream_id, frame_no, t_ms and symbol, and may as well be commits.  Time is
+    cut into pieces of ``length``; a marker meets the frames of its own piece
+    and of the next one.  Markers without a name, stream or time are left out.
     """
-    piece = F.floor(F.col("t_ms") / length)
-    markers = frames.filter(F.col("frame_no") % every == 0).select("stream_id", F.col("frame_no").alias("marker"), F.col("t_ms").alias("t0"), F.explode(F.array(piece, piece + 1)).alias("piece"))
-    inside = markers.join(frames.withColumn("piece", piece), ["stream_id", "piece"]).filter((F.col("t_ms") >= F.col("t0")) & (F.col("t_ms") < F.col("t0") + length))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("frame_no", "symbol"))), lambda x: x["symbol"]), "")
-    return inside.groupBy("stream_id", "marker").agg(F.count("*").alias("n"), text.alias("text"))
+    piece = lambda t: F.floor(F.col(t) / length)
+    asked = markers.filter("stream_id is not null and marker is not null and t0 is not null").select("stream_id", "marker", "t0", F.explode(F.array(piece("t0"), piece("t0") + 1)).alias("piece"))
+    read = frames.select("stream_id", piece("t_ms").alias("piece"), "frame_no", "symbol", "t_ms")
+    met = asked.join(read, ["stream_id", "piece"], "left")
+    inside = (F.col("t_ms") >= F.col("t0")) & (F.col("t_ms") < F.col("t0") + length)
+    told = F.collect_list(F.when(inside, F.struct("frame_no", "symbol")))
+    return met.groupBy("stream_id", "marker").agg(F.count_if(inside).alias("n"), captured_text(told).alias("text"))
+
+
+def captured_text(told: Column) -> Column:
+    """The symbols of an array of (frame_no, symbol), in the order of frames."""
+    return F.array_join(F.transform(F.array_sort(told), lambda x: x["symbol"]), "")
+
+
+def capture_windows(frames: DataFrame, every: int, length: int) -> DataFrame:
+    """stream_id, marker, n, text: what is read within ``length`` after every ``every``-th frame."""
+    markers = frames.filter(F.col("frame_no") % every == 0).select("stream_id", F.col("frame_no").alias("marker"), F.col("t_ms").alias("t0"))
+    return captures(markers, frames, length)
 
 
 def clean_key(value: Column) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Phrases of word signs (fixed values).
 PHRASES = {"ILY": "I love you", "IHATEYOU": "I hate you", "HELLO": "Hello"}
+#: Domain words of the mode 'academic' (fixed values).
+DOMAIN_WORDS = {"academic": ["microcontroller", "mediapipe", "convolutional", "latency", "debounce", "segmentation", "wearable", "inference", "bandwidth", "accelerometer", "gyroscope"]}
 #: Deletions of a term's prefix are posted up to this length and distance.
 PREFIX, DISTANCE = 7, 2
 
@@ -26,8 +28,17 @@ def token_pieces(tokens: DataFrame, phrases: DataFrame) -> DataFrame:
     return pieces.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "s"))), lambda x: x["s"]), " ").alias("text"))
 
 
-def vocabulary(docs: DataFrame, boosts: DataFrame) -> DataFrame:
-    """term, cnt: terms of texts with their counts, and boosted terms (term, cnt) on top."""
+def vocabulary(docs: DataFrame, boosts: DataFrame, mode: str | None = None) -> DataFrame:
+    """term, cnt: terms of texts with their counts, and boosted terms (term, cnt) on top.
+
+    Boosts may have a column mode: those without one always count, the others
+    only in theirs.  A vocabulary is built anew for each mode, so nothing of
+    another one is left in it.
+    """
+    if "mode" in boosts.columns:
+        boosts = boosts.filter(F.col("mode").isNull() | F.col("mode").eqNullSafe(F.lit(mode))).drop("mode")
+    elif mode is not None:
+        raise ValueError("these boosts have no modes")
     terms = docs.select(F.explode(F.expr("regexp_extract_all(lower(text), '[a-z]+', 0)")).alias("term")).groupBy("term").agg(F.count("*").alias("cnt"))
     return terms.unionByName(boosts).groupBy("term").agg(F.sum("cnt").alias("cnt"))
 

@@ -18,6 +18,21 @@ from pyspark.sql import functions as F
 
 from ..shared import cut_lineage
 
+#: Columns that tell whose and what a row is.
+METADATA = ("label", "person", "session", "stream_id", "hand_id", "frame_no", "t_ms", "fold")
+
+def feature_array(rows: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """rows with features: the named columns and no others, rounded to single precision.
+
+    Columns that say what a row is, or that are no numbers, are refused; a null is null.
+    """
+    columns = list(columns)
+    kinds = dict(rows.dtypes)
+    wrong = [c for c in columns if c in METADATA or not kinds[c].startswith(("double", "float", "decimal", "int", "bigint", "smallint", "tinyint"))]
+    if wrong or len(set(columns)) != len(columns):
+        raise ValueError(f"not features: {wrong or 'repeated columns'}")
+    return rows.withColumn("features", F.array(*[F.col(c).cast("float").cast("double") for c in columns]))
+
 
 def train_history(
     rows: DataFrame, width: int, hidden: tuple[int, ...] = (64, 32), max_iter: int = 500, seed: int = 42, validation: float = 0.1, patience: int = 15
@@ -32,7 +47,8 @@ def train_history(
     """
     index = StringIndexer(inputCol="label", outputCol="label_idx", stringOrderType="alphabetAsc", handleInvalid="keep").fit(rows)
     place = F.pmod(F.xxhash64("features", "label"), F.lit(10_000))
-    ready = cut_lineage(index.transform(rows.select("label", array_to_vector("features").alias("vector"), (place < validation * 10_000).alias("held"))))
+    own = F.when(F.size("features") == width, F.col("features")).otherwise(F.raise_error(F.lit(f"a row does not have {width} features")))
+    ready = cut_lineage(index.transform(rows.select("label", array_to_vector(own).alias("vector"), (place < validation * 10_000).alias("held"))))
     kept, held = ready.filter("not held"), ready.filter("held")
     if held.isEmpty() or kept.isEmpty():
         kept, held, patience = ready, None, max_iter

@@ -12,6 +12,7 @@ from ..operators import decision as dec
 from ..operators import dispersion as disp
 from ..operators import evaluate as ev
 from ..operators import geometry as geo
+from ..operators import hands
 from ..operators import recognise as rec
 from ..operators import sequence as seq
 from ..operators import text as tx
@@ -112,6 +113,13 @@ def capture_windows(spark, sf_dir):
     return seq.capture_windows(views.frames_ev(spark, sf_dir), every=20, length=400)
 
 
+@query("select m.stream_id, m.frame_no as marker, count(f.frame_no) as n, coalesce(string_agg(f.symbol, '' order by f.frame_no), '') as text from frames_ev m left join frames_ev f on m.stream_id = f.stream_id and f.t_ms >= m.t_ms + 150 and f.t_ms < m.t_ms + 400 where m.symbol = '' group by m.stream_id, m.frame_no", "frames_ev")
+def marker_captures(spark, sf_dir):
+    frames = views.frames_ev(spark, sf_dir)
+    markers = frames.filter("symbol = ''").select("stream_id", F.col("frame_no").alias("marker"), (F.col("t_ms") + 150).alias("t0"))
+    return seq.captures(markers, frames, length=250)
+
+
 @query("select c_custkey, case when regexp_full_match(lower(trim(c_mktsegment)), '[a-z0-9_-]+') then lower(trim(c_mktsegment)) end as segment, case when regexp_full_match(lower(trim(c_name)), '[a-z0-9_-]+') then lower(trim(c_name)) end as name from customer")
 def clean_keys(spark, sf_dir):
     return views.table(spark, sf_dir, "customer").select("c_custkey", seq.clean_key(F.col("c_mktsegment")).alias("segment"), seq.clean_key(F.col("c_name")).alias("name"))
@@ -164,6 +172,15 @@ def _cut(every: int) -> str:
     return _DEBOUNCE.replace("+ f as", f"+ parted as (select stream_id * 1000000 + count(*) filter (frame_no % {every} = 0) over (partition by stream_id order by t_ms, frame_no) as stream_id, frame_no, t_ms, symbol from frames_ev), f as").replace("from frames_ev)\n", "from frames_ev)").replace("as rn from frames_ev)", f"as rn from parted where frame_no % {every} <> 0)")
 
 
+_HANDS = _DEBOUNCE.replace("+ f as", "+ parted as (select stream_id * 2 + frame_no % 2 as stream_id, frame_no, t_ms, symbol from frames_ev), f as").replace("as rn from frames_ev)", "as rn from parted)")
+
+
+@query(_HANDS + " select stream_id // 2 as stream_id, stream_id % 2 as hand_id, symbol, frame_no, t_ms from c", "frames_ev", recursive=True)
+def debounce_by_hand(spark, sf_dir):
+    frames = views.frames_ev(spark, sf_dir).withColumn("hand_id", F.col("frame_no") % 2)
+    return hands.by_hand(db.debounce, frames, CONFIG)
+
+
 _FIRES = "select stream_id, 'J' as symbol, frame_no - 3 as start_frame, frame_no from frames_ev where frame_no % 25 = 0"
 
 
@@ -406,6 +423,16 @@ def vocabulary(spark, sf_dir):
     return tx.vocabulary(views.table(spark, sf_dir, "documents").filter("lang = 'en'"), _boosts(spark))
 
 
+_ACADEMIC = ", ".join(f"'{w}'" for w in tx.DOMAIN_WORDS["academic"])
+
+
+@query(f"select term, sum(cnt)::bigint as cnt from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as term, 1 as cnt from documents union all select unnest(['the', 'agenda', {_ACADEMIC}]), 1000000000) group by term")
+def vocabulary_of_mode(spark, sf_dir):
+    words = spark.createDataFrame([(w, 10**9, mode) for mode, own in [*tx.DOMAIN_WORDS.items(), ("another", ["absent"])] for w in own], "term string, cnt long, mode string")
+    boosts = _boosts(spark).withColumn("mode", F.lit(None).cast("string")).unionByName(words)
+    return tx.vocabulary(views.table(spark, sf_dir, "documents"), boosts, mode="academic")
+
+
 @query("""with v as (select term, sum(cnt) as cnt from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as term, 1 as cnt from documents where lang = 'en' union all select unnest(['the', 'agenda']), 1000000000) group by term),
 a as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) as term from benchmark),
 p as (select a.term, v.term as suggestion, levenshtein(a.term, v.term) as distance, cnt from a join v on length(v.term) between length(a.term) - 2 and length(a.term) + 2 where levenshtein(a.term, v.term) <= 2)

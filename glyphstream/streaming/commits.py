@@ -13,6 +13,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..operators.geometry import MotionConfig
 from ..operators.holds import DebounceConfig, Holds
 from ..operators.recognise import CHANGE, CHANGE_SQL, Recogniser, frame_fields, frame_rows
+from ..operators.sequence import captured_text
 
 
 class _DebounceProcessor(StatefulProcessor):
@@ -173,6 +174,26 @@ def stream_recognise(frames: DataFrame, holds: DebounceConfig = DebounceConfig()
     return timed.groupBy("stream_id").transformWithStateInPandas(_RecogniseProcessor(holds, motion, tolerance, idle_ms, settled), CHANGE_SQL, "append", "eventTime")
 
 
+def stream_captures(markers: DataFrame, frames: DataFrame, length_ms: int, delay: str = "2 seconds") -> DataFrame:
+    """stream_id, marker, t0, n, text of two streams, as captures gives them, once a marker's window has passed.
+
+    t_ms and t0 are event times, each under a watermark of ``delay``; later
+    rows are dropped.  Both meet by stream and piece of time, so one stream is
+    not one task, and the state of a marker or a frame goes when its window is
+    over.  A marker without frames is given out as well.
+    """
+    at = lambda t: F.timestamp_micros((F.col(t) * 1000).cast("long"))
+    piece = lambda t: F.floor(F.col(t) / length_ms)
+    asked = markers.filter("stream_id is not null and marker is not null and t0 is not null").withColumn("opened", at("t0")).withWatermark("opened", delay)
+    asked = asked.select(F.col("stream_id").cast("string").alias("stream_id"), "marker", F.col("t0").cast("double").alias("t0"), "opened", F.explode(F.array(piece("t0"), piece("t0") + 1)).alias("piece"))
+    read = frames.filter("stream_id is not null and t_ms is not null").withColumn("read_at", at("t_ms")).withWatermark("read_at", delay)
+    read = read.select(F.col("stream_id").cast("string").alias("of"), piece("t_ms").alias("place"), "frame_no", "symbol", "read_at")
+    inside = F.expr(f"stream_id = of and piece = place and read_at >= opened and read_at < opened + interval {int(length_ms)} milliseconds")
+    met = asked.join(read, inside, "left").select("stream_id", "marker", "t0", "opened", F.when(F.col("of").isNotNull(), F.struct("frame_no", "symbol")).alias("told"))
+    out = met.groupBy("stream_id", "marker", "t0", "opened").agg(F.count("told").alias("n"), captured_text(F.collect_list("told")).alias("text"))
+    return out.drop("opened")
+
+
 def running_accuracy(log: DataFrame) -> DataFrame:
     """person, condition, n and n_ok of an evaluation stream, for update mode."""
     ok = F.col("committed").contains(F.col("expected"))
