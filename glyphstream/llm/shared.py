@@ -46,7 +46,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def n_shuffle(spark: SparkSession) -> int:
-    """The session's number of shuffle partitions, which follows the input."""
+    """The session's number of shuffle partitions, a setting that is to be raised with the input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
