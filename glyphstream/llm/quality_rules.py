@@ -9,6 +9,7 @@ Thresholds are quantiles of the labelled documents' statistics.
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -82,65 +83,90 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 Condition = tuple[str, bool, float]
 
 
-def _estimate(bad: float, good: float) -> float:
+def _estimate(wanted: float, others: float) -> float:
     """The m-estimate of a rule's precision: few documents do not make a rule look sure."""
-    return (bad + 0.2) / (bad + good + 2.0)
+    return (wanted + 0.2) / (wanted + others + 2.0)
 
 
-def learn(values: np.ndarray, fold: np.ndarray, bad: np.ndarray, good: np.ndarray, options: list[Condition], min_precision: float, max_rules: int = 8, max_conditions: int = 3) -> list[list[Condition]]:
-    """Rules that cover bad documents, in order.
+class Rule(NamedTuple):
+    """Documents that reach the rule and hold all its conditions are kept or rejected; without conditions, all that reach it."""
+
+    conditions: list[Condition]
+    keeps: bool
+
+
+def _grown(holds: np.ndarray, live: np.ndarray, fold: np.ndarray, wanted: np.ndarray, others: np.ndarray, max_conditions: int) -> list[int]:
+    """Options that together pick wanted documents of the live cells, or none.
+
+    Grown on fold 0 by the condition with the best m-estimate of precision,
+    then cut back to the beginning that fold 1 likes best.
+    """
+    covered, chosen = live & (fold == 0), []
+    best = _estimate(wanted[covered].sum(), others[covered].sum())
+    while len(chosen) < max_conditions:
+        w, o = (holds & covered) @ wanted, (holds & covered) @ others
+        score = np.where(w > 0, (w + 0.2) / (w + o + 2.0), 0.0)
+        top = int(np.lexsort((-np.arange(len(holds)), w, score))[-1])
+        if score[top] <= best:
+            break
+        best = score[top]
+        chosen.append(top)
+        covered = covered & holds[top]
+    told = []
+    for k in range(1, len(chosen) + 1):
+        within = live & (fold == 1) & holds[chosen[:k]].all(axis=0)
+        told.append((_estimate(wanted[within].sum(), others[within].sum()), -k))
+    return chosen[: -max(told)[1]] if told else []
+
+
+def learn(values: np.ndarray, fold: np.ndarray, bad: np.ndarray, good: np.ndarray, options: list[Condition], min_precision: float, max_rules: int = 8, max_conditions: int = 3) -> list[Rule]:
+    """A decision list: what a rule covers is set aside, and the next one is learnt from the rest.
 
     values: statistics of each cell, in the order of STATISTICS; fold: 0 grows
-    and 1 prunes; bad, good: the cell's documents.  Each rule is grown by the
-    condition with the best m-estimate of precision, then cut back to the
-    beginning that the pruning fold likes best, and kept if it is precise
-    enough on both folds together; what it covers is set aside.
+    and 1 prunes; bad, good: the cell's documents.  A rule that rejects must
+    be precise enough on both folds together.  Where none is, a rule that keeps
+    may take good documents out of the way of later ones: bad ones must be
+    rarer in it than in the rest, by the factor that min_precision leaves.
+    What no rule covers is kept, unless the keeping rules leave a rest that is
+    bad with the same precision; then a last rule without conditions rejects it.
     """
     if not len(values) or not options:
         return []
     holds = np.stack([(values[:, STATISTICS.index(name)] >= t) == above for name, above, t in options])
     live = np.ones(len(values), bool)
-    rules: list[list[Condition]] = []
-    while len(rules) < max_rules:
-        grow = live & (fold == 0)
-        covered, chosen = grow, []
-        best = _estimate(bad[grow].sum(), good[grow].sum())
-        while len(chosen) < max_conditions:
-            b, g = (holds & covered) @ bad, (holds & covered) @ good
-            score = np.where(b > 0, (b + 0.2) / (b + g + 2.0), 0.0)
-            top = int(np.lexsort((-np.arange(len(options)), b, score))[-1])
-            if score[top] <= best:
+    counts = lambda within: (bad[within].sum(), good[within].sum())
+    precise = lambda n_bad, n_good: n_bad >= 5 and n_bad >= min_precision * (n_bad + n_good)
+    rules: list[Rule] = []
+    while len(rules) < max_rules and live.any():
+        all_bad, all_good = counts(live)
+        for keeps in (False, True):
+            chosen = _grown(holds, live, fold, *((good, bad) if keeps else (bad, good)), max_conditions)
+            within = live & holds[chosen].all(axis=0)
+            n_bad, n_good = counts(within)
+            rarer = n_good >= 5 and n_bad * (all_bad + all_good) <= (1 - min_precision) * all_bad * (n_bad + n_good)
+            if chosen and (rarer if keeps else precise(n_bad, n_good)):
+                rules.append(Rule([options[k] for k in chosen], keeps))
+                live &= ~within
                 break
-            best = score[top]
-            chosen.append(top)
-            covered = covered & holds[top]
-        if not chosen:
-            break
-        prune = live & (fold == 1)
-        told = []
-        for k in range(1, len(chosen) + 1):
-            within = prune & holds[chosen[:k]].all(axis=0)
-            told.append((_estimate(bad[within].sum(), good[within].sum()), -k))
-        chosen = chosen[: -max(told)[1]]
-        within = live & holds[chosen].all(axis=0)
-        n_bad, n_good = bad[within].sum(), good[within].sum()
-        if n_bad < 5 or n_bad < min_precision * (n_bad + n_good):
+        else:
             break
-        rules.append([options[k] for k in chosen])
-        live &= ~within
+    if rules and rules[-1].keeps and precise(*counts(live)):
+        rules.append(Rule([], False))
+    while rules and rules[-1].keeps:  # these say what is so without them
+        rules.pop()
     return rules
 
 
-def verdict(rules: list[list[Condition]]) -> Column:
-    """False for what a rule rejects, in order, else true."""
+def verdict(rules: list[Rule]) -> Column:
+    """What the first rule says whose conditions hold; true where none does."""
     out = None
-    for rule in rules:
-        condition = reduce(lambda a, b: a & b, [F.col(name) >= t if above else F.col(name) < t for name, above, t in rule])
-        out = F.when(condition, F.lit(False)) if out is None else out.when(condition, F.lit(False))
+    for conditions, keeps in rules:
+        condition = reduce(lambda a, b: a & b, [F.col(name) >= t if above else F.col(name) < t for name, above, t in conditions], F.lit(True))
+        out = F.when(condition, F.lit(keeps)) if out is None else out.when(condition, F.lit(keeps))
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
-def learn_rules(docs: DataFrame, labels: DataFrame, min_precision: float = 0.95, max_labelled: int = MAX_LABELLED) -> list[list[Condition]]:
+def learn_rules(docs: DataFrame, labels: DataFrame, min_precision: float = 0.95, max_labelled: int = MAX_LABELLED) -> list[Rule]:
     """Rules from the statistics of at most ``max_labelled`` labelled documents that pass the base rules."""
     marked = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).toDF("sampled", "marked")
@@ -162,7 +188,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, min_precision: float = 0.9
 
     Words are runs of characters other than ASCII white space.  base_failed:
     under 50 words, or over half of the words in 3-word windows found twice.
-    kept: neither base_failed nor rejected by a learnt rule.  labels has doc_id
+    kept: not base_failed, and the first learnt rule that holds keeps it, or none holds.  labels has doc_id
     and quality (0: bad); a repeated doc_id counts once, as bad if any row says
     so.  Without labels, or where no rule is precise enough, the base rules
     decide alone.  Rules are learnt from at most ``max_labelled`` of the
