@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from glyphstream.llm.line_dedup import line_dedup
 from glyphstream.llm.minhash import minhash_dedup
 from glyphstream.llm.packing import best_fit_pack
 from glyphstream.llm.quality_rules import quality_rules
-from glyphstream.llm.shared import materialize
+from glyphstream.llm.shared import ROW_GROUP_BYTES, scratch, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -63,5 +65,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = f"{shared_dir(spark)}/{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+        with scratch(spark):  # what a stage wrote on its way goes once its result is written
+            kept = stage(spark, docs, sf_dir)
+            kept.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
     return docs
