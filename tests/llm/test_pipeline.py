@@ -134,3 +134,23 @@ def test_stages_at_the_edges(spark):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     one = {r.doc_id for r in pipeline.keep_one_of_each(spark, kept, SF).collect()}
     assert one == {1, None}
+
+
+def test_stages_leave_only_their_results(spark):
+    import os
+
+    from glyphstream.llm.shared import scratch, shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    n = pipeline.run(spark, SF).count()
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}
+    assert n > 0 and left == {name.replace(" ", "-") for name, _ in pipeline.STAGES}
+    before = set(os.listdir(folder))
+    try:
+        with scratch(spark):
+            materialize(spark.range(3), "lost")
+            raise KeyError
+    except KeyError:
+        assert set(os.listdir(folder)) == before
+    assert materialize(spark.range(3), "kept").count() == 3
