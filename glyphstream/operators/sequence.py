@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A position behind all others.
+NEVER = 1 << 62
+
 
 def _in_order(*order: str) -> Window:
     return Window.partitionBy("stream_id").orderBy(*order)
@@ -24,17 +29,64 @@ def bursts(log: DataFrame) -> DataFrame:
     return grouped.select("stream_id", "label", F.col("start").cast("long"), F.col("end").cast("long"))
 
 
-def sessions(log: DataFrame) -> DataFrame:
+#: Bursts of a stream that are read as one piece when sessions are cut.
+PIECE = 4096
+
+
+def _ends(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one piece: where a chain of sessions leaves it, by the burst at which it comes in (the first one of each end)."""
+    rows = rows.sort_values("k")
+    k, end = rows["k"].to_numpy(), rows["next"].to_numpy().copy()
+    for i in range(len(k) - 1, -1, -1):
+        if end[i] <= k[-1]:
+            end[i] = end[end[i] - k[0]]
+    new = np.flatnonzero(np.diff(end, prepend=-1))  # a later burst never leads to an earlier end
+    return rows[["stream_id", "piece"]].head(1).assign(last=k[-1], came=[k[new]], left=[end[new]])
+
+
+def _entries(ends: pd.DataFrame) -> pd.DataFrame:
+    """Of one stream's pieces: the burst with which the first session that starts there begins."""
+    ends, at, entry = ends.sort_values("piece"), 0, []
+    for last, came, left in zip(ends["last"], ends["came"], ends["left"]):
+        # A session may go on through the whole piece.
+        entry.append(at if at <= last else NEVER)
+        if at <= last:
+            at = left[np.searchsorted(came, at, "right") - 1]
+    return ends[["stream_id", "piece"]].assign(entry=entry)
+
+
+def _starts(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one piece: its bursts, and which of them start a session."""
+    rows = rows.sort_values("k")
+    k, following, at = rows["k"].to_numpy(), rows["next"].to_numpy(), rows["entry"].iloc[0]
+    starts = np.zeros(len(k), bool)
+    while at <= k[-1]:
+        starts[at - k[0]] = True
+        at = following[at - k[0]]
+    return rows[["stream_id", "k", "start", "end", "label"]].assign(starts=starts)
+
+
+def sessions(log: DataFrame, piece: int = PIECE) -> DataFrame:
     """stream_id, start, end, label, session: a burst whose label the session has already seen opens a new one.
 
-    The greedy cut folds over bursts, never rows.
+    A session that starts at a burst ends before the first burst, from there on,
+    that repeats a label.  Each piece of a stream is read by itself, for any
+    burst at which a session may come in; only what comes out of which is put in
+    order by stream, some numbers a piece, and then each piece is read again from
+    its own first session.  A null label is never seen again.
     """
-    b = bursts(log).groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "label"))).alias("b"))
-    start = "named_struct('n', 0, 'seen', cast(array() as array<string>), 'out', cast(array() as array<struct<start:bigint,end:bigint,label:string,session:int>>))"
-    step = """(s, x) -> if(array_contains(s.seen, x.label),
-        named_struct('n', s.n + 1, 'seen', array(x.label), 'out', array_append(s.out, named_struct('start', x.start, 'end', x.end, 'label', x.label, 'session', s.n + 1))),
-        named_struct('n', s.n, 'seen', array_append(s.seen, x.label), 'out', array_append(s.out, named_struct('start', x.start, 'end', x.end, 'label', x.label, 'session', s.n))))"""
-    return b.select("stream_id", F.explode(F.expr(f"aggregate(b, {start}, {step}, s -> s.out)")).alias("x")).select("stream_id", "x.*")
+    kind = log.schema["stream_id"].dataType.simpleString()
+    placed = bursts(log).withColumn("k", (F.row_number().over(_in_order("start")) - 1).cast("long"))
+    again = F.when(F.col("label").isNotNull(), F.lead("k").over(Window.partitionBy("stream_id", "label").orderBy("k")))
+    # From the last burst on: a frame that ends at the partition's end would be read anew for each row.
+    ahead = Window.partitionBy("stream_id").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
+    led = placed.withColumn("_again", again).withColumn("next", F.coalesce(F.min("_again").over(ahead), F.lit(NEVER))).drop("_again")
+    pieces = led.withColumn("piece", F.floor(F.col("k") / piece))
+    ends = pieces.select("stream_id", "piece", "k", "next").groupBy("stream_id", "piece").applyInPandas(_ends, f"stream_id {kind}, piece long, last long, came array<long>, left array<long>")
+    entries = ends.groupBy("stream_id").applyInPandas(_entries, f"stream_id {kind}, piece long, entry long").toDF("_s", "_p", "entry")
+    both = pieces.join(entries, F.col("stream_id").eqNullSafe(F.col("_s")) & (F.col("piece") == F.col("_p"))).drop("_s", "_p")
+    told = both.groupBy("stream_id", "piece").applyInPandas(_starts, f"stream_id {kind}, k long, start long, end long, label string, starts boolean")
+    return told.select("stream_id", "start", "end", "label", (F.sum(F.col("starts").cast("int")).over(_in_order("k")) - 1).cast("int").alias("session"))
 
 
 def attribute_person(log: DataFrame, names: DataFrame, n_letters: int) -> DataFrame:

@@ -1,5 +1,7 @@
 """Sessions and the names given for them."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,3 +23,43 @@ def test_sessions_and_names_must_match(spark, names):
     log = spark.createDataFrame([("s", 1, "A"), ("s", 2, "B"), ("s", 3, "A")], "stream_id string, seq long, label string")
     with pytest.raises(Exception, match="do not match"):
         seq.attribute_person(log, spark.createDataFrame(names, "session int, person string"), 1).collect()
+
+
+def _greedy(labels):
+    """Session of each burst, read one by one."""
+    out, seen, n = [], set(), 0
+    for x in labels:
+        if x is not None and x in seen:
+            seen, n = set(), n + 1
+        seen.add(x)
+        out.append(n)
+    return out
+
+
+@pytest.mark.parametrize("piece", [1, 2, 7, 4096])
+def test_sessions_in_pieces(spark, piece):
+    """Streams of few and of many labels, one without any repeat, and null labels and streams, cut at every piece length as one by one."""
+    rng = random.Random(5)
+    streams = {"few": [rng.choice("AB") for _ in range(90)], "many": [rng.choice("ABCDEFGHIJ") for _ in range(300)], "once": [str(k) for k in range(50)], "null": [rng.choice(["A", "B", None]) for _ in range(80)], None: list("ABCABCCAB"), "one": ["A"]}
+    rows = [(s, i, x) for s, labels in streams.items() for i, x in enumerate(labels)]
+    log = spark.createDataFrame(rows, "stream_id string, seq long, label string")
+    got = {}
+    for r in seq.sessions(log, piece).collect():
+        got.setdefault(r.stream_id, []).append((r.start, r.end, r.label, r.session))
+    for s, labels in streams.items():
+        edges = [i for i, x in enumerate(labels) if i == 0 or x != labels[i - 1]]
+        kept = [labels[i] for i in edges]
+        assert sorted(got[s], key=lambda x: x[0]) == list(zip(edges, [*edges[1:], len(labels)], kept, _greedy(kept)))
+
+
+def test_long_stream_of_sessions(spark):
+    """300,000 bursts of one stream: a fold that copies what it has told takes the square of that."""
+    log = spark.range(300_000).select(F.lit("s").alias("stream_id"), F.col("id").alias("seq"), (F.col("id") * 7919 % 10007 % 23).cast("string").alias("label"))
+    labels = [str(i * 7919 % 10007 % 23) for i in range(300_000)]
+    kept = [x for i, x in enumerate(labels) if i == 0 or x != labels[i - 1]]
+    got = [r.session for r in seq.sessions(log).orderBy("start").select("session").collect()]
+    assert got == _greedy(kept)
+
+
+def test_sessions_of_no_rows(spark):
+    assert seq.sessions(spark.createDataFrame([], "stream_id long, seq long, label string")).collect() == []
