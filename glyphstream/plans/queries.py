@@ -501,7 +501,18 @@ def leakage_ratio(spark, sf_dir):
     return _rounded(disp.leakage_ratio(_features(spark, sf_dir), 42), "near", "far")
 
 
-@query("select t.transform, count(*) as n, true as invariant from frames_emb, (values ('shift'), ('scale'), ('rotation')) t(transform) group by all", "frames_emb")
+# Points in the hand's own frame; the distance of points 1 and 10 is its unit.
+_OWN = lambda a, b: f"[{{'x': (({a}[i] - {a}[1]) * ({b}[10] - {b}[1]) - ({b}[i] - {b}[1]) * ({a}[10] - {a}[1])) / greatest(1e-12, ({a}[10] - {a}[1])**2 + ({b}[10] - {b}[1])**2), 'y': (({a}[i] - {a}[1]) * ({a}[10] - {a}[1]) + ({b}[i] - {b}[1]) * ({b}[10] - {b}[1])) / greatest(1e-12, ({a}[10] - {a}[1])**2 + ({b}[10] - {b}[1])**2)}} for i in range(1, 22)]"
+_INVARIANCE = f"""+ m as (
+  select 'shift' as transform, xs, ys, [x + 0.37 for x in xs] as mx, [y - 0.21 for y in ys] as my from frames_emb
+  union all select 'scale', xs, ys, [x * 1.7 for x in xs], [y * 1.7 for y in ys] from frames_emb
+  union all select 'rotation', xs, ys, [xs[i] * 0.8 - ys[i] * 0.6 for i in range(1, 22)], [xs[i] * 0.6 + ys[i] * 0.8 for i in range(1, 22)] from frames_emb),
+own as (select transform, {_OWN("xs", "ys")} as p, {_OWN("mx", "my")} as q from m),
+moved as (select transform, list_max([greatest(abs(p[i].x * (case when p[3].x < 0 then -1 else 1 end) - q[i].x * (case when q[3].x < 0 then -1 else 1 end)), abs(p[i].y - q[i].y)) for i in range(1, 22)]) as change from own)
+select transform, count(*) as n, max(change) < 1e-6 as invariant from moved group by transform"""
+
+
+@query(_INVARIANCE, "frames_emb")
 def invariance_audit(spark, sf_dir):
     return disp.invariance_audit(views.frames_emb(spark, sf_dir))
 
