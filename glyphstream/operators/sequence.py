@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,59 +35,97 @@ def bursts(log: DataFrame) -> DataFrame:
 PIECE = 4096
 
 
-def _ends(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one piece: where a chain of sessions leaves it, by the burst at which it comes in (the first one of each end)."""
-    rows = rows.sort_values("k")
-    k, end = rows["k"].to_numpy(), rows["next"].to_numpy().copy()
-    for i in range(len(k) - 1, -1, -1):
-        if end[i] <= k[-1]:
-            end[i] = end[end[i] - k[0]]
-    new = np.flatnonzero(np.diff(end, prepend=-1))  # a later burst never leads to an earlier end
-    return rows[["stream_id", "piece"]].head(1).assign(last=k[-1], came=[k[new]], left=[end[new]])
+def _led(log: DataFrame, piece: int) -> DataFrame:
+    """Bursts with ``k`` (position from 0), ``piece`` and ``next``: the burst that ends a session that starts there."""
+    placed = bursts(log).withColumn("k", (F.row_number().over(_in_order("start")) - 1).cast("long"))
+    again = F.when(F.col("label").isNotNull(), F.lead("k").over(Window.partitionBy("stream_id", "label").orderBy("k")))
+    # From the last burst on: a frame that ends at the partition's end would be read anew for each row.
+    ahead = Window.partitionBy("stream_id").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
+    led = placed.withColumn("_again", again).withColumn("next", F.coalesce(F.min("_again").over(ahead), F.lit(NEVER))).drop("_again")
+    return led.withColumn("piece", F.floor(F.col("k") / piece))
 
 
-def _entries(ends: pd.DataFrame) -> pd.DataFrame:
-    """Of one stream's pieces: the burst with which the first session that starts there begins."""
-    ends, at, entry = ends.sort_values("piece"), 0, []
-    for last, came, left in zip(ends["last"], ends["came"], ends["left"]):
-        # A session may go on through the whole piece.
-        entry.append(at if at <= last else NEVER)
-        if at <= last:
-            at = left[np.searchsorted(came, at, "right") - 1]
-    return ends[["stream_id", "piece"]].assign(entry=entry)
+def _ends(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of bursts in order of stream and piece, a piece's last one first: where a chain of sessions that comes in at one leaves the piece.
 
+    Bursts next to each other with one end are told by the first of them.
+    """
 
-def _starts(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one piece: its bursts, and which of them start a session."""
-    rows = rows.sort_values("k")
-    k, following, at = rows["k"].to_numpy(), rows["next"].to_numpy(), rows["entry"].iloc[0]
-    starts = np.zeros(len(k), bool)
-    while at <= k[-1]:
-        starts[at - k[0]] = True
-        at = following[at - k[0]]
-    return rows[["stream_id", "k", "start", "end", "label"]].assign(starts=starts)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends, last = {}, 0
+        for rows in batches:
+            at, came, left, lasts = [], [], [], []
+            for i, (k, following) in enumerate(zip(rows["k"].to_pylist(), rows["next"].to_pylist())):
+                last = last if ends else k
+                ends[k] = ends[following] if following <= last else following
+                for told in [k + 1] * (k < last and ends[k + 1] != ends[k]) + [k] * (k % size == 0):
+                    at.append(i)
+                    came.append(told)
+                    left.append(ends[told])
+                    lasts.append(last)
+                if k % size == 0:
+                    ends = {}
+            kept = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([rows["stream_id"].take(kept), rows["piece"].take(kept), *(pa.array(x, pa.int64()) for x in (came, left, lasts))], names=["stream_id", "piece", "came", "left", "last"])
+
+    return task
+
+
+def _entries(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of ends in order of stream, piece and ``came``: the burst with which the first session that starts in a piece begins, as a row before its bursts."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = then = 0
+        for rows in batches:
+            first, entry = [], []
+            for i, (came, left, last) in enumerate(zip(rows["came"].to_pylist(), rows["left"].to_pylist(), rows["last"].to_pylist())):
+                if came % size == 0:
+                    at = then = then if came else 0
+                    first.append(i)
+                    # A session may go on through the whole piece.
+                    entry.append(at if at <= last else NEVER)
+                if came <= at <= last:
+                    then = left
+            kept = pa.array(first, pa.int64())
+            yield pa.RecordBatch.from_arrays([rows["stream_id"].take(kept), rows["piece"].take(kept), pa.array([-1] * len(first), pa.int64()), pa.array(entry, pa.int64())], names=["stream_id", "piece", "k", "next"])
+
+    return task
+
+
+def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of bursts in order of stream, piece and k, after their piece's entry: which of them start a session."""
+    at = NEVER
+    for rows in batches:
+        starts = []
+        for k, following in zip(rows["k"].to_pylist(), rows["next"].to_pylist()):
+            if k <= 0:
+                at = following if k < 0 else 0
+            starts.append(k == at)
+            if k == at:
+                at = following
+        told = [rows[c] for c in ("stream_id", "k", "start", "end", "label")]
+        yield pa.RecordBatch.from_arrays([*told, pa.array(starts, pa.bool_())], names=["stream_id", "k", "start", "end", "label", "starts"]).filter(pc.greater_equal(rows["k"], 0))
 
 
 def sessions(log: DataFrame, piece: int = PIECE) -> DataFrame:
     """stream_id, start, end, label, session: a burst whose label the session has already seen opens a new one.
 
     A session that starts at a burst ends before the first burst, from there on,
-    that repeats a label.  Each piece of a stream is read by itself, for any
-    burst at which a session may come in; only what comes out of which is put in
-    order by stream, some numbers a piece, and then each piece is read again from
-    its own first session.  A null label is never seen again.
+    that repeats a label.  Streams of more than a piece are read in pieces: each
+    one by itself, for any burst at which a session may come in; only what comes
+    out of which is put in order by stream, and then each piece is read again
+    from its own first session.  Tasks read the pieces that they hold one after
+    another, so that many short streams cost no more than a few long ones.  A
+    null label is never seen again.
     """
-    kind = log.schema["stream_id"].dataType.simpleString()
-    placed = bursts(log).withColumn("k", (F.row_number().over(_in_order("start")) - 1).cast("long"))
-    again = F.when(F.col("label").isNotNull(), F.lead("k").over(Window.partitionBy("stream_id", "label").orderBy("k")))
-    # From the last burst on: a frame that ends at the partition's end would be read anew for each row.
-    ahead = Window.partitionBy("stream_id").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
-    led = placed.withColumn("_again", again).withColumn("next", F.coalesce(F.min("_again").over(ahead), F.lit(NEVER))).drop("_again")
-    pieces = led.withColumn("piece", F.floor(F.col("k") / piece))
-    ends = pieces.select("stream_id", "piece", "k", "next").groupBy("stream_id", "piece").applyInPandas(_ends, f"stream_id {kind}, piece long, last long, came array<long>, left array<long>")
-    entries = ends.groupBy("stream_id").applyInPandas(_entries, f"stream_id {kind}, piece long, entry long").toDF("_s", "_p", "entry")
-    both = pieces.join(entries, F.col("stream_id").eqNullSafe(F.col("_s")) & (F.col("piece") == F.col("_p"))).drop("_s", "_p")
-    told = both.groupBy("stream_id", "piece").applyInPandas(_starts, f"stream_id {kind}, k long, start long, end long, label string, starts boolean")
+    kind, of = (log.schema[c].dataType.simpleString() for c in ("stream_id", "label"))
+    n = F.count("*").over(Window.partitionBy("stream_id"))
+    several = _led(log.withColumn("_n", n).filter(F.col("_n") > piece), piece)
+    back = several.select("stream_id", "piece", "k", "next").repartition("stream_id", "piece").sortWithinPartitions("stream_id", "piece", F.desc("k"))
+    ends = back.mapInArrow(_ends(piece), f"stream_id {kind}, piece long, came long, left long, last long")
+    entries = ends.repartition("stream_id").sortWithinPartitions("stream_id", "piece", "came").mapInArrow(_entries(piece), f"stream_id {kind}, piece long, k long, next long")
+    both = _led(log, piece).unionByName(entries, allowMissingColumns=True).repartition("stream_id", "piece").sortWithinPartitions("stream_id", "piece", "k")
+    told = both.mapInArrow(_starts, f"stream_id {kind}, k long, start long, end long, label {of}, starts boolean")
     return told.select("stream_id", "start", "end", "label", (F.sum(F.col("starts").cast("int")).over(_in_order("k")) - 1).cast("int").alias("session"))
 
 

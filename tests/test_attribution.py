@@ -1,6 +1,7 @@
 """Sessions and the names given for them."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,5 +62,32 @@ def test_long_stream_of_sessions(spark):
     assert got == _greedy(kept)
 
 
+def test_many_short_streams_of_sessions(spark):
+    """6,000 streams of ten bursts, some of more than a piece of 8: a call of Python for each of them takes over a minute."""
+    log = lambda n: spark.range(n * 10).selectExpr("id % 10 as seq", "id div 10 as stream_id", "char(65 + id * 7919 % 10007 % 5) as label")
+    assert seq.sessions(log(3), 8).count() > 0  # workers have started
+    begin = time.time()
+    got = {}
+    for r in seq.sessions(log(6_000), 8).select("stream_id", "start", "session").collect():
+        got.setdefault(r.stream_id, []).append((r.start, r.session))
+    assert time.time() - begin < 40
+    assert len(got) == 6_000
+    for s, rows in got.items():
+        labels = [chr(65 + (s * 10 + i) * 7919 % 10007 % 5) for i in range(10)]
+        edges = [i for i, x in enumerate(labels) if i == 0 or x != labels[i - 1]]
+        assert sorted(rows) == list(zip(edges, _greedy([labels[i] for i in edges])))
+
+
+def test_ends_of_a_piece_go_back(spark):
+    """A later burst of a piece may lead to an earlier burst of the next one; ids of streams beyond 2^53 beside null ones."""
+    labels, streams = list("ABCADEBFGCDHAEBIFJGKCLDHAMENBIFJG" * 9), [None, 2**53 + 1, 2**53 + 2]
+    log = spark.createDataFrame([(s, i, x) for s in streams for i, x in enumerate(labels)], "stream_id long, seq long, label string")
+    for piece in (3, 8, 50):
+        got = {s: [] for s in streams}
+        for r in seq.sessions(log, piece).collect():
+            got[r.stream_id].append((r.start, r.session))
+        assert all(sorted(x) == list(enumerate(_greedy(labels))) for x in got.values())
+
+
 def test_sessions_of_no_rows(spark):
     assert seq.sessions(spark.createDataFrame([], "stream_id long, seq long, label string")).collect() == []
