@@ -9,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import cut_lineage
+
 #: A position behind all others.
 NEVER = 1 << 62
 
@@ -129,21 +131,39 @@ def sessions(log: DataFrame, piece: int = PIECE) -> DataFrame:
     return told.select("stream_id", "start", "end", "label", (F.sum(F.col("starts").cast("int")).over(_in_order("k")) - 1).cast("int").alias("session"))
 
 
+def session_labels(log: DataFrame) -> DataFrame:
+    """stream_id, session, label, n: rows by session and label, worked out once and kept (``cut_lineage``)."""
+    cut = sessions(log).withColumn("n", F.col("end") - F.col("start"))
+    return cut_lineage(cut.groupBy("stream_id", "session", "label").agg(F.sum("n").alias("n")))
+
+
+def name_sessions(asked: DataFrame, names: DataFrame, n_letters: int) -> DataFrame:
+    """stream_id, session, label, person, n: session_labels under the session's person; see attribute_person.
+
+    Names are compared with the numbers of sessions, one row each: a full join
+    with the labels themselves would bring a session's rows of all streams to
+    one task, where an inner join can be broadcast or split.
+    """
+    told = names.groupBy("session").agg(F.count("*").alias("_names"), F.first("person").alias("person"))
+    both = asked.select("session").distinct().withColumn("_cut", F.lit(True)).join(told, "session", "full")
+    right = F.col("_cut").isNotNull() & F.coalesce(F.col("_names") == 1, F.lit(False)) & F.col("person").isNotNull()
+    named = asked.join(both.filter(right).select("session", "person"), "session")
+    person = F.when(F.length("label") > n_letters, "unknown").otherwise(F.col("person"))
+    # A name without a session fails as a session without a name does.
+    refused = F.raise_error(F.concat(F.lit("sessions and names do not match at session "), F.coalesce(F.col("session").cast("string"), F.lit("null"))))
+    nothing = {c: F.lit(None).cast(asked.schema[c].dataType) for c in ("stream_id", "label", "n")}
+    wrong = both.filter(~right).select("session", refused.cast("string").alias("person")).withColumns(nothing)
+    columns = ("stream_id", "session", "label", "person", "n")
+    return named.withColumn("person", person).select(*columns).unionByName(wrong.select(*columns))
+
+
 def attribute_person(log: DataFrame, names: DataFrame, n_letters: int) -> DataFrame:
     """stream_id, session, label, person, n: rows by session and label under the session's person.
 
     names has session and person, one row for each session there is; else the
     query fails.  Labels of more than n_letters characters are of an unknown person.
     """
-    cut = sessions(log).withColumn("n", F.col("end") - F.col("start"))
-    told = names.groupBy("session").agg(F.count("*").alias("_names"), F.first("person").alias("person"))
-    asked = cut.groupBy("stream_id", "session", "label").agg(F.sum("n").alias("n"))
-    # A name without a session fails as a session without a name does.
-    both = asked.join(told, "session", "full")
-    wrong = F.col("_names").isNull() | (F.col("_names") != 1) | F.col("stream_id").isNull() | F.col("person").isNull()
-    refused = F.raise_error(F.concat(F.lit("sessions and names do not match at session "), F.coalesce(F.col("session").cast("string"), F.lit("null"))))
-    person = F.when(wrong, refused).when(F.length("label") > n_letters, "unknown").otherwise(F.col("person"))
-    return both.select("stream_id", "session", "label", person.alias("person"), "n")
+    return name_sessions(session_labels(log), names, n_letters)
 
 
 def run_commit(frames: DataFrame, length: int = 3) -> DataFrame:

@@ -62,9 +62,9 @@ def sessions(spark, sf_dir):
 
 @query(_SESSIONS + " select stream_id, session, label, case when length(label) > 5 then 'unknown' else 'n' || session end as person, sum(\"end\" - \"start\") as n from s group by all", "log_ev", recursive=True)
 def attribute_person(spark, sf_dir):
-    log = views.log_ev(spark, sf_dir)
-    names = seq.sessions(log).select("session").distinct().select("session", F.concat(F.lit("n"), "session").alias("person"))
-    return seq.attribute_person(log, names, n_letters=5)
+    asked = seq.session_labels(views.log_ev(spark, sf_dir))
+    names = asked.select("session").distinct().select("session", F.concat(F.lit("n"), "session").alias("person"))
+    return seq.name_sessions(asked, names, n_letters=5)
 
 
 @query(_SESSIONS + " select case when length(label) > 5 then 'unknown' else 'n' || session end as person, sum(\"end\" - \"start\") as n, string_agg(distinct label, ',' order by label) as labels from s group by 1", "log_ev", recursive=True)

@@ -26,6 +26,35 @@ def test_sessions_and_names_must_match(spark, names):
         seq.attribute_person(log, spark.createDataFrame(names, "session int, person string"), 1).collect()
 
 
+@pytest.mark.parametrize("rows,names", [([], [(0, "a")]), ([("s", 1, "A")], [(0, "a"), (None, "b")]), ([("s", 1, "A")], [(0, None)])])
+def test_odd_names_are_refused(spark, rows, names):
+    """Names where there are no sessions, a name of no session, a session whose name is null."""
+    log = spark.createDataFrame(rows, "stream_id string, seq long, label string")
+    with pytest.raises(Exception, match="do not match"):
+        seq.attribute_person(log, spark.createDataFrame(names, "session int, person string"), 1).collect()
+
+
+def _times_cut(spark, monkeypatch, name):
+    cut, calls = seq.sessions, []
+    monkeypatch.setattr(seq, "sessions", lambda *args: calls.append(args) or cut(*args))
+    return QUERIES[name](spark, "/root/testdata/sf0.001"), calls
+
+
+def test_sessions_are_cut_once_for_persons(spark, monkeypatch):
+    """The names of the query come from the sessions that they are given to; what comes after reads the kept table."""
+    out, calls = _times_cut(spark, monkeypatch, "attribute_person")
+    assert out.count() > 0 and len(calls) == 1
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_labels_are_not_in_a_full_join(spark):
+    """A full join on session would bring a session's rows of all streams to one task."""
+    log = spark.range(300).selectExpr("id % 100 as stream_id", "id as seq", "char(65 + id div 100 % 2) as label")
+    plan = seq.attribute_person(log, spark.createDataFrame([(0, "a"), (1, "b")], "session int, person string"), 1)._jdf.queryExecution().optimizedPlan().toString()
+    left = [x.splitlines()[1] for x in plan.split("Join FullOuter")[1:]]
+    assert left and all("Aggregate [session#" in x for x in left)
+
+
 def _greedy(labels):
     """Session of each burst, read one by one."""
     out, seen, n = [], set(), 0
