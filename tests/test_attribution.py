@@ -40,6 +40,12 @@ def _times_cut(spark, monkeypatch, name):
     return QUERIES[name](spark, "/root/testdata/sf0.001"), calls
 
 
+def test_report_reads_kept_labels(spark, monkeypatch):
+    out, calls = _times_cut(spark, monkeypatch, "attribution_report")
+    assert out.count() > 0 and len(calls) == 1
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sessions_are_cut_once_for_persons(spark, monkeypatch):
     """The names of the query come from the sessions that they are given to; what comes after reads the kept table."""
     out, calls = _times_cut(spark, monkeypatch, "attribute_person")
